@@ -68,8 +68,11 @@ def url_feature_means(feats: Column) -> dict[str, Column]:
     there are none."""
     n = F.size(feats)
     out = {}
+    def adder(k):
+        return lambda acc, s: acc + s[k]
+
     for k in URL_FEATURES:
-        total = F.aggregate(feats, F.lit(0.0), lambda acc, s, k=k: acc + s[k])
+        total = F.aggregate(feats, F.lit(0.0), adder(k))
         out[f"url_{k}"] = F.when(n > 0, total / n.cast("double")).otherwise(F.lit(0.0))
     return out
 

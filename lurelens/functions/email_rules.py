@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import lexicons as lx
 from .email_features import EmailCols
-from .text import contains_any, hits, level
+from .text import compact, contains_any, hits, level
 from .url_rules import fmt, pct1
 
 EW = lx.EMAIL_WEIGHTS
@@ -50,24 +50,32 @@ def sender_domain(sender: Column) -> Column:
     return F.when(sender.contains("@"), F.lower(F.get(F.split(sender, "@"), 1)))
 
 
-def email_analysis(e: EmailCols, suspicious_urls: Column, tabular_p: Column | None = None,
-                   text_p: Column | None = None, error: Column | None = None) -> dict[str, Column]:
-    """M9-M14 (M16): score, level, reasons and the legitimacy short-circuit."""
-    ft = full_text_lower(e)
-    sl = F.lower(e.sender)
-    ind = has_phishing_indicators(ft)
-    reason = legitimacy_reason(ft, sl, ind)
-    ieee = sl.contains(lx.IEEE_WORD) | ft.contains(lx.IEEE_WORD)
-    bypass = reason.isNotNull() | ieee
+def analyze_emails(df: DataFrame, e: EmailCols, suspicious_urls: Column, tabular_p: Column | None = None,
+                   text_p: Column | None = None, error: Column | None = None) -> DataFrame:
+    """M9-M14 (M16): adds risk_score, risk_level, risk_factors, ml_prediction,
+    ml_confidence, is_legitimate, bypassed_indicators (and error).
+
+    Values used by several rules (lower-cased text, indicators, legitimacy
+    reason, raw score) are staged in their own projection, so each is computed
+    once per row and every projection stays small enough for generated code."""
+    t = "__e_"
+    df = df.withColumns({t + "ft": full_text_lower(e), t + "sl": F.lower(e.sender),
+                         t + "dom": sender_domain(e.sender), t + "nsusp": suspicious_urls,
+                         t + "err": error if error is not None else F.lit(None).cast("string")})
+    ft, sl, dom, n = (F.col(t + k) for k in ("ft", "sl", "dom", "nsusp"))
+    df = df.withColumn(t + "ind", has_phishing_indicators(ft))
+    ind = F.col(t + "ind")
+    df = df.withColumns({t + "reason": legitimacy_reason(ft, sl, ind),
+                         t + "ieee": sl.contains(lx.IEEE_WORD) | ft.contains(lx.IEEE_WORD)})
+    reason = F.col(t + "reason")
+    bypass = reason.isNotNull() | F.col(t + "ieee")
 
     score: Column = F.lit(0.0) + F.when(ind, F.lit(EW["strong_indicator"])).otherwise(F.lit(0.0))
     reasons = [F.when(ind, F.lit(lx.MSG["strong"]))]
-    n = suspicious_urls
     score = score + F.when(n > 0, F.least(n.cast("double") * F.lit(EW["suspicious_url_each"]),
                                            F.lit(EW["suspicious_url_cap"]))).otherwise(F.lit(0.0))
     reasons.append(F.when(n > 0, fmt(lx.MSG["suspicious_urls"], n)))
-    dom = sender_domain(e.sender)
-    free = F.coalesce(dom.isin(*lx.FREE_SENDER_DOMAINS), F.lit(False)) & (e.sender != "")
+    free = F.coalesce(dom.isin(*lx.FREE_SENDER_DOMAINS), F.lit(False))
     for brand in lx.MAJOR_BRANDS:
         expected = lx.MAJOR_BRAND_DOMAINS.get(brand, "")
         if not expected:
@@ -97,32 +105,32 @@ def email_analysis(e: EmailCols, suspicious_urls: Column, tabular_p: Column | No
         reasons.append(F.when(text_p.isNotNull(),
                               F.when(up, fmt(lx.MSG["text_phishing"], pct1(text_p)))
                               .otherwise(fmt(lx.MSG["text_legit"], pct1(F.lit(1.0) - text_p)))))
-    score = F.least(score, F.lit(1.0))
-    lvl = level(score, lx.EMAIL_LEVELS)
+    df = df.withColumns({t + "score": F.least(score, F.lit(1.0)), t + "reasons": compact(reasons),
+                         t + "bypass": bypass, t + "mlp": ml_pred, t + "mlc": ml_conf})
+    score, bypass = F.col(t + "score"), F.col(t + "bypass")
+    df = df.withColumn(t + "lvl", level(score, lx.EMAIL_LEVELS))
+    lvl = F.col(t + "lvl")
     head = (F.when((lvl == "SAFE") & (score < EW["headline_safe_below"]), F.lit(lx.MSG["head_safe"]))
             .when(lvl == "HIGH", F.lit(lx.MSG["head_high"]))
             .when(lvl == "MEDIUM", F.lit(lx.MSG["head_medium"])))
-    factors = F.slice(F.array_compact(F.array(head, *reasons)), 1, lx.MAX_REASONS)
-
+    factors = F.slice(F.concat(compact([head]), F.col(t + "reasons")), 1, lx.MAX_REASONS)
     legit_factors = F.array(F.concat(F.lit(lx.MSG["legit_prefix"]),
                                      F.coalesce(reason, F.lit(lx.MSG["legit_fallback"]))))
+    err = F.col(t + "err")
+    ok = err.isNull()
     out = {
-        "risk_score": F.when(bypass, F.lit(EW["legitimate_score"])).otherwise(score),
-        "risk_level": F.when(bypass, F.lit("SAFE")).otherwise(lvl),
-        "risk_factors": F.when(bypass, legit_factors).otherwise(factors),
-        "ml_prediction": F.when(bypass, F.lit(0)).otherwise(ml_pred),
-        "ml_confidence": F.when(bypass, F.lit(0.0)).otherwise(ml_conf),
-        "is_legitimate": bypass,
-        "bypassed_indicators": bypass & ind,
+        "risk_score": F.when(~ok, F.lit(0.0)).when(bypass, F.lit(EW["legitimate_score"])).otherwise(score),
+        "risk_level": F.when(~ok, F.lit("ERROR")).when(bypass, F.lit("SAFE")).otherwise(lvl),
+        "risk_factors": F.when(~ok, F.array(err)).when(bypass, legit_factors).otherwise(factors),
+        "ml_prediction": F.when(~ok, F.lit(None)).when(bypass, F.lit(0)).otherwise(F.col(t + "mlp")),
+        "ml_confidence": F.when(~ok, F.lit(None)).when(bypass, F.lit(0.0)).otherwise(F.col(t + "mlc")),
+        "is_legitimate": F.when(ok, bypass),
+        "bypassed_indicators": F.when(ok, bypass & ind),
     }
     if error is not None:
-        ok = error.isNull()
-        out = {k: F.when(ok, v) for k, v in out.items()}
-        out["risk_score"] = F.when(ok, out["risk_score"]).otherwise(F.lit(0.0))
-        out["risk_level"] = F.when(ok, out["risk_level"]).otherwise(F.lit("ERROR"))
-        out["risk_factors"] = F.when(ok, out["risk_factors"]).otherwise(F.array(error))
-        out["error"] = error
-    return out
+        out["error"] = err
+    tmp = [c for c in df.columns if c.startswith(t)]
+    return df.withColumns(out).drop(*tmp)
 
 
 def recommendations(level_col: Column) -> Column:

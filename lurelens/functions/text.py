@@ -81,3 +81,13 @@ def level(score: Column, thresholds, default: str = "SAFE") -> Column:
 def words(text: Column) -> Column:
     """``text.split()``: whitespace-separated tokens, empty edges removed."""
     return F.array_remove(F.split(text, WS_RUN), "")
+
+
+def compact(items: list[Column]) -> Column:
+    """ARRAY<STRING> of the non-NULL items in order.
+
+    Built with ``concat`` of 0/1-element arrays instead of ``array_compact``
+    (a lambda function), so it stays inside whole-stage code generation."""
+    empty = F.array().cast("array<string>")
+    parts = [F.when(c.isNotNull(), F.array(c)).otherwise(empty) for c in items]
+    return F.concat(*parts) if parts else empty

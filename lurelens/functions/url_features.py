@@ -36,14 +36,17 @@ def entropy(s: Column) -> Column:
     return F.when(n == 0, F.lit(0.0)).otherwise(F.aggregate(chars, F.lit(0.0), step))
 
 
-def url_feature_columns(p: UrlParts, reference_year: int | None = None) -> dict[str, Column]:
+def url_feature_columns(p: UrlParts, reference_year: int | None = None,
+                        entropy_col: Column | None = None) -> dict[str, Column]:
+    """``entropy_col``: a staged entropy column (the entropy is a lambda
+    function; staging it keeps the other 39 features in generated code)."""
     year = default_reference_year() if reference_year is None else int(reference_year)
     u, ul = p.url, p.ul
     n = F.length(u)
     den = F.greatest(n, F.lit(1))
     host_clean = p.host_clean
     subdomains = F.greatest(F.size(F.split(p.host, r"\.")) - 2, F.lit(0))
-    ent = entropy(u)
+    ent = entropy(u) if entropy_col is None else entropy_col
     f: dict[str, Column] = {
         "url_length": n,
         "num_dots": count_sub(u, "."),
@@ -100,14 +103,12 @@ def with_url_features(df: DataFrame, url_col: str = "url", reference_year: int |
                       error_col: str | None = "error") -> DataFrame:
     """Appends the 40 feature columns (U1-U40) and, optionally, the parse
     error message column (U43).  Features are NULL for error rows."""
+    from .url_rules import url_error
     staged, p, tmp = stage_parts(df, url_col)
-    cols = url_feature_columns(p, reference_year)
-    u = F.col(url_col)
-    bad = u.isNull() | (u == "")
-    err = F.when(bad, F.lit(lx.MSG["invalid_url"])).when(
-        p.parse_error, F.lit(lx.MSG["url_error"].format(lx.MSG["parse_error"])))
-    ok = err.isNull()
+    staged = staged.withColumn("__u_err", url_error(p)).withColumn("__u_ent", entropy(p.url))
+    cols = url_feature_columns(p, reference_year, F.col("__u_ent"))
+    ok = F.col("__u_err").isNull()
     out = {k: F.when(ok, c) for k, c in cols.items()}
     if error_col:
-        out[error_col] = err
-    return staged.withColumns(out).drop(*tmp)
+        out[error_col] = F.col("__u_err")
+    return staged.withColumns(out).drop(*tmp, "__u_err", "__u_ent")

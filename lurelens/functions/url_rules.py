@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicons as lx
-from .text import contains_any, count_sub, first_hit
+from .text import compact, contains_any, count_sub, first_hit
 from .url_parts import UrlParts
 
 W = lx.URL_WEIGHTS
@@ -84,7 +84,7 @@ class UrlRuleColumns:
 
     def pattern_list(self) -> Column:
         """The pattern messages alone, as ARRAY<STRING>."""
-        return F.array_compact(F.array(*[F.when(c, m) for c, m in self.patterns]))
+        return compact([F.when(c, m) for c, m in self.patterns])
 
     def scored(self) -> list[tuple[Column, float, Column]]:
         """(condition, increment, reason) in the order they are applied."""
@@ -101,24 +101,39 @@ class UrlRuleColumns:
         return rows
 
 
-def url_rule_columns(p: UrlParts) -> UrlRuleColumns:
+RULE_FIELDS = ("brand", "hosting", "hosting_brand", "long_subdomain", "numeric_subdomain", "ip",
+               "subdomain_count", "tld", "at", "shortener", "no_https_sensitive")
+
+
+def rule_values(p: UrlParts) -> dict[str, Column]:
+    """The rule inputs of one URL (R2-R11), keyed by field name."""
     u, ul = p.url, p.ul
     hosting = first_hit(ul, lx.FREE_HOSTING_SITES)
     first_label = F.get(F.split(F.get(F.split(ul, "://"), 1), r"\."), 0)
     on_hosting = hosting.isNotNull()
-    return UrlRuleColumns(
-        brand=brand_impersonation(ul),
-        hosting=hosting,
-        hosting_brand=F.when(on_hosting, _first_titled(ul, lx.FREE_HOSTING_BRANDS)),
-        long_subdomain=on_hosting & (F.length(first_label) > 12),
-        numeric_subdomain=on_hosting & first_label.rlike(r"\p{Nd}") & (F.length(first_label) > 8),
-        ip=u.rlike(r"https?://\p{Nd}{1,3}\.\p{Nd}{1,3}\.\p{Nd}{1,3}\.\p{Nd}{1,3}"),
-        subdomain_count=count_sub(ul, ".") - count_sub(ul, "://") - 1,
-        tld=first_hit(ul, lx.SUSPICIOUS_TLDS),
-        at=u.contains("@") & ~u.contains("mailto:"),
-        shortener=first_hit(ul, lx.RULE_SHORTENERS),
-        no_https_sensitive=~u.startswith("https://") & contains_any(ul, lx.SENSITIVE_KEYWORDS),
-    )
+    return {
+        "brand": brand_impersonation(ul),
+        "hosting": hosting,
+        "hosting_brand": F.when(on_hosting, _first_titled(ul, lx.FREE_HOSTING_BRANDS)),
+        "long_subdomain": F.coalesce(on_hosting & (F.length(first_label) > 12), F.lit(False)),
+        "numeric_subdomain": F.coalesce(on_hosting & first_label.rlike(r"\p{Nd}") & (F.length(first_label) > 8),
+                                        F.lit(False)),
+        "ip": u.rlike(r"https?://\p{Nd}{1,3}\.\p{Nd}{1,3}\.\p{Nd}{1,3}\.\p{Nd}{1,3}"),
+        "subdomain_count": count_sub(ul, ".") - count_sub(ul, "://") - 1,
+        "tld": first_hit(ul, lx.SUSPICIOUS_TLDS),
+        "at": u.contains("@") & ~u.contains("mailto:"),
+        "shortener": first_hit(ul, lx.RULE_SHORTENERS),
+        "no_https_sensitive": ~u.startswith("https://") & contains_any(ul, lx.SENSITIVE_KEYWORDS),
+    }
+
+
+def url_rule_columns(p: UrlParts) -> UrlRuleColumns:
+    return UrlRuleColumns(**rule_values(p))
+
+
+def rules_of(get) -> UrlRuleColumns:
+    """Handles on rule values that were staged (``get(field) -> Column``)."""
+    return UrlRuleColumns(**{k: get(k) for k in RULE_FIELDS})
 
 
 def rule_score_and_reasons(rules: UrlRuleColumns) -> tuple[Column, list[Column]]:
@@ -159,16 +174,18 @@ def url_error(p: UrlParts) -> Column:
             .when(p.parse_error, F.lit(lx.MSG["url_error"].format(lx.MSG["parse_error"]))))
 
 
-def url_analysis(p: UrlParts, tabular_p: Column | None = None, text_p: Column | None = None) -> dict[str, Column]:
-    """risk_score, risk_level, risk_factors, ml_prediction, ml_confidence, error."""
-    rules = url_rule_columns(p)
+def analysis_from_rules(rules: UrlRuleColumns, tabular_p: Column | None = None,
+                        text_p: Column | None = None) -> dict[str, Column]:
+    """Uncapped score and ordered reasons (before the error guard)."""
     score, reasons = rule_score_and_reasons(rules)
     score, reasons = blend_url(score, reasons, tabular_p, text_p)
-    score = F.least(score, F.lit(1.0))
-    err = url_error(p)
-    ok = err.isNull()
-    factors = F.slice(F.array_compact(F.array(*reasons)), 1, lx.MAX_REASONS)
+    return {"score": F.least(score, F.lit(1.0)),
+            "factors": F.slice(compact(reasons), 1, lx.MAX_REASONS)}
+
+
+def finish_analysis(score: Column, factors: Column, err: Column, tabular_p: Column | None = None) -> dict[str, Column]:
     from .text import level
+    ok = err.isNull()
     ml_pred = (tabular_p >= 0.5).cast("int") if tabular_p is not None else F.lit(None).cast("int")
     ml_conf = tabular_p.cast("double") if tabular_p is not None else F.lit(None).cast("double")
     return {
@@ -182,7 +199,24 @@ def url_analysis(p: UrlParts, tabular_p: Column | None = None, text_p: Column |
 
 
 def url_analysis_struct(p: UrlParts) -> Column:
-    """The rule-only analysis of one URL as a struct (for lambdas)."""
-    a = url_analysis(p)
-    return F.struct(p.url.alias("url"), a["risk_score"].alias("risk_score"),
-                    a["risk_level"].alias("risk_level"), a["risk_factors"].alias("risk_factors"))
+    """Rule-only analysis of one URL as a struct, for use inside ``transform``.
+
+    Callers pass a URL whose parts were computed once (``parts_of_struct``);
+    the rule values and the score are nested structs so each is evaluated
+    once per URL."""
+    return F.struct(p.url.alias("url"), url_error(p).alias("error"),
+                    F.struct(*[c.alias(k) for k, c in rule_values(p).items()]).alias("rules"))
+
+
+def finish_url_struct(s: Column) -> Column:
+    """Second step of ``url_analysis_struct``: score, level, reasons."""
+    a = analysis_from_rules(rules_of(lambda k: s["rules"][k]))
+    return F.struct(s["url"].alias("url"), s["error"].alias("error"), a["score"].alias("score"),
+                    a["factors"].alias("factors"))
+
+
+def final_url_struct(s: Column) -> Column:
+    """Third step: error guard and level."""
+    f = finish_analysis(s["score"], s["factors"], s["error"])
+    return F.struct(s["url"].alias("url"), f["risk_score"].alias("risk_score"),
+                    f["risk_level"].alias("risk_level"), f["risk_factors"].alias("risk_factors"))

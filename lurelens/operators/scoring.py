@@ -14,13 +14,14 @@ from pyspark.sql import functions as F
 
 from ..functions import combine as cb
 from ..functions.email_features import email_cols, email_feature_columns
-from ..functions.email_rules import email_analysis, recommendations
+from ..functions.email_rules import analyze_emails, recommendations
 from ..functions.manifest import ALL_FEATURES, EMAIL_FEATURES, URL_FEATURES
 from ..functions.text import level
 from ..functions import lexicons as lx
 from ..functions.url_features import with_url_features
 from ..functions.url_parts import parts_of_struct, parts_struct, stage_parts
-from ..functions.url_rules import url_analysis, url_analysis_struct, url_rule_columns
+from ..functions.url_rules import (analysis_from_rules, final_url_struct, finish_analysis, finish_url_struct,
+                                   rule_values, rules_of, url_analysis_struct, url_error, url_rule_columns)
 
 ANALYSIS_COLS = ("risk_score", "risk_level", "risk_factors", "ml_prediction", "ml_confidence", "error")
 
@@ -43,9 +44,14 @@ def score_urls(df: DataFrame, url_col: str = "url", tabular_prob=None, text_prob
     model probabilities (NULL = no model for that row)."""
     base = with_url_features(df, url_col, reference_year, error_col=None) if with_features else df
     staged, p, tmp = stage_parts(base, url_col)
-    a = url_analysis(p, None if tabular_prob is None else _col(tabular_prob),
-                     None if text_prob is None else _col(text_prob))
-    return staged.withColumns(a).drop(*tmp)
+    rule_cols = {f"__r_{k}": c for k, c in rule_values(p).items()}
+    staged = staged.withColumns({**rule_cols, "__r_err": url_error(p)})
+    tab = None if tabular_prob is None else _col(tabular_prob)
+    txt = None if text_prob is None else _col(text_prob)
+    a = analysis_from_rules(rules_of(lambda k: F.col(f"__r_{k}")), tab, txt)
+    staged = staged.withColumns({"__r_score": a["score"], "__r_factors": a["factors"]})
+    fin = finish_analysis(F.col("__r_score"), F.col("__r_factors"), F.col("__r_err"), tab)
+    return staged.withColumns(fin).drop(*tmp, *rule_cols, "__r_err", "__r_score", "__r_factors")
 
 
 def url_pattern_list(df: DataFrame, url_col: str = "url") -> DataFrame:
@@ -89,10 +95,10 @@ def score_emails(df: DataFrame, tabular_prob=None, text_prob=None, **names) -> D
     staged = df.withColumn(tmp, cb.body_urls(e.body))
     urls = F.col(tmp)
     err = F.when(cb.any_parse_error(urls), F.lit(lx.MSG["url_error"].format(lx.MSG["parse_error"])))
-    a = email_analysis(e, cb.suspicious_url_count(urls),
-                       None if tabular_prob is None else _col(tabular_prob),
-                       None if text_prob is None else _col(text_prob), error=err)
-    return staged.withColumns(a).drop(tmp)
+    out = analyze_emails(staged, e, cb.suspicious_url_count(urls),
+                         None if tabular_prob is None else _col(tabular_prob),
+                         None if text_prob is None else _col(text_prob), error=err)
+    return out.drop(tmp)
 
 
 def score_emails_with_urls(df: DataFrame, **names) -> DataFrame:
@@ -113,7 +119,9 @@ def score_emails_with_urls(df: DataFrame, **names) -> DataFrame:
     }).drop(*[c for c in ANALYSIS_COLS if c in scored.columns], "is_legitimate", "bypassed_indicators")
     scored = scored.withColumn("urls_found", cb.public_urls(e.text))
     scored = scored.withColumn(tmp, F.transform("urls_found", parts_struct))
-    scored = scored.withColumn("url_analyses", F.transform(tmp, lambda s: url_analysis_struct(parts_of_struct(s))))
+    scored = scored.withColumn(tmp, F.transform(tmp, lambda s: url_analysis_struct(parts_of_struct(s))))
+    scored = scored.withColumn(tmp, F.transform(tmp, finish_url_struct))
+    scored = scored.withColumn("url_analyses", F.transform(tmp, final_url_struct))
     max_url = F.array_max(F.transform("url_analyses", lambda a: a["risk_score"]))
     combined = F.greatest(F.col("email_risk_score"), F.coalesce(max_url, F.col("email_risk_score")))
     out = scored.withColumn("combined_risk_score", combined).drop(tmp)
