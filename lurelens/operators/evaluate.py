@@ -27,8 +27,8 @@ def threshold_prediction(p: Column, t: float = 0.5) -> Column:
 def confusion_matrix(pred: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """V1: (label, prediction, n) for the four cells, zero cells included."""
     spark = pred.sparkSession
-    cells = spark.range(2).select(F.col("id").cast("int").alias("label")).crossJoin(
-        spark.range(2).select(F.col("id").cast("int").alias("prediction")))
+    cells = spark.range(4).select((F.col("id") / 2).cast("int").alias("label"),
+                                  (F.col("id") % 2).cast("int").alias("prediction"))
     counts = pred.groupBy(F.col(label).cast("int").alias("label"),
                           F.coalesce(F.col(prediction).cast("int"), F.lit(0)).alias("prediction")).count()
     # four-row dimension table: a broadcast with a fixed size
@@ -71,7 +71,8 @@ def exact_auc(scored: DataFrame, score: str = "score", label: str = "label", dec
     Scores are rounded to ``decimals`` places and grouped first, so the
     ordered window runs over at most 10^decimals + 1 distinct values, however
     many rows there are."""
-    s = F.round(F.col(score).cast("double"), decimals)
+    scale = float(10 ** decimals)
+    s = F.round(F.col(score).cast("double") * F.lit(scale), 0) / F.lit(scale)
     g = scored.groupBy(s.alias("s")).agg(
         F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("pos"))
     w = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)

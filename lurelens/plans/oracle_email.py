@@ -157,7 +157,7 @@ def scored_emails_select() -> str:
         score += f" + CASE WHEN {c} THEN {g.dbl(EW['brand_from_free_mail'])} ELSE 0.0::DOUBLE END"
         reasons.append(f"CASE WHEN {c} THEN {g.fmt(lx.MSG['brand_free_mail'], g.q(brand.title()), '_dom')} END")
     score += ")"
-    s3 = (f"SELECT *, least({score}, 1.0::DOUBLE) AS _raw, list_filter([{', '.join(reasons)}], lambda x: x IS NOT NULL) AS _rs, "
+    s3 = (f"SELECT *, {score} AS _sum, least({score}, 1.0::DOUBLE) AS _raw, list_filter([{', '.join(reasons)}], lambda x: x IS NOT NULL) AS _rs, "
           f"(_reason IS NOT NULL OR _ieee) AS _bypass FROM ({s2}) c")
     lvl = g.level("_raw", lx.EMAIL_LEVELS)
     head = (f"CASE WHEN ({lvl}) = 'SAFE' AND _raw < {g.dbl(EW['headline_safe_below'])} THEN {g.q(lx.MSG['head_safe'])} "
