@@ -86,14 +86,18 @@ def exact_auc(scored: DataFrame, score: str = "score", label: str = "label", dec
                        n1.cast("bigint").alias("n_pos"), n0.cast("bigint").alias("n_neg"))
 
 
-def metrics_with_defaults(spark: SparkSession, metrics: DataFrame | None) -> DataFrame:
-    """Metrics per model, each missing value taken from the published
-    defaults (left join of the defaults table)."""
+def metrics_with_defaults(spark: SparkSession, metrics: DataFrame | None, keep_all_defaults: bool = False) -> DataFrame:
+    """Metrics per model; a value missing from the file is taken from the
+    published defaults of that model; with ``keep_all_defaults`` the models
+    absent from the file are listed with their defaults as well."""
     from ..functions import lexicons as lx
+    names = ("accuracy", "precision", "recall", "f1")
+    # fixed four-row defaults table: broadcast of a known size
     defaults = spark.createDataFrame(list(lx.DEFAULT_METRICS),
                                      "model string, accuracy double, precision double, recall double, f1 double")
     if metrics is None:
         return defaults
-    m = metrics.select("model", *[F.col(c).cast("double").alias("m_" + c) for c in ("accuracy", "precision", "recall", "f1")])
-    joined = m.join(F.broadcast(defaults), "model", "left")
-    return joined.select("model", *[F.coalesce("m_" + c, c).alias(c) for c in ("accuracy", "precision", "recall", "f1")])
+    m = metrics.select("model", *[F.col(c).cast("double").alias("m_" + c) for c in names])
+    how = "full" if keep_all_defaults else "left"
+    j = m.join(F.broadcast(defaults), "model", how)
+    return j.select("model", *[F.coalesce("m_" + c, c).alias(c) for c in names])
