@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import lexicons as lx
 from .manifest import EMAIL_FEATURES
-from .text import DIGIT, NON_WS_RUN, PUNCT, UPPER, WS_CLASS, contains_any, hits, ratio, words
+from .text import DIGIT, PUNCT, UPPER, contains_any, hits, ratio, words
 
 NS = r"[^\s\x{1c}-\x{1f}]"  # one non-blank character (Python's \S), under (?U)
 URL_IN_TEXT_RE = r"(?U)https?://" + NS + "+"
@@ -58,8 +58,8 @@ def email_cols(subject="subject", body="body", sender="sender", html="html_conte
     )
 
 
-def urgency_score(text: Column) -> Column:
-    tl = F.lower(text)
+def urgency_score(text: Column, lowered: bool = False) -> Column:
+    tl = text if lowered else F.lower(text)
     total = None
     for pat in lx.URGENCY_PATTERNS:
         c = F.regexp_count(tl, F.lit("(?iU)" + pat))
@@ -92,14 +92,20 @@ def header_flags(h: Column) -> dict[str, Column]:
             "has_dmarc": has_dmarc.cast("int"), "spf_result_match": spf_match}
 
 
-def email_feature_columns(e: EmailCols) -> dict[str, Column]:
-    text = e.text
-    tl = F.lower(text)
+def email_feature_columns(e: EmailCols, text: Column | None = None, tl: Column | None = None,
+                          tokens: Column | None = None) -> dict[str, Column]:
+    """The 21 features.  ``text`` / ``tl`` (lower-cased text) / ``tokens``
+    (``text.split()``) may be staged columns so each is computed once."""
+    text = e.text if text is None else text
+    tl = F.lower(text) if tl is None else tl
+    toks = words(text) if tokens is None else tokens
     n_text = F.length(text)
     n_html = F.length(e.html)
     no_html = e.html == ""
-    n_words = F.regexp_count(text, F.lit(NON_WS_RUN))
-    lw = words(tl)
+    n_words = F.size(toks)
+    # lower-casing the tokens joined by one blank = tokens of the lower-cased
+    # text (lower-casing neither creates nor removes blanks)
+    lw = F.split(F.lower(F.array_join(toks, " ")), " ")
     hf = header_flags(e.headers)
     f = {
         "total_length": n_text,
@@ -112,16 +118,25 @@ def email_feature_columns(e: EmailCols) -> dict[str, Column]:
         "num_links": F.regexp_count(e.html, F.lit(LINK_IN_HTML_RE)),
         "num_attachments": e.attachments,
         "suspicious_words_count": hits(tl, lx.SUSPICIOUS_WORDS).cast("double") / F.lit(len(lx.SUSPICIOUS_WORDS)),
-        "urgency_score": urgency_score(text),
+        "urgency_score": urgency_score(tl, lowered=True),
         "threat_score": F.least(hits(tl, lx.THREAT_KEYWORDS).cast("double") / F.lit(len(lx.THREAT_KEYWORDS)), F.lit(1.0)),
         "sender_reputation": sender_reputation(e.sender),
         **hf,
         "html_ratio": F.when(no_html, F.lit(0.0)).otherwise(ratio(n_html, n_html + n_text)),
         "text_html_ratio": F.when(no_html, F.lit(1.0)).otherwise(ratio(n_text, n_html)),
         "avg_word_length": F.when(n_words == 0, F.lit(0.0)).otherwise(
-            ratio(F.length(F.regexp_replace(text, "(?U)" + WS_CLASS, "")), n_words)),
-        "unique_word_ratio": F.when(F.size(lw) == 0, F.lit(0.0)).otherwise(
-            ratio(F.size(F.array_distinct(lw)), F.size(lw))),
+            ratio(F.length(F.array_join(toks, "")), n_words)),
+        "unique_word_ratio": F.when(n_words == 0, F.lit(0.0)).otherwise(
+            ratio(F.size(F.array_distinct(lw)), n_words)),
     }
     f = {k: f[k] for k in EMAIL_FEATURES}
     return f
+
+
+def stage_email_text(df: DataFrame, e: EmailCols) -> tuple[DataFrame, dict[str, Column], list[str]]:
+    """Adds the text, its lower-cased form and its tokens as columns (one
+    projection each) and returns handles for ``email_feature_columns``."""
+    df = df.withColumn("__e_text", e.text)
+    df = df.withColumns({"__e_tl": F.lower(F.col("__e_text")), "__e_tok": words(F.col("__e_text"))})
+    handles = {"text": F.col("__e_text"), "tl": F.col("__e_tl"), "tokens": F.col("__e_tok")}
+    return df, handles, ["__e_text", "__e_tl", "__e_tok"]

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import combine as cb
-from ..functions.email_features import email_cols, email_feature_columns
+from ..functions.email_features import email_cols, email_feature_columns, stage_email_text
 from ..functions.email_rules import analyze_emails, recommendations
 from ..functions.manifest import ALL_FEATURES, EMAIL_FEATURES, URL_FEATURES
 from ..functions.text import level
@@ -68,7 +68,8 @@ def email_features(df: DataFrame, **names) -> DataFrame:
     """The 21 email features as columns (input column names overridable:
     subject, body, sender, html, headers, attachments)."""
     e = _emails(df, **names)
-    return df.withColumns(email_feature_columns(e))
+    staged, h, tmp = stage_email_text(df, e)
+    return staged.withColumns(email_feature_columns(e, **h)).drop(*tmp)
 
 
 def combined_features(df: DataFrame, reference_year: int | None = None, **names) -> DataFrame:
@@ -76,16 +77,17 @@ def combined_features(df: DataFrame, reference_year: int | None = None, **names)
     URL counts, in manifest order (63 columns, missing values 0)."""
     e = _emails(df, **names)
     tmp_urls, tmp_feats = "__c_urls", "__c_feats"
-    staged = df.withColumn(tmp_urls, cb.body_urls(e.body))
+    staged, h, tmp_text = stage_email_text(df, e)
+    staged = staged.withColumn(tmp_urls, cb.body_urls(e.body))
     staged = staged.withColumn(tmp_feats, cb.url_feature_array(F.col(tmp_urls), reference_year))
     feats = F.col(tmp_feats)
-    cols = dict(email_feature_columns(e))
+    cols = dict(email_feature_columns(e, **h))
     cols.update(cb.url_feature_means(feats))
     cols["total_urls_in_email"] = F.size(feats)
     cols["suspicious_url_count"] = F.size(F.filter(
         feats, lambda s: (s["has_suspicious_tld"] == 1) | (s["has_ip_address"] == 1)))
     cols = {k: cols[k] for k in ALL_FEATURES}
-    return staged.withColumns(cols).drop(tmp_urls, tmp_feats)
+    return staged.withColumns(cols).drop(tmp_urls, tmp_feats, *tmp_text)
 
 
 def score_emails(df: DataFrame, tabular_prob=None, text_prob=None, **names) -> DataFrame:

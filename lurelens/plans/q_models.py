@@ -24,6 +24,7 @@ from . import oracle_url as ou
 from . import sqlgen as g
 from .registry import register
 from .shape import joined, r6
+from ..session import ensure_checkpoint_dir
 
 
 def stand_in(key: str, mult: int, null_every: int | None = None):
@@ -156,11 +157,17 @@ QUICK_BOOSTED = dict(max_iter=10, max_depth=4)
 QUICK_FOREST = dict(num_trees=20, max_depth=6)
 
 
-def training_table(spark, sf):
-    """63-column feature table with label and stratified split."""
+def training_table(spark, sf, with_text: bool = False):
+    """63-column feature table with label and stratified split.
+
+    The feature table is computed once and written to the shared checkpoint
+    folder (lineage cut): the split, the scaler, every tree level and the
+    test scoring then read it instead of recomputing the text features."""
+    ensure_checkpoint_dir(spark)
     feats = sc.feature_matrix(sc.combined_features(email_corpus(spark, sf)))
-    feats = feats.select("email_id", F.col("label").cast("double").alias("label"), "body", "subject", *ALL_FEATURES)
-    return sp.stratified_split(feats, "email_id")
+    text = [F.concat_ws(" ", "subject", "body").alias("text")] if with_text else []
+    feats = feats.select("email_id", F.col("label").cast("double").alias("label"), *text, *ALL_FEATURES)
+    return sp.stratified_split(feats.checkpoint(eager=True), "email_id")
 
 
 def _fit_predict(spark, sf, estimator, weights=False):
@@ -216,7 +223,7 @@ def q_t17(spark, sf):
 @register("q_T19_text_classifier")
 def q_t19(spark, sf):
     """Text model over subject + body: test-set probabilities."""
-    t = training_table(spark, sf).withColumn("text", F.concat_ws(" ", "subject", "body"))
+    t = training_table(spark, sf, with_text=True)
     train, test = t.where("split = 'train'"), t.where("split = 'test'")
     model = md.fit(md.text_pipeline(max_iter=20), train)
     return md.with_probability(model, test).select("email_id", "label", r6(F.col("p")).alias("p"), "prediction")

@@ -42,8 +42,21 @@ EMAIL_SENDERS = {
 EMAIL_PHISHING_VARIANTS = (1, 2, 4, 7)
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+def balance(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Spread rows over at least ``min_partitions`` tasks (default: the
+    session's parallelism) when the scan yields fewer, e.g. one large file
+    with a single row group.  The per-row text work is CPU-bound, so a scan
+    task per core matters more than the one shuffle this adds; a scan that
+    already has enough partitions (the normal case on a cluster reading many
+    files) is left alone.  Round-robin repartitioning sorts rows first, so a
+    retried task gets the same rows."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return balance(df) if spread else df
 
 
 def _case(key: Column, mapping: dict, default: Column) -> Column:
