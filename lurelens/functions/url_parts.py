@@ -112,4 +112,5 @@ def domain_of(url: Column) -> Column:
     d = F.when(F.length(parts.netloc) > 0, parts.netloc).otherwise(parts.path)
     d = F.when(d.startswith("www."), F.substring(d, 5, 1 << 30)).otherwise(d)
     d = F.lower(F.substring_index(d, ":", 1))
-    return F.when(url.isNull() | (url == ""), F.lit(None)).otherwise(F.nullif(d, F.lit("")))
+    bad = url.isNull() | (url == "") | parts.parse_error
+    return F.when(bad, F.lit(None)).otherwise(F.nullif(d, F.lit("")))

@@ -31,7 +31,10 @@ def severity(reason: Column) -> Column:
 
 def reason_severity(scored: DataFrame, id_cols=(), factors_col: str = "risk_factors") -> DataFrame:
     """V9: one row per reason, numbered from 1, with its severity."""
-    ex = scored.select(*id_cols, F.posexplode(factors_col).alias("pos0", "reason"))
+    # outer form + filter on the generated column: the same rows, without the
+    # inferred size(array) > 0 filter that would be pushed below the scoring
+    ex = scored.select(*id_cols, F.posexplode_outer(factors_col).alias("pos0", "reason")).where(
+        F.col("reason").isNotNull())
     return ex.select(*id_cols, (F.col("pos0") + 1).cast("bigint").alias("pos"), "reason",
                      severity(F.col("reason")).alias("severity"))
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions import lexicons as lx
-from ..functions.url_parts import domain_of
+from ..functions.url_parts import domain_of, stage_parts  # noqa: F401
 
 HASH_RANGE = 1 << 32
 BUCKETS = 1 << 16
@@ -35,8 +35,18 @@ def seeded_hash(key: Column, seed: int = lx.SPLIT_SEED) -> Column:
 
 
 def with_domain(df: DataFrame, url_col: str = "url", out: str = "domain") -> DataFrame:
-    """T5: registered-domain key of each URL."""
-    return df.withColumn(out, domain_of(F.col(url_col)))
+    """T5: registered-domain key of each URL: netloc, else path; a leading
+    'www.' (case-sensitive) removed; cut at ':'; lower-cased; empty or
+    unparsable -> NULL.
+
+    Every intermediate value is used once by the next step, so when the
+    optimizer copies the expression (e.g. into a pushed-down ``domain IS NOT
+    NULL`` filter) it does not multiply."""
+    staged, p, tmp = stage_parts(df, url_col)
+    staged = staged.withColumn("__d0", F.when(~p.parse_error, F.when(F.length(p.netloc) > 0, p.netloc).otherwise(p.path)))
+    d = F.lower(F.regexp_extract(F.col("__d0"), r"^(?:www\.)?([^:]*)", 1))
+    # NULL for '' without naming the value twice: [d] minus '' -> first or NULL
+    return staged.withColumn(out, F.get(F.array_remove(F.array(d), ""), 0)).drop(*tmp, "__d0")
 
 
 def hash_split(df: DataFrame, key: str, fraction: float = lx.TEST_FRACTION, seed: int = lx.SPLIT_SEED,

@@ -69,18 +69,26 @@ def _case(key: Column, mapping: dict, default: Column) -> Column:
 
 def url_corpus_from_pages(pages: DataFrame) -> DataFrame:
     """``page_id, variant, url, label``: each page URL, host swapped by
-    ``page_id % 12`` (variant 0 keeps the page URL)."""
-    tail = F.regexp_extract("url", r"^[a-z]+://[^/?#]*(.*)$", 1)
+    ``page_id % 12`` (variant 0 keeps the page URL).
+
+    Written as prefix + tail + suffix with the page URL and its tail used
+    once, so the expression stays small wherever the optimizer copies it."""
     v = F.col("page_id") % 12
-    hosts = {k: F.concat(F.lit(h), tail) for k, h in URL_VARIANT_HOSTS.items()}
-    hosts[0] = F.col("url")
-    hosts[2] = F.concat(F.lit("http://192.168.7."), (F.col("page_id") % 256).cast("string"), F.lit(":8080"), tail)
-    hosts[10] = F.concat(F.lit("https://login.coinbase.com"), tail, F.lit("&token=abc"))
-    default = F.concat(F.lit("http://netflix-billing-update.xyz"), tail, F.lit(";v=1"))
+    prefixes = [""] * 12
+    for k, h in URL_VARIANT_HOSTS.items():
+        prefixes[k] = h
+    prefixes[10] = "https://login.coinbase.com"
+    prefixes[11] = "http://netflix-billing-update.xyz"
+    suffixes = [""] * 12
+    suffixes[10], suffixes[11] = "&token=abc", ";v=1"
+    pick = lambda arr: F.get(F.array(*[F.lit(x) for x in arr]), v.cast("int"))
+    prefix = F.when(v == 2, F.concat(F.lit("http://192.168.7."), (F.col("page_id") % 256).cast("string"),
+                                     F.lit(":8080"))).otherwise(pick(prefixes))
+    tail = F.regexp_extract(F.col("url"), r"^[a-z]+://[^/?#]*(.*)$", 1)
     return pages.select(
         "page_id",
         v.alias("variant"),
-        _case(v, dict(sorted(hosts.items())), default).alias("url"),
+        F.when(v == 0, F.col("url")).otherwise(F.concat(prefix, tail, pick(suffixes))).alias("url"),
         F.when(v.isin(*URL_PHISHING_VARIANTS), 1).otherwise(0).cast("int").alias("label"),
     )
 
