@@ -92,7 +92,9 @@ def url_features_query(id_cols: str = "page_id, url", year: int = 2024, only: li
     f = feature_exprs("url", year)
     names = only or list(URL_FEATURES)
     cols = ", ".join(out_feature(n, f[n]) for n in names)
-    err = "CASE WHEN (contains(_netloc, '[')) <> (contains(_netloc, ']')) THEN 'error' END"
+    err = (f"CASE WHEN url IS NULL OR url = '' THEN {g.q(lx.MSG['invalid_url'])} "
+           f"WHEN (contains(_netloc, '[')) <> (contains(_netloc, ']')) "
+           f"THEN {g.q(lx.MSG['url_error'].format(lx.MSG['parse_error']))} END")
     extra = "" if only else f", {err} AS error"
     return f"SELECT {id_cols}, {cols}{extra} FROM ({parts_select(g.url_corpus_sql())}) t"
 
@@ -154,7 +156,13 @@ def rules_select(src_with_parts: str, u: str = "url") -> str:
 
 
 def scored_urls_select(src: str, u: str = "url") -> str:
-    """SELECT * plus risk_score (capped), risk_level, reasons (list, first 8)."""
+    """SELECT * plus risk_score (capped), risk_level, reasons (list, first 8);
+    NULL / empty / unparsable URLs give ERROR rows."""
     rs = rules_select(parts_select(src, u), u)
-    return (f"SELECT *, least(_score, 1.0) AS risk_score, {g.level('least(_score, 1.0)', lx.URL_LEVELS)} AS risk_level, "
-            f"_reasons[1:{lx.MAX_REASONS}] AS risk_factors FROM ({rs}) c")
+    err = (f"CASE WHEN {u} IS NULL OR {u} = '' THEN {g.q(lx.MSG['invalid_url'])} "
+           f"WHEN contains(_netloc, '[') <> contains(_netloc, ']') "
+           f"THEN {g.q(lx.MSG['url_error'].format(lx.MSG['parse_error']))} END")
+    return (f"SELECT *, CASE WHEN _err IS NULL THEN least(_score, 1.0) ELSE 0.0 END AS risk_score, "
+            f"CASE WHEN _err IS NULL THEN {g.level('least(_score, 1.0)', lx.URL_LEVELS)} ELSE 'ERROR' END AS risk_level, "
+            f"CASE WHEN _err IS NULL THEN _reasons[1:{lx.MAX_REASONS}] ELSE [_err] END AS risk_factors "
+            f"FROM (SELECT *, {err} AS _err FROM ({rs}) c0) c")

@@ -38,12 +38,6 @@ def add(name: str, fn: QueryFn, sql: str | None, doc: str = "") -> None:
 
 
 def load_all() -> dict[str, Entry]:
-    # Importing the query modules fills the registry.
-    from . import q_url, q_email  # noqa: F401
-    for mod in ("q_prep", "q_models", "q_stream", "q_io"):
-        try:
-            __import__(f"{__package__}.{mod}")
-        except ModuleNotFoundError as e:  # module not written yet
-            if mod not in str(e):
-                raise
+    """Imports the query modules (which fill the registry) and returns it."""
+    from . import q_email, q_io, q_models, q_more, q_prep, q_stream, q_url  # noqa: F401
     return REGISTRY
