@@ -12,6 +12,7 @@ from ..session import scratch_path
 from ..sources import io
 from ..sources.corpora import email_corpus, url_corpus
 from . import q_email
+from . import q_url  # noqa: F401  (its SQL is reused)
 from . import sqlgen as g
 from .registry import REGISTRY, register
 from .shape import r6

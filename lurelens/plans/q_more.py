@@ -15,6 +15,7 @@ from ..session import scratch_path
 from ..sources import io
 from ..sources.corpora import email_corpus, read_table, url_corpus
 from . import oracle_email as oe
+from . import q_url, q_models  # noqa: F401  (their SQL is reused)
 from . import oracle_url as ou
 from . import sqlgen as g
 from .registry import REGISTRY, register

@@ -39,5 +39,12 @@ def add(name: str, fn: QueryFn, sql: str | None, doc: str = "") -> None:
 
 def load_all() -> dict[str, Entry]:
     """Imports the query modules (which fill the registry) and returns it."""
-    from . import q_email, q_io, q_models, q_more, q_prep, q_stream, q_url  # noqa: F401
+    # order matters: later modules reuse the oracle SQL of earlier ones
+    from . import q_url  # noqa: F401
+    from . import q_email  # noqa: F401
+    from . import q_prep  # noqa: F401
+    from . import q_models  # noqa: F401
+    from . import q_stream  # noqa: F401
+    from . import q_io  # noqa: F401
+    from . import q_more  # noqa: F401
     return REGISTRY
