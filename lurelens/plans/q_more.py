@@ -172,3 +172,46 @@ def q_s11(spark, sf):
     path = scratch_path(spark, "model")
     md.save(model, path)
     return md.with_probability(md.load(path), test).select("email_id", "label", r6(F.col("p")).alias("p"), "prediction")
+
+
+# ------------------------------------------------------------------ S2
+
+def _s2_candidates():
+    """Feature columns the loader keeps by name (all URL features are numeric)."""
+    from pyspark.sql import types as T
+    schema = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType())]
+                          + [T.StructField(n, T.DoubleType()) for n in URL_FEATURES]
+                          + [T.StructField("label", T.IntegerType())])
+    names = pp.numeric_feature_columns(schema, "label", "url")
+    from ..operators.leakage import suspicious_name_columns
+    return names, suspicious_name_columns(names, "label")
+
+
+def _s2_sql():
+    cand, by_name = _s2_candidates()
+    f = ou.feature_exprs("url", 2024)
+    raw = (f"SELECT page_id, CAST(label AS BIGINT) AS label_numeric, "
+           + ", ".join(f"CAST({f[n]} AS DOUBLE) AS {n}" for n in cand)
+           + f" FROM ({ou.parts_select(g.url_corpus_sql())}) p")
+    long = f"SELECT * FROM ({raw}) r UNPIVOT (value FOR feature IN ({', '.join(cand)}))"
+    sep = ("SELECT feature FROM (SELECT feature, value, max((label_numeric = 0)::INT) AS in0, "
+           f"max((label_numeric = 1)::INT) AS in1 FROM ({long}) l WHERE value IS NOT NULL GROUP BY feature, value) v "
+           "GROUP BY feature HAVING sum(in0) > 0 AND sum(in1) > 0 AND sum(in0 * in1) = 0")
+    names = ", ".join(g.q(n) for n in by_name) or "NULL"
+    return (f"SELECT page_id, label_numeric, feature, {g.r6('value')} AS value FROM ({long}) l "
+            f"WHERE feature NOT IN ({sep}) AND feature NOT IN ({names})")
+
+
+@register("q_S2_url_feature_csv", _s2_sql())
+def q_s2(spark, sf):
+    """Pre-computed URL feature CSV: label and URL columns found by name,
+    numeric features chosen by name, labels normalised, leaking features
+    (perfect separation or leak-like name) dropped; one row per kept value."""
+    feats = sc.url_features(url_corpus(spark, sf), "url", 2024).select("page_id", "url", *URL_FEATURES, "label")
+    path = scratch_path(spark, "url-feature-csv")
+    io.write_csv(feats, path)
+    df, kept = io.load_url_feature_dataset(spark, path)
+    long = df.select(F.col("page_id").cast("bigint"), F.col("label_numeric").cast("bigint"),
+                     *[F.col(c).cast("double") for c in kept]).unpivot(
+        ["page_id", "label_numeric"], kept, "feature", "value")
+    return long.select("page_id", "label_numeric", "feature", r6(F.col("value")).alias("value"))
