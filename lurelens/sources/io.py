@@ -32,13 +32,16 @@ def load_email_dataset(spark: SparkSession, path: str, encoding: str = "utf-8",
     return pp.conform_email_table(read_csv(spark, path, encoding), keep=keep)
 
 
-def load_url_feature_dataset(spark: SparkSession, path: str, binary: bool = True, drop_leaks: bool = True):
+def load_url_feature_dataset(spark: SparkSession, path: str, binary: bool = True, drop_leaks: bool = True,
+                             schema=None):
     """S2 + D1/D2/D6/L1/L2/T4: pre-computed URL feature CSV.
 
     Returns (table with ``label_numeric``, feature column list).  The leak
     list comes from a distributed aggregation; only column names return to
-    the driver."""
-    df = spark.read.options(header="true", inferSchema="true", escape='"').csv(path)
+    the driver.  Pass ``schema`` on large inputs: schema inference reads
+    the whole file once more."""
+    r = spark.read.options(header="true", escape='"')
+    df = (r.schema(schema) if schema is not None else r.option("inferSchema", "true")).csv(path)
     label = pp.find_label_column(df.columns)
     if label is None:
         raise ValueError(f"no label column in {df.columns}")

@@ -121,3 +121,14 @@ def test_combined_features_array_form_equals_explode_groupby(spark, sf001):
         for n in URL_FEATURES:
             assert a[r["email_id"]][f"url_{n}"] == pytest.approx(r[f"url_{n}"], abs=1e-9), n
         assert a[r["email_id"]]["total_urls_in_email"] == r["total_urls_in_email"]
+
+
+def test_mail_with_many_urls_is_one_row(spark):
+    """A mail carrying thousands of URLs is scored in its own row (no regroup)."""
+    body = " ".join(f"https://site{i}.example.com/p" for i in range(3000)) + " http://paypa1-verify.ga/login"
+    df = emails(spark, [(1, "s", body, "a@b.com", "", {}, 0), (2, "t", "no links", "a@b.com", "", {}, 0)])
+    r = {x["id"]: x for x in sc.score_emails_with_urls(df).collect()}
+    assert len(r[1]["urls_found"]) == 3001 and r[1]["combined_risk_score"] == 1.0
+    assert r[2]["urls_found"] == [] and r[2]["combined_risk_score"] == r[2]["email_risk_score"]
+    c = {x["id"]: x for x in sc.combined_features(df).collect()}
+    assert c[1]["total_urls_in_email"] == 3001 and c[2]["total_urls_in_email"] == 0

@@ -92,3 +92,23 @@ def test_class_weights(spark):
     df = spark.createDataFrame([(0,), (0,), (0,), (1,)], "label int")
     w = {r["label"]: r["weight"] for r in sp.class_weight_table(df).collect()}
     assert w[0] == pytest.approx(4 / (2 * 3)) and w[1] == pytest.approx(4 / (2 * 1))
+
+
+def test_hot_domain_split(spark):
+    """One domain holds a third of the rows: still isolated, exact size kept."""
+    rows = [(i, "https://hot.example.com/p%d" % i if i % 3 == 0 else "https://d%d.example.org/x" % i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, url string")
+    s = sp.domain_split(df, exact=True)
+    assert sp.split_overlap(s).count() == 0
+    n_dom = s.select("domain").distinct().count()
+    assert s.where("split = 'test'").select("domain").distinct().count() == math.ceil(0.2 * n_dom)
+    assert s.count() == 3000  # every row kept
+    hot = {r["split"] for r in s.where("domain = 'hot.example.com'").select("split").distinct().collect()}
+    assert len(hot) == 1
+
+
+def test_hot_class_stratified(spark):
+    rows = [(i, 1 if i % 10 == 0 else 0) for i in range(5000)]
+    s = sp.stratified_split(spark.createDataFrame(rows, "id long, label int"), "id")
+    per = {(r["label"], r["split"]): r["count"] for r in s.groupBy("label", "split").count().collect()}
+    assert per[(0, "test")] == 900 and per[(1, "test")] == 100
