@@ -24,7 +24,7 @@ from . import oracle_url as ou
 from . import sqlgen as g
 from .registry import register
 from .shape import joined, r6
-from ..session import ensure_checkpoint_dir
+from ..session import materialize
 
 
 def stand_in(key: str, mult: int, null_every: int | None = None):
@@ -163,11 +163,10 @@ def training_table(spark, sf, with_text: bool = False):
     The feature table is computed once and written to the shared checkpoint
     folder (lineage cut): the split, the scaler, every tree level and the
     test scoring then read it instead of recomputing the text features."""
-    ensure_checkpoint_dir(spark)
     feats = sc.feature_matrix(sc.combined_features(email_corpus(spark, sf)))
     text = [F.concat_ws(" ", "subject", "body").alias("text")] if with_text else []
     feats = feats.select("email_id", F.col("label").cast("double").alias("label"), *text, *ALL_FEATURES)
-    return sp.stratified_split(feats.checkpoint(eager=True), "email_id")
+    return sp.stratified_split(materialize(feats, "training-features"), "email_id")
 
 
 def _fit_predict(spark, sf, estimator, weights=False):

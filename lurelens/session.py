@@ -71,3 +71,13 @@ def is_local_path(path: str) -> bool:
 def local_dir_exists(path: str) -> bool:
     p = path[len("file:"):] if path.startswith("file:") else path
     return os.path.exists(p)
+
+
+def materialize(df, name: str):
+    """Writes ``df`` once as Parquet under the shared checkpoint folder and
+    returns the table read back: a lineage cut that costs one computation
+    (``Dataset.checkpoint`` without a cache computes its input twice) and
+    survives the loss of any executor."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
