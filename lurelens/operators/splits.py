@@ -11,7 +11,10 @@ same answer on every run.
   per class) - the keys with the smallest (hash, key).  The k-th key is
   found from a 65,536-bucket histogram of the hash (a small aggregate) and
   a rank inside the one boundary bucket per stratum; then every row is
-  flagged by comparing with that cut-off (a one-row-per-stratum broadcast).
+  flagged by comparing with that cut-off (one row per stratum: a literal
+  for the domain split, a broadcast for the classes).  The distinct domains
+  are written once to the checkpoint folder so the URLs are parsed once for
+  ranking and once for flagging.
   No step orders all rows in one task or collects keys to the driver.
 """
 
@@ -23,6 +26,7 @@ from pyspark.sql import Window
 
 from ..functions import lexicons as lx
 from ..functions.url_parts import domain_of, stage_parts  # noqa: F401
+from ..session import materialize
 
 HASH_RANGE = 1 << 32
 BUCKETS = 1 << 16
@@ -90,12 +94,16 @@ def domain_split(df: DataFrame, url_col: str = "url", fraction: float = lx.TEST_
         cut = int(round(fraction * 10000))
         out = d.withColumn("split", F.when(F.col("__h") % 10000 < cut, F.lit("test")).otherwise(F.lit("train")))
     else:
-        keys = d.select("domain", "__h").distinct()
-        cut = lowest_k_cutoff(keys, "__h", "domain", lambda n: F.ceil(n * F.lit(fraction)))
-        # the cut-off is one row: attach it as two scalar subqueries
-        h_cut, t_cut = cut.select("__h_cut").scalar(), cut.select("__t_cut").scalar()
-        is_test = (F.col("__h") < h_cut) | ((F.col("__h") == h_cut) & (F.col("domain") <= t_cut))
-        out = d.withColumn("split", F.when(F.coalesce(is_test, F.lit(False)), F.lit("test")).otherwise(F.lit("train")))
+        # distinct domains are far fewer than rows: write them once, rank
+        # them there, and bring back the one cut-off row
+        keys = materialize(d.select("domain", "__h").distinct(), "split-domains")
+        cut = lowest_k_cutoff(keys, "__h", "domain", lambda n: F.ceil(n * F.lit(fraction))).first()
+        if cut is None:
+            is_test = F.lit(False)
+        else:
+            h_cut, t_cut = F.lit(cut["__h_cut"]), F.lit(cut["__t_cut"])
+            is_test = (F.col("__h") < h_cut) | ((F.col("__h") == h_cut) & (F.col("domain") <= t_cut))
+        out = d.withColumn("split", F.when(is_test, F.lit("test")).otherwise(F.lit("train")))
     out = out.drop("__h")
     return out if keep_domain else out.drop("domain")
 
