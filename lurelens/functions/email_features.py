@@ -93,7 +93,7 @@ def header_flags(h: Column) -> dict[str, Column]:
 
 
 def email_feature_columns(e: EmailCols, text: Column | None = None, tl: Column | None = None,
-                          tokens: Column | None = None) -> dict[str, Column]:
+                          tokens: Column | None = None, tl_ref: str | None = None) -> dict[str, Column]:
     """The 21 features.  ``text`` / ``tl`` (lower-cased text) / ``tokens``
     (``text.split()``) may be staged columns so each is computed once."""
     text = e.text if text is None else text
@@ -117,9 +117,10 @@ def email_feature_columns(e: EmailCols, text: Column | None = None, tl: Column |
         "num_ips": F.regexp_count(text, F.lit(IP_IN_TEXT_RE)),
         "num_links": F.regexp_count(e.html, F.lit(LINK_IN_HTML_RE)),
         "num_attachments": e.attachments,
-        "suspicious_words_count": hits(tl, lx.SUSPICIOUS_WORDS).cast("double") / F.lit(len(lx.SUSPICIOUS_WORDS)),
+        "suspicious_words_count": hits(tl_ref or tl, lx.SUSPICIOUS_WORDS).cast("double") / F.lit(len(lx.SUSPICIOUS_WORDS)),
         "urgency_score": urgency_score(tl, lowered=True),
-        "threat_score": F.least(hits(tl, lx.THREAT_KEYWORDS).cast("double") / F.lit(len(lx.THREAT_KEYWORDS)), F.lit(1.0)),
+        "threat_score": F.least(hits(tl_ref or tl, lx.THREAT_KEYWORDS).cast("double") / F.lit(len(lx.THREAT_KEYWORDS)),
+                                F.lit(1.0)),
         "sender_reputation": sender_reputation(e.sender),
         **hf,
         "html_ratio": F.when(no_html, F.lit(0.0)).otherwise(ratio(n_html, n_html + n_text)),
@@ -138,5 +139,5 @@ def stage_email_text(df: DataFrame, e: EmailCols) -> tuple[DataFrame, dict[str,
     projection each) and returns handles for ``email_feature_columns``."""
     df = df.withColumn("__e_text", e.text)
     df = df.withColumns({"__e_tl": F.lower(F.col("__e_text")), "__e_tok": words(F.col("__e_text"))})
-    handles = {"text": F.col("__e_text"), "tl": F.col("__e_tl"), "tokens": F.col("__e_tok")}
+    handles = {"text": F.col("__e_text"), "tl": F.col("__e_tl"), "tokens": F.col("__e_tok"), "tl_ref": "`__e_tl`"}
     return df, handles, ["__e_text", "__e_tl", "__e_tok"]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import lexicons as lx
 from .email_features import EmailCols
-from .text import compact, contains_any, hits, level
+from .text import compact, contains_any, hits, level, sql_any, sql_hits, sql_lit
 from .url_rules import fmt, pct1
 
 EW = lx.EMAIL_WEIGHTS
@@ -18,13 +18,35 @@ def full_text_lower(e: EmailCols) -> Column:
     return F.lower(e.text)
 
 
-def has_phishing_indicators(ft: Column) -> Column:
-    """M1/M2 on the lower-cased subject+body."""
+def has_phishing_indicators(ft) -> Column:
+    """M1/M2 on the lower-cased subject+body (Column or staged SQL reference)."""
+    if isinstance(ft, str):
+        return F.expr(f"({sql_any(ft, lx.STRONG_INDICATORS)} OR {ft} RLIKE {sql_lit(STRONG_URL_RE)})")
     return contains_any(ft, lx.STRONG_INDICATORS) | ft.rlike(STRONG_URL_RE)
 
 
-def legitimacy_reason(ft: Column, sl: Column, indicators: Column) -> Column:
-    """M3-M8: the first reason that marks a mail as legitimate, else NULL."""
+def legitimacy_reason_sql(ft: str, sl: str, ind: str) -> str:
+    """M3-M8 as one SQL expression over staged references."""
+    org = "CASE " + " ".join(
+        f"WHEN contains({ft}, {sql_lit(o)}) OR contains({sl}, {sql_lit(o)}) "
+        f"THEN {sql_lit(lx.MSG['legit_org'].format(o.upper()))}" for o in lx.LEGITIMATE_ORGS) + " END"
+    sig = sql_hits(ft, [x.lower() for x in lx.LEGITIMATE_SIGNATURES])
+    phr = sql_hits(ft, [x.lower() for x in lx.LEGITIMATE_PHRASES])
+    signature = f"(({sig}) >= 2 OR ({sql_any(ft, lx.TITLE_WORDS)} AND ({sig}) >= 1))"
+    ieee = f"(contains({sl}, {sql_lit(lx.IEEE_WORD)}) OR contains({ft}, {sql_lit(lx.IEEE_WORD)}))"
+    return (f"CASE WHEN NOT {ind} AND ({org}) IS NOT NULL THEN ({org}) "
+            f"WHEN {sql_any(sl, lx.ACADEMIC_SENDER_DOMAINS)} AND {signature} THEN {sql_lit(lx.MSG['legit_academic'])} "
+            f"WHEN {sql_any(sl, lx.LEGITIMATE_DOMAINS)} AND ({phr}) >= 1 THEN {sql_lit(lx.MSG['legit_domain'])} "
+            f"WHEN {signature} AND ({phr}) >= 1 THEN {sql_lit(lx.MSG['legit_signature'])} "
+            f"WHEN length({ft}) < {lx.SHORT_MAIL_CHARS} AND ({phr}) >= 2 AND NOT {ind} THEN {sql_lit(lx.MSG['legit_short'])} "
+            f"WHEN {ieee} AND NOT {ind} THEN {sql_lit(lx.MSG['legit_ieee'])} END")
+
+
+def legitimacy_reason(ft, sl, indicators) -> Column:
+    """M3-M8: the first reason that marks a mail as legitimate, else NULL.
+    With SQL references (staged columns) it is built as one expression."""
+    if isinstance(ft, str):
+        return F.expr(legitimacy_reason_sql(ft, sl, indicators))
     org = None
     for o in lx.LEGITIMATE_ORGS:
         c = ft.contains(o) | sl.contains(o)
@@ -63,9 +85,9 @@ def analyze_emails(df: DataFrame, e: EmailCols, suspicious_urls: Column, tabular
                          t + "dom": sender_domain(e.sender), t + "nsusp": suspicious_urls,
                          t + "err": error if error is not None else F.lit(None).cast("string")})
     ft, sl, dom, n = (F.col(t + k) for k in ("ft", "sl", "dom", "nsusp"))
-    df = df.withColumn(t + "ind", has_phishing_indicators(ft))
+    df = df.withColumn(t + "ind", has_phishing_indicators(f"`{t}ft`"))
     ind = F.col(t + "ind")
-    df = df.withColumns({t + "reason": legitimacy_reason(ft, sl, ind),
+    df = df.withColumns({t + "reason": legitimacy_reason(f"`{t}ft`", f"`{t}sl`", f"`{t}ind`"),
                          t + "ieee": sl.contains(lx.IEEE_WORD) | ft.contains(lx.IEEE_WORD)})
     reason = F.col(t + "reason")
     bypass = reason.isNotNull() | F.col(t + "ieee")

@@ -37,7 +37,35 @@ def count_sub(s: Column, sub: str) -> Column:
     return (removed / F.lit(len(sub))).cast("int")
 
 
-def contains_any(s: Column, words: Iterable[str]) -> Column:
+def sql_lit(w: str) -> str:
+    """A Spark SQL string literal."""
+    return "'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sql_any(ref: str, words: Iterable[str]) -> str:
+    words = list(words)
+    return "(" + " OR ".join(f"contains({ref}, {sql_lit(w)})" for w in words) + ")" if words else "false"
+
+
+def sql_hits(ref: str, words: Iterable[str]) -> str:
+    words = list(words)
+    return "(" + " + ".join(f"CAST(contains({ref}, {sql_lit(w)}) AS INT)" for w in words) + ")" if words else "0"
+
+
+def sql_first(ref: str, words: Sequence[str], values: Sequence[str] | None = None) -> str:
+    values = list(values) if values is not None else list(words)
+    return "CASE " + " ".join(f"WHEN contains({ref}, {sql_lit(w)}) THEN {sql_lit(v)}"
+                              for w, v in zip(words, values)) + " END"
+
+
+# The helpers below take either a Column or, for a column that has been
+# staged under a known name, its SQL reference (a str such as "`__u_ul`").
+# With a reference the whole word list becomes one SQL expression: one call
+# into the JVM instead of a few per word when the plan is built.
+
+def contains_any(s, words: Iterable[str]) -> Column:
+    if isinstance(s, str):
+        return F.expr(sql_any(s, words))
     out = None
     for w in words:
         c = s.contains(w)
@@ -45,8 +73,10 @@ def contains_any(s: Column, words: Iterable[str]) -> Column:
     return F.lit(False) if out is None else out
 
 
-def hits(s: Column, words: Iterable[str]) -> Column:
+def hits(s, words: Iterable[str]) -> Column:
     """How many of ``words`` occur in ``s`` (each listed entry counted once)."""
+    if isinstance(s, str):
+        return F.expr(sql_hits(s, words))
     out = None
     for w in words:
         c = s.contains(w).cast("int")
@@ -54,8 +84,10 @@ def hits(s: Column, words: Iterable[str]) -> Column:
     return F.lit(0) if out is None else out
 
 
-def first_hit(s: Column, words: Sequence[str]) -> Column:
+def first_hit(s, words: Sequence[str]) -> Column:
     """The first entry of ``words`` (list order, not position) found in ``s``."""
+    if isinstance(s, str):
+        return F.expr(sql_first(s, words))
     out = None
     for w in words:
         out = F.when(s.contains(w), F.lit(w)) if out is None else out.when(s.contains(w), F.lit(w))

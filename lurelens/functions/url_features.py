@@ -57,9 +57,9 @@ def url_feature_columns(p: UrlParts, reference_year: int | None = None,
         "num_equals": count_sub(u, "="),
         "num_slashes": count_sub(u, "/"),
         "has_https": flag(u.startswith("https://")),
-        "has_suspicious_tld": flag(contains_any(ul, lx.SUSPICIOUS_TLDS)),
+        "has_suspicious_tld": flag(contains_any(p.ulx, lx.SUSPICIOUS_TLDS)),
         "has_ip_address": flag(p.host.rlike(r"^\p{Nd}{1,3}\.\p{Nd}{1,3}\.\p{Nd}{1,3}\.\p{Nd}{1,3}$")),
-        "has_shortening_service": flag(contains_any(ul, lx.URL_SHORTENERS)),
+        "has_shortening_service": flag(contains_any(p.ulx, lx.URL_SHORTENERS)),
         "num_subdomains": subdomains,
         "url_entropy": ent,
         "has_port": flag(p.netloc.contains(":")),
@@ -69,24 +69,24 @@ def url_feature_columns(p: UrlParts, reference_year: int | None = None,
         "digit_url_ratio": ratio(F.regexp_count(u, F.lit(DIGIT)), den),
         "special_char_ratio": ratio(F.regexp_count(u, F.lit(PUNCT)), den),
         "num_redirects": F.greatest(count_sub(u, "//") - 1, F.lit(0)),
-        "has_tracking": flag(contains_any(ul, lx.TRACKING_PARAMS)),
+        "has_tracking": flag(contains_any(p.ulx, lx.TRACKING_PARAMS)),
         "has_current_year": flag(u.contains(str(year))),
         "has_any_year": flag(contains_any(u, [str(y) for y in range(lx.FIRST_YEAR, year + 1)])),
         "path_depth": F.regexp_count(p.path, F.lit("[^/]+")),
         "digit_ratio_host": ratio(F.regexp_count(host_clean, F.lit(DIGIT)), F.greatest(F.length(host_clean), F.lit(1))),
         "hyphens_in_host": count_sub(host_clean, "-"),
-        "brand_keyword_count": hits(ul, lx.URL_BRAND_KEYWORDS),
-        "suspicious_keyword_count": hits(ul, lx.URL_SUSPICIOUS_KEYWORDS),
+        "brand_keyword_count": hits(p.ulx, lx.URL_BRAND_KEYWORDS),
+        "suspicious_keyword_count": hits(p.ulx, lx.URL_SUSPICIOUS_KEYWORDS),
         "has_uppercase": flag(u.rlike(UPPER)),
         "num_query_params": F.when(F.length(p.query) > 0, count_sub(p.query, "&") + 1).otherwise(F.lit(0)),
-        "is_common_tld": flag(contains_any(ul, lx.COMMON_TLDS)),
+        "is_common_tld": flag(contains_any(p.ulx, lx.COMMON_TLDS)),
         "has_at_symbol": flag(u.contains("@") & ~u.contains("mailto:")),
         "has_double_dot": flag(u.contains("..")),
         "has_encoding": flag(u.contains("%")),
         "encoding_count": count_sub(u, "%"),
         "has_excessive_subdomains": flag(subdomains > 2),
-        "homograph_score": F.least(hits(ul, lx.HOMOGRAPH_CHARS).cast("double") / F.lit(5.0), F.lit(1.0)),
-        "has_typosquatting": flag(contains_any(ul, lx.TYPOSQUATS)),
+        "homograph_score": F.least(hits(p.ulx, lx.HOMOGRAPH_CHARS).cast("double") / F.lit(5.0), F.lit(1.0)),
+        "has_typosquatting": flag(contains_any(p.ulx, lx.TYPOSQUATS)),
         "url_complexity": F.least(ent * n / F.lit(50) / F.lit(10), F.lit(1.0)),
     }
     assert tuple(f) == URL_FEATURES

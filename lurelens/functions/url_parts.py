@@ -46,6 +46,13 @@ class UrlParts:
     netloc: Column
     path: Column
     query: Column
+    ul_ref: str | None = None   # SQL references when ``ul`` / ``url`` are
+    url_ref: str | None = None  # staged columns with known names
+
+    @property
+    def ulx(self):
+        """``ul`` for the word-list helpers: the SQL reference if staged."""
+        return self.ul_ref or self.ul
 
     @property
     def host(self) -> Column:
@@ -101,7 +108,8 @@ def stage_parts(df: DataFrame, url_col: str) -> tuple[DataFrame, UrlParts, list[
     """Adds the parts as columns once (a separate projection), returns handles."""
     cols = {STAGE_PREFIX + k: c for k, c in part_columns(F.col(url_col)).items() if k != "url"}
     staged = df.withColumns(cols)
-    handles = UrlParts(url=F.col(url_col), **{k[len(STAGE_PREFIX):]: F.col(k) for k in cols})
+    handles = UrlParts(url=F.col(url_col), **{k[len(STAGE_PREFIX):]: F.col(k) for k in cols},
+                       ul_ref=f"`{STAGE_PREFIX}ul`", url_ref=f"`{url_col}`")
     return staged, handles, list(cols)
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicons as lx
-from .text import compact, contains_any, count_sub, first_hit
+from .text import compact, contains_any, count_sub, first_hit, sql_any, sql_first, sql_lit
 from .url_parts import UrlParts
 
 W = lx.URL_WEIGHTS
@@ -38,9 +38,13 @@ def pct1(p: Column) -> Column:
     return F.format_string("%.1f%%", p * F.lit(100.0))
 
 
-def brand_impersonation(ul: Column) -> Column:
+def brand_impersonation(ul) -> Column:
     """R2: first brand (list order) with a look-alike hit; '' when that brand's
     own domain is also present or when no brand hits."""
+    if isinstance(ul, str):
+        return F.expr("CASE " + " ".join(
+            f"WHEN {sql_any(ul, pats)} THEN CASE WHEN {sql_any(ul, lx.BRAND_LEGIT_DOMAINS.get(b, ()))} "
+            f"THEN '' ELSE {sql_lit(b)} END" for b, pats in lx.BRAND_PATTERNS) + " ELSE '' END")
     out = None
     for brand, patterns in lx.BRAND_PATTERNS:
         hit = contains_any(ul, patterns)
@@ -49,7 +53,9 @@ def brand_impersonation(ul: Column) -> Column:
     return out.otherwise(F.lit(""))
 
 
-def _first_titled(s: Column, words) -> Column:
+def _first_titled(s, words) -> Column:
+    if isinstance(s, str):
+        return F.expr(sql_first(s, words, [w.title() for w in words]))
     out = None
     for w in words:
         t = w.title()
@@ -105,8 +111,38 @@ RULE_FIELDS = ("brand", "hosting", "hosting_brand", "long_subdomain", "numeric_s
                "subdomain_count", "tld", "at", "shortener", "no_https_sensitive")
 
 
+def rule_values_sql(ul: str, url: str) -> dict[str, str]:
+    """The rule inputs of one URL (R2-R11) as SQL over references to the
+    lower-cased URL and the URL (staged column names or lambda fields), so a
+    whole word list is one expression however the rules are used."""
+    hosting = sql_first(ul, lx.FREE_HOSTING_SITES)
+    label = f"get(split(get(split({ul}, '://'), 1), '[.]'), 0)"
+    on_hosting = f"(({hosting}) IS NOT NULL)"
+    brand = "CASE " + " ".join(
+        f"WHEN {sql_any(ul, pats)} THEN CASE WHEN {sql_any(ul, lx.BRAND_LEGIT_DOMAINS.get(b, ()))} "
+        f"THEN '' ELSE {sql_lit(b)} END" for b, pats in lx.BRAND_PATTERNS) + " ELSE '' END"
+    n_sub = (f"((length({ul}) - length(replace({ul}, '.', ''))) "
+             f"- CAST((length({ul}) - length(replace({ul}, '://', ''))) / 3 AS INT) - 1)")
+    return {
+        "brand": brand,
+        "hosting": hosting,
+        "hosting_brand": f"CASE WHEN {on_hosting} THEN "
+                         f"{sql_first(ul, lx.FREE_HOSTING_BRANDS, [w.title() for w in lx.FREE_HOSTING_BRANDS])} END",
+        "long_subdomain": f"coalesce({on_hosting} AND length({label}) > 12, false)",
+        "numeric_subdomain": f"coalesce({on_hosting} AND {label} RLIKE '\\\\p{{Nd}}' AND length({label}) > 8, false)",
+        "ip": f"({url} RLIKE 'https?://\\\\p{{Nd}}{{1,3}}\\\\.\\\\p{{Nd}}{{1,3}}\\\\.\\\\p{{Nd}}{{1,3}}\\\\.\\\\p{{Nd}}{{1,3}}')",
+        "subdomain_count": n_sub,
+        "tld": sql_first(ul, lx.SUSPICIOUS_TLDS),
+        "at": f"(contains({url}, '@') AND NOT contains({url}, 'mailto:'))",
+        "shortener": sql_first(ul, lx.RULE_SHORTENERS),
+        "no_https_sensitive": f"(NOT startswith({url}, 'https://') AND {sql_any(ul, lx.SENSITIVE_KEYWORDS)})",
+    }
+
+
 def rule_values(p: UrlParts) -> dict[str, Column]:
     """The rule inputs of one URL (R2-R11), keyed by field name."""
+    if p.ul_ref:
+        return {k: F.expr(v) for k, v in rule_values_sql(p.ul_ref, p.url_ref).items()}
     u, ul = p.url, p.ul
     hosting = first_hit(ul, lx.FREE_HOSTING_SITES)
     first_label = F.get(F.split(F.get(F.split(ul, "://"), 1), r"\."), 0)
@@ -208,6 +244,18 @@ def url_analysis_struct(p: UrlParts) -> Column:
                     F.struct(*[c.alias(k) for k, c in rule_values(p).items()]).alias("rules"))
 
 
+def url_analysis_array_sql(parts_col: str, var: str = "s") -> str:
+    """``transform`` over an array of part structs (url, ul, netloc, ...)
+    giving (url, error, rules) structs, as one SQL expression."""
+    u, ul, net = f"{var}.url", f"{var}.ul", f"{var}.netloc"
+    err = (f"CASE WHEN {u} IS NULL OR {u} = '' THEN {sql_lit(lx.MSG['invalid_url'])} "
+           f"WHEN contains({net}, '[') <> contains({net}, ']') "
+           f"THEN {sql_lit(lx.MSG['url_error'].format(lx.MSG['parse_error']))} END")
+    rules = ", ".join(f"{sql_lit(k)}, {v}" for k, v in rule_values_sql(ul, u).items())
+    return (f"transform(`{parts_col}`, {var} -> named_struct('url', {u}, 'error', {err}, "
+            f"'rules', named_struct({rules})))")
+
+
 def finish_url_struct(s: Column) -> Column:
     """Second step of ``url_analysis_struct``: score, level, reasons."""
     a = analysis_from_rules(rules_of(lambda k: s["rules"][k]))

@@ -21,7 +21,8 @@ from ..functions import lexicons as lx
 from ..functions.url_features import with_url_features
 from ..functions.url_parts import parts_of_struct, parts_struct, stage_parts
 from ..functions.url_rules import (analysis_from_rules, final_url_struct, finish_analysis, finish_url_struct,
-                                   rule_values, rules_of, url_analysis_struct, url_error, url_rule_columns)
+                                   rule_values, rules_of, url_analysis_array_sql, url_analysis_struct, url_error,
+                                   url_rule_columns)
 
 ANALYSIS_COLS = ("risk_score", "risk_level", "risk_factors", "ml_prediction", "ml_confidence", "error")
 
@@ -121,7 +122,7 @@ def score_emails_with_urls(df: DataFrame, **names) -> DataFrame:
     }).drop(*[c for c in ANALYSIS_COLS if c in scored.columns], "is_legitimate", "bypassed_indicators")
     scored = scored.withColumn("urls_found", cb.public_urls(e.text))
     scored = scored.withColumn(tmp, F.transform("urls_found", parts_struct))
-    scored = scored.withColumn(tmp, F.transform(tmp, lambda s: url_analysis_struct(parts_of_struct(s))))
+    scored = scored.withColumn(tmp, F.expr(url_analysis_array_sql(tmp)))
     scored = scored.withColumn(tmp, F.transform(tmp, finish_url_struct))
     scored = scored.withColumn("url_analyses", F.transform(tmp, final_url_struct))
     max_url = F.array_max(F.transform("url_analyses", lambda a: a["risk_score"]))
