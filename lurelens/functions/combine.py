@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from . import lexicons as lx
 from .email_features import URL_IN_TEXT_RE
 from .manifest import URL_FEATURES
-from .text import contains_any
-from .url_features import url_feature_columns
-from .url_parts import inline_parts, parts_of_struct, parts_struct
+from .text import contains_any, sql_lit
+from .url_features import url_feature_sql
+from .url_parts import (LEADING_JUNK_RE, NETLOC_RE, PARAM_SCHEMES, PARAMS_RE, PATH_RE, QUERY_RE, SCHEME_RE,
+                        UNSAFE_RE, inline_parts)
 
 # URL extraction for scoring (a different expression from C1).
 PUBLIC_URL_RE = r"(?U)https?://[^\s\x{1c}-\x{1f}<>\"{}|\\^`\[\]]+"
@@ -51,30 +52,29 @@ def any_parse_error(urls: Column) -> Column:
     return F.exists(urls, lambda u: inline_parts(u).parse_error)
 
 
-def url_feature_array(urls: Column, reference_year: int | None = None) -> Column:
-    """ARRAY<STRUCT<40 features>>: parts are computed once per URL, then the
-    features from them."""
-    staged = F.transform(urls, parts_struct)
-
-    def feats(s):
-        cols = url_feature_columns(parts_of_struct(s), reference_year)
-        return F.struct(*[c.cast("double").alias(k) for k, c in cols.items()])
-
-    return F.transform(staged, feats)
-
-
-def url_feature_means(feats: Column) -> dict[str, Column]:
+def url_feature_array(urls_col: str, reference_year: int | None = None) -> Column:
+    """ARRAY<STRUCT<40 features as DOUBLE>> for the URL array in column
+    ``urls_col``: parts are computed once per URL, then the features from
+    them, as one SQL expression."""
+    prep = "regexp_replace(regexp_replace(u, {}, ''), {}, '')".format(sql_lit(UNSAFE_RE), sql_lit(LEADING_JUNK_RE))
+    scheme = f"lower(regexp_extract({prep}, {sql_lit(SCHEME_RE)}, 1))"
+    raw_path = f"regexp_extract({prep}, {sql_lit(PATH_RE)}, 1)"
+    schemes = ", ".join(sql_lit(x) for x in PARAM_SCHEMES)
+    parts = (f"transform(`{urls_col}`, u -> named_struct('url', u, 'ul', lower(u), "
+             f"'netloc', regexp_extract({prep}, {sql_lit(NETLOC_RE)}, 1), "
+             f"'path', CASE WHEN {scheme} IN ({schemes}) THEN regexp_replace({raw_path}, {sql_lit(PARAMS_RE)}, '') "
+             f"ELSE {raw_path} END, 'query', regexp_extract({prep}, {sql_lit(QUERY_RE)}, 1)))")
+    feats = url_feature_sql("s.url", "s.ul", "s.netloc", "s.path", "s.query", reference_year)
+    body = ", ".join(f"{sql_lit(k)}, CAST({v} AS DOUBLE)" for k, v in feats.items())
+    return F.expr(f"transform({parts}, s -> named_struct({body}))")
+
+
+def url_feature_means(feats_col: str) -> dict[str, Column]:
     """Mean of each feature over the URLs, prefixed ``url_``; 0.0 when
     there are none."""
-    n = F.size(feats)
-    out = {}
-    def adder(k):
-        return lambda acc, s: acc + s[k]
-
-    for k in URL_FEATURES:
-        total = F.aggregate(feats, F.lit(0.0), adder(k))
-        out[f"url_{k}"] = F.when(n > 0, total / n.cast("double")).otherwise(F.lit(0.0))
-    return out
+    a = f"`{feats_col}`"
+    return {f"url_{k}": F.expr(f"CASE WHEN size({a}) > 0 THEN aggregate({a}, 0.0D, (acc, s) -> acc + s.{k}) "
+                                f"/ size({a}) ELSE 0.0D END") for k in URL_FEATURES}
 
 
 def url_extra_counts(urls: Column) -> dict[str, Column]:

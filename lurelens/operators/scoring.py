@@ -80,10 +80,10 @@ def combined_features(df: DataFrame, reference_year: int | None = None, **names)
     tmp_urls, tmp_feats = "__c_urls", "__c_feats"
     staged, h, tmp_text = stage_email_text(df, e)
     staged = staged.withColumn(tmp_urls, cb.body_urls(e.body))
-    staged = staged.withColumn(tmp_feats, cb.url_feature_array(F.col(tmp_urls), reference_year))
+    staged = staged.withColumn(tmp_feats, cb.url_feature_array(tmp_urls, reference_year))
     feats = F.col(tmp_feats)
     cols = dict(email_feature_columns(e, **h))
-    cols.update(cb.url_feature_means(feats))
+    cols.update(cb.url_feature_means(tmp_feats))
     cols["total_urls_in_email"] = F.size(feats)
     cols["suspicious_url_count"] = F.size(F.filter(
         feats, lambda s: (s["has_suspicious_tld"] == 1) | (s["has_ip_address"] == 1)))
