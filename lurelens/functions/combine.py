@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 from . import lexicons as lx
 from .email_features import URL_IN_TEXT_RE
 from .manifest import URL_FEATURES
-from .text import contains_any, sql_lit
+from .text import contains_any, sql_any, sql_lit
 from .url_features import url_feature_sql
 from .url_parts import (LEADING_JUNK_RE, NETLOC_RE, PARAM_SCHEMES, PARAMS_RE, PATH_RE, QUERY_RE, SCHEME_RE,
-                        UNSAFE_RE, inline_parts)
+                        UNSAFE_RE)
 
 # URL extraction for scoring (a different expression from C1).
 PUBLIC_URL_RE = r"(?U)https?://[^\s\x{1c}-\x{1f}<>\"{}|\\^`\[\]]+"
@@ -37,19 +37,22 @@ def public_urls(text: Column) -> Column:
     return F.array_sort(F.array_distinct(kept))
 
 
-def is_suspicious_url(u: Column) -> Column:
-    """C4 condition: suspicious TLD anywhere, or an IP address as host."""
-    p = inline_parts(u)
-    return contains_any(F.lower(u), lx.SUSPICIOUS_TLDS) | p.host.rlike(
-        r"^\p{Nd}{1,3}\.\p{Nd}{1,3}\.\p{Nd}{1,3}\.\p{Nd}{1,3}$")
+def _netloc_sql(u: str) -> str:
+    prep = "regexp_replace(regexp_replace({}, {}, ''), {}, '')".format(u, sql_lit(UNSAFE_RE), sql_lit(LEADING_JUNK_RE))
+    return f"regexp_extract({prep}, {sql_lit(NETLOC_RE)}, 1)"
 
 
-def suspicious_url_count(urls: Column) -> Column:
-    return F.size(F.filter(urls, is_suspicious_url))
+def suspicious_url_count(urls_col: str) -> Column:
+    """C4 over the URL array in column ``urls_col`` (one SQL expression)."""
+    ip = sql_lit(r"^\p{Nd}{1,3}\.\p{Nd}{1,3}\.\p{Nd}{1,3}\.\p{Nd}{1,3}$")
+    cond = f"{sql_any('lower(u)', lx.SUSPICIOUS_TLDS)} OR substring_index({_netloc_sql('u')}, ':', 1) RLIKE {ip}"
+    return F.expr(f"size(filter(`{urls_col}`, u -> {cond}))")
 
 
-def any_parse_error(urls: Column) -> Column:
-    return F.exists(urls, lambda u: inline_parts(u).parse_error)
+def any_parse_error(urls_col: str) -> Column:
+    """Whether a URL of the array has only one of '[' / ']' in its netloc."""
+    n = _netloc_sql("u")
+    return F.expr(f"exists(`{urls_col}`, u -> contains({n}, '[') <> contains({n}, ']'))")
 
 
 def url_feature_array(urls_col: str, reference_year: int | None = None) -> Column:
@@ -77,6 +80,6 @@ def url_feature_means(feats_col: str) -> dict[str, Column]:
                                 f"/ size({a}) ELSE 0.0D END") for k in URL_FEATURES}
 
 
-def url_extra_counts(urls: Column) -> dict[str, Column]:
-    """C3, C4."""
-    return {"total_urls_in_email": F.size(urls), "suspicious_url_count": suspicious_url_count(urls)}
+def url_extra_counts(urls_col: str) -> dict[str, Column]:
+    """C3, C4 over the URL array in column ``urls_col``."""
+    return {"total_urls_in_email": F.size(urls_col), "suspicious_url_count": suspicious_url_count(urls_col)}

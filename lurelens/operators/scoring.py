@@ -97,8 +97,8 @@ def score_emails(df: DataFrame, tabular_prob=None, text_prob=None, **names) -> D
     tmp = "__m_urls"
     staged = df.withColumn(tmp, cb.body_urls(e.body))
     urls = F.col(tmp)
-    err = F.when(cb.any_parse_error(urls), F.lit(lx.MSG["url_error"].format(lx.MSG["parse_error"])))
-    out = analyze_emails(staged, e, cb.suspicious_url_count(urls),
+    err = F.when(cb.any_parse_error(tmp), F.lit(lx.MSG["url_error"].format(lx.MSG["parse_error"])))
+    out = analyze_emails(staged, e, cb.suspicious_url_count(tmp),
                          None if tabular_prob is None else _col(tabular_prob),
                          None if text_prob is None else _col(text_prob), error=err)
     return out.drop(tmp)
