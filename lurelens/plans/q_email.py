@@ -158,7 +158,8 @@ def _url_predictions(spark, sf):
 
 
 def _cm_sql(src):
-    return ("SELECT a.label AS label, p.prediction AS prediction, CAST(count(s.label) AS BIGINT) AS n "
+    return ("SELECT CAST(a.label AS BIGINT) AS label, CAST(p.prediction AS BIGINT) AS prediction, "
+            "CAST(count(s.label) AS BIGINT) AS n "
             "FROM (SELECT 0 AS label UNION ALL SELECT 1) a CROSS JOIN (SELECT 0 AS prediction UNION ALL SELECT 1) p "
             f"LEFT JOIN ({src}) s ON s.label = a.label AND s.prediction = p.prediction GROUP BY a.label, p.prediction")
 
