@@ -9,7 +9,7 @@ A byte-level BPE tokenizer is compiled into two deterministic machines:
 * a lexicon acceptor for whole pre-tokens whose final transition carries the
   number of tokens that the merges leave.  It is compiled as it is needed: each
   distinct pre-token is merged once by the vocabulary's own library and kept
-  under its digest (a bounded table a task).
+  under its digest (a bounded table a worker).
 
 Texts are cut into chunks of equal length whose first state is not known.  All
 chunks advance together from every state at once, which gives each chunk's
@@ -30,18 +30,20 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import merger
 from .textcore import U64, mix64
 
 LIMIT = 512
 CHUNK = 128            # characters a chunk of the scan
 PART = 1 << 19         # characters worked on at once
-LEXICON = 1_500_000    # pre-tokens kept by a task
+LEXICON = 1_500_000    # pre-tokens kept by a worker
 
 # character classes
 L, N, B, S, A, O, C_ONE, C_E, C_L, C_R, C_V, C_D = range(12)
@@ -174,32 +176,51 @@ def pretoken_starts(cls: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 class Lexicon:
-    """Digest of a pre-token -> number of tokens, as sorted arrays."""
+    """Digest of a pre-token -> number of tokens, as sorted arrays: a large one
+    and a recent one that is merged into it when it has grown to a share."""
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.keys, self.counts = np.zeros(0, U64), np.zeros(0, np.int64)
+        self.merger = merger(path)
+        self.special = self.merger.special
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.counts = np.zeros(0, U64), np.zeros(0, np.int32)
+        self.new_keys, self.new_counts = self.keys, self.counts
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(self.keys):
-            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return self.counts[at], self.keys[at] == keys
+        counts, known = np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        for k, c in ((self.keys, self.counts), (self.new_keys, self.new_counts)):
+            if len(k):
+                at = np.minimum(np.searchsorted(k, keys), len(k) - 1)
+                hit = k[at] == keys
+                counts[hit] = c[at[hit]]
+                known |= hit
+        return counts, known
 
     def add(self, keys: np.ndarray, words: list[str]) -> np.ndarray:
-        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        counts = np.fromiter((len(e) for e in found), np.int64, len(words))
-        if len(self.keys) + len(keys) > LEXICON:
-            self.keys, self.counts = np.zeros(0, U64), np.zeros(0, np.int64)
-        k = np.concatenate((self.keys, keys))
-        c = np.concatenate((self.counts, counts))
-        order = np.argsort(k, kind="stable")
-        self.keys, self.counts = k[order], c[order]
+        ids = self.merger.ids
+        counts = np.fromiter((len(ids(w.encode())) for w in words), np.int32, len(words))
+        if len(self.keys) + len(self.new_keys) + len(keys) > LEXICON:
+            self.clear()
+        self.new_keys, self.new_counts = _sorted(np.append(self.new_keys, keys), np.append(self.new_counts, counts))
+        if len(self.new_keys) > max(20_000, len(self.keys) // 8):
+            self.keys, self.counts = _sorted(np.append(self.keys, self.new_keys), np.append(self.counts, self.new_counts))
+            self.new_keys, self.new_counts = np.zeros(0, U64), np.zeros(0, np.int32)
         return counts
 
 
+def _sorted(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys, kind="stable")
+    return keys[order], counts[order]
+
+
+@cache
+def lexicon_of(path: str) -> Lexicon:
+    """One a process: kept over the tasks that a worker runs."""
+    return Lexicon(path)
+
+
 _POW = np.ones(1, U64)
 _POW_INV = np.ones(1, U64)
 
@@ -296,7 +317,7 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = LIMIT) -> DataFr
     """doc_id, n_bytes (UTF-8), n_tokens, over_limit: a row per document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = Lexicon(vocabulary)
+        lexicon = lexicon_of(vocabulary)
         for batch in batches:
             for a in range(0, max(batch.num_rows, 1), 512):
                 part = batch.slice(a, 512)
