@@ -8,7 +8,7 @@ length is a power of two no sequence needs padding.  Sequence ids number the
 pieces bucket by bucket, longest bucket first.
 
 Token ids: a text is cut at ASCII white space, which the tokenizer drops, and
-every distinct piece between is encoded once a task (a bounded cache); white
+every distinct piece between is encoded once a worker (a bounded cache); white
 space never joins two tokens, so the ids equal those of the whole text.
 
 Defined results: a null text counts as empty (one piece: the end id); repeated
@@ -18,7 +18,8 @@ an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
-import struct
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -28,58 +29,98 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bpe import merger
 from .common import materialize
-from .textcore import pieces, text_buffers
+from .textcore import U64, pieces, text_buffers, word_hashes
 
 MAX_LEN = 4096
 END_ID = 2
 BUCKETS = 4096        # hash buckets a length, for numbering without one large task
-CACHE = 400_000       # distinct words kept by a task
-GROUP = 1 << 20       # bytes of text tokenized together
+CACHE = 2_000_000     # distinct words kept by a worker
+ODD = re.compile("[\x00-\x1f\x7f-\xa0԰-\U0010ffff]")   # left to the library, whose Unicode tables differ
 
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
-@cache
-def pack_ids(n: int):
-    return struct.Struct(f"<{n}I").pack
-
-
 class WordIds:
-    """Word bytes -> its token ids as little-endian unsigned 32-bit bytes."""
+    """Digest of the bytes between white space -> their token ids.
+
+    Ids stand in one flat array; sorted digests hold each word's place there.
+    A word is encoded when it is first met, by the vocabulary's own steps:
+    compose, lower-case, split into contractions, letter runs, single digits
+    and runs of other signs, merge."""
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-        self.known: dict[bytes, bytes] = {}
-        self.tokenizer = Tokenizer.from_file(path)
-
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.known) + len(words) > CACHE:
-            self.known.clear()
-        for a in range(0, len(todo := list(words)), 4096):
-            part = todo[a:a + 4096]
-            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            for w, e in zip(part, found, strict=True):
-                self.known[w] = pack_ids(len(i := e.ids))(*i)
-
-    def ids(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of some texts; unknown words are encoded together."""
-        split = [t.split() for t in texts]
-        for _ in range(2):            # twice at most: learn() may empty the cache
-            if new := set().union(*split).difference(self.known):
-                self.learn(new)
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
-
-    def long_ids(self, text: bytes) -> bytes:
-        """Ids of a very long text, in parts cut at a blank."""
-        out, a, n = [], 0, len(text)
-        while a < n:
-            b = n if n - a <= GROUP else text.rfind(b" ", a, a + GROUP) + 1
-            if b <= a:
-                b = (text.find(b" ", a + GROUP) + 1) or n
-            out += self.ids([text[a:b]])
-            a = b
-        return b"".join(out)
+        import regex
+        self.merger = merger(path)
+        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
+        self.clear()
+
+    def clear(self) -> None:
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+        none = (np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self.main, self.recent = none, none
+
+    def encode(self, word: bytes) -> list[int]:
+        if word.isalpha():
+            return self.merger.ids(word.lower())
+        text = word.decode("utf-8", "replace")
+        if "<|" in text or ODD.search(text):
+            return self.merger.whole(text)
+        if text.isascii():
+            text = text.lower()
+        else:
+            text = "".join([c.lower() for c in unicodedata.normalize("NFC", text)])
+        return [i for p in self.split(text) for i in self.merger.ids(p.encode())]
+
+    def places(self, keys: np.ndarray, raw: bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First id and number of ids of each of some distinct words."""
+        if len(self.main[0]) + len(self.recent[0]) + len(keys) > CACHE:
+            self.clear()
+        at, n = np.zeros(len(keys), np.int64), np.full(len(keys), -1, np.int64)
+        for k, p, c in (self.main, self.recent):
+            if len(k):
+                i = np.minimum(np.searchsorted(k, keys), len(k) - 1)
+                hit = k[i] == keys
+                at[hit], n[hit] = p[i[hit]], c[i[hit]]
+        new = np.flatnonzero(n < 0)
+        if len(new):
+            found = [self.encode(raw[a:b]) for a, b in zip(start[new].tolist(), end[new].tolist(), strict=True)]
+            n[new] = np.fromiter(map(len, found), np.int64, len(found))
+            at[new] = self.used + np.concatenate(([0], np.cumsum(n[new])[:-1]))
+            flat = np.fromiter((i for f in found for i in f), np.uint32)
+            while self.used + len(flat) > len(self.flat):
+                self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
+            self.flat[self.used:self.used + len(flat)] = flat
+            self.used += len(flat)
+            self.recent = merged(self.recent, (keys[new], at[new], n[new]))
+            if len(self.recent[0]) > max(20_000, len(self.main[0]) // 8):
+                self.main, self.recent = merged(self.main, self.recent), tuple(x[:0] for x in self.main)
+        return at, n
+
+    def ids(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of some texts one after the other, and each text's first (length + 1)."""
+        h, start, end, woff = word_hashes(data, off, lower=False)
+        if not len(h):
+            return np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
+        keys, first, back = np.unique(h, return_index=True, return_inverse=True)
+        at, n = self.places(keys, data.tobytes(), start[first], end[first])
+        n = n[back]
+        ends = np.cumsum(n)
+        ids = self.flat[np.repeat(at[back] - (ends - n), n) + np.arange(int(ends[-1]))]
+        return ids, np.append(0, ends)[woff]
+
+
+def merged(a: tuple, b: tuple) -> tuple:
+    both = [np.concatenate(x) for x in zip(a, b, strict=True)]
+    order = np.argsort(both[0], kind="stable")
+    return tuple(x[order] for x in both)
+
+
+@cache
+def word_ids(path: str) -> WordIds:
+    """One a process: kept over the tasks that a worker runs."""
+    return WordIds(path)
 
 
 def binary_lengths(n: int, max_len: int = MAX_LEN) -> list[int]:
@@ -97,25 +138,20 @@ def doc_pieces(docs: DataFrame, vocabulary: str, max_len: int = MAX_LEN, end_id:
         raise ValueError("max_len must be a power of two")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(vocabulary)
+        words = word_ids(vocabulary)
         end = np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
             data, off = text_buffers(batch.column(1))
             doc_ids = batch.column(0).to_pylist()
             rows: list[tuple] = []
-            for i, j in pieces(off, GROUP):
-                raw = data[off[i]:off[j]].tobytes()
-                base = int(off[i])
-                if j == i + 1 and len(raw) > GROUP:
-                    found = [words.long_ids(raw)]
-                else:
-                    found = words.ids([raw[off[x] - base:off[x + 1] - base] for x in range(i, j)])
-                for doc, ids in zip(doc_ids[i:j], found, strict=True):
-                    ids += end
-                    n, at = len(ids) // 4, 0
+            for i, j in pieces(off):
+                ids, first = words.ids(data[off[i]:off[j]], off[i:j + 1] - off[i])
+                for d in range(i, j):
+                    raw = ids[first[d - i]:first[d - i + 1]].tobytes() + end
+                    n, at = len(raw) // 4, 0
                     for m in binary_lengths(n, max_len):
-                        part = ids[4 * at:4 * (at + m)]
-                        rows.append((doc, at, m, zlib.crc32(part), n, part if extra else None))
+                        part = raw[4 * at:4 * (at + m)]
+                        rows.append((doc_ids[d], at, m, zlib.crc32(part), n, part if extra else None))
                         at += m
                 if len(rows) >= 20_000:
                     yield pack(rows)
@@ -128,7 +164,7 @@ def doc_pieces(docs: DataFrame, vocabulary: str, max_len: int = MAX_LEN, end_id:
         arrays = [pa.array(c, pa.int64()) for c in cols[:5]]
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
         if extra:
-            arrays.append(pa.array([np.frombuffer(p, "<u4").astype(np.int32).tolist() for p in cols[5]], pa.list_(pa.int32())))
+            arrays.append(pa.array([np.frombuffer(p, "<u4").tolist() for p in cols[5]], pa.list_(pa.int32())))
             names.append("ids")
         return pa.RecordBatch.from_arrays(arrays, names=names)
 
