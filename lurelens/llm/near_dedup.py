@@ -36,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -141,9 +141,9 @@ def verify_pivots(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int])
     """Links (u, v) among pairs (pivot, member), by streaming each pivot block:
     the pivot's set first, then its members'."""
     num, den = threshold
-    salted = pairs.withColumn("salt", F.floor(F.row_number().over(
-        Window.partitionBy("pivot", "part").orderBy("member")) / F.lit(PIVOT_BLOCK)).cast("int") * F.lit(64) + F.col("part"))
-    salted = materialize(salted.select("pivot", "salt", "member"), "pairs")
+    blocks = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / F.lit(PIVOT_BLOCK)).cast("int").alias("__nb"))
+    salted = pairs.join(blocks, "pivot").select("pivot", F.pmod(F.xxhash64("member"), F.col("__nb")).cast("int").alias("salt"), "member")
+    salted = materialize(salted, "pairs")
     heads = (salted.groupBy("pivot", "salt").agg(F.count("*")).select("pivot", "salt", F.col("pivot").alias("doc_id"))
              .join(sets, "doc_id").select("pivot", "salt", F.lit(0).alias("kind"), "doc_id", "shingles"))
     tails = (salted.select("pivot", "salt", F.lit(1).alias("kind"), F.col("member").alias("doc_id"))
@@ -275,8 +275,7 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, ban
     # one row of each wanted document (equal ids: the class digest decides)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(wanted, "doc_id", "left_semi")
     sets = materialize(full_sets(texts, k).dropDuplicates(["doc_id"]), "sets")
-    pairs = (held.filter("rep <> pivot").select("pivot", F.col("rep").alias("member")).distinct()
-             .withColumn("part", F.pmod(F.xxhash64("member"), F.lit(64)).cast("int")))
+    pairs = (held.filter("rep <> pivot").select("pivot", F.col("rep").alias("member")).distinct())
     links = materialize(verify_pivots(pairs, sets, threshold), "links")
     comp = connected_components(links)
     open_ = held.filter("n > 2").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select(

@@ -2,8 +2,8 @@
 
 Lexicon.  Terms are whole words or word starts of 4 to 8 characters.  They are
 learned from labelled rows by their log odds: a Spark aggregation counts, over
-all training rows, in how many toxic and in how many clean documents each
-candidate occurs; the ``MAX_TERMS`` best (a bounded list) and a short seed list
+the training rows (a hash sample of ``TRAIN_ROWS`` labels at most), in how many
+toxic and in how many clean documents each candidate occurs; the ``MAX_TERMS`` best (a bounded list) and a short seed list
 of plain insults make the lexicon.  A term's weight is its smoothed log odds.
 
 Matching.  One deterministic automaton is built, as far as the words need it,
@@ -43,6 +43,7 @@ from .common import table
 SEED = ("idiot", "moron", "loser", "scum", "worthless", "pathetic", "stupid", "trash", "clown", "disgusting",
         "imbecile", "bastard", "asshole", "bitch", "cretin", "dumbass", "retard", "scumbag", "vermin", "whore")
 SEED_WEIGHT = 3.0
+TRAIN_ROWS = 10_000       # labelled rows that the lexicon is learned from, at most
 MAX_TERMS = 2000          # learned terms kept (the bound of what reaches the driver)
 MIN_DOCS = 3              # toxic training documents that must hold a learned term
 MIN_ODDS = 3.0            # log odds of a learned term, at least
@@ -247,11 +248,12 @@ def held_out(doc_id="doc_id", folds: int = FOLDS):
 
 def learn_terms(docs: DataFrame, labels: DataFrame) -> list[tuple[str, float, bool]]:
     """(term, weight, is a word start) learned from the labelled rows of the
-    training folds.  Counting is an aggregation over all of them; what reaches
-    the driver is at most ``MAX_TERMS`` rows and two totals."""
+    training folds.  What reaches the driver is at most ``MAX_TERMS`` rows and
+    two totals; the sampled labels (``TRAIN_ROWS`` at most) are broadcast."""
     lab = (labels.select(F.col("doc_id").alias("__id"), F.col("toxic").cast("int").alias("toxic"))
-           .filter("toxic IS NOT NULL AND __id IS NOT NULL").filter(~held_out("__id")))
-    rows = docs.select("doc_id", "text").join(lab, F.col("doc_id") == F.col("__id")).select("text", "toxic")
+           .filter("toxic IS NOT NULL AND __id IS NOT NULL").filter(~held_out("__id"))
+           .orderBy(F.xxhash64("__id"), "__id", "toxic").limit(TRAIN_ROWS))
+    rows = docs.select("doc_id", "text").join(F.broadcast(lab), F.col("doc_id") == F.col("__id")).select("text", "toxic")
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
     starts = lambda w: F.transform(F.sequence(F.lit(4), F.lit(8)), lambda k: F.when(F.length(w) > k, F.concat(F.substring(w, F.lit(1), k), F.lit("*"))))
     terms = F.array_distinct(F.concat(F.filter(words, lambda w: F.length(w).between(3, 24)),
