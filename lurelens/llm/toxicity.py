@@ -3,15 +3,17 @@
 Lexicon.  Terms are whole words or word starts of 4 to 8 characters.  They are
 learned from labelled rows by their log odds: a Spark aggregation counts, over
 the training rows (a hash sample of ``TRAIN_ROWS`` labels at most), in how many
-toxic and in how many clean documents each candidate occurs; the ``MAX_TERMS`` best (a bounded list) and a short seed list
-of plain insults make the lexicon.  A term's weight is its smoothed log odds.
+toxic and in how many clean documents each candidate occurs; those that a
+likelihood ratio test tells from chance (``MAX_TERMS`` at most) and a short seed
+list of plain insults make the lexicon.  A term's weight is its log odds.
 
 Matching.  One deterministic automaton is built, as far as the words need it,
 as the product of the lexicon's trie with Levenshtein automata: a state is the
 set of (trie node, edits so far).  Words of five or more letters may differ
 from a term by one edit (a swap of neighbours counts as one), ten or more by
-two; shorter terms and learned starts must match exactly.  Look-alike digits
-and signs are read as letters first.  Each distinct word is run once a task.
+two; shorter terms and learned terms must match exactly, the first letter always.
+Words that clean training documents use are no misspellings.  Look-alike digits
+and signs are read as letters where a word has no match as it stands.
 
 Context.  A hit's weight is multiplied by a factor from the words around it (a
 window of ``WINDOW`` words): inside quotation marks, or after a word that
@@ -29,7 +31,6 @@ result; extra columns are ignored.
 
 from __future__ import annotations
 
-import json
 import math
 import re
 from collections.abc import Iterator
@@ -38,15 +39,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialize
 
 SEED = ("idiot", "moron", "loser", "scum", "worthless", "pathetic", "stupid", "trash", "clown", "disgusting",
         "imbecile", "bastard", "asshole", "bitch", "cretin", "dumbass", "retard", "scumbag", "vermin", "whore")
 SEED_WEIGHT = 3.0
 TRAIN_ROWS = 10_000       # labelled rows that the lexicon is learned from, at most
 MAX_TERMS = 2000          # learned terms kept (the bound of what reaches the driver)
-MIN_DOCS = 3              # toxic training documents that must hold a learned term
-MIN_ODDS = 3.0            # log odds of a learned term, at least
+MIN_GAIN = 32.0           # likelihood ratio statistic of a learned term, at least
+MIN_ODDS = 2.5            # log odds of a learned term, at least
+MAX_ODDS = 5.0            # weight of a learned term, at most
+MAX_ORDINARY = 5000       # ordinary words kept that would pass for misspelled terms
 WINDOW = 4                # words of context on each side
 BIAS = -1.5
 QUOTED = 0.25             # factor of a hit that is quoted, reported or denied
@@ -97,8 +100,9 @@ class Matcher:
 
     MAX_STATES = 50_000
 
-    def __init__(self, terms: list[tuple[str, float, int, bool]]) -> None:
+    def __init__(self, terms: list[tuple[str, float, int, bool]], ordinary: list[str] = ()) -> None:
         self.trie = Trie()
+        self.ordinary = frozenset(ordinary)
         self.limit = {t: e for t, _, e, _ in terms}
         for t, w, e, s in terms:
             self.trie.add(t, w, e, s)
@@ -175,7 +179,7 @@ class Matcher:
         if len(self.sets) > self.MAX_STATES:
             self._reset()
         at, found = self.first, None
-        for c in word:
+        for c in word if word not in self.ordinary else "":
             nxt = self.go[at].get(c)
             if nxt is None:
                 nxt = self.go[at][c] = self._step(at, c)
@@ -185,9 +189,7 @@ class Matcher:
             found = self.prefix[at] or found
         if at >= 0 and self.hit[at] is not None and (found is None or self.hit[at][2] == 0):
             found = self.hit[at]
-        # one edit between short words that both are common says little: the
-        # first or the last character must stay
-        if found and found[2] and word[0] != found[0][0] and word[-1] != found[0][-1]:
+        if found and found[2] and word[0] != found[0][0]:      # misspellings keep the first letter
             found = None
         self.words[word] = found
         return found
@@ -224,7 +226,7 @@ def evidence(text: str | None, matcher: Matcher) -> tuple[float, int]:
         if m is None:
             continue
         hits += 1
-        factor = 1.0 if m[2] == 0 else 0.6
+        factor = 1.0 if m[2] == 0 else 0.6 if len(m[0]) > 5 else 0.45
         around = words[max(0, i - WINDOW):i]
         if (quoted and quoted[i]) or not REPORT.isdisjoint(around):
             factor *= QUOTED
@@ -246,9 +248,9 @@ def held_out(doc_id="doc_id", folds: int = FOLDS):
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(folds)) == 0, F.lit(False))
 
 
-def learn_terms(docs: DataFrame, labels: DataFrame) -> list[tuple[str, float, bool]]:
+def learn_terms(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[str, float, bool]], DataFrame | None]:
     """(term, weight, is a word start) learned from the labelled rows of the
-    training folds.  What reaches the driver is at most ``MAX_TERMS`` rows and
+    training folds, and the counts of all their terms.  What reaches the driver is at most ``MAX_TERMS`` rows and
     two totals; the sampled labels (``TRAIN_ROWS`` at most) are broadcast."""
     lab = (labels.select(F.col("doc_id").alias("__id"), F.col("toxic").cast("int").alias("toxic"))
            .filter("toxic IS NOT NULL AND __id IS NOT NULL").filter(~held_out("__id"))
@@ -258,17 +260,22 @@ def learn_terms(docs: DataFrame, labels: DataFrame) -> list[tuple[str, float, bo
     starts = lambda w: F.transform(F.sequence(F.lit(4), F.lit(8)), lambda k: F.when(F.length(w) > k, F.concat(F.substring(w, F.lit(1), k), F.lit("*"))))
     terms = F.array_distinct(F.concat(F.filter(words, lambda w: F.length(w).between(3, 24)),
                                       F.filter(F.flatten(F.transform(words, starts)), lambda t: t.isNotNull())))
-    split = rows.select("toxic", terms.alias("terms"))
-    total = rows.agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")).first()
+    # near copies of one text train once: those with the same two longest words and mark
+    longest = F.slice(F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1, 2)
+    split = rows.select("toxic", terms.alias("terms"), F.to_json(longest).alias("__key")).dropDuplicates(["__key", "toxic"]).drop("__key")
+    split = materialize(split, "training")
+    total = split.agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")).first()
     n_t, n_c = int(total["t"] or 0), int(total["c"] or 0)
     if not n_t or not n_c:
-        return []
-    # candidates are terms of toxic documents; the clean documents are counted for all, as one aggregation
-    per = (split.select("toxic", F.explode("terms").alias("term")).groupBy("term")
-           .agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")))
-    odds = F.log((F.col("t") + 0.5) / (n_t + 1.0)) - F.log((F.col("c") + 0.5) / (n_c + 1.0))
-    best = (per.filter(F.col("t") >= MIN_DOCS).withColumn("odds", odds).filter(F.col("odds") >= MIN_ODDS)
-            .withColumn("gain", F.col("t") * F.col("odds")).orderBy(F.col("gain").desc(), F.length("term"), "term").limit(MAX_TERMS).collect())
+        return [], None
+    per = materialize(split.select("toxic", F.explode("terms").alias("term")).groupBy("term")
+                      .agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")), "terms")
+    t, c, n = F.col("t"), F.col("c"), F.col("t") + F.col("c")
+    odds = F.log((t + 0.5) / (n_t + 1.0)) - F.log((c + 0.5) / (n_c + 1.0))
+    part = lambda x, share: F.when(x > 0, x * F.log(x / (n * share))).otherwise(0.0)
+    gain = 2 * (part(t, n_t / (n_t + n_c)) + part(c, n_c / (n_t + n_c)))
+    best = (per.withColumn("odds", odds).withColumn("gain", gain).filter((F.col("gain") >= MIN_GAIN) & (F.col("odds") >= MIN_ODDS))
+            .orderBy(F.col("gain").desc(), F.length("term"), "term").limit(MAX_TERMS).collect())
     # a term inside a broader start of no lower odds adds nothing
     out: list[tuple[str, float, bool]] = []
     have: dict[str, float] = {}
@@ -278,8 +285,25 @@ def learn_terms(docs: DataFrame, labels: DataFrame) -> list[tuple[str, float, bo
             continue
         if start:
             have[t] = r["odds"]
-        out.append((t, float(r["odds"]), start))
-    return out
+        out.append((t, min(float(r["odds"]), MAX_ODDS), start))
+    return out, per
+
+
+def ordinary_words(per: DataFrame | None, terms: list[tuple[str, float, int, bool]]) -> list[str]:
+    """Words of clean training documents that pass for a misspelled term: they
+    are words of their own.  ``MAX_ORDINARY`` at most, the commonest."""
+    if per is None:
+        return []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(terms)
+        for b in batches:
+            near = [(m := matcher.match(w)) is not None and m[2] > 0 for w in b.column(0).to_pylist()]
+            yield b.filter(pa.array(near, pa.bool_()))
+
+    words = per.filter("c > 0 AND t <= c AND NOT endswith(term, '*')").select("term", "c")
+    found = words.mapInArrow(run, "term string, c long").orderBy(F.col("c").desc(), "term").limit(MAX_ORDINARY)
+    return [r["term"] for r in found.collect()]
 
 
 def lexicon(learned: list[tuple[str, float, bool]]) -> list[tuple[str, float, int, bool]]:
@@ -298,13 +322,12 @@ def lexicon(learned: list[tuple[str, float, bool]]) -> list[tuple[str, float, in
     return list(out.values())
 
 
-def score_documents(docs: DataFrame, terms: list[tuple[str, float, int, bool]], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def score_documents(docs: DataFrame, terms: list[tuple[str, float, int, bool]], ordinary: list[str], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` and score, predicted, n_hits: a row per document."""
-    packed = json.dumps(terms)
     schema = docs.select(*keep).schema.simpleString()[7:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher([tuple(t) for t in json.loads(packed)])
+        matcher = Matcher(terms, ordinary)
         for b in batches:
             found = [evidence(t, matcher) for t in b.column(b.num_columns - 1).to_pylist()]
             score = [score_of(x) for x, _ in found]
@@ -316,15 +339,19 @@ def score_documents(docs: DataFrame, terms: list[tuple[str, float, int, bool]],
         run, f"{schema}, score double, predicted int, n_hits long")
 
 
-def toxicity(spark, docs: DataFrame, labels: DataFrame) -> DataFrame:
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[str, float, int, bool]], list[str]]:
+    """The lexicon and the ordinary words near it."""
+    learned, per = learn_terms(docs, labels)
+    terms = lexicon(learned)
+    return terms, ordinary_words(per, terms)
+
+
+def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted, n_hits: a row per document."""
-    terms = lexicon(learn_terms(docs, labels))
-    return score_documents(docs, terms).select("doc_id", held_out().alias("held_out"), "score", "predicted", "n_hits")
+    return score_documents(docs, *fit(docs, labels)).select("doc_id", held_out().alias("held_out"), "score", "predicted", "n_hits")
 
 
-def keep_clean(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are not predicted toxic, with all their columns."""
-    terms = lexicon(learn_terms(docs, table(spark, sf_dir, "labels")))
     cols = tuple(docs.columns)
-    scored = score_documents(docs, terms, keep=cols)
-    return scored.filter("predicted = 0").select(*cols)
+    return score_documents(docs, *fit(docs, labels), keep=cols).filter("predicted = 0").select(*cols)
