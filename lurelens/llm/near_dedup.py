@@ -272,8 +272,8 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, ban
     small = keys.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).filter("n > 1")
     held = materialize(keys.join(small, "key").select("key", "rep", "pivot", "n"), "buckets")
     wanted = held.select(F.col("rep").alias("doc_id")).distinct()
-    # one row of each wanted document (equal ids: the class digest decides)
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(wanted, "doc_id", "left_semi")
+    # always by a shuffle, so that the plan does not change with the number of ids
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(wanted.hint("merge"), "doc_id", "left_semi")
     sets = materialize(full_sets(texts, k).dropDuplicates(["doc_id"]), "sets")
     pairs = (held.filter("rep <> pivot").select("pivot", F.col("rep").alias("member")).distinct())
     links = materialize(verify_pivots(pairs, sets, threshold), "links")
