@@ -31,7 +31,8 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     t0 = time.time()
     from lurelens.session import local_session
-    spark = local_session(cores=cpus, shuffle_partitions=int(cpus), app="lurelens-bench")
+    spark = local_session(cores=cpus, shuffle_partitions=int(cpus), app="lurelens-bench",
+                          extra={"spark.lurelens.spreadScans": cpus})
     startup = time.time() - t0
     # JVM warm-up (class loading and JIT of the Parquet reader, shuffle, code
     # generator, regex and lambda functions) on the tiny `region` table, which

@@ -138,7 +138,8 @@ def analyze_emails(df: DataFrame, e: EmailCols, suspicious_urls: Column, tabular
     factors = F.slice(F.concat(compact([head]), F.col(t + "reasons")), 1, lx.MAX_REASONS)
     legit_factors = F.array(F.concat(F.lit(lx.MSG["legit_prefix"]),
                                      F.coalesce(reason, F.lit(lx.MSG["legit_fallback"]))))
-    err = F.col(t + "err")
+    # a legitimate mail is settled before its URLs are looked at
+    err = F.when(bypass, F.lit(None).cast("string")).otherwise(F.col(t + "err"))
     ok = err.isNull()
     out = {
         "risk_score": F.when(~ok, F.lit(0.0)).when(bypass, F.lit(EW["legitimate_score"])).otherwise(score),

@@ -30,7 +30,7 @@ def separation_report(df: DataFrame, label: str = "label", columns=None) -> Data
         raise ValueError("no numeric feature columns")
     long = df.select(F.col(label).cast("int").alias("__y"),
                      *[F.col(f"`{c}`").cast("double").alias(c) for c in cols]).unpivot(
-        "__y", cols, "feature", "value").where(F.col("value").isNotNull() & F.col("__y").isin(0, 1))
+        "__y", cols, "feature", "value").where(F.col("value").isNotNull() & ~F.isnan("value") & F.col("__y").isin(0, 1))
     per_value = long.groupBy("feature", "value").agg(
         F.max((F.col("__y") == 0).cast("int")).alias("in0"),
         F.max((F.col("__y") == 1).cast("int")).alias("in1"))

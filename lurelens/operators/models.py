@@ -64,7 +64,7 @@ def text_pipeline(text_col: str = "text", num_features: int = 1 << 18, reg: floa
                   max_iter: int = 50, label: str = "label") -> Pipeline:
     """Hashed word + bigram TF-IDF and logistic regression."""
     return Pipeline(stages=[
-        RegexTokenizer(inputCol=text_col, outputCol="__tok", pattern=r"\W+", toLowercase=True),
+        RegexTokenizer(inputCol=text_col, outputCol="__tok", pattern=r"(?U)\W+", toLowercase=True),
         NGram(n=2, inputCol="__tok", outputCol="__bi"),
         SQLTransformer(statement="SELECT *, concat(__tok, __bi) AS __terms FROM __THIS__"),
         HashingTF(inputCol="__terms", outputCol="__tf", numFeatures=num_features),
@@ -76,7 +76,7 @@ def text_pipeline(text_col: str = "text", num_features: int = 1 << 18, reg: floa
 def tfidf_pipeline(text_col: str = "text", vocab_size: int = 100) -> Pipeline:
     """Top-``vocab_size`` terms without English stop words, IDF, L2."""
     return Pipeline(stages=[
-        RegexTokenizer(inputCol=text_col, outputCol="__tok", pattern=r"(?u)\b\w\w+\b", gaps=False, toLowercase=True),
+        RegexTokenizer(inputCol=text_col, outputCol="__tok", pattern=r"(?U)\b\w\w+\b", gaps=False, toLowercase=True),
         StopWordsRemover(inputCol="__tok", outputCol="__terms"),
         CountVectorizer(inputCol="__terms", outputCol="__tf", vocabSize=vocab_size),
         IDF(inputCol="__tf", outputCol="__tfidf"),

@@ -41,17 +41,17 @@ EMAIL_SENDERS = {
 }
 EMAIL_PHISHING_VARIANTS = (1, 2, 4, 7)
 
+#: Session setting: number of partitions that scans are spread over (unset: none).
+SPREAD_CONF = "spark.lurelens.spreadScans"
 
-def balance(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Spread rows over at least ``min_partitions`` tasks (default: the
-    session's parallelism) when the scan yields fewer, e.g. one large file
-    with a single row group.  The per-row text work is CPU-bound, so a scan
-    task per core matters more than the one shuffle this adds; a scan that
-    already has enough partitions (the normal case on a cluster reading many
-    files) is left alone.  Round-robin repartitioning sorts rows first, so a
-    retried task gets the same rows."""
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+
+def balance(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Spreads rows over ``partitions`` tasks, or leaves the scan alone (the
+    default: a cluster reading many files needs no shuffle for it).  The caller
+    decides, by the argument or by the session setting ``SPREAD_CONF``; local
+    runs over single-row-group files set it."""
+    n = partitions or int(df.sparkSession.conf.get(SPREAD_CONF, "0"))
+    return df.repartition(n) if n else df
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:

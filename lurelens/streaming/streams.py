@@ -9,6 +9,7 @@ lost executor) resumes without duplicates.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,14 +54,17 @@ def append_history(df: DataFrame, history_path: str, checkpoint: str, key_cols=(
                    available_now: bool = True) -> StreamingQuery:
     """Append scored rows to a history table.
 
-    Each micro-batch is written to its own ``batch_id=<n>`` folder with
-    overwrite, so a batch replayed after a failure replaces itself instead of
-    adding duplicates; ``key_cols`` are de-duplicated inside the batch."""
+    Each micro-batch is written to a folder of its own stream and batch,
+    ``stream_id=<s>/batch_id=<n>``, with overwrite: a batch replayed after a
+    failure replaces itself, and another stream (another checkpoint) never
+    touches it.  The stream id is a digest of the checkpoint's place, so it
+    stays with the checkpoint.  ``key_cols`` are de-duplicated inside the batch."""
+    stream_id = hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:16]
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         b = batch.dropDuplicates(list(key_cols)) if key_cols else batch
         b.withColumn("scanned_at", F.current_timestamp()).write.mode("overwrite").parquet(
-            f"{history_path.rstrip('/')}/batch_id={batch_id}")
+            f"{history_path.rstrip('/')}/stream_id={stream_id}/batch_id={batch_id}")
 
     w = df.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
