@@ -17,13 +17,17 @@ after it.
    the order, ``LAGS`` on each side: equal words to the right and to the left
    give the match, if they are ``MIN_WORDS`` words together.  The first and last
    ``EDGE`` suffixes of a range are compared once more, in the order of ranges.
-4. Overlapping matches of a document join into maximal spans.
-
-Every reported word lies in a run of MIN_WORDS words that occurs in another
-document; a passage of MIN_WORDS + WINDOW - 1 words or more is always found
-whichever texts stand around it, a shorter one unless ``LAGS`` other documents
-with the same words after but other words before stand between its copies in
-the order.
+4. Where more than ``LAGS`` neighbours share a head, a copy may lie further away
+   (same words after, other words before).  There the runs of MIN_WORDS words
+   around the place that no match covers are hashed, one for each offset, and
+   equal runs of different documents are found by their hash.  The nearest
+   neighbours bound the words matched to the right, so only offsets within that
+   bound are hashed.
+5. Overlapping matches of a document join into maximal spans.
+
+So the reported words are exactly those that lie in a run of MIN_WORDS words
+that occurs in another document, whichever texts stand around it.  A head or a
+run that holds over a thousandth of all rows is joined in ``SALTS`` parts.
 
 Defined results: null, empty and short text has no suffix; what repeats only
 inside one document is no repeat; repeated rows of one id are one document;
@@ -41,7 +45,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .textcore import U64, ngram_hashes, pieces, text_buffers, word_hashes
+from .textcore import U64, mix64, ngram_hashes, pieces, text_buffers, word_hashes
 
 MIN_WORDS = 50
 WINDOW = 32
@@ -50,6 +54,7 @@ HEAD = MIN_WORDS - WINDOW + 1      # 19
 SIDE = WINDOW - 1                  # words of context before the place and after the head
 LAGS = 8
 EDGE = 64
+SALTS = 64
 _PLACE = (1 << 21) - 1             # low bits of a minimiser's value hold its place
 PART_WORDS = 1 << 20               # words of a very long text worked on at once
 
@@ -154,18 +159,22 @@ def common_start(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(differ.any(1), first, a.shape[1])
 
 
-def neighbour_matches(cols: dict[str, np.ndarray], lags: int = LAGS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def neighbour_matches(cols: dict[str, np.ndarray], lags: int = LAGS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """For sorted suffixes: words matched to the left and to the right of the
-    place (0 without a match of MIN_WORDS words), and the other's document."""
+    place (0 without a match of MIN_WORDS words), the other's document, and the
+    most words to the right that any other document can share (0 where all
+    suffixes of the head were compared)."""
     n, doc = len(cols["head"]), cols["doc_id"]
     left, right, other = np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, -1, np.int64)
     new = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if n else np.zeros(0, np.int64)
     run = np.searchsorted(new, np.arange(n), "right") - 1
     back = new[run] - 1                                            # the last suffix of the document before
     ahead = np.append(new[1:], n)[run]                             # the first of the document after
+    bound = np.zeros(n, np.int64)
     for step in (back, ahead):
         at, mine = step, np.arange(n)
-        for _ in range(lags):
+        bound[(at < 0) | (at >= n)] = HEAD + SIDE                  # the nearest is not here
+        for lag in range(lags):
             ok = (at >= 0) & (at < n)
             mine, at = mine[ok], at[ok]
             ok = cols["head"][mine] == cols["head"][at]
@@ -176,12 +185,47 @@ def neighbour_matches(cols: dict[str, np.ndarray], lags: int = LAGS) -> tuple[np
             a, b = mine[use], at[use]
             r = HEAD + np.minimum(common_start(cols["after"][a], cols["after"][b]), np.minimum(cols["n_after"][a], cols["n_after"][b]))
             w = np.minimum(common_start(cols["before"][a], cols["before"][b]), np.minimum(cols["n_before"][a], cols["n_before"][b]))
+            if lag == 0:
+                bound[a] = np.maximum(bound[a], r)
             good = r + w >= MIN_WORDS
             a, b, r, w = a[good], b[good], r[good], w[good]
             left[a], right[a] = np.maximum(left[a], w), np.maximum(right[a], r)
             other[a] = doc[b]
             at = step[at]
-    return left, right, other
+    if n:
+        # heads with few suffixes, one a document, that do not reach the ends of the array: all were compared
+        starts = np.flatnonzero(np.append(True, cols["head"][1:] != cols["head"][:-1]))
+        size = np.diff(np.append(starts, n))
+        fresh = np.append(True, (doc[1:] != doc[:-1]) | (cols["head"][1:] != cols["head"][:-1]))
+        done = (size <= lags + 1) & (np.add.reduceat(fresh.astype(np.int64), starts) == size)
+        done[0] = done[-1] = False
+        bound[np.repeat(done, size)] = 0
+    return left, right, other, bound
+
+
+def prefix_hashes(words: np.ndarray) -> np.ndarray:
+    """[row, i]: hash of the first i words of each row, i = 0 .. SIDE."""
+    out = np.zeros((len(words), words.shape[1] + 1), U64)
+    for i in range(words.shape[1]):
+        out[:, i + 1] = mix64((out[:, i] + U64(0x9E3779B97F4A7C15)) ^ words[:, i].astype(U64))
+    return out
+
+
+def open_runs(cols: dict[str, np.ndarray], left: np.ndarray, right: np.ndarray, bound: np.ndarray, a: int, z: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, document, first word) of the runs of MIN_WORDS words around the
+    places of rows a .. z - 1 that a document not compared might share: those
+    that the match found does not cover and the bound to the right allows."""
+    at = a + np.flatnonzero(bound[a:z] > 0)
+    l = np.arange(SIDE + 1)[None, :]                               # words of the run before the place
+    fits = (l <= cols["n_before"][at][:, None]) & (SIDE - l <= cols["n_after"][at][:, None])
+    may = MIN_WORDS - l <= bound[at][:, None]
+    covered = (l <= left[at][:, None]) & (MIN_WORDS - l <= right[at][:, None])
+    row, l = np.nonzero(fits & may & ~covered)
+    some, row = np.unique(row, return_inverse=True)
+    at = at[some]
+    before, after = prefix_hashes(cols["before"][at]), prefix_hashes(cols["after"][at])
+    key = mix64(mix64(cols["head"][at][row].view(U64) ^ before[row, l]) + after[row, SIDE - l]) + l.astype(U64)
+    return mix64(key).view(np.int64), cols["doc_id"][at][row], (cols["place"][at][row] - l).astype(np.int32)
 
 
 FOUND = "doc_id long, start int, end int, other long, seq long, " + CONTEXT.replace("doc_id long, ", "")
@@ -195,10 +239,18 @@ def _columns(b: pa.RecordBatch) -> dict[str, np.ndarray]:
 
 def compare(keep_edges: bool):
     """Streams sorted suffixes; gives matches and, with ``keep_edges``, the
-    first and last EDGE suffixes of the partition (rows with seq)."""
+    first and last EDGE suffixes of the partition (rows with seq) and the runs
+    that are left to compare by hash (rows without start: head is the hash,
+    place the first word)."""
+
+    def run_rows(found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
+        key, doc, first = found
+        none = lambda t: pa.nulls(len(key), t)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(doc, pa.int64()), none(pa.int32()), none(pa.int32()), none(pa.int64()), none(pa.int64()), pa.array(key, pa.int64()),
+             none(pa.binary()), none(pa.binary()), pa.array(first, pa.int32()), none(pa.int32()), none(pa.int32())], names=NAMES)
 
-    def match_rows(cols: dict[str, np.ndarray]) -> pa.RecordBatch | None:
-        left, right, other = neighbour_matches(cols)
+    def match_rows(cols: dict[str, np.ndarray], left: np.ndarray, right: np.ndarray, other: np.ndarray) -> pa.RecordBatch | None:
         hit = np.flatnonzero(right > 0)
         if not len(hit):
             return None
@@ -220,6 +272,7 @@ def compare(keep_edges: bool):
         ctx = TaskContext.get()
         seq = (ctx.partitionId() if ctx else 0) << 32
         tail: pa.RecordBatch | None = None
+        rest = None                                                # the open runs of the tail
         seen = 0
         for b in batches:
             for x in range(0, b.num_rows, 20_000):
@@ -228,9 +281,17 @@ def compare(keep_edges: bool):
                     yield edge_rows(part.slice(0, EDGE - seen), seq + seen)
                 seen += part.num_rows
                 both = part if tail is None else pa.Table.from_batches([tail, part]).combine_chunks().to_batches()[0]
-                if (m := match_rows(_columns(both))) is not None:
+                cols = _columns(both)
+                left, right, other, bound = neighbour_matches(cols)
+                if (m := match_rows(cols, left, right, other)) is not None:
                     yield m
-                tail = both.slice(max(0, both.num_rows - EDGE))
+                cut = max(0, both.num_rows - EDGE)
+                if keep_edges:
+                    yield run_rows(open_runs(cols, left, right, bound, 0, cut))
+                    rest = open_runs(cols, left, right, bound, cut, both.num_rows)
+                tail = both.slice(cut)
+        if rest is not None:
+            yield run_rows(rest)
         if keep_edges and tail is not None and seen > EDGE:
             n = min(tail.num_rows, seen - EDGE)
             yield edge_rows(tail.slice(tail.num_rows - n), seq + seen)
@@ -241,20 +302,39 @@ def compare(keep_edges: bool):
 NAMES = [c.split()[0] for c in FOUND.split(", ")]
 
 
+def join_hot(rows: DataFrame, keys: DataFrame, key: str, spread: list[str]) -> DataFrame:
+    """Rows joined with ``keys`` (key, n, ...; one row a key).  Keys that hold
+    over a thousandth of the sum of n, so fewer than a thousand, are dealt over
+    SALTS parts by the columns ``spread``."""
+    total = keys.agg(F.sum("n")).first()[0] or 0
+    is_hot = F.col("n") * 1000 > F.lit(total)
+    hot = keys.filter(is_hot).select(key, F.lit(True).alias("__hot"))
+    salted = rows.join(F.broadcast(hot), key, "left").withColumn(
+        "__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int")).otherwise(0)).drop("__hot")
+    copies = keys.withColumn("__salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return salted.join(copies.drop("n"), [key, "__salt"]).drop("__salt")
+
+
 def matches(docs: DataFrame) -> DataFrame:
     """doc_id, start, end (words), other: the matches of single suffixes."""
     heads = suffix_heads(docs)
-    twice = materialize(heads.groupBy("head").agg(F.count("*").alias("n")).filter("n > 1").select("head"), "heads")
-    places = materialize(suffix_heads(docs).join(twice, "head").distinct(), "suffixes")
-    grouped = places.groupBy("doc_id").agg(F.collect_list(F.struct("head", "place")).alias("places"))
+    twice = materialize(heads.groupBy("head").agg(F.count("*").alias("n")).filter("n > 1"), "heads")
+    places = materialize(join_hot(suffix_heads(docs), twice, "head", ["doc_id", "place"]), "suffixes")
+    # a set: repeated rows of one id are one document
+    grouped = places.groupBy("doc_id").agg(F.collect_set(F.struct("head", "place")).alias("places"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["head", "after", "before", "doc_id", "place"]
     rows = materialize(contexts(docs, grouped), "contexts").repartitionByRange(n, *order).sortWithinPartitions(*order)
     found = materialize(rows.mapInArrow(compare(True), FOUND), "matches")
     # at most 2 * EDGE suffixes a range: compared in the order of the ranges
     edges = found.filter("seq IS NOT NULL").repartition(1).sortWithinPartitions("seq").select(*[c.split()[0] for c in CONTEXT.split(", ")])
+    runs = found.filter("seq IS NULL AND start IS NULL").select(F.col("head").alias("run"), "doc_id", F.col("place").alias("start"))
+    shared = materialize(runs.groupBy("run").agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi"), "runs")
+    far = join_hot(runs, shared, "run", ["doc_id", "start"]).select(
+        "doc_id", "start", (F.col("start") + F.lit(MIN_WORDS)).cast("int").alias("end"), F.when(F.col("doc_id") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("other"))
     cols = ["doc_id", "start", "end", "other"]
-    return found.filter("seq IS NULL").select(*cols).union(edges.mapInArrow(compare(False), FOUND).select(*cols))
+    return (found.filter("seq IS NULL AND start IS NOT NULL").select(*cols)
+            .union(edges.mapInArrow(compare(False), FOUND).select(*cols)).union(far))
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
