@@ -14,6 +14,7 @@ from tokenizers import Tokenizer
 from lurelens.llm import (chunk_dedup, embedding_dedup, fingerprints, mixing, near_dedup, packing, suffix_dedup,
                           token_counts, toxicity, url_filter)
 from lurelens.llm.components import connected_components
+from lurelens.llm.textcore import word_hashes
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, PIVOT string, key string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -146,6 +147,26 @@ def test_suffix_spans_equal_brute_force(docs):
     assert got == want
 
 
+def test_suffix_copies_far_apart_in_the_order(spark):
+    """Two copies of fifty words with sixty texts between them that share only the words after the place."""
+    rng = np.random.default_rng(5)
+    filler = lambda n: [f"f{x}" for x in rng.integers(0, 10**9, n)]
+    while True:
+        passage = filler(50)
+        h, _, _, woff = word_hashes(np.frombuffer(" ".join(passage).encode(), np.uint8), np.array([0, len(" ".join(passage))]))
+        place = int(suffix_dedup.kept_places(h, woff)[0])
+        if 22 <= place <= 28:
+            break
+    texts = [filler(40) + passage + filler(40) for _ in range(2)]
+    texts += [filler(60) + passage[place:] + filler(40) for _ in range(60)]
+    rows = [(i, " ".join(t), None, None, None, None, None) for i, t in enumerate(texts)]
+    want = {(i, x) for i, s in repeated_words(rows).items() for x in s}
+    assert want == {(i, x) for i in (0, 1) for x in range(40, 90)}
+    got = {(r.doc_id, x) for r in suffix_dedup.repeated_passages(spark.createDataFrame(rows, DOCS)).collect()
+           for x in range(r.start_word, r.start_word + r.n_words)}
+    assert got == want
+
+
 def test_suffix_edges(spark, empty):
     assert suffix_dedup.repeated_passages(empty).count() == 0
     line = " ".join(f"w{i}" for i in range(60))
