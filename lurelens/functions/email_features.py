@@ -18,9 +18,15 @@ from .text import DIGIT, PUNCT, UPPER, contains_any, hits, ratio, words
 
 NS = r"[^\s\x{1c}-\x{1f}]"  # one non-blank character (Python's \S), under (?U)
 URL_IN_TEXT_RE = r"(?U)https?://" + NS + "+"
-EMAIL_IN_TEXT_RE = r"(?U)" + NS + "+@" + NS + r"+\." + NS + "+"
+# One match per run of non-blanks at most; tried at its start only and never
+# beyond its first usable @, so a run is read in linear time.
+EMAIL_IN_TEXT_RE = (r"(?U)(?<!" + NS + ")" + NS + r"[^\s\x{1c}-\x{1f}@]*+@" + NS + r"+\." + NS + "+")
 IP_IN_TEXT_RE = r"(?U)\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}\b"
-LINK_IN_HTML_RE = r"(?iUd)<a[\s\x{1c}-\x{1f}]+.*?href.*?>"
+# Group 1 is "<" for a link.  After an anchor without one, no link starts on the
+# rest of its line, so the second branch takes that rest (linear time), but for
+# an anchor that the line ends with: its link may follow on the next line.
+LINK_IN_HTML_RE = (r"(?iUd)(<)a[\s\x{1c}-\x{1f}]++(?>.*?href)[^\n>]*+>"
+                   r"|<a[\s\x{1c}-\x{1f}]++[^\n]*?(?=<a[\s\x{1c}-\x{1f}&&[^\n]]*+\n|\n|\z)")
 
 
 @dataclass(frozen=True)
@@ -115,7 +121,8 @@ def email_feature_columns(e: EmailCols, text: Column | None = None, tl: Column |
         "num_urls": F.regexp_count(text, F.lit(URL_IN_TEXT_RE)),
         "num_emails": F.regexp_count(text, F.lit(EMAIL_IN_TEXT_RE)),
         "num_ips": F.regexp_count(text, F.lit(IP_IN_TEXT_RE)),
-        "num_links": F.regexp_count(e.html, F.lit(LINK_IN_HTML_RE)),
+        "num_links": F.length(F.array_join(
+            F.regexp_extract_all(e.html, F.lit(LINK_IN_HTML_RE), F.lit(1)), "")),
         "num_attachments": e.attachments,
         "suspicious_words_count": hits(tl_ref or tl, lx.SUSPICIOUS_WORDS).cast("double") / F.lit(len(lx.SUSPICIOUS_WORDS)),
         "urgency_score": urgency_score(tl, lowered=True),

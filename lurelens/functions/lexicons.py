@@ -251,7 +251,7 @@ BLEND = {
 MSG = {
     "invalid_url": "Invalid URL provided",
     "url_error": "Error analyzing URL: {}",
-    "parse_error": "cannot access local variable 'parsed' where it is not associated with a value",
+    "parse_error": "the URL cannot be parsed",
     "brand": "🚨 Brand impersonation: pretending to be '{}'",
     "free_hosting_brand": "🚨 Suspicious {} lookalike on free hosting ({})",
     "long_subdomain": "⚠️ Suspicious long subdomain on free hosting",

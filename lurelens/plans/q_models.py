@@ -224,7 +224,7 @@ def q_t19(spark, sf):
     """Text model over subject + body: test-set probabilities."""
     t = training_table(spark, sf, with_text=True)
     train, test = t.where("split = 'train'"), t.where("split = 'test'")
-    model = md.fit(md.text_pipeline(max_iter=20), train)
+    model = md.fit(md.text_pipeline(), train)
     return md.with_probability(model, test).select("email_id", "label", r6(F.col("p")).alias("p"), "prediction")
 
 

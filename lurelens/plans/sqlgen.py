@@ -97,10 +97,11 @@ def email_corpus_sql() -> str:
     sender = case_map("CAST(floor(doc_id / 10) AS BIGINT) % 8", {k: q(v) for k, v in cp.EMAIL_SENDERS.items()}, "NULL")
     phish = ",".join(str(v) for v in cp.EMAIL_PHISHING_VARIANTS)
     return (
-        "SELECT doc_id AS email_id, substring(split_part(text, chr(10), 1), 1, 80) AS subject, "
+        "SELECT doc_id AS email_id, split_part(text, chr(10), 1) AS subject, "
         f"concat(text, {lure}) AS body, {sender} AS sender, "
-        "CASE WHEN doc_id % 4 = 0 THEN '' ELSE concat('<p>', substring(text, 1, 200), "
-        "'</p><a class=x href=http://t.example/', CAST(doc_id AS VARCHAR), '>go</a>') END AS html_content, "
+        "CASE WHEN doc_id % 4 = 0 THEN '' ELSE concat('<p>', text, '</p>', "
+        "repeat(concat('<a class=x href=http://t.example/', CAST(doc_id AS VARCHAR), '>go</a>'), doc_id % 4), "
+        "CASE WHEN doc_id % 3 = 0 THEN '<a name=top>top</a>' ELSE '' END) END AS html_content, "
         "CASE doc_id % 5 WHEN 1 THEN 'pass' WHEN 2 THEN 'fail' WHEN 3 THEN 'softfail' ELSE NULL END AS spf_header, "
         "CASE WHEN doc_id % 3 = 1 THEN 'v=1' ELSE NULL END AS dkim_header, "
         "CASE WHEN doc_id % 7 = 1 THEN 'dmarc=pass' ELSE NULL END AS auth_results, "

@@ -104,15 +104,16 @@ def email_corpus_from_documents(docs: DataFrame, spf_key: str = "Received-SPF")
     text = F.col("text")
     lure = _case(d % 10, EMAIL_LURES, F.lit(""))
     sender = _case(F.floor(d / 10).cast("bigint") % 8, EMAIL_SENDERS, F.lit(None).cast("string"))
+    link = F.concat(F.lit("<a class=x href=http://t.example/"), d.cast("string"), F.lit(">go</a>"))
     html = F.when(d % 4 == 0, F.lit("")).otherwise(F.concat(
-        F.lit("<p>"), F.substring(text, 1, 200), F.lit("</p><a class=x href=http://t.example/"),
-        d.cast("string"), F.lit(">go</a>")))
+        F.lit("<p>"), text, F.lit("</p>"), F.repeat(link, (d % 4).cast("int")),
+        F.when(d % 3 == 0, F.lit("<a name=top>top</a>")).otherwise(F.lit(""))))
     spf = _case(d % 5, {1: "pass", 2: "fail", 3: "softfail"}, F.lit(None).cast("string"))
     dkim = F.when(d % 3 == 1, F.lit("v=1"))
     auth = F.when(d % 7 == 1, F.lit("dmarc=pass"))
     out = docs.select(
         d.alias("email_id"),
-        F.substring(F.split_part(text, F.lit("\n"), F.lit(1)), 1, 80).alias("subject"),
+        F.split_part(text, F.lit("\n"), F.lit(1)).alias("subject"),
         F.concat(text, lure).alias("body"),
         sender.alias("sender"),
         html.alias("html_content"),
