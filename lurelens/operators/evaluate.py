@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..plans.shape import r6
+from ..session import materialize
 
 
 def level_prediction(level_col: Column) -> Column:
@@ -75,10 +76,13 @@ def exact_auc(scored: DataFrame, score: str = "score", label: str = "label") ->
     scores fall into ``AUC_BUCKETS`` equal ranges between the smallest and the
     largest, ranges get the number of rows before them (a window over at most
     that many rows), and scores are ordered inside their range only.  Scores are
-    not rounded; null and NaN scores take no part."""
+    not rounded; null and NaN scores take no part.  The counts are read three
+    times, so they are written once."""
     s = F.col(score).cast("double")
-    g = (scored.where(s.isNotNull() & ~F.isnan(s)).groupBy(s.alias("s"))
-         .agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("pos")))
+    g = scored.groupBy(s.alias("s")).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("pos"))
+    # filtered after the write: a filter before it would be pushed below the
+    # score's projection and compute the score a second time
+    g = materialize(g, "auc-counts").where(F.col("s").isNotNull() & ~F.isnan("s"))
     ends = g.agg(F.min("s").alias("lo"), F.max("s").alias("hi"))      # one row
     share = F.when(F.col("hi") > F.col("lo"), (F.col("s") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0)
     g = g.join(F.broadcast(ends)).withColumn("b", F.least(F.floor(share * AUC_BUCKETS), F.lit(AUC_BUCKETS - 1)))

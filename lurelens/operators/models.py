@@ -51,6 +51,8 @@ def random_forest(num_trees: int = FP["n_estimators"], max_depth: int = FP["max_
 def tabular_pipeline(features, estimator, scale: bool = True) -> Pipeline:
     """T11 + model: assemble the manifest columns (missing values kept as
     NaN-free zeros upstream), scale with mean and std fitted on train."""
+    if not features:
+        raise ValueError("no feature columns to fit on")
     stages = [VectorAssembler(inputCols=list(features), outputCol="raw_features", handleInvalid="keep")]
     if scale:
         stages.append(StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True))
@@ -86,7 +88,12 @@ def tfidf_pipeline(text_col: str = "text", vocab_size: int = 100) -> Pipeline:
 
 def fit(pipeline: Pipeline, train: DataFrame) -> PipelineModel:
     """Fits with the training rows persisted (tree learners read them once
-    per level); the cache is released afterwards."""
+    per level); the cache is released afterwards.  Training rows of one class
+    only (or none) are refused (T20): the check reads the label column alone
+    and stops at the second class."""
+    label = pipeline.getStages()[-1].getOrDefault("labelCol")
+    if train.select(label).where(F.col(label).isNotNull()).distinct().limit(2).count() < 2:
+        raise ValueError(f"the training rows need two classes in {label!r}")
     cached = train.persist()
     try:
         return pipeline.fit(cached)

@@ -139,12 +139,6 @@ def stratified_split(df: DataFrame, key: str, label: str = "label", fraction: fl
     return out.drop("__h", "__h_cut", "__t_cut")
 
 
-def approximate_stratified_split(df: DataFrame, key: str, label: str = "label",
-                                 fraction: float = lx.TEST_FRACTION, seed: int = lx.SPLIT_SEED) -> DataFrame:
-    """T10, approximate: hash threshold per row (narrow, no shuffle)."""
-    return hash_split(df, key, fraction, seed)
-
-
 def class_weights(df: DataFrame, label: str = "label", out: str = "weight") -> DataFrame:
     """Balanced weights n / (k * n_c), joined to every row.  The class
     table has one row per class (bounded), so it is broadcast."""

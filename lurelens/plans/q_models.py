@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions import blend as bl
 from ..functions import lexicons as lx
-from ..functions.manifest import ALL_FEATURES
+from ..functions.manifest import ALL_FEATURES, URL_FEATURES
 from ..operators import evaluate as ev
+from ..operators import fitted as ft
 from ..operators import models as md
 from ..operators import scoring as sc
 from ..operators import splits as sp
@@ -153,8 +154,14 @@ def q_v3(spark, sf):
 
 # ------------------------------------------------------------------ model fits (rows-only)
 
-QUICK_BOOSTED = dict(max_iter=10, max_depth=4)
-QUICK_FOREST = dict(num_trees=20, max_depth=6)
+YEAR = 2024
+
+#: Settings of the fits in the queries below; the library's defaults are the
+#: full settings (see README, "Model fits in the queries").
+BOOSTED = dict(max_iter=10, max_depth=4)
+FOREST = dict()
+FITTED_COLS = ("p_boosted", "p_forest", "p_text", "p_ensemble", "risk_score", "risk_level", "risk_factors",
+               "ml_prediction", "ml_confidence")
 
 
 def training_table(spark, sf, with_text: bool = False):
@@ -163,32 +170,50 @@ def training_table(spark, sf, with_text: bool = False):
     The feature table is computed once and written to the shared checkpoint
     folder (lineage cut): the split, the scaler, every tree level and the
     test scoring then read it instead of recomputing the text features."""
-    feats = sc.feature_matrix(sc.combined_features(email_corpus(spark, sf)))
+    feats = sc.feature_matrix(sc.combined_features(email_corpus(spark, sf), reference_year=YEAR))
     text = [F.concat_ws(" ", "subject", "body").alias("text")] if with_text else []
     feats = feats.select("email_id", F.col("label").cast("double").alias("label"), *text, *ALL_FEATURES)
     return sp.stratified_split(materialize(feats, "training-features"), "email_id")
 
 
-def _fit_predict(spark, sf, estimator, weights=False):
-    t = training_table(spark, sf)
-    if weights:
-        t = sp.class_weights(t, "label")
-    train, test = t.where("split = 'train'"), t.where("split = 'test'")
-    model = md.fit(md.tabular_pipeline(ALL_FEATURES, estimator), train)
+def url_training_table(spark, sf):
+    """The 40 URL features with label, text (the URL) and exact domain split."""
+    d = sp.domain_split(url_corpus(spark, sf), exact=True)
+    feats = sc.feature_matrix(sc.url_features(d, "url", YEAR), URL_FEATURES)
+    return materialize(feats.select("page_id", F.col("label").cast("double").alias("label"), "split",
+                                    F.col("url").alias("text"), *URL_FEATURES), "url-training-features")
+
+
+def _sides(t):
+    return t.where("split = 'train'"), t.where("split = 'test'")
+
+
+def _fit(train, kind, features=ALL_FEATURES):
+    """One fitted model; class weights (T14) are those of the training rows."""
+    if kind == "text":
+        return md.fit(md.text_pipeline(), train.select("label", "text"))
+    if kind == "boosted":
+        return md.fit(md.tabular_pipeline(features, md.boosted_trees(**BOOSTED)), train)
+    return md.fit(md.tabular_pipeline(features, md.random_forest(**FOREST)), sp.class_weights(train, "label"))
+
+
+def _fit_predict(spark, sf, kind):
+    train, test = _sides(training_table(spark, sf))
+    model = _fit(train, kind)
     return model, md.with_probability(model, test)
 
 
 @register("q_T12_boosted_trees")
 def q_t12(spark, sf):
     """Boosted trees on the 63 features: test-set probabilities and predictions."""
-    _, pred = _fit_predict(spark, sf, md.boosted_trees(**QUICK_BOOSTED))
+    _, pred = _fit_predict(spark, sf, "boosted")
     return pred.select("email_id", "label", r6(F.col("p")).alias("p"), "prediction")
 
 
 @register("q_T13_random_forest")
 def q_t13(spark, sf):
     """Random forest with balanced class weights: test-set predictions."""
-    _, pred = _fit_predict(spark, sf, md.random_forest(**QUICK_FOREST), weights=True)
+    _, pred = _fit_predict(spark, sf, "forest")
     return pred.select("email_id", "label", r6(F.col("p")).alias("p"), "prediction")
 
 
@@ -208,23 +233,24 @@ def q_t11(spark, sf):
 @register("q_T16_feature_importances")
 def q_t16(spark, sf):
     """Boosted-tree feature importances by feature name."""
-    model, _ = _fit_predict(spark, sf, md.boosted_trees(**QUICK_BOOSTED))
+    model, _ = _fit_predict(spark, sf, "boosted")
     return md.feature_importances(model, ALL_FEATURES)
 
 
 @register("q_T17_model_info")
 def q_t17(spark, sf):
     """Model information: type, fitted, features, trees, depth, step size."""
-    model, _ = _fit_predict(spark, sf, md.boosted_trees(**QUICK_BOOSTED))
+    model, _ = _fit_predict(spark, sf, "boosted")
     return md.model_info(model, len(ALL_FEATURES))
 
 
 @register("q_T19_text_classifier")
 def q_t19(spark, sf):
     """Text model over subject + body: test-set probabilities."""
-    t = training_table(spark, sf, with_text=True)
-    train, test = t.where("split = 'train'"), t.where("split = 'test'")
-    model = md.fit(md.text_pipeline(), train)
+    e = email_corpus(spark, sf).select("email_id", F.col("label").cast("double").alias("label"),
+                                       F.concat_ws(" ", "subject", "body").alias("text"))
+    train, test = _sides(sp.stratified_split(materialize(e, "training-texts"), "email_id"))
+    model = _fit(train, "text")
     return md.with_probability(model, test).select("email_id", "label", r6(F.col("p")).alias("p"), "prediction")
 
 
@@ -239,27 +265,54 @@ def q_t18(spark, sf):
 
 @register("q_B7_individual_predictions")
 def q_b7(spark, sf):
-    """Boosted, forest and ensemble predictions side by side on the test rows."""
-    t = training_table(spark, sf)
-    t = sp.class_weights(t, "label")
-    train, test = t.where("split = 'train'"), t.where("split = 'test'")
-    mb = md.fit(md.tabular_pipeline(ALL_FEATURES, md.boosted_trees(**QUICK_BOOSTED)), train)
-    mf = md.fit(md.tabular_pipeline(ALL_FEATURES, md.random_forest(**QUICK_FOREST)), train)
-    pb = md.with_probability(mb, test, "p_boosted").select("email_id", "label", "p_boosted")
-    pf = md.with_probability(mf, test, "p_forest").select("email_id", "p_forest")
-    both = pb.join(pf, "email_id")
-    p = bl.soft_vote(F.col("p_boosted"), F.col("p_forest"))
-    return both.select("email_id", "label", (F.col("p_boosted") >= 0.5).cast("int").alias("boosted"),
-                       (F.col("p_forest") >= 0.5).cast("int").alias("forest"), r6(p).alias("p_ensemble"),
-                       (p >= 0.5).cast("int").alias("ensemble"))
+    """Boosted, forest, text and ensemble predictions side by side on the test rows."""
+    train, test = _sides(training_table(spark, sf, with_text=True))
+    models = ft.Models(*[_fit(train, kind) for kind in ("boosted", "forest", "text")])
+    p = ft.with_probabilities(test, models).withColumn("p", ft.vote(models, with_text=True))
+    return p.select("email_id", "label", bl.prediction(F.col("p_boosted")).alias("boosted"),
+                    bl.prediction(F.col("p_forest")).alias("forest"), bl.prediction(F.col("p_text")).alias("text"),
+                    r6(F.col("p")).alias("p_ensemble"), bl.prediction(F.col("p")).alias("ensemble"))
+
+
+@register("q_B2_fitted_url_scores")
+def q_b2_fitted(spark, sf):
+    """Every corpus URL scored with three models fitted on the train domains."""
+    train, _ = _sides(url_training_table(spark, sf))
+    models = ft.Models(*[_fit(train, kind, URL_FEATURES) for kind in ("boosted", "forest", "text")])
+    s = ft.score_urls(url_corpus(spark, sf), models, "url", YEAR)
+    return s.select("page_id", *FITTED_COLS)
+
+
+@register("q_B4_fitted_email_scores")
+def q_b4_fitted(spark, sf):
+    """Every corpus mail scored with three models fitted on the train rows."""
+    train, _ = _sides(training_table(spark, sf, with_text=True))
+    models = ft.Models(*[_fit(train, kind) for kind in ("boosted", "forest", "text")])
+    s = ft.score_emails(email_corpus(spark, sf), models, YEAR)
+    return s.select("email_id", *FITTED_COLS)
+
+
+@register("q_T12_url_boosted_trees")
+def q_t12_url(spark, sf):
+    """Boosted trees on the 40 URL features: probabilities on the test domains."""
+    train, test = _sides(url_training_table(spark, sf))
+    pred = md.with_probability(_fit(train, "boosted", URL_FEATURES), test)
+    return pred.select("page_id", "label", r6(F.col("p")).alias("p"), "prediction")
+
+
+@register("q_V2_url_model_metrics")
+def q_v2_url(spark, sf):
+    """Accuracy, precision, recall, F1 of both URL tree models on the test domains."""
+    train, test = _sides(url_training_table(spark, sf))
+    pb, pf = [md.with_probability(_fit(train, kind, URL_FEATURES), test) for kind in ("boosted", "forest")]
+    return ev.binary_metrics(pb, "xgboost_url").unionByName(ev.binary_metrics(pf, "random_forest_url"))
 
 
 @register("q_V3_auc_evaluator")
 def q_v3e(spark, sf):
     """ROC AUC of the boosted-tree test predictions (evaluator form)."""
-    t = training_table(spark, sf)
-    train, test = t.where("split = 'train'"), t.where("split = 'test'")
-    model = md.fit(md.tabular_pipeline(ALL_FEATURES, md.boosted_trees(**QUICK_BOOSTED)), train)
+    train, test = _sides(training_table(spark, sf))
+    model = _fit(train, "boosted")
     scored = model.transform(test)
     return spark.createDataFrame([(float(md.auc(scored)),)], "auc double")
 
@@ -267,6 +320,6 @@ def q_v3e(spark, sf):
 @register("q_V2_model_metrics")
 def q_v2m(spark, sf):
     """Accuracy, precision, recall, F1 of both tree models on the test rows."""
-    _, pb = _fit_predict(spark, sf, md.boosted_trees(**QUICK_BOOSTED))
-    _, pf = _fit_predict(spark, sf, md.random_forest(**QUICK_FOREST), weights=True)
+    train, test = _sides(training_table(spark, sf))
+    pb, pf = [md.with_probability(_fit(train, kind), test) for kind in ("boosted", "forest")]
     return ev.binary_metrics(pb, "xgboost_email").unionByName(ev.binary_metrics(pf, "random_forest_email"))
