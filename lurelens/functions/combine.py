@@ -16,7 +16,7 @@ from .email_features import URL_IN_TEXT_RE
 from .manifest import URL_FEATURES
 from .text import contains_any, sql_any, sql_lit
 from .url_features import url_feature_sql
-from .url_parts import (LEADING_JUNK_RE, NETLOC_RE, PARAM_SCHEMES, PARAMS_RE, PATH_RE, QUERY_RE, SCHEME_RE,
+from .url_parts import (BAD_NETLOC_RE, LEADING_JUNK_RE, NETLOC_RE, PARAM_SCHEMES, PARAMS_RE, PATH_RE, QUERY_RE, SCHEME_RE,
                         UNSAFE_RE)
 
 # URL extraction for scoring (a different expression from C1).
@@ -50,9 +50,9 @@ def suspicious_url_count(urls_col: str) -> Column:
 
 
 def any_parse_error(urls_col: str) -> Column:
-    """Whether a URL of the array has only one of '[' / ']' in its netloc."""
+    """Whether a URL of the array has a netloc that ``urlparse`` refuses."""
     n = _netloc_sql("u")
-    return F.expr(f"exists(`{urls_col}`, u -> contains({n}, '[') <> contains({n}, ']'))")
+    return F.expr(f"exists(`{urls_col}`, u -> {n} RLIKE {sql_lit(BAD_NETLOC_RE)})")
 
 
 def url_feature_array(urls_col: str, reference_year: int | None = None) -> Column:

@@ -12,11 +12,14 @@ Rules reproduced:
 * path = up to ``?``/``#``; for schemes that use parameters, a ``;...``
   suffix of the last segment is split off;
 * query = after the first ``?`` up to ``#``;
-* a netloc with only one of ``[`` / ``]`` is a parse error.
+* parse errors: a netloc with only one of ``[`` / ``]``, a bracketed host that is
+  no IPv6 address (nor ``v<hex>.<any>``), and a character whose compatibility
+  form (NFKC) holds one of ``/?#@:``.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -30,6 +33,33 @@ PARAMS_RE = r";[^/]*$"
 LEADING_JUNK_RE = r"^[\x{00}-\x{20}]+"
 UNSAFE_RE = r"[\t\r\n]"
 
+
+
+def _ipv6_re() -> str:
+    """An IPv6 address: eight groups, or fewer around one ``::``; the last two
+    may be an IPv4 address; an optional ``%scope``."""
+    h = "[0-9A-Fa-f]{1,4}"
+    octet = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+    tail = f"(?:{h}:{h}|{octet}(?:\\.{octet}){{3}})"
+    forms = [f"(?:{h}:){{6}}{tail}"]
+    for right in range(8):               # groups after the "::"
+        left = f"(?:{h}(?::{h}){{0,{6 - right}}})?" if right < 7 else ""
+        rest = "" if right == 0 else h if right == 1 else f"(?:{h}:){{{right - 2}}}{tail}"
+        forms.append(f"{left}::{rest}")
+    return f"(?:{'|'.join(forms)})(?:%[^%\\]]+)?"
+
+
+def _bad_netloc_re() -> str:
+    odd = "".join(c for c in map(chr, (*range(0x80, 0xD800), *range(0xE000, 0x30000)))
+                  if unicodedata.decomposition(c) and set(unicodedata.normalize("NFKC", c)) & set("/?#@:"))
+    host = rf"(?:{_ipv6_re()}|v[0-9A-Fa-f]+\.[^\]]+)(?:\]|\z)"
+    return (rf"[{odd}]|^[^\[]*\][^\[]*\z|^[^\]]*\[[^\]]*\z"
+            rf"|^(?=[^\]]*\])[^\[]*\[(?!{host})")
+
+
+#: Found in a netloc that ``urlparse`` refuses.
+BAD_NETLOC_RE = _bad_netloc_re()
+
 # FIXED VALUES: schemes whose last path segment may carry ";params".
 PARAM_SCHEMES = (
     "", "ftp", "hdl", "prospero", "http", "imap", "https", "shttp", "rtsp",
@@ -66,7 +96,7 @@ class UrlParts:
 
     @property
     def parse_error(self) -> Column:
-        return self.netloc.contains("[") != self.netloc.contains("]")
+        return self.netloc.rlike(BAD_NETLOC_RE)
 
 
 def _prepared(url: Column) -> Column:
@@ -111,14 +141,3 @@ def stage_parts(df: DataFrame, url_col: str) -> tuple[DataFrame, UrlParts, list[
     handles = UrlParts(url=F.col(url_col), **{k[len(STAGE_PREFIX):]: F.col(k) for k in cols},
                        ul_ref=f"`{STAGE_PREFIX}ul`", url_ref=f"`{url_col}`")
     return staged, handles, list(cols)
-
-
-def domain_of(url: Column) -> Column:
-    """Registered-domain key of a URL (netloc, else path; no 'www.'; no port;
-    lower-cased); empty -> NULL.  The 'www.' test is case-sensitive."""
-    parts = inline_parts(url)
-    d = F.when(F.length(parts.netloc) > 0, parts.netloc).otherwise(parts.path)
-    d = F.when(d.startswith("www."), F.substring(d, 5, 1 << 30)).otherwise(d)
-    d = F.lower(F.substring_index(d, ":", 1))
-    bad = url.isNull() | (url == "") | parts.parse_error
-    return F.when(bad, F.lit(None)).otherwise(F.nullif(d, F.lit("")))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from . import lexicons as lx
 from .text import compact, contains_any, count_sub, first_hit, sql_any, sql_first, sql_lit
-from .url_parts import UrlParts
+from .url_parts import BAD_NETLOC_RE, UrlParts
 
 W = lx.URL_WEIGHTS
 
@@ -249,7 +249,7 @@ def url_analysis_array_sql(parts_col: str, var: str = "s") -> str:
     giving (url, error, rules) structs, as one SQL expression."""
     u, ul, net = f"{var}.url", f"{var}.ul", f"{var}.netloc"
     err = (f"CASE WHEN {u} IS NULL OR {u} = '' THEN {sql_lit(lx.MSG['invalid_url'])} "
-           f"WHEN contains({net}, '[') <> contains({net}, ']') "
+           f"WHEN {net} RLIKE {sql_lit(BAD_NETLOC_RE)} "
            f"THEN {sql_lit(lx.MSG['url_error'].format(lx.MSG['parse_error']))} END")
     rules = ", ".join(f"{sql_lit(k)}, {v}" for k, v in rule_values_sql(ul, u).items())
     return (f"transform(`{parts_col}`, {var} -> named_struct('url', {u}, 'error', {err}, "

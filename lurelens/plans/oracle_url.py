@@ -88,12 +88,21 @@ def out_feature(name: str, expr: str) -> str:
     return f"CAST({expr} AS BIGINT) AS {name}"
 
 
+def bad_netloc(n: str) -> str:
+    """Netlocs that cannot be parsed: one bracket only, a bracketed host other
+    than a shortened IPv6 address (the only kind that is planted), or a character
+    that stands for ``/?#@:``."""
+    host = f"regexp_extract({n}, '\\[([^\\]]*)', 1)"
+    return (f"(contains({n}, '[') <> contains({n}, ']') OR (contains({n}, '[') AND NOT "
+            f"regexp_matches({host}, '^[0-9A-Fa-f:]*::[0-9A-Fa-f:]*$')) OR regexp_matches({n}, '[℀℁℅℆／？＃＠：]'))")
+
+
 def url_features_query(id_cols: str = "page_id, url", year: int = 2024, only: list[str] | None = None) -> str:
     f = feature_exprs("url", year)
     names = only or list(URL_FEATURES)
     cols = ", ".join(out_feature(n, f[n]) for n in names)
     err = (f"CASE WHEN url IS NULL OR url = '' THEN {g.q(lx.MSG['invalid_url'])} "
-           f"WHEN (contains(_netloc, '[')) <> (contains(_netloc, ']')) "
+           f"WHEN {bad_netloc('_netloc')} "
            f"THEN {g.q(lx.MSG['url_error'].format(lx.MSG['parse_error']))} END")
     extra = "" if only else f", {err} AS error"
     return f"SELECT {id_cols}, {cols}{extra} FROM ({parts_select(g.url_corpus_sql())}) t"
@@ -160,7 +169,7 @@ def scored_urls_select(src: str, u: str = "url") -> str:
     NULL / empty / unparsable URLs give ERROR rows."""
     rs = rules_select(parts_select(src, u), u)
     err = (f"CASE WHEN {u} IS NULL OR {u} = '' THEN {g.q(lx.MSG['invalid_url'])} "
-           f"WHEN contains(_netloc, '[') <> contains(_netloc, ']') "
+           f"WHEN {bad_netloc('_netloc')} "
            f"THEN {g.q(lx.MSG['url_error'].format(lx.MSG['parse_error']))} END")
     return (f"SELECT *, CASE WHEN _err IS NULL THEN least(_score, 1.0) ELSE 0.0 END AS risk_score, "
             f"CASE WHEN _err IS NULL THEN {g.level('least(_score, 1.0)', lx.URL_LEVELS)} ELSE 'ERROR' END AS risk_level, "

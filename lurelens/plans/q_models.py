@@ -237,7 +237,9 @@ def q_t16(spark, sf):
     return md.feature_importances(model, ALL_FEATURES)
 
 
-@register("q_T17_model_info")
+@register("q_T17_model_info",
+          "SELECT 'GBTClassificationModel' AS model_type, TRUE AS is_fitted, 63 AS n_features, 10 AS n_trees, "
+          "4 AS max_depth, 0.05::DOUBLE AS step_size")
 def q_t17(spark, sf):
     """Model information: type, fitted, features, trees, depth, step size."""
     model, _ = _fit_predict(spark, sf, "boosted")

@@ -25,17 +25,24 @@ from .shape import joined, r6
 
 
 def error_corpus(spark, sf):
-    """The URL corpus with planted bad inputs: NULL, '' and an unbalanced '['
-    in the host for some pages (every row kept)."""
+    """The URL corpus with planted bad inputs: NULL, '', and for some pages hosts
+    with an unbalanced '[', brackets around no address and around an IPv6 address,
+    and a character that stands for "a/c" (every row kept)."""
     u = url_corpus(spark, sf)
     k = F.col("page_id") % 50
     bad = (F.when(k == 0, F.lit(None).cast("string")).when(k == 1, F.lit(""))
-           .when(k == 2, F.regexp_replace("url", "://", "://[")).otherwise(F.col("url")))
+           .when(k == 2, F.regexp_replace("url", "://", "://["))
+           .when(k == 3, F.regexp_replace("url", "://", "://[abc]"))
+           .when(k == 4, F.regexp_replace("url", "://", "://[fe80::1]:"))
+           .when(k == 5, F.regexp_replace("url", "://", "://x℀y.")).otherwise(F.col("url")))
     return u.withColumn("url", bad)
 
 
 _ERR_SQL = ("SELECT page_id, label, CASE WHEN page_id % 50 = 0 THEN NULL WHEN page_id % 50 = 1 THEN '' "
-            "WHEN page_id % 50 = 2 THEN replace(url, '://', '://[') ELSE url END AS url "
+            "WHEN page_id % 50 = 2 THEN replace(url, '://', '://[') "
+            "WHEN page_id % 50 = 3 THEN replace(url, '://', '://[abc]') "
+            "WHEN page_id % 50 = 4 THEN replace(url, '://', '://[fe80::1]:') "
+            "WHEN page_id % 50 = 5 THEN replace(url, '://', '://x℀y.') ELSE url END AS url "
             f"FROM ({g.url_corpus_sql()}) u")
 
 
