@@ -211,21 +211,30 @@ def prefix_hashes(words: np.ndarray) -> np.ndarray:
     return out
 
 
-def open_runs(cols: dict[str, np.ndarray], left: np.ndarray, right: np.ndarray, bound: np.ndarray, a: int, z: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, document, first word) of the runs of MIN_WORDS words around the
-    places of rows a .. z - 1 that a document not compared might share: those
-    that the match found does not cover and the bound to the right allows."""
+def open_runs(cols: dict[str, np.ndarray], left: np.ndarray, right: np.ndarray, bound: np.ndarray, a: int, z: int) -> tuple[np.ndarray, ...]:
+    """(hash, document, first word, witness) of the runs of MIN_WORDS words
+    around the places of rows a .. z - 1 that a document not compared might
+    share: those that the bound to the right allows.  Runs whose words the
+    matches found cover are witnesses: of each hash the smallest and the largest
+    document."""
     at = a + np.flatnonzero(bound[a:z] > 0)
     l = np.arange(SIDE + 1)[None, :]                               # words of the run before the place
     fits = (l <= cols["n_before"][at][:, None]) & (SIDE - l <= cols["n_after"][at][:, None])
     may = MIN_WORDS - l <= bound[at][:, None]
     covered = (l <= left[at][:, None]) & (MIN_WORDS - l <= right[at][:, None])
-    row, l = np.nonzero(fits & may & ~covered)
+    row, l = np.nonzero(fits & may)
+    witness = covered[row, l]
     some, row = np.unique(row, return_inverse=True)
     at = at[some]
     before, after = prefix_hashes(cols["before"][at]), prefix_hashes(cols["after"][at])
     key = mix64(mix64(cols["head"][at][row].view(U64) ^ before[row, l]) + after[row, SIDE - l]) + l.astype(U64)
-    return mix64(key).view(np.int64), cols["doc_id"][at][row], (cols["place"][at][row] - l).astype(np.int32)
+    key, doc, first = mix64(key).view(np.int64), cols["doc_id"][at][row], (cols["place"][at][row] - l).astype(np.int32)
+    order = np.lexsort((doc, key, ~witness))                       # the witnesses first, by hash
+    n = np.count_nonzero(witness)
+    w = order[:n]
+    new = np.append(True, key[w][1:] != key[w][:-1])[:n]
+    keep = np.append(w[new | np.append(new[1:], True)[:n]], order[n:])
+    return key[keep], doc[keep], first[keep], witness[keep]
 
 
 FOUND = "doc_id long, start int, end int, other long, seq long, " + CONTEXT.replace("doc_id long, ", "")
@@ -241,14 +250,14 @@ def compare(keep_edges: bool):
     """Streams sorted suffixes; gives matches and, with ``keep_edges``, the
     first and last EDGE suffixes of the partition (rows with seq) and the runs
     that are left to compare by hash (rows without start: head is the hash,
-    place the first word)."""
+    place the first word, n_after 1 for a witness)."""
 
-    def run_rows(found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
-        key, doc, first = found
+    def run_rows(found: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+        key, doc, first, witness = found
         none = lambda t: pa.nulls(len(key), t)
         return pa.RecordBatch.from_arrays(
             [pa.array(doc, pa.int64()), none(pa.int32()), none(pa.int32()), none(pa.int64()), none(pa.int64()), pa.array(key, pa.int64()),
-             none(pa.binary()), none(pa.binary()), pa.array(first, pa.int32()), none(pa.int32()), none(pa.int32())], names=NAMES)
+             none(pa.binary()), none(pa.binary()), pa.array(first, pa.int32()), pa.array(witness.astype(np.int32)), none(pa.int32())], names=NAMES)
 
     def match_rows(cols: dict[str, np.ndarray], left: np.ndarray, right: np.ndarray, other: np.ndarray) -> pa.RecordBatch | None:
         hit = np.flatnonzero(right > 0)
@@ -328,9 +337,10 @@ def matches(docs: DataFrame) -> DataFrame:
     found = materialize(rows.mapInArrow(compare(True), FOUND), "matches")
     # at most 2 * EDGE suffixes a range: compared in the order of the ranges
     edges = found.filter("seq IS NOT NULL").repartition(1).sortWithinPartitions("seq").select(*[c.split()[0] for c in CONTEXT.split(", ")])
-    runs = found.filter("seq IS NULL AND start IS NULL").select(F.col("head").alias("run"), "doc_id", F.col("place").alias("start"))
-    shared = materialize(runs.groupBy("run").agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi"), "runs")
-    far = join_hot(runs, shared, "run", ["doc_id", "start"]).select(
+    runs = found.filter("seq IS NULL AND start IS NULL").select(F.col("head").alias("run"), "doc_id", F.col("place").alias("start"), F.col("n_after").alias("witness"))
+    shared = materialize(runs.groupBy("run").agg(F.sum(F.lit(1) - F.col("witness")).alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+                         .filter("lo < hi AND n > 0"), "runs")
+    far = join_hot(runs.filter("witness = 0").drop("witness"), shared, "run", ["doc_id", "start"]).select(
         "doc_id", "start", (F.col("start") + F.lit(MIN_WORDS)).cast("int").alias("end"), F.when(F.col("doc_id") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("other"))
     cols = ["doc_id", "start", "end", "other"]
     return (found.filter("seq IS NULL AND start IS NOT NULL").select(*cols)

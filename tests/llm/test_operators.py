@@ -167,6 +167,27 @@ def test_suffix_copies_far_apart_in_the_order(spark):
     assert got == want
 
 
+def test_suffix_copy_far_from_a_matched_pair(spark):
+    """Two exact copies match each other; a third text shares their fifty words with sixty texts between."""
+    rng = np.random.default_rng(6)
+    filler = lambda n: [f"f{x}" for x in rng.integers(0, 10**9, n)]
+    texts = []
+    for _ in range(3):
+        while True:
+            passage = filler(50)
+            h, _, _, woff = word_hashes(np.frombuffer(" ".join(passage).encode(), np.uint8), np.array([0, len(" ".join(passage))]))
+            place = int(suffix_dedup.kept_places(h, woff)[0])
+            if 22 <= place <= 28:
+                break
+        texts += [filler(40) + passage + filler(40)] + [filler(40) + passage + filler(40)] * 2
+        texts += [filler(60) + passage[place:] + filler(40) for _ in range(60)]
+    rows = [(i, " ".join(t), None, None, None, None, None) for i, t in enumerate(texts)]
+    want = {(i, x) for i, s in repeated_words(rows).items() for x in s}
+    got = {(r.doc_id, x) for r in suffix_dedup.repeated_passages(spark.createDataFrame(rows, DOCS)).collect()
+           for x in range(r.start_word, r.start_word + r.n_words)}
+    assert got == want
+
+
 def test_suffix_edges(spark, empty):
     assert suffix_dedup.repeated_passages(empty).count() == 0
     line = " ".join(f"w{i}" for i in range(60))
