@@ -1,4 +1,6 @@
 """The corpus pipeline, stage by stage, and the queries that have SQL."""
+import random
+
 import duckdb
 import pytest
 
@@ -33,6 +35,28 @@ def test_run_equals_the_stages(spark, sf001, stages):
     assert sorted(map(tuple, cp.run(spark, sf001).select(*key).collect())) == sorted(map(tuple, stages[-1].select(*key).collect()))
 
 
+def test_near_stage_equals_brute_force(spark):
+    """One document of each group of similarity 0.8 or more stays."""
+    rng = random.Random(8)
+    rows, sets = [], {}
+    for g in range(12):
+        base = [f"g{g}w{i}" for i in range(204)]
+        for edits in (0, 1, 3, 4, 5, 6, 7):        # 5 shingles an edit; links of 0.80 to 0.85 at 4
+            w = list(base)
+            for i in rng.sample(range(5, 195, 10), edits):
+                w[i] = f"e{rng.randrange(10**9)}"
+            sets[len(rows)] = {tuple(w[x:x + 5]) for x in range(len(w) - 4)}
+            rows.append((len(rows), " ".join(w)))
+    root = {i: i for i in sets}
+    for _ in sets:
+        for a in sets:
+            for b in sets:
+                if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    root[a] = root[b] = min(root[a], root[b])
+    kept = cp.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root.values()))
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_queries_equal_sql(spark, sf001, name):
     con = duckdb.connect()
