@@ -3,15 +3,18 @@
 A gear rolling hash runs over the bytes of a text (each byte's code is added
 to the hash shifted by one, kept to the last 16 bytes).  A cut is
 made after a byte whose hash is the largest within ``REACH`` bytes on both
-sides (the leftmost of equals), so cuts depend on nearby content alone: an
-insertion moves only the cuts next to it.  Chunks have variable length (about
-2 * REACH bytes).  The unit of comparison is a run of ``RUN`` consecutive chunks,
+sides, so cuts depend on nearby content alone: an insertion moves only the cuts
+next to it.  Chunks have variable length (about 2 * REACH bytes).  Text that
+repeats itself after at most REACH bytes (a word said over and over, lines of
+dashes) has equal largest hashes, one a period; there the first is a cut and
+then each that lies a fixed number of periods, over REACH bytes, further on.  The unit of comparison is a run of ``RUN`` consecutive chunks,
 taken at every cut and named by its digest, so that common phrases of a single
 chunk do not count.
 
 Runs whose digest occurs in two documents are repeats; overlapping runs of a
 document join into a span.  A span of at least ``MIN_BYTES`` bytes is reported
-with the place of its first occurrence (smallest id, then start); a passage of
+with the place of its first occurrence (smallest id, then start; runs of one
+digest that overlap or touch from there on are one occurrence); a passage of
 fifty words holds such a span, a repeated line does not.
 
 Plan: runs are counted by digest (partial counts before the shuffle); those of
@@ -78,12 +81,25 @@ def cut_places(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     right = window_max(h[::-1], REACH)[::-1]
     left = np.zeros(n, np.uint32)               # the largest of the REACH hashes before
     left[1:] = window_max(h, REACH - 1)[:-1]
-    top = (h == right) & (h > left)             # of equals the leftmost
+    top = (h == right) & (h >= left)
     at = np.flatnonzero(top)
     d = np.searchsorted(off, at, "right") - 1
     # the hash and both windows must lie inside the text
     ok = (at - off[d] >= WARM - 1 + REACH) & (off[d + 1] - at > REACH)
-    return at[ok] + 1
+    return thinned(at[ok]) + 1
+
+
+def thinned(at: np.ndarray) -> np.ndarray:
+    """Of places at equal steps of at most REACH bytes (equal hashes: the text
+    repeats itself) the first and each that lies a fixed number of steps, over
+    REACH bytes, after it; all other places."""
+    if len(at) < 2:
+        return at
+    step = np.diff(at, prepend=at[0] - REACH - 1)
+    start = np.flatnonzero((step > REACH) | (step != np.append(0, step[:-1])))
+    nth = np.arange(len(at)) - np.repeat(start, np.diff(np.append(start, len(at))))
+    every = np.where(step > REACH, 1, -(-(REACH + 1) // step))
+    return at[nth % every == 0]
 
 
 def runs_of(data: np.ndarray, off: np.ndarray, run: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -148,36 +164,38 @@ def text_runs(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, n
 
 
 def chunk_runs(docs: DataFrame) -> DataFrame:
-    """digest, doc_id, place: the runs of every document.  ``place`` holds the
-    first byte and the length: start * 2**20 + length."""
+    """digest, doc_id, start, length (bytes): the runs of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = text_buffers(batch.column(1))
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for d, a, b, g in text_runs(data, off):
-                fits = b - a < 1 << 20
-                d, a, b, g = d[fits], a[fits], b[fits], g[fits]
                 for x in range(0, len(d), 50_000):
                     y = x + 50_000
-                    yield pa.RecordBatch.from_arrays([pa.array(g[x:y].view(np.int64)), pa.array(ids[d[x:y]], pa.int64()), pa.array((a[x:y] << 20) | (b[x:y] - a[x:y]))],
-                                                     names=["digest", "doc_id", "place"])
+                    yield pa.RecordBatch.from_arrays([pa.array(g[x:y].view(np.int64)), pa.array(ids[d[x:y]], pa.int64()), pa.array(a[x:y]), pa.array(b[x:y] - a[x:y])],
+                                                     names=["digest", "doc_id", "start", "length"])
 
     return (docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-            .mapInArrow(run, "digest long, doc_id long, place long"))
+            .mapInArrow(run, "digest long, doc_id long, start long, length long"))
 
 
 def repeats(docs: DataFrame) -> DataFrame:
     """doc_id, start, end (bytes), first (whether this is the first place of
-    its digest), first_doc, first_start: every run that occurs in two documents."""
+    its digest), first_doc, first_start: every run that occurs in two documents.
+    In the first document, runs of the digest that overlap or touch one after
+    the other from the first place on are part of it."""
     twice = materialize(chunk_runs(docs).groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest"), "digests")
     marked = materialize(chunk_runs(docs).join(twice, "digest"), "runs")
-    place = F.struct("doc_id", "place")
-    first = marked.groupBy("digest").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).filter(F.col("lo.doc_id") != F.col("hi.doc_id")).select("digest", "lo")
-    start = lambda c: F.shiftright(c, 20).cast("long")
-    return marked.join(first, "digest").select(
-        "doc_id", start(F.col("place")).alias("start"), (start(F.col("place")) + F.col("place").bitwiseAND((1 << 20) - 1)).alias("end"),
-        (F.struct("doc_id", "place") == F.col("lo")).alias("first"), F.col("lo.doc_id").alias("first_doc"), start(F.col("lo.place")).alias("first_start"))
+    place = F.struct("doc_id", "start")
+    first = marked.groupBy("digest").agg(F.min(place).alias("lo"), F.max("doc_id").alias("hi")).filter(F.col("lo.doc_id") != F.col("hi")).select("digest", "lo")
+    runs = marked.join(first, "digest").select(
+        "digest", "doc_id", "start", (F.col("start") + F.col("length")).alias("end"), F.col("lo.doc_id").alias("first_doc"), F.col("lo.start").alias("first_start"))
+    # by document, as the spans are joined next
+    w = Window.partitionBy("doc_id", "digest").orderBy("start")
+    apart = F.when(F.lag("end").over(w) < F.col("start"), 1).otherwise(0)
+    return (runs.repartition("doc_id").withColumn("__apart", apart).withColumn("__apart", F.sum("__apart").over(w))
+            .select("doc_id", "start", "end", ((F.col("doc_id") == F.col("first_doc")) & (F.col("__apart") == 0)).alias("first"), "first_doc", "first_start"))
 
 
 def joined(runs: DataFrame, min_bytes: int) -> DataFrame:

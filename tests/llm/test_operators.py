@@ -225,6 +225,26 @@ def test_fifty_word_passages_hold_a_span():
     assert miss <= 2
 
 
+def test_chunk_spans_find_repeated_words(spark):
+    """A word or a sign said over and over, shared by two documents."""
+    rng = random.Random(11)
+    rows, cores = [], []
+    for core in ("Ating. " * 51, "dolor sit, " * 51, "-" * 400, "no " * 120, "abcdefghijklmno " * 51):
+        cores += [core] * 2
+        rows += [(len(rows) + k, prose(rng, 40) + "\n" + core + "\n" + prose(rng, 40), None, None, None, 0, None) for k in (0, 1)]
+    raw = ("x" * 50 + "Ating. " * 2000).encode()
+    assert np.diff(chunk_dedup.cut_places(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))).max() <= 64
+    df = spark.createDataFrame([(i, t, *[None] * 5) for i, t, *_ in rows], DOCS)
+    got = {r.doc_id: r for r in chunk_dedup.repeated_spans(df).collect()}
+    assert sorted(got) == list(range(len(rows)))
+    for i, core in enumerate(cores):
+        lo = rows[i][1].encode().index(core.encode())
+        assert lo <= got[i].start_byte + 1 and got[i].n_bytes >= len(core) - 96 and got[i].is_first == (i % 2 == 0)
+    left = {r.doc_id: r.text for r in chunk_dedup.drop_repeats(df).collect()}
+    for i in range(0, len(rows), 2):
+        assert left[i] == rows[i][1] and len(left[i + 1]) <= len(rows[i + 1][1]) - len(cores[i]) + 96
+
+
 def test_drop_repeats_keeps_first_and_columns(docs):
     out = chunk_dedup.drop_repeats(docs)
     assert out.columns == docs.columns
