@@ -13,7 +13,8 @@ also gets a copy of the first document of the range after it, and a task streams
 its range in order.  Texts are shuffled once.
 
 ``near_pairs`` joins signature bands in Spark and verifies the Jaccard
-similarity on full shingle sets; documents with equal fingerprints are one class.
+similarity on full shingle sets, of all pairs that share a band; documents with
+equal shingle sets are one class (by a 128-bit digest of the sorted set).
 
 Defined results: null text counts as empty; a text without words has the
 fingerprint of the empty set, which is like itself and unlike all others; null
@@ -39,6 +40,7 @@ PERMS = 64
 SEED = 20240229
 GROUP_CHARS = 1 << 20
 LONG = 1 << 20            # shingles of one document hashed at once
+BLOCK = 512               # members of a bucket in a block
 
 _RNG = np.random.default_rng(SEED)
 _A = _RNG.integers(0, 1 << 63, PERMS, dtype=U64) * U64(2) + U64(1)
@@ -173,36 +175,103 @@ def fingerprint_table(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, signature binary")
 
 
+def set_classes(docs: DataFrame) -> DataFrame:
+    """doc_id, digest (of the shingle set), signature: documents with shingles."""
+    from .near_dedup import shingle_sets
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, j, sets, so in shingle_sets(b.column(1), K):
+                sig, raw = minima(sets, so).astype("<u4"), sets.astype("<u8").tobytes()
+                some = np.flatnonzero(np.diff(so))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(i, j - i).take(pa.array(some)), pa.array([set_digest(raw[8 * so[d]:8 * so[d + 1]]) for d in some], pa.binary()),
+                     pa.array([sig[d].tobytes() for d in some], pa.binary())], names=["doc_id", "digest", "signature"])
+
+    return (docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+            .mapInArrow(run, "doc_id long, digest binary, signature binary"))
+
+
+def set_digest(raw: bytes) -> bytes:
+    return hashlib.blake2b(raw, digest_size=16).digest()
+
+
+def block_pairs(ids: np.ndarray, sets: list[np.ndarray], bands: np.ndarray, band: int, one: np.ndarray, two: np.ndarray, similarity: float) -> Iterator[tuple[int, int, float]]:
+    """(u, v, jaccard) of the pairs between the members ``one`` and ``two`` (of
+    one block: its pairs) that share no band before ``band``, so that a pair is
+    given by its first bucket only."""
+    same = one is two
+    values, place = np.unique(np.concatenate([sets[i] for i in two]), return_inverse=True)
+    owner = np.repeat(np.arange(len(two)), [len(sets[i]) for i in two])
+    order = np.argsort(place, kind="stable")
+    owner, bounds = owner[order], np.searchsorted(place[order], np.arange(len(values) + 1))
+    n = np.array([len(sets[i]) for i in two])
+    for x, i in enumerate(one):
+        s = sets[i]
+        at = np.minimum(np.searchsorted(values, s), len(values) - 1)
+        at = at[values[at] == s]
+        both = np.bincount(np.concatenate([owner[bounds[k]:bounds[k + 1]] for k in at] or [owner[:0]]), minlength=len(two))
+        jaccard = both / (len(s) + n - both)
+        good = jaccard >= similarity
+        if same:
+            good[:x + 1] = False
+        good &= ~(bands[two, :band] == bands[i, :band]).any(1)
+        for y in np.flatnonzero(good):
+            u, v = int(ids[i]), int(ids[two[y]])
+            if u != v:
+                yield min(u, v), max(u, v), float(jaccard[y])
+
+
 def near_pairs(docs: DataFrame, similarity: float = 0.8, rows: int = 4) -> DataFrame:
-    """u, v (u < v, one id for each class of equal fingerprints), jaccard: pairs
-    of similarity 0.8 or more that share a band of ``rows`` minima with a
-    bucket's smallest member, verified on full shingle sets.  Linear in the
-    size of a bucket."""
-    sig = materialize(fingerprint_table(docs).filter("doc_id IS NOT NULL"), "fingerprints")
-    reps = sig.groupBy("signature").agg(F.min("doc_id").alias("doc_id"))
-    empty = EMPTY.tobytes() * PERMS
-    size = 4 * rows
-    band = F.transform(F.sequence(F.lit(0), F.lit(PERMS // rows - 1)),
-                       lambda i: F.xxhash64(i, F.substring(F.col("signature"), i * size + 1, F.lit(size))))
-    keys = reps.filter(F.col("signature") != F.lit(bytearray(empty))).select("doc_id", F.explode(band).alias("band"))
-    heads = keys.groupBy("band").agg(F.min("doc_id").alias("u"), F.count("*").alias("n")).filter("n > 1")
-    pairs = materialize(keys.join(heads, "band").filter("doc_id <> u").select("u", F.col("doc_id").alias("v")).distinct(), "pairs")
+    """u, v (u < v, the smallest id for each class of equal shingle sets),
+    jaccard: all pairs of that similarity or more that share a band of ``rows``
+    minima, verified on full shingle sets.  A bucket's members are cut into
+    blocks of about ``BLOCK``; a task holds one pair of blocks."""
+    classes = materialize(set_classes(docs).groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature")), "classes")
+    size, n_bands = 4 * rows, PERMS // rows
+    band = F.transform(F.sequence(F.lit(0), F.lit(n_bands - 1)), lambda i: F.substring(F.col("signature"), i * size + 1, F.lit(size)))
+    keys = classes.select("digest", F.posexplode(band).alias("band", "key"))
+    heads = keys.groupBy("band", "key").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("nb"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    held = materialize(keys.join(heads, ["band", "key"]), "buckets")
     from .near_dedup import full_sets
-    ids = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
-    sets = materialize(full_sets(docs.join(ids, "doc_id", "left_semi"), K).dropDuplicates(["doc_id"]), "sets")
+    wanted = classes.join(held.select("digest").distinct(), "digest", "left_semi")
+    digest = F.udf(lambda raw: set_digest(bytes(raw)), "binary")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+    sets = full_sets(texts, K).select(digest("shingles").alias("digest"), "shingles").dropDuplicates(["digest"])
+    sets = materialize(sets.join(wanted, "digest"), "sets")
+    mine = F.pmod(F.xxhash64("digest"), F.col("nb")).cast("int")
+    # a member of block b is in the block pairs (a, b), a <= b, and (b, c), c > b
+    other = F.explode(F.sequence(F.lit(0), F.col("nb") - 1))
+    rows_ = (held.withColumn("mine", mine).withColumn("other", other)
+             .select("band", "key", F.least("mine", "other").alias("a"), F.greatest("mine", "other").alias("b"), (F.col("mine") <= F.col("other")).alias("left"), "digest"))
+    both = rows_.join(sets, "digest").select("band", "key", "a", "b", "left", "doc_id", "signature", "shingles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, group = None, []
+
+        def done() -> pa.RecordBatch:
+            band, _, a, b = at
+            ids, sets = np.array([r[1] for r in group]), [np.frombuffer(r[3], "<u8") for r in group]
+            sig = np.frombuffer(b"".join(r[2] for r in group), f"V{size}").reshape(len(group), -1)[:, :n_bands]
+            left = np.array([r[0] for r in group])
+            one = np.flatnonzero(left)
+            two = one if a == b else np.flatnonzero(~left)
+            found = list(block_pairs(ids, sets, sig, band, one, two, similarity)) if len(one) and len(two) else []
+            u, v, j = zip(*found, strict=True) if found else ((), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(j, pa.float64())], names=["u", "v", "jaccard"])
+
         for b in batches:
-            j = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                p, q = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                union = len(np.unique(np.concatenate((p, q))))
-                j.append((len(p) + len(q) - union) / union if union else 0.0)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(j, pa.float64())], names=["u", "v", "jaccard"])
-
-    s = lambda name, c: sets.select(F.col("doc_id").alias(name), F.col("shingles").alias(c))
-    both = pairs.join(s("v", "y"), "v").join(s("u", "x"), "u").select("u", "v", "x", "y")
-    return both.mapInArrow(run, "u long, v long, jaccard double").filter(F.col("jaccard") >= similarity)
+            for band, key, x, y, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (band, key, x, y) != at:
+                    if group:
+                        yield done()
+                    at, group = (band, key, x, y), []
+                group.append(row)
+        if group:
+            yield done()
+
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return both.repartition(n, "band", "key", "a", "b").sortWithinPartitions("band", "key", "a", "b").mapInArrow(run, "u long, v long, jaccard double")
 
 
 __all__ = ["fingerprint_edits", "fingerprint_table", "fingerprints_of", "near_pairs", "mix64"]

@@ -302,6 +302,30 @@ def test_near_pairs_are_verified(docs):
         assert r.jaccard == pytest.approx(len(a & b) / len(a | b)) and r.jaccard >= 0.8
 
 
+def test_near_pairs_are_complete(spark, monkeypatch):
+    """All pairs of similarity 0.9 or more; the smallest id of a family is like few of the others."""
+    monkeypatch.setattr(fingerprints, "BLOCK", 4)
+    rng, rows = random.Random(12), []
+    for g in range(10):
+        base = [f"g{g}w{i}" for i in range(200)]
+        far = base[:110] + [f"o{rng.randrange(10**9)}" for _ in range(90)]      # shares bands, is like none
+        rows.append((len(rows), " ".join(far), *[None] * 5))
+        for k in range(9):
+            w = list(base)
+            for _ in range(k % 3):
+                w[rng.randrange(200)] = f"e{rng.randrange(10**9)}"
+            rows.append((len(rows), " ".join(w), *[None] * 5))
+    sets = {i: frozenset(tuple(w[x:x + 5]) for x in range(len(w) - 4)) for i, t, *_ in rows if (w := t.split())}
+    first = {}
+    for i, s in sets.items():
+        first.setdefault(s, i)
+    reps = sorted(first.values())
+    jac = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    want = {(a, b) for a in reps for b in reps if a < b and jac(a, b) >= 0.9}
+    got = [(r.u, r.v) for r in fingerprints.near_pairs(spark.createDataFrame(rows, DOCS).repartition(4), similarity=0.9).collect()]
+    assert len(want) > 50 and sorted(got) == sorted(want)
+
+
 # ---------------------------------------------------------------- urls
 
 def test_host_path_rules_and_words():
