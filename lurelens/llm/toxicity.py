@@ -11,7 +11,8 @@ Matching.  One deterministic automaton is built, as far as the words need it,
 as the product of the lexicon's trie with Levenshtein automata: a state is the
 set of (trie node, edits so far).  Words of five or more letters may differ
 from a term by one edit (a swap of neighbours counts as one), ten or more by
-two; shorter terms and learned terms must match exactly, the first letter always.
+two, learned whole words as seeds; shorter terms and word starts must match
+exactly, the first letter always.
 Words that clean training documents use are no misspellings.  Look-alike digits
 and signs are read as letters where a word has no match as it stands.
 
@@ -248,8 +249,9 @@ def held_out(doc_id="doc_id", folds: int = FOLDS):
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(folds)) == 0, F.lit(False))
 
 
-def learn_terms(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[str, float, bool]], DataFrame | None]:
-    """(term, weight, is a word start) learned from the labelled rows of the
+def learn_terms(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[str, float, bool | None]], DataFrame | None]:
+    """(term, weight, is a word start; None for a whole word that a learned word
+    start covers) learned from the labelled rows of the
     training folds, and the counts of all their terms.  What reaches the driver is at most ``MAX_TERMS`` rows and
     two totals; the sampled labels (``TRAIN_ROWS`` at most) are broadcast."""
     lab = (labels.select(F.col("doc_id").alias("__id"), F.col("toxic").cast("int").alias("toxic"))
@@ -276,12 +278,14 @@ def learn_terms(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[str, flo
     gain = 2 * (part(t, n_t / (n_t + n_c)) + part(c, n_c / (n_t + n_c)))
     best = (per.withColumn("odds", odds).withColumn("gain", gain).filter((F.col("gain") >= MIN_GAIN) & (F.col("odds") >= MIN_ODDS))
             .orderBy(F.col("gain").desc(), F.length("term"), "term").limit(MAX_TERMS).collect())
-    # a term inside a broader start of no lower odds adds nothing
-    out: list[tuple[str, float, bool]] = []
+    # a start inside a broader start of no lower odds adds nothing, a whole word its misspellings
+    out: list[tuple[str, float, bool | None]] = []
     have: dict[str, float] = {}
     for r in sorted(best, key=lambda r: (len(r["term"].rstrip("*")), r["term"])):
         t, start = r["term"].rstrip("*"), r["term"].endswith("*")
         if any(have.get(t[:k], -1e9) >= r["odds"] - 1.5 for k in range(4, len(t) + (not start))):
+            if not start:
+                out.append((t, min(float(r["odds"]), MAX_ODDS), None))
             continue
         if start:
             have[t] = r["odds"]
@@ -306,19 +310,20 @@ def ordinary_words(per: DataFrame | None, terms: list[tuple[str, float, int, boo
     return [r["term"] for r in found.collect()]
 
 
-def lexicon(learned: list[tuple[str, float, bool]]) -> list[tuple[str, float, int, bool]]:
-    """(term, weight, edits, is a start) of the learned terms and the seeds."""
+def lexicon(learned: list[tuple[str, float, bool | None]]) -> list[tuple[str, float, int, bool]]:
+    """(term, weight, edits, is a start) of the learned terms and the seeds.
+    Whole words may be misspelled, word starts not."""
     out = {t: (t, SEED_WEIGHT, allowed_edits(len(t)), False) for t in SEED}
-    words = {t for t, _, start in learned if not start}
+    words = {t for t, _, start in learned if start is False}
     for t, w, start in learned:
         if t in out:
-            out[t] = (t, max(w, SEED_WEIGHT), out[t][2], out[t][3])
+            out[t] = (t, max(w, out[t][1]), max(out[t][2], 0 if start else allowed_edits(len(t))), out[t][3] or (bool(start) and t not in SEED))
         elif start:
             # the start of a seed or of a learned whole word is that word's business
             if not any(x.startswith(t) for x in (*SEED, *words)):
                 out[t] = (t, w, 0, True)
         else:
-            out[t] = (t, w, 0, False)
+            out[t] = (t, w, allowed_edits(len(t)), False)
     return list(out.values())
 
 

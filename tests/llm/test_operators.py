@@ -437,6 +437,19 @@ def test_toxicity_learns_and_holds_out(spark, empty):
     assert toxicity.toxicity(empty, lab).count() == 0 and toxicity.toxicity(docs, lab.limit(0)).count() == 402
 
 
+def test_learned_words_may_be_misspelled(spark):
+    rng = random.Random(14)
+    rows = [(i, prose(rng, 60) + (" grumfelder " if i % 4 == 0 else " grünkohl " if i % 4 == 1 else " ") + f"{rng.randrange(16**12):012x}", *[None] * 5)
+            for i in range(400)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0), 1) for i in range(400)], "doc_id long, toxic int, quality int")
+    terms, ordinary = toxicity.fit(spark.createDataFrame(rows, DOCS), labels)
+    m = toxicity.Matcher(terms, ordinary)
+    assert dict((t, e) for t, _, e, _ in terms)["grumfelder"] == 2
+    for w in ("grumfelder", "grmufelder", "grunfelder", "grumfeldr", "grmfeldder"):
+        assert m.match(w), w
+    assert not m.match("grünkohl") and not any(m.match(w) for w in words(rows[1][1]))
+
+
 # ---------------------------------------------------------------- packing and token counts
 
 def test_packing_round_trip(docs):
