@@ -11,7 +11,9 @@ Native: DataFrame functions only.
   repeated for a second epoch; cut into blocks of ``block_words`` words.
 * Schedule: slot i holds the golden-ratio point frac(i / phi), in integers
   modulo 2**31, mapped through the sources' cumulative shares; the r-th slot of
-  a source takes its r-th block.  The last block stops at the target.
+  a source takes its r-th block.  The last block stops at the target.  The
+  points miss some blocks, more on large tables; with ``fill`` these take the
+  slots that other sources have left over, so each source reaches its target.
 
 Scale: texts are read once for word counts (written once, ids and counts only).
 Word offsets and slot ranks are taken in two levels (4096 md5 buckets a source,
@@ -107,6 +109,23 @@ def slots(shares: DataFrame, n: int) -> DataFrame:
             .select("slot", "sidx", (F.col("__before") + F.col("__r") - 1).cast("long").alias("block")))
 
 
+def filled(taken: DataFrame, shares: DataFrame) -> DataFrame:
+    """The slots with those past a source's last block given to the blocks that
+    have none, in the order of sources.  There are as many slots as blocks, so
+    every block has its slot."""
+    taken = materialize(taken, "slots")
+    per = (shares.select("sidx", "blocks").join(taken.groupBy("sidx").agg(F.count("*").alias("n")), "sidx", "left")
+           .withColumn("n", F.coalesce("n", F.lit(0))))
+    before = Window.orderBy("sidx").rowsBetween(Window.unboundedPreceding, -1)
+    so_far = lambda c: F.coalesce(F.sum(F.greatest(c, F.lit(0))).over(before), F.lit(0))
+    per = materialize(per.withColumn("__spare", so_far(F.col("n") - F.col("blocks"))).withColumn("__need", so_far(F.col("blocks") - F.col("n"))), "slot-counts")
+    all_ = taken.join(per, "sidx")
+    spare = all_.filter("block >= blocks").select("slot", (F.col("__spare") + F.col("block") - F.col("blocks")).alias("__nth"))
+    need = (per.filter("n < blocks").withColumn("block", F.explode(F.sequence(F.col("n"), F.col("blocks") - 1)))
+            .select("sidx", F.col("block").cast("long").alias("block"), (F.col("__need") + F.col("block") - F.col("n")).alias("__nth")))
+    return all_.filter("block < blocks").select("slot", "sidx", "block").unionByName(spare.join(need, "__nth").select("slot", "sidx", "block"))
+
+
 def stream_offsets(sizes: DataFrame) -> DataFrame:
     """Adds ``pos``: the first word of each document (of one word at least) in
     its source's stream."""
@@ -129,8 +148,8 @@ class Mix:
     words taken of every document."""
 
     def __init__(self, docs: DataFrame, keep: tuple[str, ...] = (), share: float = SHARE, max_epochs: int = MAX_EPOCHS,
-                 weights: tuple[int, ...] = WEIGHTS, block_words: int = BLOCK_WORDS) -> None:
-        self.block_words, self.max_epochs = block_words, max_epochs
+                 weights: tuple[int, ...] = WEIGHTS, block_words: int = BLOCK_WORDS, fill: bool = False) -> None:
+        self.block_words, self.max_epochs, self.fill = block_words, max_epochs, fill
         sizes = materialize(document_sizes(docs, *keep), "sizes")
         self.shares = materialize(with_shares(source_targets(sizes, share, max_epochs, weights), block_words), "shares")
         one = self.shares.agg(F.count("*").alias("n"), F.max("total_blocks").alias("blocks")).first()
@@ -156,7 +175,8 @@ class Mix:
     def schedule(self) -> DataFrame:
         """slot, sidx, block, pos, epoch, doc_id, start, length: the mixed
         order; the words of a slot are its rows by (epoch, pos)."""
-        return slots(self._small(self.shares), self.n_slots).join(self.pieces(), ["sidx", "block"])
+        taken = slots(self._small(self.shares), self.n_slots)
+        return (filled(taken, self.shares) if self.fill else taken).join(self.pieces(), ["sidx", "block"])
 
     def taken(self) -> DataFrame:
         """``documents`` and ``taken``: words of each in the mix, repeats counted."""

@@ -5,6 +5,7 @@ import duckdb
 import pytest
 
 import corpus_pipeline as cp
+from lurelens.llm import mixing
 from lurelens.llm.common import materialize
 from lurelens.llm.queries import ORACLES, QUERIES
 
@@ -57,6 +58,19 @@ def test_near_stage_equals_brute_force(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root.values()))
 
 
+def test_mixing_stage_reaches_every_target(spark):
+    rng = random.Random(9)
+    rows = [(i, " ".join(["w"] * rng.choice([20, 90, 300, 2000])), f"s{i % 40:02}" if i % 7 else None) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    target, plain, got = {}, {}, {}
+    for r in mixing.mix_documents(docs).collect():
+        target[r.source], plain[r.source] = int(r.target), plain.get(r.source, 0) + r.taken
+    assert plain != target                         # the points alone miss blocks
+    for r in cp.mix_sources(spark, docs, "").collect():
+        got[r.source] = got.get(r.source, 0) + len(r.text.split())
+    assert got == target
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_queries_equal_sql(spark, sf001, name):
     con = duckdb.connect()
