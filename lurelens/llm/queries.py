@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunk_dedup, embedding_dedup, fingerprints, mixing, near_dedup, packing, suffix_dedup, token_counts, toxicity, url_filter
+from . import chunk_dedup, decontamination, embedding_dedup, fingerprints, mixing, near_dedup, packing, suffix_dedup, token_counts, toxicity, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,6 +71,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items in every document."""
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -82,9 +87,11 @@ QUERIES: dict[str, Query] = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_chunk_dedup": op9_chunk_dedup,
     "op10_token_counts": op10_token_counts,
+    "op11_decontamination": op11_decontamination,
 }
 
 ORACLES: dict[str, str] = {
     "op1_mixing": mixing.ORACLE,
     "op4_url_filter": url_filter.oracle(),
+    "op11_decontamination": decontamination.ORACLE,
 }
