@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunk_dedup, decontamination, embedding_dedup, fingerprints, mixing, near_dedup, packing, suffix_dedup, token_counts, toxicity, url_filter, vector_codes
+from . import chunk_dedup, decontamination, embedding_dedup, fingerprints, mixing, near_dedup, packing, spelling, suffix_dedup, token_counts, toxicity, url_filter, vector_codes
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,6 +76,11 @@ def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants of all documents' words."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes of all embeddings."""
     return vector_codes.compress(table(spark, sf_dir, "embeddings"))
@@ -93,6 +98,7 @@ QUERIES: dict[str, Query] = {
     "op9_chunk_dedup": op9_chunk_dedup,
     "op10_token_counts": op10_token_counts,
     "op11_decontamination": op11_decontamination,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_vector_codes": op13_vector_codes,
 }
 
