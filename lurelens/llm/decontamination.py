@@ -42,8 +42,10 @@ from .common import materialize
 
 WINDOW = 10
 LISTS = 2
-#: Fixed: what is no word, as a pattern that Java and RE2 read alike.
-WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Fixed: what is a word, after A-Z are lower-cased (the complement of
+#: [\x00-\x2F\x3A-\x60\x7B-\x7F]; Java matches the complement of a union of
+#: ranges fourteen times slower).
+WORDS = r"[0-9a-z\x{80}-\x{10FFFF}]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _KEY = ["_id", "_h"]
 
@@ -101,7 +103,10 @@ def rarest(wins: DataFrame, index: DataFrame, lists: int) -> DataFrame:
 def candidates(index: DataFrame, wins: DataFrame, lists: int = LISTS) -> DataFrame:
     """_id, _h, win, start: where all of a window's rarest terms stand as far
     from each other as in the window."""
-    at = index.join(rarest(wins, index, lists), "term").select(
+    rare = materialize(rarest(wins, index, lists), "rare-terms")
+    # most postings are of other terms: they go before the join that multiplies rows
+    lists_of = index.join(rare.select("term").distinct(), "term", "left_semi")
+    at = lists_of.join(rare, "term").select(
         *_KEY, "wid", (F.col("pos") - F.col("off")).alias("start"), "rank", "need").filter("start >= 0")
     both = at.groupBy(*_KEY, "wid", "start").agg(F.expr("bit_or(1 << (rank - 1))").alias("lists"), F.min("need").alias("need"))
     return both.filter("lists + 1 >= 1 << need").select(*_KEY, "wid", "start").join(wins.select("wid", "win").distinct(), "wid").drop("wid")
