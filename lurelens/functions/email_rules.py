@@ -72,37 +72,54 @@ def sender_domain(sender: Column) -> Column:
     return F.when(sender.contains("@"), F.lower(F.get(F.split(sender, "@"), 1)))
 
 
-def analyze_emails(df: DataFrame, e: EmailCols, suspicious_urls: Column, tabular_p: Column | None = None,
-                   text_p: Column | None = None, error: Column | None = None) -> DataFrame:
-    """M9-M14 (M16): adds risk_score, risk_level, risk_factors, ml_prediction,
-    ml_confidence, is_legitimate, bypassed_indicators (and error).
-
-    Values used by several rules (lower-cased text, indicators, legitimacy
-    reason, raw score) are staged in their own projection, so each is computed
-    once per row and every projection stays small enough for generated code."""
-    t = "__e_"
-    df = df.withColumns({t + "ft": full_text_lower(e), t + "sl": F.lower(e.sender),
-                         t + "dom": sender_domain(e.sender), t + "nsusp": suspicious_urls,
-                         t + "err": error if error is not None else F.lit(None).cast("string")})
-    ft, sl, dom, n = (F.col(t + k) for k in ("ft", "sl", "dom", "nsusp"))
+STAGE = "__e_"
+
+
+def _brand_checks() -> list[tuple[str, str]]:
+    return [(b, d) for b in lx.MAJOR_BRANDS if (d := lx.MAJOR_BRAND_DOMAINS.get(b, ""))]
+
+
+def stage_email_rules(df: DataFrame, e: EmailCols) -> DataFrame:
+    """What the rules M3-M12 read from subject, body and sender, as columns
+    ``__e_*`` (indicator, legitimacy reason, bypass, sender domain, brands named
+    by a free sender); ``score_staged_emails`` needs no text any more.
+
+    Values used by several rules are staged in their own projection, so each is
+    computed once per row and every projection stays small enough for generated
+    code."""
+    t = STAGE
+    df = df.withColumns({t + "ft": full_text_lower(e), t + "sl": F.lower(e.sender), t + "dom": sender_domain(e.sender)})
+    ft, sl, dom = (F.col(t + k) for k in ("ft", "sl", "dom"))
     df = df.withColumn(t + "ind", has_phishing_indicators(f"`{t}ft`"))
-    ind = F.col(t + "ind")
     df = df.withColumns({t + "reason": legitimacy_reason(f"`{t}ft`", f"`{t}sl`", f"`{t}ind`"),
                          t + "ieee": sl.contains(lx.IEEE_WORD) | ft.contains(lx.IEEE_WORD)})
-    reason = F.col(t + "reason")
-    bypass = reason.isNotNull() | F.col(t + "ieee")
+    free = F.coalesce(dom.isin(*lx.FREE_SENDER_DOMAINS), F.lit(False))
+    brands = [free & ft.contains(brand) & ~dom.contains(expected) for brand, expected in _brand_checks()]
+    return df.withColumns({t + "bypass": F.col(t + "reason").isNotNull() | F.col(t + "ieee"),
+                           t + "brands": F.array(*brands)}).drop(t + "ft", t + "sl", t + "ieee")
+
+
+def analyze_emails(df: DataFrame, e: EmailCols, suspicious_urls: Column, tabular_p: Column | None = None,
+                   text_p: Column | None = None, error: Column | None = None) -> DataFrame:
+    """M9-M14 (M16): adds risk_score, risk_level, risk_factors, ml_prediction,
+    ml_confidence, is_legitimate, bypassed_indicators (and error)."""
+    return score_staged_emails(stage_email_rules(df, e), suspicious_urls, tabular_p, text_p, error)
+
+
+def score_staged_emails(df: DataFrame, suspicious_urls: Column, tabular_p: Column | None = None,
+                        text_p: Column | None = None, error: Column | None = None) -> DataFrame:
+    """The scoring half of ``analyze_emails``, over ``stage_email_rules``."""
+    t = STAGE
+    df = df.withColumns({t + "nsusp": suspicious_urls, t + "err": error if error is not None else F.lit(None).cast("string")})
+    dom, n, ind, reason, bypass = (F.col(t + k) for k in ("dom", "nsusp", "ind", "reason", "bypass"))
 
     score: Column = F.lit(0.0) + F.when(ind, F.lit(EW["strong_indicator"])).otherwise(F.lit(0.0))
     reasons = [F.when(ind, F.lit(lx.MSG["strong"]))]
     score = score + F.when(n > 0, F.least(n.cast("double") * F.lit(EW["suspicious_url_each"]),
                                            F.lit(EW["suspicious_url_cap"]))).otherwise(F.lit(0.0))
     reasons.append(F.when(n > 0, fmt(lx.MSG["suspicious_urls"], n)))
-    free = F.coalesce(dom.isin(*lx.FREE_SENDER_DOMAINS), F.lit(False))
-    for brand in lx.MAJOR_BRANDS:
-        expected = lx.MAJOR_BRAND_DOMAINS.get(brand, "")
-        if not expected:
-            continue
-        c = free & ft.contains(brand) & ~dom.contains(expected)
+    for i, (brand, _) in enumerate(_brand_checks()):
+        c = F.get(F.col(t + "brands"), i)
         score = score + F.when(c, F.lit(EW["brand_from_free_mail"])).otherwise(F.lit(0.0))
         reasons.append(F.when(c, fmt(lx.MSG["brand_free_mail"], F.lit(brand.title()), dom)))
 
@@ -128,8 +145,8 @@ def analyze_emails(df: DataFrame, e: EmailCols, suspicious_urls: Column, tabular
                               F.when(up, fmt(lx.MSG["text_phishing"], pct1(text_p)))
                               .otherwise(fmt(lx.MSG["text_legit"], pct1(F.lit(1.0) - text_p)))))
     df = df.withColumns({t + "score": F.least(score, F.lit(1.0)), t + "reasons": compact(reasons),
-                         t + "bypass": bypass, t + "mlp": ml_pred, t + "mlc": ml_conf})
-    score, bypass = F.col(t + "score"), F.col(t + "bypass")
+                         t + "mlp": ml_pred, t + "mlc": ml_conf})
+    score = F.col(t + "score")
     df = df.withColumn(t + "lvl", level(score, lx.EMAIL_LEVELS))
     lvl = F.col(t + "lvl")
     head = (F.when((lvl == "SAFE") & (score < EW["headline_safe_below"]), F.lit(lx.MSG["head_safe"]))

@@ -25,6 +25,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .text import sql_lit
+
 SCHEME_RE = r"^([A-Za-z][A-Za-z0-9+.\-]*):"
 NETLOC_RE = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)"
 PATH_RE = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/?#]*)?([^?#]*)"
@@ -34,7 +36,6 @@ LEADING_JUNK_RE = r"^[\x{00}-\x{20}]+"
 UNSAFE_RE = r"[\t\r\n]"
 
 
-
 def _ipv6_re() -> str:
     """An IPv6 address: eight groups, or fewer around one ``::``; the last two
     may be an IPv4 address; an optional ``%scope``."""
@@ -60,6 +61,19 @@ def _bad_netloc_re() -> str:
 #: Found in a netloc that ``urlparse`` refuses.
 BAD_NETLOC_RE = _bad_netloc_re()
 
+
+def bad_netloc_sql(netloc: str) -> str:
+    """Whether ``urlparse`` refuses the netloc.  Only one with a bracket or a
+    character beyond ASCII can be refused; the pattern is not run on others."""
+    return (f"((contains({netloc}, '[') OR contains({netloc}, ']') OR octet_length({netloc}) <> length({netloc})) "
+            f"AND {netloc} RLIKE {sql_lit(BAD_NETLOC_RE)})")
+
+
+def bad_netloc(netloc: Column) -> Column:
+    return ((netloc.contains("[") | netloc.contains("]") | (F.octet_length(netloc) != F.length(netloc)))
+            & netloc.rlike(BAD_NETLOC_RE))
+
+
 # FIXED VALUES: schemes whose last path segment may carry ";params".
 PARAM_SCHEMES = (
     "", "ftp", "hdl", "prospero", "http", "imap", "https", "shttp", "rtsp",
@@ -96,16 +110,17 @@ class UrlParts:
 
     @property
     def parse_error(self) -> Column:
-        return self.netloc.rlike(BAD_NETLOC_RE)
+        return bad_netloc(self.netloc)
 
 
 def _prepared(url: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(url, UNSAFE_RE, ""), LEADING_JUNK_RE, "")
 
 
-def part_columns(url: Column) -> dict[str, Column]:
-    """The expressions of every part, keyed by name."""
-    p = _prepared(url)
+def part_columns(url: Column, prepared: Column | None = None) -> dict[str, Column]:
+    """The expressions of every part, keyed by name.  ``prepared``: the URL
+    without what parsing ignores, if staged."""
+    p = _prepared(url) if prepared is None else prepared
     scheme = F.lower(F.regexp_extract(p, SCHEME_RE, 1))
     raw_path = F.regexp_extract(p, PATH_RE, 1)
     path = F.when(scheme.isin(*PARAM_SCHEMES), F.regexp_replace(raw_path, PARAMS_RE, "")).otherwise(raw_path)
@@ -122,13 +137,25 @@ def inline_parts(url: Column) -> UrlParts:
     return UrlParts(**part_columns(url))
 
 
-def parts_struct(url: Column) -> Column:
-    """All parts as one struct (used to compute them once inside a lambda)."""
-    return F.struct(*[c.alias(k) for k, c in part_columns(url).items()])
+def parts_array_sql(urls: str, **more: str) -> str:
+    """Structs (url, ul, netloc, path, query) of the URLs of an array, as SQL:
+    each URL is cleaned and parsed once, in two steps.  ``more``: further fields
+    by name, over ``p.url``."""
+    clean = f"regexp_replace(regexp_replace(u, {sql_lit(UNSAFE_RE)}, ''), {sql_lit(LEADING_JUNK_RE)}, '')"
+    scheme = f"lower(regexp_extract(p.clean, {sql_lit(SCHEME_RE)}, 1))"
+    raw_path = f"regexp_extract(p.clean, {sql_lit(PATH_RE)}, 1)"
+    schemes = ", ".join(sql_lit(x) for x in PARAM_SCHEMES)
+    path = f"CASE WHEN {scheme} IN ({schemes}) THEN regexp_replace({raw_path}, {sql_lit(PARAMS_RE)}, '') ELSE {raw_path} END"
+    fields = {"url": "p.url", "ul": "p.ul", "netloc": f"regexp_extract(p.clean, {sql_lit(NETLOC_RE)}, 1)", "path": path,
+              "query": f"regexp_extract(p.clean, {sql_lit(QUERY_RE)}, 1)", **more}
+    return (f"transform(transform({urls}, u -> named_struct('url', u, 'ul', lower(u), 'clean', {clean})), "
+            f"p -> named_struct({', '.join(f'{sql_lit(k)}, {v}' for k, v in fields.items())}))")
 
 
-def parts_of_struct(s: Column) -> UrlParts:
-    return UrlParts(url=s["url"], ul=s["ul"], netloc=s["netloc"], path=s["path"], query=s["query"])
+def hosts_array_sql(urls: str) -> str:
+    """Structs (ul, netloc) of the URLs of an array, as SQL."""
+    clean = f"regexp_replace(regexp_replace(u, {sql_lit(UNSAFE_RE)}, ''), {sql_lit(LEADING_JUNK_RE)}, '')"
+    return f"transform({urls}, u -> named_struct('ul', lower(u), 'netloc', regexp_extract({clean}, {sql_lit(NETLOC_RE)}, 1)))"
 
 
 STAGE_PREFIX = "__u_"
@@ -136,8 +163,9 @@ STAGE_PREFIX = "__u_"
 
 def stage_parts(df: DataFrame, url_col: str) -> tuple[DataFrame, UrlParts, list[str]]:
     """Adds the parts as columns once (a separate projection), returns handles."""
-    cols = {STAGE_PREFIX + k: c for k, c in part_columns(F.col(url_col)).items() if k != "url"}
-    staged = df.withColumns(cols)
+    clean = STAGE_PREFIX + "clean"
+    cols = {STAGE_PREFIX + k: c for k, c in part_columns(F.col(url_col), F.col(clean)).items() if k != "url"}
+    staged = df.withColumn(clean, _prepared(F.col(url_col))).withColumns(cols).drop(clean)
     handles = UrlParts(url=F.col(url_col), **{k[len(STAGE_PREFIX):]: F.col(k) for k in cols},
                        ul_ref=f"`{STAGE_PREFIX}ul`", url_ref=f"`{url_col}`")
     return staged, handles, list(cols)

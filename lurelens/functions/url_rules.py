@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from . import lexicons as lx
 from .text import compact, contains_any, count_sub, first_hit, sql_any, sql_first, sql_lit
-from .url_parts import BAD_NETLOC_RE, UrlParts
+from .url_parts import UrlParts, bad_netloc_sql
 
 W = lx.URL_WEIGHTS
 
@@ -234,22 +234,12 @@ def finish_analysis(score: Column, factors: Column, err: Column, tabular_p: Colu
     }
 
 
-def url_analysis_struct(p: UrlParts) -> Column:
-    """Rule-only analysis of one URL as a struct, for use inside ``transform``.
-
-    Callers pass a URL whose parts were computed once (``parts_of_struct``);
-    the rule values and the score are nested structs so each is evaluated
-    once per URL."""
-    return F.struct(p.url.alias("url"), url_error(p).alias("error"),
-                    F.struct(*[c.alias(k) for k, c in rule_values(p).items()]).alias("rules"))
-
-
 def url_analysis_array_sql(parts_col: str, var: str = "s") -> str:
     """``transform`` over an array of part structs (url, ul, netloc, ...)
     giving (url, error, rules) structs, as one SQL expression."""
     u, ul, net = f"{var}.url", f"{var}.ul", f"{var}.netloc"
     err = (f"CASE WHEN {u} IS NULL OR {u} = '' THEN {sql_lit(lx.MSG['invalid_url'])} "
-           f"WHEN {net} RLIKE {sql_lit(BAD_NETLOC_RE)} "
+           f"WHEN {bad_netloc_sql(net)} "
            f"THEN {sql_lit(lx.MSG['url_error'].format(lx.MSG['parse_error']))} END")
     rules = ", ".join(f"{sql_lit(k)}, {v}" for k, v in rule_values_sql(ul, u).items())
     return (f"transform(`{parts_col}`, {var} -> named_struct('url', {u}, 'error', {err}, "
@@ -257,7 +247,7 @@ def url_analysis_array_sql(parts_col: str, var: str = "s") -> str:
 
 
 def finish_url_struct(s: Column) -> Column:
-    """Second step of ``url_analysis_struct``: score, level, reasons."""
+    """Second step of ``url_analysis_array_sql``: score, level, reasons."""
     a = analysis_from_rules(rules_of(lambda k: s["rules"][k]))
     return F.struct(s["url"].alias("url"), s["error"].alias("error"), a["score"].alias("score"),
                     a["factors"].alias("factors"))

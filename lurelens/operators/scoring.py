@@ -19,10 +19,9 @@ from ..functions.manifest import ALL_FEATURES, EMAIL_FEATURES, URL_FEATURES
 from ..functions.text import level
 from ..functions import lexicons as lx
 from ..functions.url_features import with_url_features
-from ..functions.url_parts import parts_of_struct, parts_struct, stage_parts
+from ..functions.url_parts import parts_array_sql, stage_parts
 from ..functions.url_rules import (analysis_from_rules, final_url_struct, finish_analysis, finish_url_struct,
-                                   rule_values, rules_of, url_analysis_array_sql, url_analysis_struct, url_error,
-                                   url_rule_columns)
+                                   rule_values, rules_of, url_analysis_array_sql, url_error, url_rule_columns)
 
 ANALYSIS_COLS = ("risk_score", "risk_level", "risk_factors", "ml_prediction", "ml_confidence", "error")
 
@@ -77,31 +76,43 @@ def combined_features(df: DataFrame, reference_year: int | None = None, **names)
     """21 email features + 40 URL-feature means over the body URLs +
     URL counts, in manifest order (63 columns, missing values 0)."""
     e = _emails(df, **names)
-    tmp_urls, tmp_feats = "__c_urls", "__c_feats"
+    tmp_urls, tmp_feats, tmp_sums = "__c_urls", "__c_feats", "__c_sums"
     staged, h, tmp_text = stage_email_text(df, e)
     staged = staged.withColumn(tmp_urls, cb.body_urls(e.body))
     staged = staged.withColumn(tmp_feats, cb.url_feature_array(tmp_urls, reference_year))
-    feats = F.col(tmp_feats)
+    staged = staged.withColumn(tmp_sums, cb.url_feature_sums(tmp_feats))
     cols = dict(email_feature_columns(e, **h))
-    cols.update(cb.url_feature_means(tmp_feats))
-    cols["total_urls_in_email"] = F.size(feats)
-    cols["suspicious_url_count"] = F.size(F.filter(
-        feats, lambda s: (s["has_suspicious_tld"] == 1) | (s["has_ip_address"] == 1)))
+    cols.update(cb.url_feature_means(F.col(tmp_sums), F.size(tmp_feats)))
+    cols["total_urls_in_email"] = F.size(tmp_feats)
+    cols["suspicious_url_count"] = cb.suspicious_features(tmp_feats)
     cols = {k: cols[k] for k in ALL_FEATURES}
-    return staged.withColumns(cols).drop(tmp_urls, tmp_feats, *tmp_text)
+    return staged.withColumns(cols).drop(tmp_urls, tmp_feats, tmp_sums, *tmp_text)
 
 
 def score_emails(df: DataFrame, tabular_prob=None, text_prob=None, **names) -> DataFrame:
     """Rule-based analysis of every email row (M1-M14, optional B4/B5)."""
     e = _emails(df, **names)
-    tmp = "__m_urls"
-    staged = df.withColumn(tmp, cb.body_urls(e.body))
-    urls = F.col(tmp)
-    err = F.when(cb.any_parse_error(tmp), F.lit(lx.MSG["url_error"].format(lx.MSG["parse_error"])))
-    out = analyze_emails(staged, e, cb.suspicious_url_count(tmp),
+    tmp, hosts = "__m_urls", "__m_hosts"
+    staged = df.withColumn(tmp, cb.body_urls(e.body)).withColumn(hosts, cb.body_hosts(tmp))
+    out = analyze_emails(staged, e, cb.suspicious_hosts(hosts),
                          None if tabular_prob is None else _col(tabular_prob),
-                         None if text_prob is None else _col(text_prob), error=err)
-    return out.drop(tmp)
+                         None if text_prob is None else _col(text_prob), error=mail_error(cb.any_parse_error(hosts)))
+    return out.drop(tmp, hosts)
+
+
+def mail_error(refused: Column) -> Column:
+    """Error of a mail of which a body URL cannot be parsed."""
+    return F.when(refused, F.lit(lx.MSG["url_error"].format(lx.MSG["parse_error"])))
+
+
+def analyze_url_array(df: DataFrame, urls_col: str, out: str) -> DataFrame:
+    """``out``: the analyses (url, risk_score, risk_level, risk_factors) of the
+    URLs of an array column, in order; each step in its own projection."""
+    tmp = "__a_urls"
+    df = df.withColumn(tmp, F.expr(parts_array_sql(f"`{urls_col}`")))
+    df = df.withColumn(tmp, F.expr(url_analysis_array_sql(tmp)))
+    df = df.withColumn(tmp, F.transform(tmp, finish_url_struct))
+    return df.withColumn(out, F.transform(tmp, final_url_struct)).drop(tmp)
 
 
 def score_emails_with_urls(df: DataFrame, **names) -> DataFrame:
@@ -115,19 +126,21 @@ def score_emails_with_urls(df: DataFrame, **names) -> DataFrame:
     e = _emails(df, **names)
     quick = {k: v for k, v in names.items() if k in ("subject", "body", "sender")}
     scored = score_emails(df, headers=None, html=None, attachments=None, **quick)
-    tmp = "__m17_urls"
     scored = scored.withColumns({
         "email_risk_score": F.col("risk_score"), "email_risk_level": F.col("risk_level"),
         "email_risk_factors": F.col("risk_factors"),
     }).drop(*[c for c in ANALYSIS_COLS if c in scored.columns], "is_legitimate", "bypassed_indicators")
     scored = scored.withColumn("urls_found", cb.public_urls(e.text))
-    scored = scored.withColumn(tmp, F.transform("urls_found", parts_struct))
-    scored = scored.withColumn(tmp, F.expr(url_analysis_array_sql(tmp)))
-    scored = scored.withColumn(tmp, F.transform(tmp, finish_url_struct))
-    scored = scored.withColumn("url_analyses", F.transform(tmp, final_url_struct))
+    scored = analyze_url_array(scored, "urls_found", "url_analyses")
     max_url = F.array_max(F.transform("url_analyses", lambda a: a["risk_score"]))
+    return combine_risk(scored, max_url)
+
+
+def combine_risk(df: DataFrame, max_url: Column) -> DataFrame:
+    """Combined score (of email_risk_score and the largest URL score,
+    null without URLs), level and advice."""
     combined = F.greatest(F.col("email_risk_score"), F.coalesce(max_url, F.col("email_risk_score")))
-    out = scored.withColumn("combined_risk_score", combined).drop(tmp)
+    out = df.withColumn("combined_risk_score", combined)
     out = out.withColumn("combined_risk_level", level(F.col("combined_risk_score"), lx.EMAIL_LEVELS))
     return out.withColumn("recommendations", recommendations(F.col("combined_risk_level")))
 

@@ -9,6 +9,7 @@ from ..functions.email_features import email_cols
 from ..functions.manifest import ALL_FEATURES, EMAIL_FEATURES, URL_FEATURES
 from ..functions.email_rules import has_phishing_indicators, legitimacy_reason
 from ..operators import evaluate as ev
+from ..operators import large_mails as lm
 from ..operators import scoring as sc
 from ..sources.corpora import email_corpus, url_corpus
 from . import oracle_email as oe
@@ -76,6 +77,13 @@ def q_c2(spark, sf):
     return normalize(df.select("email_id", *_MEANS))
 
 
+@register("q_C2_by_parts", oe.url_means_query(YEAR))
+def q_c2_parts(spark, sf):
+    """C2 in two levels; parts of two URLs, so that mails are dealt out."""
+    df = lm.combined_features(email_corpus(spark, sf), ["email_id"], part_urls=2, reference_year=YEAR)
+    return normalize(df.select("email_id", *_MEANS))
+
+
 @register("q_C7_feature_matrix",
           f"SELECT email_id, {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in ALL_FEATURES)} FROM ("
           f"SELECT f.*, {', '.join('m.' + c for c in _MEANS)} FROM ({oe.email_features_query()}) f "
@@ -124,10 +132,7 @@ def m17(spark, sf):
     return sc.score_emails_with_urls(email_corpus(spark, sf))
 
 
-@register("q_M17_email_with_urls", oe.email_with_urls_query())
-def q_m17(spark, sf):
-    """Email analysis combined with the analysis of every URL it contains."""
-    s = m17(spark, sf)
+def _m17_columns(s):
     max_url = F.array_max(F.transform("url_analyses", lambda a: a["risk_score"]))
     return s.select(
         "email_id", r6(F.col("email_risk_score")).alias("email_risk_score"), "email_risk_level",
@@ -139,6 +144,18 @@ def q_m17(spark, sf):
         joined(F.col("recommendations")).alias("recommendations"))
 
 
+@register("q_M17_email_with_urls", oe.email_with_urls_query())
+def q_m17(spark, sf):
+    """Email analysis combined with the analysis of every URL it contains."""
+    return _m17_columns(m17(spark, sf))
+
+
+@register("q_M17_by_parts", oe.email_with_urls_query())
+def q_m17_parts(spark, sf):
+    """M17 in two levels, put together again; parts of two URLs."""
+    return _m17_columns(lm.score_emails_with_urls(email_corpus(spark, sf), ["email_id"], part_urls=2, with_analyses=True))
+
+
 # ------------------------------------------------------------ evaluation (V1, V2, V5, V6)
 
 _PRED_SQL = ("SELECT label, CASE WHEN combined_risk_level IN ('HIGH', 'MEDIUM') THEN 1 ELSE 0 END AS prediction "
