@@ -360,4 +360,14 @@ BOOSTED_PARAMS = {"n_estimators": 200, "max_depth": 8, "learning_rate": 0.05,
                   "subsample": 0.8, "colsample_bytree": 0.8, "random_state": 42}
 FOREST_PARAMS = {"n_estimators": 200, "max_depth": 12, "min_samples_split": 5,
                  "min_samples_leaf": 2, "random_state": 42, "class_weight": "balanced"}
-TEXT_MODEL_PARAMS = {"max_length": 128, "batch_size": 32, "epochs": 3, "learning_rate": 2e-5}
+
+# FIXED VALUES: English stop words of the term features (T18), the words of two
+# letters and more of Spark ML's default list.
+STOP_WORDS = tuple("""
+me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its
+itself they them their theirs themselves what which who whom this that these those am is are was were be been being
+have has had having do does did doing an the and but if or because as until while of at by for with about against
+between into through during before after above below to from up down in out on off over under again further then once
+here there when where why how all any both each few more most other some such no nor not only own same so than too very
+can will just don should now cannot could ought would
+""".split())

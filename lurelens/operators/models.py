@@ -86,14 +86,17 @@ def tfidf_pipeline(text_col: str = "text", vocab_size: int = 100) -> Pipeline:
     ])
 
 
-def fit(pipeline: Pipeline, train: DataFrame) -> PipelineModel:
-    """Fits with the training rows persisted (tree learners read them once
-    per level); the cache is released afterwards.  Training rows of one class
-    only (or none) are refused (T20): the check reads the label column alone
-    and stops at the second class."""
-    label = pipeline.getStages()[-1].getOrDefault("labelCol")
+def check_classes(train: DataFrame, label: str) -> None:
+    """Training rows of one class only (or none) are refused; reads the
+    label column alone and stops at the second class."""
     if train.select(label).where(F.col(label).isNotNull()).distinct().limit(2).count() < 2:
         raise ValueError(f"the training rows need two classes in {label!r}")
+
+
+def fit(pipeline: Pipeline, train: DataFrame) -> PipelineModel:
+    """Fits with the training rows persisted (tree learners read them once
+    per level); the cache is released afterwards."""
+    check_classes(train, pipeline.getStages()[-1].getOrDefault("labelCol"))
     cached = train.persist()
     try:
         return pipeline.fit(cached)
