@@ -1,12 +1,9 @@
-"""Supervised models on Spark ML (T11-T19, V3 evaluator form, S11).
+"""Supervised models on Spark ML (T11-T17, V3 evaluator form, S11).
 
 * Tabular: VectorAssembler -> StandardScaler (fit on the training rows
   only) -> GBTClassifier / RandomForestClassifier, as one ``Pipeline``.
-* Text: RegexTokenizer -> NGram -> HashingTF -> IDF -> LogisticRegression
-  (the reference fine-tunes a transformer; here the text model is a
-  distributed linear model over hashed word and bigram counts).
-* TF-IDF fallback features: tokenizer, English stop words,
-  CountVectorizer(vocabSize=100), IDF, L2 normaliser.
+* Text (T19) and term features (T18): ``text_model`` and ``tfidf``.
+* Fitted trees as tables: ``tree_tables``.
 
 Training reads the data once per tree level (Spark ML's distributed tree
 learners); inputs are persisted for the duration of a fit.  Models are
@@ -16,10 +13,9 @@ saved and loaded with the ML writer (S11).
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import (IDF, CountVectorizer, HashingTF, NGram, Normalizer, RegexTokenizer,
-                                SQLTransformer, StandardScaler, StopWordsRemover, VectorAssembler)
+from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,7 +38,8 @@ def boosted_trees(max_iter: int = BP["n_estimators"], max_depth: int = BP["max_d
 def random_forest(num_trees: int = FP["n_estimators"], max_depth: int = FP["max_depth"],
                   min_instances: int = FP["min_samples_leaf"], seed: int = FP["random_state"],
                   weight_col: str | None = "weight", label: str = "label") -> RandomForestClassifier:
-    """T13; ``weight_col`` carries the balanced class weights."""
+    """T13; ``weight_col`` carries the balanced class weights (T14).  Spark's
+    trees have no least number of rows for a split, so that setting has no effect."""
     kw = {"weightCol": weight_col} if weight_col else {}
     return RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=num_trees, maxDepth=max_depth,
                                   minInstancesPerNode=min_instances, seed=seed, **kw)
@@ -62,30 +59,6 @@ def tabular_pipeline(features, estimator, scale: bool = True) -> Pipeline:
     return Pipeline(stages=stages)
 
 
-def text_pipeline(text_col: str = "text", num_features: int = 1 << 18, reg: float = 0.01,
-                  max_iter: int = 50, label: str = "label") -> Pipeline:
-    """Hashed word + bigram TF-IDF and logistic regression."""
-    return Pipeline(stages=[
-        RegexTokenizer(inputCol=text_col, outputCol="__tok", pattern=r"(?U)\W+", toLowercase=True),
-        NGram(n=2, inputCol="__tok", outputCol="__bi"),
-        SQLTransformer(statement="SELECT *, concat(__tok, __bi) AS __terms FROM __THIS__"),
-        HashingTF(inputCol="__terms", outputCol="__tf", numFeatures=num_features),
-        IDF(inputCol="__tf", outputCol="features"),
-        LogisticRegression(featuresCol="features", labelCol=label, regParam=reg, maxIter=max_iter),
-    ])
-
-
-def tfidf_pipeline(text_col: str = "text", vocab_size: int = 100) -> Pipeline:
-    """Top-``vocab_size`` terms without English stop words, IDF, L2."""
-    return Pipeline(stages=[
-        RegexTokenizer(inputCol=text_col, outputCol="__tok", pattern=r"(?U)\b\w\w+\b", gaps=False, toLowercase=True),
-        StopWordsRemover(inputCol="__tok", outputCol="__terms"),
-        CountVectorizer(inputCol="__terms", outputCol="__tf", vocabSize=vocab_size),
-        IDF(inputCol="__tf", outputCol="__tfidf"),
-        Normalizer(inputCol="__tfidf", outputCol="features", p=2.0),
-    ])
-
-
 def check_classes(train: DataFrame, label: str) -> None:
     """Training rows of one class only (or none) are refused; reads the
     label column alone and stops at the second class."""

@@ -2,9 +2,10 @@
 
 Terms are words and pairs of adjacent words of the lower-cased text, dealt to
 ``BUCKETS`` buckets by md5.  Each bucket is weighted by the log ratio of its
-smoothed share among the documents of class 1 to that of class 0; a document is
-the weights of its distinct buckets, and a logistic regression is fitted on them
-(without standardisation, which would undo the weights).
+smoothed share among the documents of class 1 to that of class 0; a ratio below
+``Z`` of its standard errors weighs nothing.  A document is the weights of its
+distinct buckets, and a logistic regression is fitted on them (without
+standardisation, which would undo the weights).
 
 The weights are one partial aggregation over (document, bucket); what returns to
 the driver and goes into the model is one number a bucket, whatever the size of
@@ -25,6 +26,7 @@ from ..session import materialize
 from .models import check_classes
 
 BUCKETS = 1 << 17
+Z = 1.96                 # two-sided 5 %
 WORD = r"[\p{L}\p{N}_]+"
 
 
@@ -39,14 +41,16 @@ def bucketed(text_col: str = "text", buckets: int = BUCKETS) -> SQLTransformer:
 
 
 def weights(train: DataFrame, text_col: str = "text", label: str = "label", buckets: int = BUCKETS) -> DataFrame:
-    """bucket, n1, n0 (documents of each class that hold it) and ratio, of every
-    bucket that a document holds."""
+    """bucket, n1, n0 (documents of each class that hold it), ratio and weight
+    (the ratio, or 0), of every bucket that a document holds."""
     rows = bucketed(text_col, buckets).transform(train.select(text_col, label)).select(label, F.explode("__buckets").alias("bucket"))
     n = rows.groupBy(F.col("bucket").cast("long").alias("bucket")).agg(
         F.sum((F.col(label) == 1).cast("long")).alias("n1"), F.sum((F.col(label) == 0).cast("long")).alias("n0"))
     n = materialize(n, "bucket-counts")
     total = n.agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")).first()
-    return n.withColumn("ratio", ratio(F.col("n1"), F.col("n0"), total["n1"] or 0, total["n0"] or 0, buckets))
+    n = n.withColumn("ratio", ratio(F.col("n1"), F.col("n0"), total["n1"] or 0, total["n0"] or 0, buckets))
+    error = F.sqrt(1 / (F.col("n1") + 1) + 1 / (F.col("n0") + 1))
+    return n.withColumn("weight", F.when(F.abs("ratio") >= Z * error, F.col("ratio")).otherwise(F.lit(0.0)))
 
 
 def ratio(n1, n0, all1: int, all0: int, buckets: int):
@@ -59,8 +63,8 @@ def fit(train: DataFrame, text_col: str = "text", label: str = "label", buckets:
     check_classes(train, label)
     table = weights(train, text_col, label, buckets)
     scale = [0.0] * buckets
-    for r in table.select("bucket", "ratio").toLocalIterator():   # at most one row a bucket
-        scale[r["bucket"]] = r["ratio"]
+    for r in table.filter("weight <> 0").select("bucket", "weight").collect():   # at most one row a bucket
+        scale[r["bucket"]] = r["weight"]
     stages = [bucketed(text_col, buckets),
               CountVectorizerModel.from_vocabulary([str(i) for i in range(buckets)], "__buckets", "__present", binary=True),
               ElementwiseProduct(scalingVec=Vectors.dense(scale), inputCol="__present", outputCol="features")]

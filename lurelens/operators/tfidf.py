@@ -61,11 +61,17 @@ def transform(df: DataFrame, model: TfidfModel, text: Column, out: str = "tfidf"
     a text without any)."""
     terms = F.array(*[F.lit(t) for t in model.terms]).cast("array<string>")
     idf = F.array(*[F.lit(v) for v in model.idf]).cast("array<double>")
-    kept, raw, norm = "__tfidf_kept", "__tfidf_raw", "__tfidf_norm"
-    d = df.withColumn(kept, F.filter(terms_of(text, stop_words), lambda t: t.isin(list(model.terms))))
-    d = d.withColumn(raw, F.zip_with(F.transform(terms, lambda v: F.size(F.filter(kept, lambda t: t == v))), idf, lambda a, b: a * b))
-    d = d.withColumn(norm, F.sqrt(F.aggregate(raw, F.lit(0.0), lambda a, x: a + x * x)))
-    return d.withColumn(out, F.transform(raw, lambda x: F.when(F.col(norm) > 0, x / F.col(norm)).otherwise(F.lit(0.0)))).drop(kept, raw, norm)
+    kept = F.filter(terms_of(text, stop_words), lambda t: t.isin(list(model.terms)))
+    raw = _bind(kept, lambda k: F.zip_with(F.transform(terms, lambda v: F.size(F.filter(k, lambda t: t == v))), idf, lambda a, b: a * b))
+    unit = _bind(raw, lambda r: _bind(F.sqrt(F.aggregate(r, F.lit(0.0), lambda a, x: a + x * x)), lambda n: F.transform(
+        r, lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0)))))
+    return df.withColumn(out, unit)
+
+
+def _bind(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once a row: as the name of a
+    lambda it cannot be copied into what uses it."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
 def vocabulary(spark, model: TfidfModel) -> DataFrame:

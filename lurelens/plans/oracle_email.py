@@ -91,7 +91,7 @@ def body_url_rows() -> str:
             f"(SELECT email_id, regexp_extract_all(coalesce(body, ''), 'https?://\\S+') AS _u FROM ({g.email_corpus_sql()}) e) x")
 
 
-def url_means_query(year: int = 2024) -> str:
+def url_means_query(year: int = 2024, rounded: bool = True) -> str:
     f = ou.feature_exprs("url", year)
     per_url = (f"SELECT email_id, {', '.join(f'({f[n]})::DOUBLE AS {n}' for n in URL_FEATURES)} "
                f"FROM ({ou.parts_select(body_url_rows())}) p")
@@ -99,7 +99,8 @@ def url_means_query(year: int = 2024) -> str:
     grouped = (f"SELECT email_id, {agg}, count(*) AS total_urls_in_email, "
                "sum(CASE WHEN has_suspicious_tld = 1 OR has_ip_address = 1 THEN 1 ELSE 0 END) AS suspicious_url_count "
                f"FROM ({per_url}) q GROUP BY email_id")
-    cols = ", ".join(f"{g.r6(f'coalesce(m.url_{n}, 0.0)')} AS url_{n}" for n in URL_FEATURES)
+    mean = [f"coalesce(m.url_{n}, 0.0)" for n in URL_FEATURES]
+    cols = ", ".join(f"{g.r6(m) if rounded else m} AS url_{n}" for n, m in zip(URL_FEATURES, mean, strict=True))
     return (f"SELECT e.email_id, {cols}, CAST(coalesce(m.total_urls_in_email, 0) AS BIGINT) AS total_urls_in_email, "
             f"CAST(coalesce(m.suspicious_url_count, 0) AS BIGINT) AS suspicious_url_count "
             f"FROM ({g.email_corpus_sql()}) e LEFT JOIN ({grouped}) m ON e.email_id = m.email_id")

@@ -19,13 +19,16 @@ from ..operators import fitted as ft
 from ..operators import models as md
 from ..operators import scoring as sc
 from ..operators import splits as sp
+from ..operators import text_model as tm
+from ..operators import tfidf as tf
+from ..operators import tree_tables as tt
 from ..sources.corpora import email_corpus, url_corpus
 from . import oracle_email as oe
 from . import oracle_url as ou
 from . import sqlgen as g
 from .registry import register
 from .shape import joined, r6
-from ..session import materialize
+from ..session import materialize, scratch_path
 
 
 def stand_in(key: str, mult: int, null_every: int | None = None):
@@ -190,7 +193,7 @@ def _sides(t):
 def _fit(train, kind, features=ALL_FEATURES):
     """One fitted model; class weights (T14) are those of the training rows."""
     if kind == "text":
-        return md.fit(md.text_pipeline(), train.select("label", "text"))
+        return tm.fit(train.select("label", "text"))
     if kind == "boosted":
         return md.fit(md.tabular_pipeline(features, md.boosted_trees()), train)
     return md.fit(md.tabular_pipeline(features, md.random_forest()), sp.class_weights(train, "label"))
@@ -224,9 +227,23 @@ def q_t13(spark, sf):
     return pred.select("email_id", "label", r6(F.col("p")).alias("p"), "prediction")
 
 
-@register("q_T11_scaled_features")
+def _t10_sql():
+    from .registry import REGISTRY
+    from . import q_prep  # noqa: F401  (its SQL is reused)
+    return REGISTRY["q_T10_stratified_split"].sql
+
+
+def _t11_sql():
+    feats = (f"SELECT f.*, m.* EXCLUDE (email_id), s.split FROM ({oe.email_features_raw()}) f JOIN ({oe.url_means_query(YEAR, rounded=False)}) m "
+             f"USING (email_id) JOIN ({_t10_sql()}) s USING (email_id)")
+    stats = ", ".join(f"avg({c}) AS m_{c}, stddev_samp({c}) AS s_{c}" for c in ALL_FEATURES)
+    scaled = ", ".join(g.r6(f"CASE WHEN s_{c} = 0 THEN 0.0 ELSE ({c} - m_{c}) / s_{c} END") + f" AS {c}" for c in ALL_FEATURES)
+    return f"WITH f AS MATERIALIZED ({feats}) SELECT email_id, split, {scaled} FROM f, (SELECT {stats} FROM f WHERE split = 'train') t"
+
+
+@register("q_T11_scaled_features", _t11_sql())
 def q_t11(spark, sf):
-    """Standard-scaled feature vectors (scaler fitted on train rows only)."""
+    """Standard-scaled features (scaler fitted on train rows only)."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import StandardScaler, VectorAssembler
     from pyspark.ml.functions import vector_to_array
@@ -234,23 +251,104 @@ def q_t11(spark, sf):
     pipe = Pipeline(stages=[VectorAssembler(inputCols=list(ALL_FEATURES), outputCol="raw", handleInvalid="keep"),
                             StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True)])
     m = pipe.fit(t.where("split = 'train'"))
-    return m.transform(t).select("email_id", "split", vector_to_array("scaled").alias("scaled"))
+    v = m.transform(t).select("email_id", "split", vector_to_array("scaled").alias("v"))
+    return v.select("email_id", "split", *[r6(F.col("v")[i]).alias(c) for i, c in enumerate(ALL_FEATURES)])
+
+
+def _tables(spark, sf, train, kind):
+    """The tree tables of a fitted model, written and read back."""
+    path = scratch_path(spark, f"trees-{kind}")
+    tt.write(fitted(spark, sf, train, kind), ALL_FEATURES, path)
+    return tt.read(spark, path)
+
+
+def _differs(a: str, b: str):
+    """1 where two probabilities differ by more than 1e-9 (or one is missing)."""
+    return F.when(F.abs(F.col(a) - F.col(b)) <= 1e-9, 0).otherwise(1).cast("bigint")
+
+
+@register("q_T15_node_walk",
+          f"SELECT email_id, label, 0::BIGINT AS boosted_differs, 0::BIGINT AS forest_differs FROM ({_t10_sql()}) s WHERE split = 'test'")
+def q_t15(spark, sf):
+    """Test rows whose probability by walking the node tables differs from the
+    fitted model's (none may), for boosted trees and forest."""
+    train, test = _sides(training_table(spark, sf))
+    out = test
+    for kind in ("boosted", "forest"):
+        out = md.with_probability(fitted(spark, sf, train, kind), out, f"p_{kind}").drop("prediction")
+        out = out.join(tt.probabilities(_tables(spark, sf, train, kind), test, "email_id", f"w_{kind}"), "email_id", "left")
+    return out.select("email_id", F.col("label").cast("bigint").alias("label"),
+                      *[_differs(f"p_{k}", f"w_{k}").alias(f"{k}_differs") for k in ("boosted", "forest")])
 
 
 @register("q_T16_feature_importances")
 def q_t16(spark, sf):
-    """Boosted-tree feature importances by feature name."""
-    model, _ = _fit_predict(spark, sf, "boosted")
-    return md.feature_importances(model, ALL_FEATURES)
+    """Boosted-tree feature importances by feature name: the model's, and those
+    summed from its node table."""
+    train, _ = _sides(training_table(spark, sf))
+    own = tt.importances(_tables(spark, sf, train, "boosted")).withColumnRenamed("importance", "importance_of_nodes")
+    return md.feature_importances(fitted(spark, sf, train, "boosted"), ALL_FEATURES).join(own, "feature", "left")
 
 
-@register("q_T17_model_info",
-          "SELECT 'GBTClassificationModel' AS model_type, TRUE AS is_fitted, 63 AS n_features, 200 AS n_trees, "
-          "8 AS max_depth, 0.05::DOUBLE AS step_size")
+@register("q_T17_model_info")
 def q_t17(spark, sf):
-    """Model information: type, fitted, features, trees, depth, step size."""
-    model, _ = _fit_predict(spark, sf, "boosted")
-    return md.model_info(model, len(ALL_FEATURES))
+    """Model information as set, and as found in the node table."""
+    train, _ = _sides(training_table(spark, sf))
+    as_set = md.model_info(fitted(spark, sf, train, "boosted"), len(ALL_FEATURES))
+    found = tt.info(_tables(spark, sf, train, "boosted")).select(
+        F.col("n_trees").alias("trees_in_table"), F.col("depth").alias("depth_in_table"), "n_features_used", "n_splits", "n_leaves")
+    return as_set.join(found)
+
+
+# ------------------------------------------------------------------ T18, T19
+
+_TEXT_SQL = f"SELECT email_id, label, lower(concat_ws(' ', subject, body)) AS _t FROM ({g.email_corpus_sql()}) e"
+_STOP_SQL = ", ".join(g.q(w) for w in lx.STOP_WORDS)
+_TF_SQL = (f"SELECT email_id, term, count(*) AS tf FROM (SELECT email_id, unnest(regexp_extract_all(_t, '[\\p{{L}}\\p{{N}}_]{{2,}}')) AS term "
+           f"FROM ({_TEXT_SQL}) t) x WHERE term NOT IN ({_STOP_SQL}) GROUP BY ALL")
+_VOCAB_SQL = ("SELECT term, CAST(sum(tf) AS BIGINT) AS n, count(*) AS n_docs, ln((1 + (SELECT count(*) FROM documents)) / (1.0 + count(*))) + 1 AS idf "
+              "FROM tf GROUP BY term ORDER BY n DESC, term LIMIT 100")
+
+
+def _mail_texts(spark, sf):
+    e = email_corpus(spark, sf)
+    return e.select("email_id", "label", F.concat_ws(" ", "subject", "body").alias("text"))
+
+
+@register("q_T18_tfidf_terms", f"WITH tf AS MATERIALIZED ({_TF_SQL}) SELECT term, n, n_docs, {g.r6('idf')} AS idf FROM ({_VOCAB_SQL}) v")
+def q_t18_terms(spark, sf):
+    """The 100 most frequent terms of all mails, with document counts and idf."""
+    model = tf.fit(_mail_texts(spark, sf), F.col("text"))
+    return tf.vocabulary(spark, model).withColumn("idf", r6(F.col("idf")))
+
+
+@register("q_T18_tfidf_features",
+          f"WITH tf AS MATERIALIZED ({_TF_SQL}) SELECT email_id, term, {g.r6('w / sqrt(sum(w * w) OVER (PARTITION BY email_id))')} AS weight "
+          f"FROM (SELECT email_id, term, tf * idf AS w FROM tf JOIN ({_VOCAB_SQL}) v USING (term)) x")
+def q_t18(spark, sf):
+    """TF-IDF over the 100 terms, scaled to length 1: a row per weight above 0."""
+    t = materialize(_mail_texts(spark, sf), "mail-texts")
+    model = tf.fit(t, F.col("text"))
+    rows = tf.transform(t, model, F.col("text")).select("email_id", F.posexplode("tfidf").alias("i", "w")).filter("w > 0")
+    return rows.select("email_id", F.get(F.array(*[F.lit(x) for x in model.terms]), F.col("i")).alias("term"), r6(F.col("w")).alias("weight"))
+
+
+_BUCKET_SQL = (f"SELECT DISTINCT email_id, label, ('0x' || substr(md5(term), 1, 8))::BIGINT % {tm.BUCKETS} AS bucket FROM "
+               "(SELECT email_id, label, unnest(w || list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) AS term "
+               f"FROM (SELECT email_id, t.label, regexp_extract_all(_t, '[\\p{{L}}\\p{{N}}_]+') AS w FROM ({_TEXT_SQL}) t "
+               f"JOIN ({_t10_sql()}) s USING (email_id) WHERE split = 'train') x) y")
+_LOG_SHARE = "ln(({n} + 1.0) / (sum({n}) OVER () + {b}.0))"
+
+
+@register("q_T19_term_weights",
+          f"SELECT bucket, n1, n0, {g.r6('ratio')} AS ratio, {g.r6('CASE WHEN abs(ratio) >= 1.96::DOUBLE * sqrt(1 / (n1 + 1) + 1 / (n0 + 1)) THEN ratio ELSE 0.0 END')} "
+          f"AS weight FROM (SELECT bucket, n1, n0, {_LOG_SHARE.format(n='n1', b=tm.BUCKETS)} - {_LOG_SHARE.format(n='n0', b=tm.BUCKETS)} AS ratio FROM "
+          f"(SELECT bucket, CAST(sum(label) AS BIGINT) AS n1, CAST(sum(1 - label) AS BIGINT) AS n0 FROM ({_BUCKET_SQL}) b GROUP BY bucket) n) r")
+def q_t19_weights(spark, sf):
+    """Class counts, log-count ratio and weight of every bucket of terms of the train rows."""
+    t = materialize(_mail_texts(spark, sf), "mail-texts")
+    train, _ = _sides(sp.stratified_split(t, "email_id"))
+    return tm.weights(train).select("bucket", "n1", "n0", r6(F.col("ratio")).alias("ratio"), r6(F.col("weight")).alias("weight"))
 
 
 @register("q_T19_text_classifier")
@@ -263,15 +361,6 @@ def q_t19(spark, sf):
     return md.with_probability(model, test).select("email_id", "label", r6(F.col("p")).alias("p"), "prediction")
 
 
-@register("q_T18_tfidf_features")
-def q_t18(spark, sf):
-    """TF-IDF over the top 100 terms (English stop words removed), L2-normalised."""
-    from pyspark.ml.functions import vector_to_array
-    t = email_corpus(spark, sf).withColumn("text", F.concat_ws(" ", "subject", "body"))
-    m = md.tfidf_pipeline().fit(t)
-    return m.transform(t).select("email_id", vector_to_array("features").alias("tfidf"))
-
-
 @register("q_B7_individual_predictions")
 def q_b7(spark, sf):
     """Boosted, forest, text and ensemble predictions side by side on the test rows."""

@@ -169,16 +169,26 @@ def q_s4(spark, sf):
     return df
 
 
-@register("q_S11_model_roundtrip")
+@register("q_S11_model_roundtrip",
+          f"SELECT email_id, label, 0::BIGINT AS pipeline_differs, 0::BIGINT AS tables_differ FROM ({REGISTRY['q_T10_stratified_split'].sql}) s "
+          "WHERE split = 'test'")
 def q_s11(spark, sf):
-    """Fitted pipeline (scaler + trees) saved, loaded and used on the test rows."""
-    from .q_models import fitted, training_table
+    """Fitted pipeline (scaler + trees) saved and loaded, as a pipeline and as
+    tables: test rows whose probability differs from the fitted model's."""
+    from ..operators import tree_tables as tt
+    from .q_models import _differs, fitted, training_table
     t = training_table(spark, sf)
     train, test = t.where("split = 'train'"), t.where("split = 'test'")
     model = fitted(spark, sf, train, "boosted")
     path = scratch_path(spark, "model")
-    md.save(model, path)
-    return md.with_probability(md.load(path), test).select("email_id", "label", r6(F.col("p")).alias("p"), "prediction")
+    md.save(model, path + "/pipeline")
+    tt.write(model, ALL_FEATURES, path + "/tables")
+    out = test
+    for name, m in (("fitted", model), ("loaded", md.load(path + "/pipeline"))):
+        out = md.with_probability(m, out, name).drop("prediction")
+    out = out.join(tt.probabilities(tt.read(spark, path + "/tables"), test, "email_id", "walked"), "email_id", "left")
+    return out.select("email_id", F.col("label").cast("bigint").alias("label"), _differs("fitted", "loaded").alias("pipeline_differs"),
+                      _differs("fitted", "walked").alias("tables_differ"))
 
 
 # ------------------------------------------------------------------ S2

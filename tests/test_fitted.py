@@ -7,6 +7,7 @@ from lurelens.operators import evaluate as ev
 from lurelens.operators import fitted as ft
 from lurelens.operators import models as md
 from lurelens.operators import scoring as sc
+from lurelens.operators import text_model as tm
 from lurelens.plans import q_models as qm
 from lurelens.sources.corpora import email_corpus, url_corpus
 
@@ -28,7 +29,7 @@ def small_models(spark):
     train, test = qm._sides(qm.url_training_table(spark, SF))
     tree = md.fit(md.tabular_pipeline(qm.URL_FEATURES, md.boosted_trees(3, 3)), train)
     wood = md.fit(md.tabular_pipeline(qm.URL_FEATURES, md.random_forest(5, 4, weight_col=None)), train)
-    text = md.fit(md.text_pipeline(num_features=1 << 12, max_iter=5), train.select("label", "text"))
+    text = tm.fit(train.select("label", "text"), buckets=1 << 12, max_iter=5)
     return ft.Models(tree, wood, text), test
 
 
