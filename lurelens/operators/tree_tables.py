@@ -86,13 +86,13 @@ def probabilities(tables: TreeTables, df: DataFrame, key: str, out: str = "p") -
 
 def importances(tables: TreeTables) -> DataFrame:
     """T16 from the nodes: feature, importance (share of the gain, weighted by
-    the rows of the node and the tree; forests count each tree's shares)."""
+    the rows of the node; forests count each tree's shares)."""
     boosted = tables.model.first()["kind"] == "boosted"
-    gain = tables.nodes.filter("feature is not null").groupBy("tree", "weight", "feature").agg(F.sum(F.col("gain") * F.col("mass")).alias("g"))
+    gain = tables.nodes.filter("feature is not null").groupBy("tree", "feature").agg(F.sum(F.col("gain") * F.col("mass")).alias("g"))
     if not boosted:
         per = gain.groupBy("tree").agg(F.sum("g").alias("all"))
         gain = gain.join(per, "tree").withColumn("g", F.when(F.col("all") > 0, F.col("g") / F.col("all")).otherwise(0.0))
-    by = gain.groupBy("feature").agg(F.sum(F.col("g") * F.col("weight")).alias("g"))
+    by = gain.groupBy("feature").agg(F.sum("g").alias("g"))
     total = by.agg(F.sum("g")).first()[0] or 1.0
     return tables.scaler.select("feature").join(by, "feature", "left").select(
         "feature", (F.coalesce("g", F.lit(0.0)) / F.lit(total)).alias("importance"))
