@@ -47,16 +47,13 @@ def weights(train: DataFrame, text_col: str = "text", label: str = "label", buck
     n = rows.groupBy(F.col("bucket").cast("long").alias("bucket")).agg(
         F.sum((F.col(label) == 1).cast("long")).alias("n1"), F.sum((F.col(label) == 0).cast("long")).alias("n0"))
     n = materialize(n, "bucket-counts")
-    total = n.agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0")).first()
-    n = n.withColumn("ratio", ratio(F.col("n1"), F.col("n0"), total["n1"] or 0, total["n0"] or 0, buckets))
+    docs = train.agg(F.sum((F.col(label) == 1).cast("long")).alias("n1"), F.sum((F.col(label) == 0).cast("long")).alias("n0")).first()
+    share = [F.log((F.col(c) + 1) / F.lit(float((docs[c] or 0) + 2))) for c in ("n1", "n0")]
+    n = n.withColumn("ratio", share[0] - share[1])
     error = F.sqrt(1 / (F.col("n1") + 1) + 1 / (F.col("n0") + 1))
     return n.withColumn("weight", F.when(F.abs("ratio") >= Z * error, F.col("ratio")).otherwise(F.lit(0.0)))
 
 
-def ratio(n1, n0, all1: int, all0: int, buckets: int):
-    return F.log((n1 + 1) / F.lit(float(all1 + buckets))) - F.log((n0 + 1) / F.lit(float(all0 + buckets)))
-
-
 def fit(train: DataFrame, text_col: str = "text", label: str = "label", buckets: int = BUCKETS, reg: float = 0.01,
         max_iter: int = 50) -> PipelineModel:
     """A fitted model over ``text_col``; training rows of one class are refused."""

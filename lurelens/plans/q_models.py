@@ -337,13 +337,14 @@ _BUCKET_SQL = (f"SELECT DISTINCT email_id, label, ('0x' || substr(md5(term), 1,
                "(SELECT email_id, label, unnest(w || list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) AS term "
                f"FROM (SELECT email_id, t.label, regexp_extract_all(_t, '[\\p{{L}}\\p{{N}}_]+') AS w FROM ({_TEXT_SQL}) t "
                f"JOIN ({_t10_sql()}) s USING (email_id) WHERE split = 'train') x) y")
-_LOG_SHARE = "ln(({n} + 1.0) / (sum({n}) OVER () + {b}.0))"
+_LOG_SHARE = "ln((n1 + 1.0) / (d1 + 2.0)) - ln((n0 + 1.0) / (d0 + 2.0))"
 
 
 @register("q_T19_term_weights",
           f"SELECT bucket, n1, n0, {g.r6('ratio')} AS ratio, {g.r6('CASE WHEN abs(ratio) >= 1.96::DOUBLE * sqrt(1 / (n1 + 1) + 1 / (n0 + 1)) THEN ratio ELSE 0.0 END')} "
-          f"AS weight FROM (SELECT bucket, n1, n0, {_LOG_SHARE.format(n='n1', b=tm.BUCKETS)} - {_LOG_SHARE.format(n='n0', b=tm.BUCKETS)} AS ratio FROM "
-          f"(SELECT bucket, CAST(sum(label) AS BIGINT) AS n1, CAST(sum(1 - label) AS BIGINT) AS n0 FROM ({_BUCKET_SQL}) b GROUP BY bucket) n) r")
+          f"AS weight FROM (SELECT bucket, n1, n0, {_LOG_SHARE} AS ratio FROM "
+          f"(SELECT bucket, CAST(sum(label) AS BIGINT) AS n1, CAST(sum(1 - label) AS BIGINT) AS n0 FROM ({_BUCKET_SQL}) b GROUP BY bucket) n, (SELECT sum(label) AS d1, sum(1 - label) AS d0 "
+          f"FROM ({_t10_sql()}) s WHERE split = 'train') d) r")
 def q_t19_weights(spark, sf):
     """Class counts, log-count ratio and weight of every bucket of terms of the train rows."""
     t = materialize(_mail_texts(spark, sf), "mail-texts")
