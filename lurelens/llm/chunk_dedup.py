@@ -19,12 +19,15 @@ fifty words holds such a span, a repeated line does not.
 
 Plan: runs are counted by digest (partial counts before the shuffle); those of
 digests that occur twice are kept by a join on the digest and written; on these
-few the first place of each digest is found and joined back.  A hot digest is
-one row after aggregation, and adaptive execution splits it in the joins.
+few the first place of each digest is found and joined back.  Runs of one digest
+that follow each other in a text (text that repeats itself) are one row before
+any shuffle, and the joins deal hot digests out over parts of their documents.
 
 Defined results: null, empty and short text has no run; what repeats only inside
-one document is no repeat; rows of one id are one document; null ids take no part; an empty table
-gives an empty result; extra columns are ignored.
+one document is no repeat; rows of equal id and text are one document, rows of
+equal id and different texts are documents of their own; null ids take no part;
+an empty table gives an empty result; extra columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -36,7 +39,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import free_name, materialize
+from .suffix_dedup import join_hot
 from .textcore import PIECE, U64, mix64, pieces, text_buffers
 
 REACH = 16            # bytes on either side over which a cut's hash is the largest
@@ -163,54 +167,73 @@ def text_runs(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, n
             at = end - lap
 
 
+def stretches(d: np.ndarray, a: np.ndarray, b: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs of one document and digest that overlap or touch one after the other
+    as one."""
+    if not len(d):
+        return d, a, b, g
+    more = (d[1:] == d[:-1]) & (g[1:] == g[:-1]) & (a[1:] <= b[:-1])
+    at = np.flatnonzero(np.append(True, ~more))
+    return d[at], a[at], np.maximum.reduceat(b, at), g[at]
+
+
+def text_key():
+    return F.xxhash64("text")
+
+
 def chunk_runs(docs: DataFrame) -> DataFrame:
-    """digest, doc_id, start, length (bytes): the runs of every document."""
+    """digest, doc_id, key (of the text), start, length (bytes): the runs of
+    every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, off = text_buffers(batch.column(1))
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for d, a, b, g in text_runs(data, off):
+            data, off = text_buffers(batch.column(2))
+            ids, keys = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+            for found in text_runs(data, off):
+                d, a, b, g = stretches(*found)
                 for x in range(0, len(d), 50_000):
                     y = x + 50_000
-                    yield pa.RecordBatch.from_arrays([pa.array(g[x:y].view(np.int64)), pa.array(ids[d[x:y]], pa.int64()), pa.array(a[x:y]), pa.array(b[x:y] - a[x:y])],
-                                                     names=["digest", "doc_id", "start", "length"])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(g[x:y].view(np.int64)), pa.array(ids[d[x:y]], pa.int64()), pa.array(keys[d[x:y]], pa.int64()), pa.array(a[x:y]), pa.array(b[x:y] - a[x:y])],
+                        names=["digest", "doc_id", "key", "start", "length"])
 
-    return (docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-            .mapInArrow(run, "digest long, doc_id long, start long, length long"))
+    d = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return d.select("doc_id", text_key().alias("key"), "text").mapInArrow(run, "digest long, doc_id long, key long, start long, length long")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, start, end (bytes), first (whether this is the first place of
+    """doc_id, key, start, end (bytes), first (whether this is the first place of
     its digest), first_doc, first_start: every run that occurs in two documents.
     In the first document, runs of the digest that overlap or touch one after
     the other from the first place on are part of it."""
-    twice = materialize(chunk_runs(docs).groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest"), "digests")
-    marked = materialize(chunk_runs(docs).join(twice, "digest"), "runs")
-    place = F.struct("doc_id", "start")
-    first = marked.groupBy("digest").agg(F.min(place).alias("lo"), F.max("doc_id").alias("hi")).filter(F.col("lo.doc_id") != F.col("hi")).select("digest", "lo")
-    runs = marked.join(first, "digest").select(
-        "digest", "doc_id", "start", (F.col("start") + F.col("length")).alias("end"), F.col("lo.doc_id").alias("first_doc"), F.col("lo.start").alias("first_start"))
+    twice = materialize(chunk_runs(docs).groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1"), "digests")
+    marked = materialize(join_hot(chunk_runs(docs), twice, "digest", ["doc_id", "start"]), "runs")
+    first = marked.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "key", "start")).alias("lo"), F.max(F.struct("doc_id", "key")).alias("hi"))
+    first = materialize(first.filter("lo.doc_id <> hi.doc_id OR lo.key <> hi.key").select("digest", "n", "lo"), "first-places")
+    runs = join_hot(marked, first, "digest", ["doc_id", "start"]).select(
+        "digest", "doc_id", "key", "start", (F.col("start") + F.col("length")).alias("end"), "lo")
     # by document, as the spans are joined next
-    w = Window.partitionBy("doc_id", "digest").orderBy("start")
+    w = Window.partitionBy("doc_id", "key", "digest").orderBy("start")
     apart = F.when(F.lag("end").over(w) < F.col("start"), 1).otherwise(0)
-    return (runs.repartition("doc_id").withColumn("__apart", apart).withColumn("__apart", F.sum("__apart").over(w))
-            .select("doc_id", "start", "end", ((F.col("doc_id") == F.col("first_doc")) & (F.col("__apart") == 0)).alias("first"), "first_doc", "first_start"))
+    mine = (F.col("doc_id") == F.col("lo.doc_id")) & (F.col("key") == F.col("lo.key"))
+    return (runs.repartition("doc_id", "key").withColumn("__apart", apart).withColumn("__apart", F.sum("__apart").over(w))
+            .select("doc_id", "key", "start", "end", (mine & (F.col("__apart") == 0)).alias("first"),
+                    F.col("lo.doc_id").alias("first_doc"), F.col("lo.start").alias("first_start")))
 
 
 def joined(runs: DataFrame, min_bytes: int) -> DataFrame:
-    """doc_id, start, end, is_first, first_doc, first_start, n_runs:
+    """doc_id, key, start, end, is_first, first_doc, first_start, n_runs:
     overlapping or touching runs of a document as one span.  A document's runs
     are one group (as many as its text holds)."""
-    w = Window.partitionBy("doc_id").orderBy("start", "end")
+    w = Window.partitionBy("doc_id", "key").orderBy("start", "end")
     reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     s = (runs.withColumn("__new", F.when(reach.isNull() | (F.col("start") > reach), 1).otherwise(0))
          .withColumn("__span", F.sum("__new").over(w)))
     head = F.min_by(F.struct("first_doc", "first_start"), F.struct("start", "first_doc", "first_start"))
-    return (s.groupBy("doc_id", "__span").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.every("first").alias("is_first"),
+    return (s.groupBy("doc_id", "key", "__span").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.every("first").alias("is_first"),
                                               F.count("*").alias("n_runs"), head.alias("h"))
             .filter(F.col("end") - F.col("start") >= min_bytes)
-            .select("doc_id", "start", "end", "is_first", F.col("h.first_doc").alias("first_doc"), F.col("h.first_start").alias("first_start"), "n_runs"))
+            .select("doc_id", "key", "start", "end", "is_first", F.col("h.first_doc").alias("first_doc"), F.col("h.first_start").alias("first_start"), "n_runs"))
 
 
 def repeated_spans(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
@@ -227,8 +250,9 @@ def drop_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     places only the first stays, the others are cut out of the texts (at the
     chunk cuts inside the passage, widened to whole words).  ``n_chars`` follows
     the text; documents stay even if little text is left."""
-    spans = (joined(repeats(docs).filter("NOT first"), min_bytes).groupBy(F.col("doc_id").alias("__id"))
-             .agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__spans")))
+    id_, key, cuts = (free_name(docs, "cut_" + x) for x in ("id", "key", "spans"))
+    spans = (joined(repeats(docs).filter("NOT first"), min_bytes).groupBy(F.col("doc_id").alias(id_), F.col("key").alias(key))
+             .agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(cuts)))
     at, n_at = docs.columns.index("text"), next((i for i, c in enumerate(docs.columns) if c.lower() == "n_chars"), None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,7 +268,8 @@ def drop_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
                 cols[n_at] = pa.array([len(t) if s and t is not None else n for t, s, n in zip(texts, sp, was, strict=True)], cols[n_at].type)
             yield pa.RecordBatch.from_arrays(cols, names=b.schema.names[:-1])
 
-    rows = docs.join(spans, docs["doc_id"].cast("long") == F.col("__id"), "left").select(*[docs[c] for c in docs.columns], "__spans")
+    keyed = docs.withColumn(id_, F.col("doc_id").cast("long")).withColumn(key, F.xxhash64(F.col("text").cast("string")))
+    rows = keyed.join(spans, [id_, key], "left").select(*docs.columns, cuts)
     return rows.mapInArrow(run, docs.schema)
 
 

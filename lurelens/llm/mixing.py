@@ -9,22 +9,22 @@ Native: DataFrame functions only.
   found from running sums over sources ordered by cap / weight.
 * Stream of a source: its documents in md5 order of their ids, word by word,
   repeated for a second epoch; cut into blocks of ``block_words`` words.
-* Schedule: slot i holds the golden-ratio point frac(i / phi), in integers
-  modulo 2**31, mapped through the sources' cumulative shares; the r-th slot of
-  a source takes its r-th block.  The last block stops at the target.  The
-  points miss some blocks, more on large tables; with ``fill`` these take the
-  slots that other sources have left over, so each source reaches its target.
+* Schedule: slot i holds the van der Corput point of i (its ``BITS`` bits in
+  reverse order), mapped through the sources' cumulative shares; the r-th slot of
+  a source takes its r-th block.  The last block stops at the target.  Blocks
+  that the points leave without a slot take the slots that other sources have
+  left over, so each source reaches its target.
 
 Scale: texts are read once for word counts (written once, ids and counts only).
-Word offsets and slot ranks are taken in two levels (4096 md5 buckets a source,
+Word offsets and slot ranks are taken in two levels (65,536 md5 buckets a source,
 65,536 slots a bucket), so a source with a third of all rows is never ordered
-in one task.  Slots and pieces join on (source, block), an even key.  The table
-of sources (one row each) is broadcast only when it has at most
-``BROADCAST_SOURCES`` rows; beyond that the joins are plain.
+in one task.  Slots and pieces join on (source, block), an even key.  Joins with
+the table of sources (one row each) are plain; Spark broadcasts it if it is small.
 
 Defined results: null text and text without words have size 0 and are never
 taken; a null source is a source of its own; repeated rows count as separate
-documents; an empty table gives an empty result; extra columns are ignored.
+documents; an empty table gives an empty result; extra columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -32,17 +32,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, n_words
+from .common import free_name, materialize, n_words
 
 SHARE = 1.5
 MAX_EPOCHS = 2
 WEIGHTS = (5, 2, 1)
 BLOCK_WORDS = 64
-RANGE = 1 << 31
-GOLDEN = 1327217885            # odd, nearest to 2**31 / golden ratio
-CELL = 1 << 19                 # points a cell of the share lookup
+BITS = 44                      # of a point: more than slots of any corpus
+RANGE = 1 << BITS
+CELL = 1 << (BITS - 12)        # points a cell of the share lookup
 SLOT_BUCKET = 1 << 16
-BROADCAST_SOURCES = 10_000
 
 
 def document_sizes(docs: DataFrame, *keep: str) -> DataFrame:
@@ -91,10 +90,8 @@ def slots(shares: DataFrame, n: int) -> DataFrame:
     """slot, sidx, block: slot i's source and the rank of the slot among its
     source's slots."""
     spark = shares.sparkSession
-    # rows of 64 slots, spread out before they are exploded
-    point = F.pmod(F.col("slot"), F.lit(RANGE)) * F.lit(GOLDEN)
-    pts = (spark.range(n).select(F.col("id").alias("slot"))
-           .withColumn("point", F.pmod(point, F.lit(RANGE)))
+    point = F.conv(F.reverse(F.lpad(F.bin("slot"), BITS, "0")), 2, 10).cast("long")
+    pts = (spark.range(n).select(F.col("id").alias("slot")).withColumn("point", point)
            .withColumn("cell", F.floor(F.col("point") / F.lit(CELL)).cast("long")))
     cells = (shares.filter("hi > lo")
              .select("sidx", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / F.lit(CELL)).cast("long"),
@@ -131,7 +128,7 @@ def stream_offsets(sizes: DataFrame) -> DataFrame:
     its source's stream."""
     tie = [c for c in sizes.columns if c not in ("doc_id", "size", "sidx")]
     d = (sizes.filter("size > 0").withColumn("__h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-         .withColumn("__b", F.substring("__h", 1, 3)))
+         .withColumn("__b", F.substring("__h", 1, 4)))
     counts = d.groupBy("sidx", "__b").agg(F.sum("size").alias("__n"))
     before = Window.partitionBy("sidx").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("sidx", "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
@@ -148,15 +145,12 @@ class Mix:
     words taken of every document."""
 
     def __init__(self, docs: DataFrame, keep: tuple[str, ...] = (), share: float = SHARE, max_epochs: int = MAX_EPOCHS,
-                 weights: tuple[int, ...] = WEIGHTS, block_words: int = BLOCK_WORDS, fill: bool = False) -> None:
-        self.block_words, self.max_epochs, self.fill = block_words, max_epochs, fill
+                 weights: tuple[int, ...] = WEIGHTS, block_words: int = BLOCK_WORDS) -> None:
+        self.block_words, self.max_epochs = block_words, max_epochs
         sizes = materialize(document_sizes(docs, *keep), "sizes")
         self.shares = materialize(with_shares(source_targets(sizes, share, max_epochs, weights), block_words), "shares")
-        one = self.shares.agg(F.count("*").alias("n"), F.max("total_blocks").alias("blocks")).first()
-        self.n_slots = int(one["blocks"] or 0)
-        small = one["n"] <= BROADCAST_SOURCES
-        self._small = F.broadcast if small else (lambda df: df)
-        s = self._small(self.shares.select(F.col("source").alias("__s"), "sidx", "source_size", "target", "quota"))
+        self.n_slots = int(self.shares.agg(F.max("total_blocks")).first()[0] or 0)
+        s = self.shares.select(F.col("source").alias("__s"), "sidx", "source_size", "target", "quota")
         self.documents = sizes.join(s, F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
 
     def pieces(self) -> DataFrame:
@@ -175,8 +169,7 @@ class Mix:
     def schedule(self) -> DataFrame:
         """slot, sidx, block, pos, epoch, doc_id, start, length: the mixed
         order; the words of a slot are its rows by (epoch, pos)."""
-        taken = slots(self._small(self.shares), self.n_slots)
-        return (filled(taken, self.shares) if self.fill else taken).join(self.pieces(), ["sidx", "block"])
+        return filled(slots(self.shares, self.n_slots), self.shares).join(self.pieces(), ["sidx", "block"])
 
     def taken(self) -> DataFrame:
         """``documents`` and ``taken``: words of each in the mix, repeats counted."""
@@ -199,21 +192,22 @@ def mixed_texts(docs: DataFrame, **options) -> DataFrame:
     the mix does not reach and documents without words are not in it."""
     key = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")),
                             F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), "source")), F.coalesce("text", F.lit(""))))
-    keyed = docs.withColumn("__key", key)
-    t = (Mix(keyed, keep=("__key",), **options).taken().filter("taken > 0")
-         .groupBy("__key").agg(F.sum("taken").alias("__t"), F.first("size").alias("__size")))
+    k, taken, size, part = (free_name(docs, "mix_" + x) for x in ("key", "taken", "size", "part"))
+    keyed = docs.withColumn(k, key)
+    t = (Mix(keyed.select("doc_id", "source", "text", F.col(k).alias("mix_key")), keep=("mix_key",), **options).taken().filter("taken > 0")
+         .groupBy("mix_key").agg(F.sum("taken").alias(taken), F.first("size").alias(size)).withColumnRenamed("mix_key", k))
     # rows that are equal in id, source and text are one row with the sum of their words
-    one = keyed.dropDuplicates(["__key"])
-    full, rest = F.floor(F.col("__t") / F.col("__size")).cast("int"), F.pmod(F.col("__t"), F.col("__size")).cast("int")
+    one = keyed.dropDuplicates([k])
+    full, rest = F.floor(F.col(taken) / F.col(size)).cast("int"), F.pmod(F.col(taken), F.col(size)).cast("int")
     parts = F.concat(F.array_repeat(F.lit(0), full), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col("__part")), "")
-    out = one.join(t, "__key").select(*one.columns, F.explode(parts).alias("__part"))
-    out = out.withColumn("text", F.when(F.col("__part") == 0, F.col("text")).otherwise(cut))
+    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.col(part)), "")
+    out = one.join(t, k).select(*one.columns, F.explode(parts).alias(part))
+    out = out.withColumn("text", F.when(F.col(part) == 0, F.col("text")).otherwise(cut))
     cols = [c if c.lower() != "n_chars" else F.length("text").cast(docs.schema[c].dataType).alias(c) for c in docs.columns]
     return out.select(*cols)
 
 
-ORACLE = f"""
+ORACLE = """
 WITH d AS (
   SELECT doc_id, source,
          CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size
@@ -229,17 +223,10 @@ s3 AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE
 s4 AS (SELECT *, (SELECT arg_min(lam, cap / weight) FROM s3 WHERE cap / weight > lam) AS water FROM s3),
 s5 AS (SELECT source, sidx, source_size, CASE WHEN cap / weight <= lam THEN cap ELSE weight * water END AS target FROM s4),
 s6 AS (SELECT *, CAST(floor(target) AS BIGINT) AS quota FROM s5),
-s7 AS (SELECT *, CAST(ceil(quota / {BLOCK_WORDS}.0) AS BIGINT) AS blocks FROM s6),
-s8 AS (SELECT *, sum(blocks) OVER (ORDER BY sidx) AS cum, sum(blocks) OVER () AS total FROM s7),
-s9 AS (SELECT *, CAST(floor((cum - blocks)::DOUBLE / total * {RANGE}.0::DOUBLE) AS BIGINT) AS lo,
-              CAST(floor(cum::DOUBLE / total * {RANGE}.0::DOUBLE) AS BIGINT) AS hi FROM s8),
-slots AS (SELECT i AS slot, ((i % {RANGE}) * {GOLDEN}) % {RANGE} AS point
-          FROM range((SELECT CAST(coalesce(max(total), 0) AS BIGINT) FROM s9)) t(i)),
-got AS (SELECT s9.sidx, count(*) AS n FROM slots JOIN s9 ON point >= lo AND point < hi GROUP BY s9.sidx),
-pos AS (SELECT d.*, s9.sidx, s9.source_size, s9.target, least(s9.quota, coalesce(got.n, 0) * {BLOCK_WORDS}) AS stop,
-               CAST(coalesce(sum(size) OVER (PARTITION BY s9.sidx ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), doc_id, size
+pos AS (SELECT d.*, s6.sidx, s6.source_size, s6.target, s6.quota AS stop,
+               CAST(coalesce(sum(size) OVER (PARTITION BY s6.sidx ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), doc_id, size
                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS pos
-        FROM d JOIN s9 ON d.source IS NOT DISTINCT FROM s9.source LEFT JOIN got ON got.sidx = s9.sidx)
+        FROM d JOIN s6 ON d.source IS NOT DISTINCT FROM s6.source)
 SELECT doc_id, source, size, source_size, target,
        CAST(greatest(0, least(pos + size, stop) - pos) + greatest(0, least(source_size + pos + size, stop) - source_size - pos) AS BIGINT) AS taken
 FROM pos

@@ -8,7 +8,7 @@ documents into buckets; a link of similarity 0.85 is missed by all bands with a
 probability of 8e-6.  Every link used is confirmed on the full shingle sets.
 
 1. Documents with equal shingle sets form a class (grouped by a 128-bit digest
-   of the sorted set); only its smallest id goes on.
+   of the sorted set); only the class goes on, under a number of its own.
 2. In each bucket every member is compared with the smallest one (distinct
    pairs over all bands): linear in the bucket.  Links give components.
 3. Buckets that still hold several components: the members outside the bucket's
@@ -25,8 +25,10 @@ copy of the pivot's set.
 
 Defined results: null, empty and wordless text has no shingles and links with
 nothing; rows of equal id and text are one document that gives a row for each;
-a null id takes part under no id of its own and gets its class's component, or
-null; an empty table gives an empty result; extra columns are ignored.
+rows of equal id and different texts are documents of their own that share an
+id, each with the component of its own text; a null id takes part under no id of
+its own and gets its class's component, or null; an empty table gives an empty
+result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import free_name, materialize
 from .components import connected_components
 from .textcore import U64, chunk_rows, distinct_by_doc, doc_ngrams, mix64, pieces, segment_min, text_buffers, word_hashes
 
@@ -94,39 +96,49 @@ def shingle_sets(arr: pa.Array, k: int = K) -> Iterator[tuple[int, int, np.ndarr
 
 
 def features(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, k: int = K) -> DataFrame:
-    """doc_id, n_shingles, digest (of the set; null without shingles), bands
-    (one hash a band): a row per document."""
+    """doc_id, text_key (a hash of the text), n_shingles, digest (of the set;
+    null without shingles), bands (one hash a band): a row per document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, j, sets, so in shingle_sets(b.column(1), k):
+            for i, j, sets, so in shingle_sets(b.column(2), k):
                 sig = signatures(sets, so, bands * rows).reshape(-1, bands, rows).astype(U64)
                 key = np.repeat(np.arange(1, bands + 1, dtype=U64)[None, :] * U64(0x9E3779B97F4A7C15), len(sig), 0)
                 for r in range(rows):
                     key = mix64(key ^ sig[:, :, r])
                 n = np.diff(so)
                 raw = sets.astype("<u8").tobytes()
-                digest = [hashlib.blake2b(raw[8 * so[d]:8 * so[d + 1]], digest_size=16).digest() if n[d] else None for d in range(j - i)]
+                digest = [set_digest(raw[8 * so[d]:8 * so[d + 1]]) if n[d] else None for d in range(j - i)]
                 keys = pa.ListArray.from_arrays(pa.array(np.arange(0, (j - i) * bands + 1, bands, dtype=np.int32)), pa.array(key.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(n), pa.array(digest, pa.binary()), keys],
-                                                 names=["doc_id", "n_shingles", "digest", "bands"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), b.column(1).slice(i, j - i), pa.array(n), pa.array(digest, pa.binary()), keys],
+                                                 names=["doc_id", "text_key", "n_shingles", "digest", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id long, n_shingles long, digest binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), text_key().alias("text_key"), F.col("text").cast("string")).mapInArrow(
+        run, "doc_id long, text_key long, n_shingles long, digest binary, bands array<long>")
+
+
+def text_key():
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("text").isNull())
+
+
+def set_digest(raw: bytes) -> bytes:
+    return hashlib.blake2b(raw, digest_size=16).digest()
 
 
 def full_sets(docs: DataFrame, k: int = K) -> DataFrame:
-    """doc_id, shingles (the sorted set as little-endian 64-bit bytes)."""
+    """doc_id (the number of the document's class), shingles (the sorted set as
+    little-endian 64-bit bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, j, sets, so in shingle_sets(b.column(1), k):
+            for i, j, sets, so in shingle_sets(b.column(0), k):
                 raw = sets.astype("<u8").tobytes()
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(i, j - i), pa.array([raw[8 * so[d]:8 * so[d + 1]] for d in range(j - i)], pa.binary())],
-                    names=["doc_id", "shingles"])
+                each = [raw[8 * so[d]:8 * so[d + 1]] for d in range(j - i)]
+                yield pa.RecordBatch.from_arrays([pa.array([set_digest(x) for x in each], pa.binary()), pa.array(each, pa.binary())],
+                                                 names=["digest", "shingles"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, shingles binary")
+    rows = docs.select(F.col("text").cast("string")).mapInArrow(run, "digest binary, shingles binary")
+    return rows.select(F.xxhash64("digest").alias("doc_id"), "shingles")
 
 
 def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
@@ -261,17 +273,19 @@ def verify_blocks(members: DataFrame, sets: DataFrame, threshold: tuple[int, int
     return both.repartition(n, "key", "a", "b").sortWithinPartitions("key", "a", "b").mapInArrow(run, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, bands: int = BANDS, rows: int = ROWS, k: int = K) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: a row per document."""
+def _groups(docs: DataFrame, threshold: tuple[int, int], bands: int, rows: int, k: int) -> DataFrame:
+    """doc_id, text_key, n_shingles, digest, group (a number of the component;
+    null without shingles or where no row of the class has an id), component_id:
+    a row per document."""
     feats = materialize(features(docs, bands, rows, k), "features")
     classes = feats.filter("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(
-        F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
-    classes = materialize(classes, "classes")
+        F.min("doc_id").alias("least"), F.first("bands").alias("bands"))
+    classes = materialize(classes.select("digest", F.xxhash64("digest").alias("rep"), "least", "bands"), "classes")
     # buckets with two classes at least: their smallest member and all members
     keys = classes.select("rep", F.explode("bands").alias("key"))
     small = keys.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).filter("n > 1")
     held = materialize(keys.join(small, "key").select("key", "rep", "pivot", "n"), "buckets")
-    wanted = held.select(F.col("rep").alias("doc_id")).distinct()
+    wanted = classes.join(held.select("rep").distinct(), "rep", "left_semi").select(F.col("least").alias("doc_id")).distinct()
     # always by a shuffle, so that the plan does not change with the number of ids
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(wanted.hint("merge"), "doc_id", "left_semi")
     sets = materialize(full_sets(texts, k).dropDuplicates(["doc_id"]), "sets")
@@ -283,17 +297,31 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, ban
     several = open_.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
     members = materialize(open_.join(several, "key"), "open")
     more = materialize(verify_blocks(members, sets, threshold), "links")
-    comp = connected_components(links.union(more))
-    where = classes.select("digest", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "digest", F.coalesce("component", "rep").alias("__c"))
-    out = feats.select("doc_id", "n_shingles", "digest").join(where, "digest", "left")
-    comp_id = F.coalesce("__c", "doc_id")
-    return out.select("doc_id", "n_shingles", comp_id.alias("component_id"), F.coalesce(F.col("doc_id") == comp_id, F.lit(False)).alias("kept"))
-
-
-def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """One document of each group, with all columns.  Rows that share the kept
-    id (repeated rows) leave one row; rows with a null id stay."""
-    kept = near_duplicates(docs, **options).filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    good = docs.join(kept, F.col("doc_id") == F.col("__kept"), "left_semi").dropDuplicates(["doc_id"])
-    return good.unionByName(docs.filter("doc_id IS NULL"))
+    comp = materialize(connected_components(links.union(more)).withColumnRenamed("node", "rep"), "components")
+    linked_ = comp.join(classes.select("rep", "least"), "rep")
+    least = linked_.groupBy("component").agg(F.min("least").alias("component_id"))
+    where = classes.select("digest", "rep", "least").join(comp.join(least, "component"), "rep", "left").select(
+        "digest", F.coalesce("component", "rep").alias("group"), F.coalesce("component_id", "least").alias("component_id"))
+    out = feats.select("doc_id", "text_key", "n_shingles", "digest").join(where, "digest", "left")
+    return out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
+
+
+def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, bands: int = BANDS, rows: int = ROWS, k: int = K) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: a row per document."""
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
+    return _groups(docs, threshold, bands, rows, k).select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, bands: int = BANDS, rows: int = ROWS, k: int = K) -> DataFrame:
+    """One document of each group, with all columns: of its rows with the
+    smallest id those of one text (by hashes), and of rows equal in id and text
+    one.  Documents without shingles link with nothing: one row of each id and
+    text stays.  Rows with a null id stay."""
+    groups = _groups(docs, threshold, bands, rows, k).filter("doc_id = component_id")
+    none = F.xxhash64("doc_id", "text_key", F.lit("no shingles"))
+    best = groups.groupBy(F.coalesce("group", none), F.col("group").isNull()).agg(F.min(F.struct("digest", "text_key", "doc_id")).alias("b"))
+    kept = best.select(F.col("b.doc_id").alias("id"), F.col("b.text_key").alias("key"))
+    id_, key = free_name(docs, "id"), free_name(docs, "key")
+    rows_ = docs.withColumn(id_, F.col("doc_id").cast("long")).withColumn(key, text_key())
+    good = rows_.join(kept.toDF(id_, key), [id_, key], "left_semi").dropDuplicates([id_, key])
+    return good.select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))

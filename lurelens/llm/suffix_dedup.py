@@ -117,8 +117,13 @@ def suffix_heads(docs: DataFrame) -> DataFrame:
                     [pa.array(ngram_hashes(h, HEAD)[p].view(np.int64)), pa.array(ids[numbers[d]], pa.int64()), pa.array((p - woff[d] + base).astype(np.int32))],
                     names=["head", "doc_id", "place"])
 
-    return (docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-            .mapInArrow(run, "head long, doc_id long, place int"))
+    return docs.select("doc_id", "text").mapInArrow(run, "head long, doc_id long, place int")
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id (a key of id and text), text, id: the documents that take part."""
+    d = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    return d.select(F.xxhash64("id", "text").alias("doc_id"), "text", "id")
 
 
 CONTEXT = "head long, after binary, before binary, doc_id long, place int, n_after int, n_before int"
@@ -148,7 +153,7 @@ def contexts(docs: DataFrame, places: DataFrame) -> DataFrame:
                          pa.array(np.clip(n - p - HEAD, 0, SIDE).astype(np.int32)), pa.array(np.minimum(p, SIDE).astype(np.int32))],
                         names=["head", "after", "before", "doc_id", "place", "n_after", "n_before"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(places, "doc_id").dropDuplicates(["doc_id"])
+    rows = docs.select("doc_id", "text").join(places, "doc_id").dropDuplicates(["doc_id"])
     return rows.select("doc_id", "text", "places").mapInArrow(run, CONTEXT)
 
 
@@ -325,7 +330,8 @@ def join_hot(rows: DataFrame, keys: DataFrame, key: str, spread: list[str]) -> D
 
 
 def matches(docs: DataFrame) -> DataFrame:
-    """doc_id, start, end (words), other: the matches of single suffixes."""
+    """doc_id, start, end (words), other: the matches of single suffixes, under
+    the keys of ``keyed`` documents."""
     heads = suffix_heads(docs)
     twice = materialize(heads.groupBy("head").agg(F.count("*").alias("n")).filter("n > 1"), "heads")
     places = materialize(join_hot(suffix_heads(docs), twice, "head", ["doc_id", "place"]), "suffixes")
@@ -350,9 +356,13 @@ def matches(docs: DataFrame) -> DataFrame:
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """doc_id, start_word, n_words, other_doc: a row per maximal span of words
     that repeat at another place, with one document that shares words of it."""
+    d = keyed(docs)
     w = Window.partitionBy("doc_id").orderBy("start", "end")
     reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    s = (matches(docs).withColumn("__new", F.when(reach.isNull() | (F.col("start") > reach), 1).otherwise(0))
+    s = (matches(d).withColumn("__new", F.when(reach.isNull() | (F.col("start") > reach), 1).otherwise(0))
          .withColumn("__span", F.sum("__new").over(w)))
-    return (s.groupBy("doc_id", "__span").agg(F.min("start").alias("a"), F.max("end").alias("z"), F.min("other").alias("other_doc"))
-            .select("doc_id", F.col("a").cast("long").alias("start_word"), (F.col("z") - F.col("a")).cast("long").alias("n_words"), "other_doc"))
+    spans = s.groupBy("doc_id", "__span").agg(F.min("start").alias("a"), F.max("end").alias("z"), F.min("other").alias("other"))
+    ids = d.select("doc_id", "id").distinct()
+    named = spans.join(ids, "doc_id").join(ids.select(F.col("doc_id").alias("other"), F.col("id").alias("other_doc")), "other")
+    return named.select(F.col("id").alias("doc_id"), F.col("a").cast("long").alias("start_word"),
+                        (F.col("z") - F.col("a")).cast("long").alias("n_words"), "other_doc")

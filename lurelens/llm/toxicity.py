@@ -1,17 +1,17 @@
 """Toxicity: a lexicon trie met by Levenshtein automata (operator 6).
 
-Lexicon.  Terms are whole words or word starts of 4 to 8 characters.  They are
-learned from labelled rows by their log odds: a Spark aggregation counts, over
-the training rows (a hash sample of ``TRAIN_ROWS`` labels at most), in how many
-toxic and in how many clean documents each candidate occurs; those that a
-likelihood ratio test tells from chance (``MAX_TERMS`` at most) and a short seed
-list of plain insults make the lexicon.  A term's weight is its log odds.
+Lexicon.  Terms are whole words or word starts of 4 to 8 characters.  All are
+learned from labelled rows: a Spark aggregation counts, over the training rows
+(a hash sample of ``TRAIN_ROWS`` labels at most), in how many toxic and in how
+many clean documents each candidate occurs.  Kept are those that a likelihood
+ratio test tells from chance and whose log odds hold in both halves of the
+training rows.  A term's weight is its log odds.
 
 Matching.  One deterministic automaton is built, as far as the words need it,
 as the product of the lexicon's trie with Levenshtein automata: a state is the
 set of (trie node, edits so far).  Words of five or more letters may differ
 from a term by one edit (a swap of neighbours counts as one), ten or more by
-two, learned whole words as seeds; shorter terms and word starts must match
+two; shorter terms and word starts must match
 exactly, the first letter always.
 Words that clean training documents use are no misspellings.  Look-alike digits
 and signs are read as letters where a word has no match as it stands.
@@ -24,10 +24,11 @@ evidence is its summed weights; the score is a logistic of it, and predicted is
 score >= 0.5.  The text alone is scored.
 
 Defined results: null, empty and wordless text score the empty evidence (well
-below one half); repeated rows give a row each; without labels the seed list
-alone is used; labels of unknown documents or with null marks are ignored, and
-a document with several labels trains with each; an empty table gives an empty
-result; extra columns are ignored.
+below one half); repeated rows give a row each; without labels of both classes
+the lexicon is empty and every document scores the empty evidence; labels of unknown documents or with null marks are ignored, and
+a document with several labels trains with each; in texts with the same two
+longest words and mark a term counts once; an empty table gives an empty result; extra columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,18 +40,15 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import materialize
+from .common import free_name, materialize
 
-SEED = ("idiot", "moron", "loser", "scum", "worthless", "pathetic", "stupid", "trash", "clown", "disgusting",
-        "imbecile", "bastard", "asshole", "bitch", "cretin", "dumbass", "retard", "scumbag", "vermin", "whore")
-SEED_WEIGHT = 3.0
 TRAIN_ROWS = 10_000       # labelled rows that the lexicon is learned from, at most
-MAX_TERMS = 2000          # learned terms kept (the bound of what reaches the driver)
 MIN_GAIN = 32.0           # likelihood ratio statistic of a learned term, at least
 MIN_ODDS = 2.5            # log odds of a learned term, at least
+HALF_ODDS = 2.0           # log odds in either half of the training rows, at least
 MAX_ODDS = 5.0            # weight of a learned term, at most
-MAX_ORDINARY = 5000       # ordinary words kept that would pass for misspelled terms
 WINDOW = 4                # words of context on each side
 BIAS = -1.5
 QUOTED = 0.25             # factor of a hit that is quoted, reported or denied
@@ -252,8 +250,9 @@ def held_out(doc_id="doc_id", folds: int = FOLDS):
 def learn_terms(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[str, float, bool | None]], DataFrame | None]:
     """(term, weight, is a word start; None for a whole word that a learned word
     start covers) learned from the labelled rows of the
-    training folds, and the counts of all their terms.  What reaches the driver is at most ``MAX_TERMS`` rows and
-    two totals; the sampled labels (``TRAIN_ROWS`` at most) are broadcast."""
+    training folds, and the counts of all their terms.  What reaches the driver
+    are terms that recur in toxic rows of the sample (``TRAIN_ROWS`` rows at most,
+    which also bounds the broadcast labels) and four totals."""
     lab = (labels.select(F.col("doc_id").alias("__id"), F.col("toxic").cast("int").alias("toxic"))
            .filter("toxic IS NOT NULL AND __id IS NOT NULL").filter(~held_out("__id"))
            .orderBy(F.xxhash64("__id"), "__id", "toxic").limit(TRAIN_ROWS))
@@ -262,22 +261,25 @@ def learn_terms(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[str, flo
     starts = lambda w: F.transform(F.sequence(F.lit(4), F.lit(8)), lambda k: F.when(F.length(w) > k, F.concat(F.substring(w, F.lit(1), k), F.lit("*"))))
     terms = F.array_distinct(F.concat(F.filter(words, lambda w: F.length(w).between(3, 24)),
                                       F.filter(F.flatten(F.transform(words, starts)), lambda t: t.isNotNull())))
-    # near copies of one text train once: those with the same two longest words and mark
+    # near copies count once: of the texts with the same two longest words and mark, a term counts once
     longest = F.slice(F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1, 2)
-    split = rows.select("toxic", terms.alias("terms"), F.to_json(longest).alias("__key")).dropDuplicates(["__key", "toxic"]).drop("__key")
-    split = materialize(split, "training")
-    total = split.agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")).first()
-    n_t, n_c = int(total["t"] or 0), int(total["c"] or 0)
+    split = rows.select("toxic", F.md5(F.to_json(longest)).alias("group"), terms.alias("terms"))
+    split = materialize(split.withColumn("half", F.pmod(F.xxhash64("group"), F.lit(2)).cast("int")), "training")
+    toxic, clean = F.col("toxic"), 1 - F.col("toxic")
+    sums = lambda: [F.sum(x * (F.col("half") == h).cast("int")).alias(f"{n}{h}") for n, x in (("t", toxic), ("c", clean)) for h in (0, 1)]
+    all_ = {k: int(v or 0) for k, v in split.select("toxic", "group", "half").distinct().agg(*sums()).first().asDict().items()}
+    n_t, n_c = all_["t0"] + all_["t1"], all_["c0"] + all_["c1"]
     if not n_t or not n_c:
         return [], None
-    per = materialize(split.select("toxic", F.explode("terms").alias("term")).groupBy("term")
-                      .agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")), "terms")
+    per = split.select("toxic", "group", "half", F.explode("terms").alias("term")).distinct().groupBy("term").agg(*sums())
+    per = materialize(per.withColumn("t", F.col("t0") + F.col("t1")).withColumn("c", F.col("c0") + F.col("c1")), "terms")
     t, c, n = F.col("t"), F.col("c"), F.col("t") + F.col("c")
-    odds = F.log((t + 0.5) / (n_t + 1.0)) - F.log((c + 0.5) / (n_c + 1.0))
+    odds = lambda t, c, n_t, n_c: F.log((t + 0.5) / (n_t + 1.0)) - F.log((c + 0.5) / (n_c + 1.0))
     part = lambda x, share: F.when(x > 0, x * F.log(x / (n * share))).otherwise(0.0)
     gain = 2 * (part(t, n_t / (n_t + n_c)) + part(c, n_c / (n_t + n_c)))
-    best = (per.withColumn("odds", odds).withColumn("gain", gain).filter((F.col("gain") >= MIN_GAIN) & (F.col("odds") >= MIN_ODDS))
-            .orderBy(F.col("gain").desc(), F.length("term"), "term").limit(MAX_TERMS).collect())
+    holds = [odds(F.col(f"t{h}"), F.col(f"c{h}"), all_[f"t{h}"], all_[f"c{h}"]) >= HALF_ODDS for h in (0, 1)]
+    best = (per.withColumn("odds", odds(t, c, n_t, n_c)).withColumn("gain", gain)
+            .filter((F.col("gain") >= MIN_GAIN) & (F.col("odds") >= MIN_ODDS) & holds[0] & holds[1]).select("term", "odds").collect())
     # a start inside a broader start of no lower odds adds nothing, a whole word its misspellings
     out: list[tuple[str, float, bool | None]] = []
     have: dict[str, float] = {}
@@ -295,7 +297,7 @@ def learn_terms(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[str, flo
 
 def ordinary_words(per: DataFrame | None, terms: list[tuple[str, float, int, bool]]) -> list[str]:
     """Words of clean training documents that pass for a misspelled term: they
-    are words of their own.  ``MAX_ORDINARY`` at most, the commonest."""
+    are words of their own (at most the words of the training rows)."""
     if per is None:
         return []
 
@@ -305,32 +307,27 @@ def ordinary_words(per: DataFrame | None, terms: list[tuple[str, float, int, boo
             near = [(m := matcher.match(w)) is not None and m[2] > 0 for w in b.column(0).to_pylist()]
             yield b.filter(pa.array(near, pa.bool_()))
 
-    words = per.filter("c > 0 AND t <= c AND NOT endswith(term, '*')").select("term", "c")
-    found = words.mapInArrow(run, "term string, c long").orderBy(F.col("c").desc(), "term").limit(MAX_ORDINARY)
-    return [r["term"] for r in found.collect()]
+    words = per.filter("c > 0 AND t <= c AND NOT endswith(term, '*')").select("term")
+    return sorted(r["term"] for r in words.mapInArrow(run, "term string").collect())
 
 
 def lexicon(learned: list[tuple[str, float, bool | None]]) -> list[tuple[str, float, int, bool]]:
-    """(term, weight, edits, is a start) of the learned terms and the seeds.
-    Whole words may be misspelled, word starts not."""
-    out = {t: (t, SEED_WEIGHT, allowed_edits(len(t)), False) for t in SEED}
+    """(term, weight, edits, is a start) of the learned terms.  Whole words may
+    be misspelled, word starts not."""
     words = {t for t, _, start in learned if start is False}
+    out: dict[str, tuple[str, float, int, bool]] = {}
     for t, w, start in learned:
-        if t in out:
-            out[t] = (t, max(w, out[t][1]), max(out[t][2], 0 if start else allowed_edits(len(t))), out[t][3] or (bool(start) and t not in SEED))
-        elif start:
-            # the start of a seed or of a learned whole word is that word's business
-            if not any(x.startswith(t) for x in (*SEED, *words)):
-                out[t] = (t, w, 0, True)
-        else:
+        if not start:
             out[t] = (t, w, allowed_edits(len(t)), False)
+        elif t not in out and not any(x.startswith(t) for x in words):   # the start of a learned word is that word's business
+            out[t] = (t, w, 0, True)
     return list(out.values())
 
 
-def score_documents(docs: DataFrame, terms: list[tuple[str, float, int, bool]], ordinary: list[str], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` and score, predicted, n_hits: a row per document."""
-    schema = docs.select(*keep).schema.simpleString()[7:-1]
-
+def score_documents(docs: DataFrame, terms: list[tuple[str, float, int, bool]], ordinary: list[str], keep: tuple[str, ...] = ("doc_id",),
+                    names: tuple[str, str, str] = ("score", "predicted", "n_hits")) -> DataFrame:
+    """The columns ``keep`` and score, predicted, n_hits (under ``names``): a row
+    per document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(terms, ordinary)
         for b in batches:
@@ -338,10 +335,10 @@ def score_documents(docs: DataFrame, terms: list[tuple[str, float, int, bool]],
             score = [score_of(x) for x, _ in found]
             yield pa.RecordBatch.from_arrays(
                 [*b.columns[:-1], pa.array(score, pa.float64()), pa.array([int(s >= 0.5) for s in score], pa.int32()),
-                 pa.array([n for _, n in found], pa.int64())], names=[*keep, "score", "predicted", "n_hits"])
+                 pa.array([n for _, n in found], pa.int64())], names=[*keep, *names])
 
-    return docs.select(*keep, F.col("text").cast("string").alias("__text")).mapInArrow(
-        run, f"{schema}, score double, predicted int, n_hits long")
+    out = T.StructType([*docs.select(*keep).schema.fields, *(T.StructField(n, t) for n, t in zip(names, (T.DoubleType(), T.IntegerType(), T.LongType()), strict=True))])
+    return docs.select(*keep, F.col("text").cast("string").alias(free_name(docs, "scored_text"))).mapInArrow(run, out)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[list[tuple[str, float, int, bool]], list[str]]:
@@ -359,4 +356,5 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are not predicted toxic, with all their columns."""
     cols = tuple(docs.columns)
-    return score_documents(docs, *fit(docs, labels), keep=cols).filter("predicted = 0").select(*cols)
+    names = tuple(free_name(docs, n) for n in ("score", "predicted", "n_hits"))
+    return score_documents(docs, *fit(docs, labels), keep=cols, names=names).filter(F.col(names[1]) == 0).select(*cols)

@@ -411,7 +411,7 @@ def test_matcher_is_levenshtein():
 
 
 def test_context_separates_quotation():
-    m = toxicity.Matcher(toxicity.lexicon([]))
+    m = toxicity.Matcher(toxicity.lexicon([("idiot", 3.0, False)]))
     abuse, quoted = toxicity.evidence("you are an idiot", m)[0], toxicity.evidence('he wrote "idiot" there', m)[0]
     assert toxicity.score_of(abuse) > 0.5 > toxicity.score_of(quoted)
     assert toxicity.score_of(toxicity.evidence(None, m)[0]) < 0.5 and toxicity.evidence("1d1ot", m)[1] == 1
