@@ -123,3 +123,8 @@ def compact(items: list[Column]) -> Column:
     empty = F.array().cast("array<string>")
     parts = [F.when(c.isNotNull(), F.array(c)).otherwise(empty) for c in items]
     return F.concat(*parts) if parts else empty
+
+
+def r6(c: Column) -> Column:
+    """Rounded to six decimals."""
+    return F.round(c.cast("double") * F.lit(1000000.0), 0) / F.lit(1000000.0)

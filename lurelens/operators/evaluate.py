@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from ..plans.shape import r6
+from ..functions.text import r6
 from ..session import materialize
+from .ordering import before, by_ranges
 
 
 def level_prediction(level_col: Column) -> Column:
@@ -66,32 +66,19 @@ def metrics_long(metrics: DataFrame) -> DataFrame:
     return long.select("model", "metric", r6(F.col("value") * 100).alias("percent"))
 
 
-AUC_BUCKETS = 4096
-
-
 def exact_auc(scored: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
     """V3, exact form: Mann-Whitney U with mid-ranks for ties.
 
-    Rows are counted by distinct score (partial counts first), the distinct
-    scores fall into ``AUC_BUCKETS`` equal ranges between the smallest and the
-    largest, ranges get the number of rows before them (a window over at most
-    that many rows), and scores are ordered inside their range only.  Scores are
-    not rounded; null and NaN scores take no part.  The counts are read three
-    times, so they are written once."""
+    Rows are counted by distinct score (partial counts first); the distinct
+    scores are dealt out into equal-depth ranges, however close they lie, and
+    each gets the number of rows before it (``ordering``).  Scores are not
+    rounded; null and NaN scores take no part."""
     s = F.col(score).cast("double")
     g = scored.groupBy(s.alias("s")).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("pos"))
     # filtered after the write: a filter before it would be pushed below the
     # score's projection and compute the score a second time
     g = materialize(g, "auc-counts").where(F.col("s").isNotNull() & ~F.isnan("s"))
-    ends = g.agg(F.min("s").alias("lo"), F.max("s").alias("hi"))      # one row
-    share = F.when(F.col("hi") > F.col("lo"), (F.col("s") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0)
-    g = g.join(F.broadcast(ends)).withColumn("b", F.least(F.floor(share * AUC_BUCKETS), F.lit(AUC_BUCKETS - 1)))
-    w_b = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    first = g.groupBy("b").agg(F.sum("n").alias("nb")).select("b", F.coalesce(F.sum("nb").over(w_b), F.lit(0)).alias("first"))
-    w = Window.partitionBy("b").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    # at most AUC_BUCKETS rows: a broadcast of fixed size
-    ranked = (g.withColumn("inside", F.coalesce(F.sum("n").over(w), F.lit(0))).join(F.broadcast(first), "b")
-              .withColumn("before", F.col("first") + F.col("inside")))
+    ranked = before(by_ranges(g, ["s"], "auc-ranges"), "n", "before")
     # mid-rank of the tied block: before + (n + 1) / 2
     sums = ranked.agg(F.sum(F.col("pos") * (F.col("before") + (F.col("n") + 1) / 2.0)).alias("rank_sum"),
                       F.sum("pos").alias("n1"), F.sum("n").alias("n_all"))

@@ -15,6 +15,7 @@ from pyspark.sql import Window
 
 from ..functions import labels as lb
 from ..functions import lexicons as lx
+from .ordering import by_ranges, place
 
 # ------------------------------------------------------------------ discovery
 
@@ -151,19 +152,14 @@ def conform_email_table(df: DataFrame, keep=()) -> DataFrame:
 # ------------------------------------------------------------------ labels
 
 
-def label_index_by_first_appearance(df: DataFrame, label_col: str, order_col: str | None = None,
-                                    out_col: str = "label_index") -> DataFrame:
+def label_index_by_first_appearance(df: DataFrame, label_col: str, order: str, out_col: str = "label_index") -> DataFrame:
     """L2: index of each distinct label in order of first appearance.
 
-    ``order_col`` gives the row order; by default the read order
-    (``monotonically_increasing_id``).  The per-label minimum is a partial
-    aggregate; the window runs over the distinct labels only."""
-    src = df if order_col else df.withColumn("__order", F.monotonically_increasing_id())
-    order = order_col or "__order"
-    firsts = src.groupBy(label_col).agg(F.min(order).alias("__first"))
-    idx = firsts.withColumn(out_col, (F.row_number().over(Window.orderBy("__first")) - 1).cast("bigint"))
-    out = src.join(idx.drop("__first"), src[label_col].eqNullSafe(idx[label_col]), "left").drop(idx[label_col])
-    return out.drop("__order") if not order_col else out
+    ``order`` is a column that gives the row order, such as the place of a row
+    in its files (``ordering.file_order``).  The per-label minimum is a partial
+    aggregate; the distinct labels are numbered by ranges."""
+    idx = label_index_table(df, label_col, order).withColumnRenamed("label_index", out_col)
+    return df.join(idx, df[label_col].eqNullSafe(idx[label_col]), "left").drop(idx[label_col])
 
 
 def label_mapping(df: DataFrame, original: str, normalized: str) -> DataFrame:
@@ -195,4 +191,4 @@ def unknown_labels(df: DataFrame, raw: str, vocab: str = "email") -> DataFrame:
 def label_index_table(df: DataFrame, label_col: str, order_col: str) -> DataFrame:
     """L2 as a table: (label, label_index) by first appearance in ``order_col``."""
     firsts = df.groupBy(label_col).agg(F.min(order_col).alias("__first"))
-    return firsts.select(label_col, (F.row_number().over(Window.orderBy("__first")) - 1).cast("bigint").alias("label_index"))
+    return place(by_ranges(firsts, ["__first"], "labels"), "label_index").select(label_col, F.col("label_index").cast("bigint").alias("label_index"))

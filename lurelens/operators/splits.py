@@ -10,9 +10,9 @@ same answer on every run.
 * Exact split: exactly ``k`` keys per stratum (``ceil`` for domains, ``round``
   per class) - the keys with the smallest (hash, key).  The k-th key is
   found from a 65,536-bucket histogram of the hash (a small aggregate) and
-  a rank inside the one boundary bucket per stratum; then every row is
-  flagged by comparing with that cut-off (one row per stratum: a literal
-  for the domain split, a broadcast for the classes).  The distinct domains
+  the order, by ranges, of the one boundary bucket per stratum; then every
+  row is flagged by comparing with that cut-off (one row per stratum: a
+  literal for the domain split, a join for the classes).  The distinct domains
   are written once to the checkpoint folder so the URLs are parsed once for
   ranking and once for flagging.
   No step orders all rows in one task or collects keys to the driver.
@@ -27,6 +27,7 @@ from pyspark.sql import Window
 from ..functions import lexicons as lx
 from ..functions.url_parts import stage_parts
 from ..session import materialize
+from .ordering import by_ranges, place
 
 HASH_RANGE = 1 << 32
 BUCKETS = 1 << 16
@@ -63,7 +64,9 @@ def lowest_k_cutoff(keys: DataFrame, h: str, tie: str, k_of_n, strata=()) -> Dat
     """Per stratum the (hash, tie) of the k-th smallest key, k = k_of_n(n).
 
     ``keys`` has one row per key to rank.  Returns strata + __h_cut, __t_cut
-    (no row for strata with k = 0)."""
+    (no row for strata with k = 0).  A histogram of the hash finds the bucket of
+    the k-th key; the keys of that bucket are put in order by ranges, so even if
+    all keys fall into one bucket no task ranks them alone."""
     strata = list(strata)
     b = (F.col(h) * BUCKETS / HASH_RANGE).cast("bigint").alias("__b")
     hist = keys.groupBy(*strata, b).agg(F.count("*").alias("__n"))
@@ -76,11 +79,11 @@ def lowest_k_cutoff(keys: DataFrame, h: str, tie: str, k_of_n, strata=()) -> Dat
     boundary = hist.where((F.col("__k") > 0) & (F.col("__before") < F.col("__k"))
                           & (F.col("__before") + F.col("__n") >= F.col("__k")))
     boundary = boundary.select(*strata, "__b", (F.col("__k") - F.col("__before")).alias("__need"))
-    # at most one boundary bucket per stratum: a broadcast of bounded size
-    cand = keys.withColumn("__b", b).join(F.broadcast(boundary), [*strata, "__b"])
-    w_rank = Window.partitionBy(*[F.col(s) for s in strata], F.col("__b")).orderBy(F.col(h), F.col(tie))
-    ranked = cand.withColumn("__rn", F.row_number().over(w_rank))
-    return ranked.where(F.col("__rn") == F.col("__need")).select(
+    cand = keys.select(*strata, h, tie).withColumn("__b", b).join(boundary, [*strata, "__b"])
+    ranked = place(by_ranges(cand, [*strata, h, tie], "boundary-keys"), "__i")
+    first = ranked.groupBy(*strata).agg(F.min("__i").alias("__i0"))
+    at = ranked.join(first, strata) if strata else ranked.join(first)          # one row a stratum
+    return at.where(F.col("__i") - F.col("__i0") + 1 == F.col("__need")).select(
         *strata, F.col(h).alias("__h_cut"), F.col(tie).alias("__t_cut"))
 
 
@@ -133,20 +136,20 @@ def stratified_split(df: DataFrame, key: str, label: str = "label", fraction: fl
     d = df.withColumn("__h", seeded_hash(F.col(key), seed))
     cut = lowest_k_cutoff(d.select(label, "__h", key), "__h", key,
                           lambda n: F.round(n * F.lit(fraction)), strata=[label])
-    out = d.join(F.broadcast(cut), [label], "left")
+    out = d.join(cut, [label], "left")
     is_test = (F.col("__h") < F.col("__h_cut")) | ((F.col("__h") == F.col("__h_cut")) & (F.col(key) <= F.col("__t_cut")))
     out = out.withColumn("split", F.when(F.coalesce(is_test, F.lit(False)), F.lit("test")).otherwise(F.lit("train")))
     return out.drop("__h", "__h_cut", "__t_cut")
 
 
 def class_weights(df: DataFrame, label: str = "label", out: str = "weight") -> DataFrame:
-    """Balanced weights n / (k * n_c), joined to every row.  The class
-    table has one row per class (bounded), so it is broadcast."""
+    """Balanced weights n / (k * n_c), joined to every row (the class table
+    has one row per class; Spark broadcasts it if it is small)."""
     counts = df.groupBy(label).agg(F.count("*").alias("__nc"))
     stats = counts.withColumn("__n", F.sum("__nc").over(Window.partitionBy(F.lit(1)))) \
                   .withColumn("__k", F.count("*").over(Window.partitionBy(F.lit(1))))
     stats = stats.select(label, (F.col("__n") / (F.col("__k") * F.col("__nc"))).alias(out))
-    return df.join(F.broadcast(stats), [label], "left")
+    return df.join(stats, [label], "left")
 
 
 def class_weight_table(df: DataFrame, label: str = "label") -> DataFrame:

@@ -139,7 +139,7 @@ def scored_emails_select() -> str:
     ind = f"({g.any_of(ft, lx.STRONG_INDICATORS)} OR regexp_matches({ft}, {g.q(strong_re)}))"
     susp = ("len(list_filter(regexp_extract_all(coalesce(body, ''), 'https?://\\S+'), lambda u: "
             f"{g.any_of('lower(u)', lx.SUSPICIOUS_TLDS)} OR regexp_matches(split_part(regexp_extract(u, "
-            f"{g.q(ou.NETLOC_RE)}, 1), ':', 1), {g.q(ou.IP_HOST_RE)})))")
+            f"{g.q(ou.NETLOC_OF_LINK)}, 1), ':', 1), {g.q(ou.IP_HOST_RE)})))")
     dom = "CASE WHEN contains(_sender, '@') THEN lower(split_part(_sender, '@', 2)) END"
     s1 = (f"SELECT *, {ind} AS _ind, {susp} AS _nsusp, {dom} AS _dom, "
           f"(contains({sl}, 'ieee') OR contains({ft}, 'ieee')) AS _ieee FROM ({email_base()}) a")

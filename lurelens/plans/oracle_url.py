@@ -4,25 +4,32 @@ from __future__ import annotations
 
 from ..functions import lexicons as lx
 from ..functions.manifest import URL_DOUBLE_FEATURES, URL_FEATURES
-from ..functions.url_parts import NETLOC_RE, PARAM_SCHEMES, PATH_RE, QUERY_RE, SCHEME_RE
 from . import sqlgen as g
 
 PUNCT_RE = r"[!-/:-@\[-`{-~]"
 IP_HOST_RE = r"^\p{Nd}{1,3}\.\p{Nd}{1,3}\.\p{Nd}{1,3}\.\p{Nd}{1,3}$"
 
 
+NETLOC_OF_LINK = "^[hH][tT][tT][pP][sS]?://([^/?#]*)"    # links found in texts start with http:// or https://
+#: Schemes whose last path segment may carry ";params".
+PARAM_SCHEMES = "ftp hdl prospero http imap https shttp rtsp rtsps rtspu sip sips mms sftp tel".split()
+
+
 def parts_select(src: str, url: str = "url") -> str:
-    """SELECT * plus _p (parse text), _netloc, _path, _query, _ul, _host, _hostc."""
-    prep = f"regexp_replace(regexp_replace({url}, '[\\t\\r\\n]', '', 'g'), '^[\\x00-\\x20]+', '')"
-    schemes = ", ".join(g.q(s) for s in PARAM_SCHEMES)
-    inner = (f"SELECT *, {prep} AS _p FROM ({src}) s0")
-    mid = (f"SELECT *, regexp_extract(_p, {g.q(NETLOC_RE)}, 1) AS _netloc, "
-           f"CASE WHEN lower(regexp_extract(_p, {g.q(SCHEME_RE)}, 1)) IN ({schemes}) "
-           f"THEN regexp_replace(regexp_extract(_p, {g.q(PATH_RE)}, 1), ';[^/]*$', '') "
-           f"ELSE regexp_extract(_p, {g.q(PATH_RE)}, 1) END AS _path, "
-           f"regexp_extract(_p, {g.q(QUERY_RE)}, 1) AS _query, lower({url}) AS _ul FROM ({inner}) s1")
-    return (f"SELECT *, split_part(_netloc, ':', 1) AS _host, "
-            f"split_part(regexp_replace(_netloc, '^www\\.', ''), ':', 1) AS _hostc FROM ({mid}) s2")
+    """SELECT * plus _p (parse text), _netloc, _path, _query, _ul, _host, _hostc:
+    the scheme is cut off first, then the part from a hash sign on, then the
+    query, and what is left is netloc and path."""
+    schemes = ", ".join(g.q(s) for s in ["", *PARAM_SCHEMES])
+    s1 = f"SELECT *, ltrim(translate({url}, chr(9) || chr(10) || chr(13), ''), (SELECT string_agg(chr(CAST(i AS INT)), '') FROM range(1, 33) t(i))) AS _p FROM ({src}) s0"
+    s2 = (f"SELECT *, CASE WHEN regexp_matches(_p, '^[a-zA-Z][-a-zA-Z0-9+.]*:') THEN split_part(_p, ':', 1) ELSE '' END AS _scheme FROM ({s1}) s1")
+    s3 = "SELECT *, split_part(CASE WHEN _scheme = '' THEN _p ELSE substring(_p, length(_scheme) + 2) END, '#', 1) AS _rest FROM (" + s2 + ") s2"
+    s4 = ("SELECT *, split_part(_rest, '?', 1) AS _main, CASE WHEN contains(_rest, '?') THEN substring(_rest, length(split_part(_rest, '?', 1)) + 2) "
+          f"ELSE '' END AS _query FROM ({s3}) s3")
+    s5 = f"SELECT *, CASE WHEN starts_with(_main, '//') THEN split_part(substring(_main, 3), '/', 1) ELSE '' END AS _netloc FROM ({s4}) s4"
+    s6 = f"SELECT *, CASE WHEN starts_with(_main, '//') THEN substring(_main, 3 + length(_netloc)) ELSE _main END AS _whole FROM ({s5}) s5"
+    s7 = (f"SELECT *, CASE WHEN lower(_scheme) IN ({schemes}) THEN regexp_replace(_whole, ';[^/]*$', '') ELSE _whole END AS _path, "
+          f"lower({url}) AS _ul, split_part(_netloc, ':', 1) AS _host FROM ({s6}) s6")
+    return f"SELECT *, CASE WHEN starts_with(_netloc, 'www.') THEN split_part(substring(_netloc, 5), ':', 1) ELSE _host END AS _hostc FROM ({s7}) s7"
 
 
 def entropy_sql(u: str) -> str:

@@ -157,16 +157,18 @@ def q_s3(spark, sf):
     """Raw URL CSV (url, label) written and read back through the raw loader."""
     path = scratch_path(spark, "raw-url-csv")
     io.write_csv(url_corpus(spark, sf).select("url", "label"), path)
-    return io.load_raw_url_dataset(spark, path).select("url", F.col("label").cast("int"))
+    return io.load_raw_url_dataset(spark, path, schema="url string, label int").select("url", F.col("label").cast("int"))
 
 
-@register("q_S4_schema_peek")
+@register("q_S4_schema_peek",
+          f"SELECT page_id, variant, url, CAST(label AS BIGINT) AS label FROM ({g.url_corpus_sql()}) u ORDER BY page_id LIMIT 5")
 def q_s4(spark, sf):
-    """First five rows of a written CSV (a preview; the limit is the feature)."""
+    """First five rows of a CSV of several files written in order (a preview; the
+    limit is the feature)."""
     path = scratch_path(spark, "peek-csv")
-    io.write_csv(url_corpus(spark, sf), path)
-    df, _cols = io.peek_schema(spark, path)
-    return df
+    io.write_csv(url_corpus(spark, sf).repartitionByRange(4, "page_id").sortWithinPartitions("page_id"), path)
+    df, cols = io.peek_schema(spark, path)
+    return df.select(*[F.col(c) if c == "url" else F.col(c).cast("bigint") for c in cols])
 
 
 @register("q_S11_model_roundtrip",
@@ -193,19 +195,14 @@ def q_s11(spark, sf):
 
 # ------------------------------------------------------------------ S2
 
-def _s2_candidates():
-    """Feature columns the loader keeps by name (all URL features are numeric)."""
-    from pyspark.sql import types as T
-    schema = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType())]
-                          + [T.StructField(n, T.DoubleType()) for n in URL_FEATURES]
-                          + [T.StructField("label", T.IntegerType())])
-    names = pp.numeric_feature_columns(schema, "label", "url")
-    from ..operators.leakage import suspicious_name_columns
-    return names, suspicious_name_columns(names, "label")
+#: Feature columns that the loader keeps by name, and those that it drops as named like leaks.
+_S2_COLS = [c for c in URL_FEATURES if c not in ("url_length", "num_subdomains", "url_entropy", "digit_url_ratio", "has_excessive_subdomains",
+                                                 "url_complexity")]
+_S2_LEAKS = ("is_common_tld", "homograph_score")
 
 
 def _s2_sql():
-    cand, by_name = _s2_candidates()
+    cand, by_name = _S2_COLS, _S2_LEAKS
     f = ou.feature_exprs("url", 2024)
     raw = (f"SELECT page_id, CAST(label AS BIGINT) AS label_numeric, "
            + ", ".join(f"CAST({f[n]} AS DOUBLE) AS {n}" for n in cand)

@@ -152,7 +152,7 @@ def q_d11(spark, sf):
 
 _C7_SQL = (f"SELECT f.*, {', '.join('m.' + c for c in [f'url_{n}' for n in ou.URL_FEATURES] + ['total_urls_in_email', 'suspicious_url_count'])} "
            f"FROM ({oe.email_features_query()}) f JOIN ({oe.url_means_query(2024)}) m ON f.email_id = m.email_id")
-_KEPT = [c for c in ALL_FEATURES if not any(p in c.lower() for p in lx.EMAIL_LEAK_PATTERNS)]
+_KEPT = [c for c in ALL_FEATURES if c != "spf_result_match"]
 
 
 @register("q_D12_drop_leak_columns", f"SELECT email_id, {', '.join(_KEPT)} FROM ({_C7_SQL}) j")
@@ -162,14 +162,12 @@ def q_d12(spark, sf):
     return pp.drop_leak_columns(df, keep=["email_id"])
 
 
-def _d6_cols():
-    from pyspark.sql import types as T
-    schema = T.StructType([T.StructField(c, T.DoubleType()) for c in ALL_FEATURES] +
-                          [T.StructField("label", T.IntegerType())])
-    return pp.numeric_feature_columns(schema, "label")
+#: The features whose names hold none of url, link, id and the like.
+_D6_COLS = [c for c in ALL_FEATURES if c not in ("num_urls", "num_links", "total_urls_in_email", "suspicious_url_count")
+            and c not in {f"url_{n}" for n in ou.URL_FEATURES}]
 
 
-@register("q_D6_numeric_features", f"SELECT email_id, label, {', '.join(_d6_cols())} FROM ({_C7_SQL}) j "
+@register("q_D6_numeric_features", f"SELECT email_id, label, {', '.join(_D6_COLS)} FROM ({_C7_SQL}) j "
           f"JOIN (SELECT email_id, CAST(label AS BIGINT) AS label FROM ({g.email_corpus_sql()}) c) l USING (email_id)")
 def q_d6(spark, sf):
     """Numeric feature columns chosen by type and name (url/link/id... excluded)."""
@@ -178,6 +176,24 @@ def q_d6(spark, sf):
     return df.select("email_id", "label", *cols)
 
 
+_D7_EXTRA = {"row_index": "page_id", "Unnamed: 0": "page_id", "date_inspection": "page_id", "domain_age": "page_id", "kind_type": "page_id",
+             "grade": "page_id % 7"}
+_D7_COLS = [c for c in ou.URL_FEATURES if c not in ("url_length", "num_subdomains", "url_entropy", "digit_url_ratio", "has_excessive_subdomains",
+                                                    "url_complexity")]
+
+
+@register("q_D7_alternate_features",
+          f"SELECT page_id, feature, value FROM (SELECT page_id, {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in _D7_COLS)}, "
+          f"CAST(page_id % 7 AS DOUBLE) AS grade FROM ({ou.url_features_query(year=2024)}) f) w UNPIVOT (value FOR feature IN ({', '.join([*_D7_COLS, 'grade'])}))")
+def q_d7(spark, sf):
+    """Feature columns of a wide table chosen by the alternate name rule."""
+    wide = normalize(sc.url_features(url_corpus(spark, sf), "url", 2024).drop("error"))
+    wide = wide.withColumns({k: F.expr(v) for k, v in _D7_EXTRA.items()})
+    cols = pp.alternate_feature_columns([c for c in wide.columns if c not in ("page_id", "variant")])
+    long = wide.select("page_id", *[F.col(f"`{c}`").cast("double").alias(c) for c in cols])
+    return long.unpivot("page_id", cols, "feature", "value")
+
+
 # ------------------------------------------------------------------ T1-T4
 
 _RAW_FEATS = oe.email_features_raw()
@@ -200,7 +216,7 @@ def q_t1(spark, sf):
     return normalize(lk.separation_report(df, "label", EMAIL_FEATURES))
 
 
-_T3 = lk.suspicious_name_columns(list(EMAIL_FEATURES) + ["label"], "label")
+_T3 = ("urgency_score", "threat_score", "spf_result_match")
 
 
 @register("q_T4_leaking_features",

@@ -51,7 +51,7 @@ def _history(spark, sf):
     for half in (0, 1):
         scored = st.score_url_stream(url_corpus_from_pages(pages.where(F.col("page_id") % 2 == half)))
         scored = scored.select("page_id", "url", "risk_score", "risk_level")
-        st.append_history(scored, path, scratch_path(spark, "history-ckpt"), key_cols=["page_id"]).awaitTermination()
+        st.append_history(scored, path, scratch_path(spark, "history-ckpt")).awaitTermination()
     return path
 
 

@@ -11,9 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
-def r6(c: Column) -> Column:
-    return F.round(c.cast("double") * F.lit(1000000.0), 0) / F.lit(1000000.0)
+from ..functions.text import r6
 
 
 def joined(arr: Column, sep: str = " | ") -> Column:

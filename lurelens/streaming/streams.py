@@ -10,8 +10,10 @@ lost executor) resumes without duplicates.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -50,21 +52,62 @@ def to_parquet(df: DataFrame, path: str, checkpoint: str, available_now: bool =
     return w.start()
 
 
-def append_history(df: DataFrame, history_path: str, checkpoint: str, key_cols=(),
-                   available_now: bool = True) -> StreamingQuery:
+def _stream_id(checkpoint: str) -> str:
+    return hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:16]
+
+
+def _content(rows: DataFrame) -> DataFrame:
+    """n_rows, digest of a table, whatever the order of its rows and columns."""
+    row = F.xxhash64(*[F.to_json(F.struct(c)) for c in sorted(rows.columns)])
+    return rows.agg(F.count("*").alias("n_rows"), F.coalesce(F.sum(row.cast("decimal(38,0)")), F.lit(0)).cast("string").alias("digest"))
+
+
+def write_attempt(batch: DataFrame, batch_id: int, history_path: str, stream_id: str) -> str:
+    """Writes a batch to a folder of its own and returns the attempt's name; no
+    reader sees it yet."""
+    attempt = uuid.uuid4().hex
+    batch.withColumn("scanned_at", F.current_timestamp()).write.parquet(
+        f"{history_path.rstrip('/')}/data/stream_id={stream_id}/batch_id={batch_id}/attempt={attempt}")
+    return attempt
+
+
+def commit_attempt(spark: SparkSession, batch_id: int, history_path: str, stream_id: str, attempt: str) -> None:
+    """The commit record (stream, batch, attempt, rows, digest) of a written
+    batch: one row, in a folder that can be written once."""
+    root = history_path.rstrip("/")
+    written = spark.read.parquet(f"{root}/data/stream_id={stream_id}/batch_id={batch_id}/attempt={attempt}")
+    record = _content(written).select(F.lit(stream_id).alias("stream_id"), F.lit(batch_id).cast("long").alias("batch_id"),
+                                      F.lit(attempt).alias("attempt"), "n_rows", "digest")
+    record.coalesce(1).write.mode("errorifexists").parquet(f"{root}/commits/{stream_id}-{batch_id}")
+
+
+def commits(spark: SparkSession, history_path: str) -> DataFrame:
+    """The commit records of a history."""
+    schema = "stream_id string, batch_id long, attempt string, n_rows long, digest string"
+    path = f"{history_path.rstrip('/')}/commits"
+    try:
+        return spark.read.schema(schema).parquet(f"{path}/*")
+    except AnalysisException:                                     # nothing is committed yet
+        return spark.createDataFrame([], schema)
+
+
+def append_history(df: DataFrame, history_path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Append scored rows to a history table.
 
-    Each micro-batch is written to a folder of its own stream and batch,
-    ``stream_id=<s>/batch_id=<n>``, with overwrite: a batch replayed after a
-    failure replaces itself, and another stream (another checkpoint) never
-    touches it.  The stream id is a digest of the checkpoint's place, so it
-    stays with the checkpoint.  ``key_cols`` are de-duplicated inside the batch."""
-    stream_id = hashlib.sha256(checkpoint.rstrip("/").encode()).hexdigest()[:16]
+    A micro-batch is written to a folder of its own and becomes visible by a
+    commit record of (stream, batch, attempt, rows, digest); readers take
+    committed attempts only.  A batch that fails before its commit leaves a
+    folder that nobody reads, and its replay writes another; a batch that fails
+    after it is known to be committed and is not written again.  The stream id is
+    a digest of the checkpoint's place, so it stays with the checkpoint and
+    several streams share a history.  All rows of a batch are kept."""
+    stream_id = _stream_id(checkpoint)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        b = batch.dropDuplicates(list(key_cols)) if key_cols else batch
-        b.withColumn("scanned_at", F.current_timestamp()).write.mode("overwrite").parquet(
-            f"{history_path.rstrip('/')}/stream_id={stream_id}/batch_id={batch_id}")
+        spark = batch.sparkSession
+        if commits(spark, history_path).filter((F.col("stream_id") == stream_id) & (F.col("batch_id") == batch_id)).limit(1).count():
+            return
+        commit_attempt(spark, batch_id, history_path, stream_id, write_attempt(batch, batch_id, history_path, stream_id))
 
     w = df.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
@@ -83,7 +126,23 @@ def run_to_table(spark: SparkSession, stream: DataFrame, name: str,
 
 
 def history(spark: SparkSession, history_path: str) -> DataFrame:
-    return spark.read.parquet(history_path)
+    """The committed rows of a history, with stream_id and batch_id."""
+    root = history_path.rstrip("/")
+    done = commits(spark, history_path).select("stream_id", "batch_id", "attempt")
+    rows = spark.read.option("basePath", f"{root}/data").parquet(f"{root}/data")
+    rows = rows.withColumns({"stream_id": F.col("stream_id").cast("string"), "batch_id": F.col("batch_id").cast("long"), "attempt": F.col("attempt").cast("string")})
+    return rows.join(done, ["stream_id", "batch_id", "attempt"], "left_semi").drop("attempt")
+
+
+def damaged_batches(spark: SparkSession, history_path: str) -> DataFrame:
+    """Commit records whose files no longer hold the rows that were committed."""
+    root = history_path.rstrip("/")
+    out = []
+    for r in commits(spark, history_path).collect():              # one row a batch
+        now = _content(spark.read.parquet(f"{root}/data/stream_id={r['stream_id']}/batch_id={r['batch_id']}/attempt={r['attempt']}")).first()
+        if (now["n_rows"], now["digest"]) != (r["n_rows"], r["digest"]):
+            out.append(tuple(r))
+    return spark.createDataFrame(out, commits(spark, history_path).schema)
 
 
 def history_count(spark: SparkSession, history_path: str) -> DataFrame:

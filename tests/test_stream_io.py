@@ -21,10 +21,10 @@ def test_history_is_idempotent_per_batch(spark, sf001):
     schema = read_table(spark, sf001, "pages").schema
     stream = st.file_stream(spark, sf001, schema, glob="pages.parquet").select("page_id", "url")
     path, ckpt = scratch_path(spark, "t-hist"), scratch_path(spark, "t-hist-ckpt")
-    st.append_history(st.score_url_stream(stream), path, ckpt, key_cols=["page_id"]).awaitTermination()
+    st.append_history(st.score_url_stream(stream), path, ckpt).awaitTermination()
     n1 = st.history_count(spark, path).collect()[0][0]
     # restarting with the same checkpoint processes nothing new
-    st.append_history(st.score_url_stream(stream), path, ckpt, key_cols=["page_id"]).awaitTermination()
+    st.append_history(st.score_url_stream(stream), path, ckpt).awaitTermination()
     assert st.history_count(spark, path).collect()[0][0] == n1 == read_table(spark, sf001, "pages").count()
 
 
