@@ -150,3 +150,14 @@ def test_a_batch_killed_before_its_commit_is_read_neither_half_nor_twice(spark,
     rows = st.history(spark, path)
     assert rows.count() == 42 and rows.filter("id = 100").count() == 2 and st.commits(spark, path).count() == 2
     assert st.damaged_batches(spark, path).count() == 0
+
+
+def test_intermediate_tables_can_be_cleared(spark):
+    from lurelens import session
+    before = session._SCRATCH.pop(spark.sparkContext.applicationId, [])
+    kept = session.materialize(spark.range(5), "t-clear")
+    path = session._SCRATCH[spark.sparkContext.applicationId][0]
+    assert kept.count() == 5 and session.clear_scratch(spark) == 1 == 1 + session.clear_scratch(spark)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path).count()
+    session._SCRATCH[spark.sparkContext.applicationId] = before
