@@ -537,3 +537,33 @@ def test_embedding_empty(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert embedding_dedup.near_vectors(none).count() == 0
     assert F is not None
+
+
+def test_traversal_visits_cells_in_order():
+    rng = np.random.default_rng(3)
+    for n1, n2 in ((16, 16), (5, 9), (1, 4)):
+        one, two = rng.integers(0, 20, n1) * 0.5, rng.random(n2)
+        both = (one[:, None] + two[None, :]).ravel()
+        cells = embedding_dedup.traversal(one, two, n1 * n2)
+        assert sorted(cells) == list(range(n1 * n2)) and (np.diff(both[cells]) >= 0).all()
+        assert embedding_dedup.traversal(one, two, 3) == cells[:3] or n1 * n2 < 3
+        for at, cell in enumerate(cells):
+            assert embedding_dedup.visit_rank(one, two, cell) >= at + 1
+
+
+def test_embedding_copies_and_sparse_links(spark):
+    """A third of all rows are one vector; links between the others are rare."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(900, 32))
+    pairs = [(a, b) for a, b in zip(range(0, 120, 2), range(1, 120, 2), strict=True)]
+    for a, b in pairs:
+        u = base[a] / np.linalg.norm(base[a])
+        w = rng.normal(size=32)
+        w -= (w @ u) * u
+        base[b] = 0.94 * u + np.sqrt(1 - 0.94 ** 2) * w / np.linalg.norm(w)
+    rows = [(i + 1000, [float(np.float32(x)) for x in v], 1) for i, v in enumerate(base)]
+    rows += [(i, rows[500][1], 1) for i in range(450)] + [(5000, rows[500][1], 2)]
+    got = {r.vec_id: r for r in embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(4)).collect()}
+    assert all(got[i].n_links == 450 and got[i].component_id == 0 for i in [*range(450), 1500]) and got[5000].n_links == 0
+    found = sum(got[1000 + a].n_links + got[1000 + b].n_links for a, b in pairs)
+    assert found >= 0.9 * 2 * len(pairs) and all(got[1000 + b].component_id == 1000 + a for a, b in pairs if got[1000 + b].n_links)
