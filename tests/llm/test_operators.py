@@ -340,6 +340,17 @@ def test_host_path_rules_and_words():
     assert verdict("http://free-stuff.org/")[3] == "allow" and verdict("http://free-bets.org/free")[3] == "block"
 
 
+def test_url_weights_and_ties():
+    j = url_filter.Judge(url_filter.RULES, url_filter.STRICT, url_filter.SOFT, url_filter.SOFT_LIMIT)
+    verdict = lambda u: j.judge(u, url_filter.SOFT)[3]
+    assert max(url_filter.SOFT.values()) < url_filter.SOFT_LIMIT and not set(url_filter.SOFT) & set(url_filter.STRICT)
+    assert verdict("http://a.org/poker/poker") == "allow" and verdict("http://a.org/free/poker") == "block"
+    assert verdict("http://news.org/live/free/click") == "allow" and verdict("http://a.org/hot/live/free/click") == "block"
+    assert verdict("http://a.org/freepoker") == "allow" and verdict("http://a.org/" + "x" * 1_000_000 + "/FREE-Poker") == "block"
+    tied = url_filter.Judge((("b.com", "/x", "allow"), ("a.b.com", "/", "block"), ("a.b.com", "/", "allow")), (), {}, 2)
+    assert tied.judge("http://a.b.com/x", {})[2:4] == ("a.b.com/", "block")
+
+
 def test_url_edges(spark):
     pages = spark.createDataFrame([(1, None, "x"), (1, None, "x"), (None, "", "y")], "page_id long, url string, host string")
     assert [r.verdict for r in url_filter.filter_urls(pages).collect()] == ["allow"] * 3
