@@ -21,8 +21,8 @@ Proximity search (``near_matches``) takes the postings of a phrase's rarest term
 and looks for all its other terms, in any order, within a span of the phrase's
 length plus ``slop`` words around it, through the same index.
 
-Postings of a hot term are spread by the join (adaptive execution splits them);
-no list is gathered.  The candidates of one document meet in one row, as its
+Postings of hot terms that no window looks up never move, those of others are
+dealt out in parts; no list is gathered.  The candidates of one document meet in one row, as its
 words do.  Items of equal words are one class until the last step.
 
 Defined results: null, empty and wordless texts have no words and no hit; rows
@@ -39,6 +39,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
+from .suffix_dedup import join_hot
 
 WINDOW = 10
 LISTS = 2
@@ -86,11 +87,15 @@ def build_index(docs: DataFrame, phrases: DataFrame) -> DataFrame:
     return materialize(tokens.join(terms, "term").select("term", *_KEY, "pos"), "postings")
 
 
-def rarest(wins: DataFrame, index: DataFrame, lists: int) -> DataFrame:
+def frequencies(index: DataFrame) -> DataFrame:
+    """term, freq: postings of each term."""
+    return materialize(index.groupBy("term").agg(F.count("*").alias("freq")), "frequencies")
+
+
+def rarest(wins: DataFrame, freq: DataFrame, lists: int) -> DataFrame:
     """wid, term, off, rank, need: the ``lists`` rarest terms of each window by
     postings (ties: by term and place); no row of a window of which a term has
     no posting."""
-    freq = index.groupBy("term").agg(F.count("*").alias("freq"))
     each = wins.select("wid", "win").distinct().select(
         "wid", "win", F.posexplode(F.split("win", " ")).alias("off", "term")).join(freq, "term", "left")
     w = Window.partitionBy("wid", "win")
@@ -103,9 +108,14 @@ def rarest(wins: DataFrame, index: DataFrame, lists: int) -> DataFrame:
 def candidates(index: DataFrame, wins: DataFrame, lists: int = LISTS) -> DataFrame:
     """_id, _h, win, start: where all of a window's rarest terms stand as far
     from each other as in the window."""
-    rare = materialize(rarest(wins, index, lists), "rare-terms")
-    # most postings are of other terms: they go before the join that multiplies rows
-    lists_of = index.join(rare.select("term").distinct(), "term", "left_semi")
+    freq = frequencies(index)
+    rare = materialize(rarest(wins, freq, lists), "rare-terms")
+    wanted = freq.join(rare.select("term").distinct(), "term").select("term", F.col("freq").alias("n"))
+    # most postings are of other terms and go before the join that multiplies rows; terms that hold over a
+    # thousandth of the postings, so fewer than a thousand, go without a shuffle
+    total = freq.agg(F.sum("freq")).first()[0] or 0
+    common = freq.filter(F.col("freq") * 1000 > F.lit(total)).join(wanted, "term", "left_anti").select("term")
+    lists_of = join_hot(index.join(F.broadcast(common), "term", "left_anti"), wanted, "term", ["_id", "pos"])
     at = lists_of.join(rare, "term").select(
         *_KEY, "wid", (F.col("pos") - F.col("off")).alias("start"), "rank", "need").filter("start >= 0")
     both = at.groupBy(*_KEY, "wid", "start").agg(F.expr("bit_or(1 << (rank - 1))").alias("lists"), F.min("need").alias("need"))
@@ -171,7 +181,7 @@ def near_matches(docs: DataFrame, items: DataFrame, slop: int = 5, size: int = W
     wins = windows(it, size).select("win").distinct().withColumn("wid", F.xxhash64("win"))
     reach = size + slop
     n = F.size(F.split("win", " "))
-    first = index.join(rarest(wins, index, 1).select("wid", "term"), "term").select(*_KEY, "wid", F.col("pos").alias("p0"))
+    first = index.join(rarest(wins, frequencies(index), 1).select("wid", "term"), "term").select(*_KEY, "wid", F.col("pos").alias("p0"))
     first = first.distinct().join(wins.select("wid", "win", (n + slop).alias("span")), "wid")
     want = first.select(*_KEY, "win", "p0", "span", F.explode(F.array_distinct(F.split("win", " "))).alias("term"))
     # a posting within a span of p0 lies in p0's block of ``reach`` words or one beside it
