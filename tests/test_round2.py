@@ -43,8 +43,8 @@ def test_two_streams_one_history(spark, tmp_path):
         spark.createDataFrame([(i,) for i in ids], "page_id long").coalesce(1).write.parquet(folder)
         stream = st.file_stream(spark, folder, "page_id long")
         ckpt = scratch_path(spark, f"two-ckpt{k}")
-        st.append_history(stream, path, ckpt, key_cols=["page_id"]).awaitTermination()
-        st.append_history(stream, path, ckpt, key_cols=["page_id"]).awaitTermination()
+        st.append_history(stream, path, ckpt).awaitTermination()
+        st.append_history(stream, path, ckpt).awaitTermination()
     assert sorted(r.page_id for r in st.history(spark, path).collect()) == [1, 2, 3]
     assert st.history_count(spark, path).collect()[0][0] == 3
 
