@@ -9,6 +9,9 @@ tables are read line by line and split anywhere.
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +37,11 @@ def file_encodings(spark: SparkSession, path) -> DataFrame:
     return bad.groupBy("file").agg(F.when(F.max("bad"), "iso-8859-1").otherwise("utf-8").alias("encoding"))
 
 
+def _as_path(uri: str) -> str:
+    """A file's URI as a path for a reader: decoded, with glob characters escaped."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", unquote(uri))
+
+
 def read_csv(spark: SparkSession, path: str, encoding: str | None = None, schema=None, multi_line: bool = True) -> DataFrame:
     """S1/S3 reader: header, quoted fields.  Without ``encoding`` each file is
     read in its own: the files of each encoding are one scan.  Columns are
@@ -46,7 +54,7 @@ def read_csv(spark: SparkSession, path: str, encoding: str | None = None, schema
         return scan(path, encoding)
     files: dict[str, list[str]] = {}
     for r in file_encodings(spark, path).collect():               # one row a file
-        files.setdefault(r["encoding"], []).append(r["file"])
+        files.setdefault(r["encoding"], []).append(_as_path(r["file"]))
     if len(files) < 2:
         return scan(path, next(iter(files), "utf-8"))
     parts = [scan(sorted(files[e]), e) for e in sorted(files)]
@@ -108,7 +116,7 @@ def load_raw_url_dataset(spark: SparkSession, path: str, encoding: str | None =
 def peek_schema(spark: SparkSession, path: str, n: int = 5):
     """The first ``n`` rows (of the first files by path, in their order) and
     the column names of a CSV.  As many files are read as the rows need."""
-    files = sorted(spark.read.option("header", "true").csv(path).inputFiles())
+    files = [_as_path(f) for f in sorted(spark.read.option("header", "true").csv(path).inputFiles())]
     k = 1
     while True:
         df = spark.read.option("header", "true").csv(files[:k] or path)

@@ -30,6 +30,14 @@ def test_each_file_is_read_in_its_own_encoding(spark, tmp_path):
     assert wrong != "Grüße"
 
 
+def test_odd_file_names(spark, tmp_path):
+    (tmp_path / "a b+c%41 ü.csv").write_bytes("id,subject,body,label\n1,Grüße,x,spam\n".encode("latin1"))
+    (tmp_path / "z.csv").write_bytes("id,subject,body,label\n2,Grüße,x,spam\n".encode())
+    got = io.load_email_dataset(spark, str(tmp_path), keep=["id"]).collect()
+    assert sorted((r["id"], r["subject"]) for r in got) == [("1", "Grüße"), ("2", "Grüße")]
+    assert [r["id"] for r in io.peek_schema(spark, str(tmp_path))[0].collect()] == ["1", "2"]
+
+
 def test_labels_are_numbered_in_file_order_whatever_the_splits(spark, tmp_path):
     rng = random.Random(2)
     names = [f"label{i:02d}" for i in range(30)]
