@@ -290,6 +290,21 @@ def q_t16(spark, sf):
     return md.feature_importances(fitted(spark, sf, train, "boosted"), ALL_FEATURES).join(own, "feature", "left")
 
 
+@register("q_T16_importances_of_nodes",
+          "SELECT unnest([" + ", ".join(g.q(f) for f in ALL_FEATURES) + "]) AS feature, 0::BIGINT AS boosted_differs, 0::BIGINT AS forest_differs")
+def q_t16_nodes(spark, sf):
+    """Features whose importance summed from the node tables differs from the
+    fitted model's (none may), for boosted trees and forest."""
+    train, _ = _sides(training_table(spark, sf))
+    out = None
+    for kind in ("boosted", "forest"):
+        own = tt.importances(_tables(spark, sf, train, kind)).withColumnRenamed("importance", "own")
+        both = md.feature_importances(fitted(spark, sf, train, kind), ALL_FEATURES).join(own, "feature", "left")
+        both = both.select("feature", _differs("importance", "own").alias(f"{kind}_differs"))
+        out = both if out is None else out.join(both, "feature")
+    return out
+
+
 @register("q_T17_model_info")
 def q_t17(spark, sf):
     """Model information as set, and as found in the node table."""
@@ -373,6 +388,23 @@ def q_b7(spark, sf):
                     r6(F.col("p")).alias("p_ensemble"), bl.prediction(F.col("p")).alias("ensemble"))
 
 
+@register("q_B7_votes_from_tables",
+          f"SELECT email_id, label, 0::BIGINT AS boosted_differs, 0::BIGINT AS forest_differs, 0::BIGINT AS ensemble_differs FROM ({_t10_sql()}) s "
+          "WHERE split = 'test'")
+def q_b7_tables(spark, sf):
+    """Test rows whose predictions side by side differ from those that the node
+    tables and the weights 0.4, 0.3, 0.3 give (none may)."""
+    train, test = _sides(training_table(spark, sf, with_text=True))
+    models = ft.Models(*[fitted(spark, sf, train, kind) for kind in ("boosted", "forest", "text")])
+    p = ft.with_probabilities(test, models).withColumn("p", ft.vote(models, with_text=True))
+    for kind in ("boosted", "forest"):
+        p = p.join(tt.probabilities(_tables(spark, sf, train, kind), test, "email_id", f"w_{kind}"), "email_id", "left")
+    p = p.withColumn("w", F.col("w_boosted") * 0.4 + F.col("w_forest") * 0.3 + F.col("p_text") * 0.3)
+    differs = lambda a, b: (bl.prediction(F.col(a)) != bl.prediction(F.col(b))).cast("bigint")
+    return p.select("email_id", F.col("label").cast("bigint").alias("label"), differs("p_boosted", "w_boosted").alias("boosted_differs"),
+                    differs("p_forest", "w_forest").alias("forest_differs"), differs("p", "w").alias("ensemble_differs"))
+
+
 @register("q_B2_fitted_url_scores")
 def q_b2_fitted(spark, sf):
     """Every corpus URL scored with three models fitted on the train domains."""
