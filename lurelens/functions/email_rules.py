@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import lexicons as lx
 from .email_features import EmailCols
-from .text import compact, contains_any, hits, level, sql_any, sql_hits, sql_lit
+from .text import compact, level, sql_any, sql_hits, sql_lit
 from .url_rules import fmt, pct1
 
 EW = lx.EMAIL_WEIGHTS
@@ -18,11 +18,9 @@ def full_text_lower(e: EmailCols) -> Column:
     return F.lower(e.text)
 
 
-def has_phishing_indicators(ft) -> Column:
-    """M1/M2 on the lower-cased subject+body (Column or staged SQL reference)."""
-    if isinstance(ft, str):
-        return F.expr(f"({sql_any(ft, lx.STRONG_INDICATORS)} OR {ft} RLIKE {sql_lit(STRONG_URL_RE)})")
-    return contains_any(ft, lx.STRONG_INDICATORS) | ft.rlike(STRONG_URL_RE)
+def has_phishing_indicators(ft: str) -> Column:
+    """M1/M2 on the lower-cased subject+body (a staged column's SQL reference)."""
+    return F.expr(f"({sql_any(ft, lx.STRONG_INDICATORS)} OR {ft} RLIKE {sql_lit(STRONG_URL_RE)})")
 
 
 def legitimacy_reason_sql(ft: str, sl: str, ind: str) -> str:
@@ -42,29 +40,10 @@ def legitimacy_reason_sql(ft: str, sl: str, ind: str) -> str:
             f"WHEN {ieee} AND NOT {ind} THEN {sql_lit(lx.MSG['legit_ieee'])} END")
 
 
-def legitimacy_reason(ft, sl, indicators) -> Column:
-    """M3-M8: the first reason that marks a mail as legitimate, else NULL.
-    With SQL references (staged columns) it is built as one expression."""
-    if isinstance(ft, str):
-        return F.expr(legitimacy_reason_sql(ft, sl, indicators))
-    org = None
-    for o in lx.LEGITIMATE_ORGS:
-        c = ft.contains(o) | sl.contains(o)
-        v = F.lit(lx.MSG["legit_org"].format(o.upper()))
-        org = F.when(c, v) if org is None else org.when(c, v)
-    sig = hits(ft, [s.lower() for s in lx.LEGITIMATE_SIGNATURES])
-    phr = hits(ft, [s.lower() for s in lx.LEGITIMATE_PHRASES])
-    domain_ok = contains_any(sl, lx.LEGITIMATE_DOMAINS)
-    title = contains_any(ft, lx.TITLE_WORDS)
-    academic = contains_any(sl, lx.ACADEMIC_SENDER_DOMAINS)
-    signature = (sig >= 2) | (title & (sig >= 1))
-    ieee = sl.contains(lx.IEEE_WORD) | ft.contains(lx.IEEE_WORD)
-    return (F.when(~indicators & org.isNotNull(), org)
-            .when(academic & signature, F.lit(lx.MSG["legit_academic"]))
-            .when(domain_ok & (phr >= 1), F.lit(lx.MSG["legit_domain"]))
-            .when(signature & (phr >= 1), F.lit(lx.MSG["legit_signature"]))
-            .when((F.length(ft) < lx.SHORT_MAIL_CHARS) & (phr >= 2) & ~indicators, F.lit(lx.MSG["legit_short"]))
-            .when(ieee & ~indicators, F.lit(lx.MSG["legit_ieee"])))
+def legitimacy_reason(ft: str, sl: str, indicators: str) -> Column:
+    """M3-M8: the first reason that marks a mail as legitimate, else NULL, over
+    staged columns' SQL references."""
+    return F.expr(legitimacy_reason_sql(ft, sl, indicators))
 
 
 def sender_domain(sender: Column) -> Column:

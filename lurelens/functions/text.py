@@ -25,18 +25,6 @@ DIGIT = r"\p{Nd}"
 UPPER = r"\p{IsUppercase}"
 
 
-def lit_str(s: str) -> Column:
-    return F.lit(s)
-
-
-def count_sub(s: Column, sub: str) -> Column:
-    """Non-overlapping occurrences of a literal substring (``str.count``)."""
-    removed = F.length(s) - F.length(F.replace(s, F.lit(sub), F.lit("")))
-    if len(sub) == 1:
-        return removed
-    return (removed / F.lit(len(sub))).cast("int")
-
-
 def sql_lit(w: str) -> str:
     """A Spark SQL string literal."""
     return "'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'"
@@ -84,20 +72,6 @@ def hits(s, words: Iterable[str]) -> Column:
     return F.lit(0) if out is None else out
 
 
-def first_hit(s, words: Sequence[str]) -> Column:
-    """The first entry of ``words`` (list order, not position) found in ``s``."""
-    if isinstance(s, str):
-        return F.expr(sql_first(s, words))
-    out = None
-    for w in words:
-        out = F.when(s.contains(w), F.lit(w)) if out is None else out.when(s.contains(w), F.lit(w))
-    return F.lit(None).cast("string") if out is None else out
-
-
-def flag(c: Column) -> Column:
-    return c.cast("int")
-
-
 def ratio(num: Column, den: Column) -> Column:
     return num.cast("double") / den.cast("double")
 

@@ -1,8 +1,8 @@
-"""The 40 URL features as column expressions (one projection, no UDF).
+"""The 40 URL features as expressions over the URL's parts (one projection, no UDF).
 
-``url_feature_columns(parts)`` returns name -> Column in manifest order.  The
-parts are either staged columns (batch/stream projection) or lambda-local
-expressions (inside ``transform`` over an array of URLs).
+``url_feature_sql`` gives them in manifest order as SQL text over references to the
+parts: staged column names (batch or stream projection) or lambda fields (inside
+``transform`` over an array of URLs).
 """
 
 from __future__ import annotations
@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from . import lexicons as lx
 from .manifest import URL_FEATURES
-from .text import DIGIT, PUNCT, UPPER, contains_any, count_sub, flag, hits, ratio, sql_any, sql_hits, sql_lit
-from .url_parts import UrlParts, inline_parts, stage_parts
+from .text import DIGIT, PUNCT, UPPER, sql_any, sql_hits, sql_lit
+from .url_parts import stage_parts
 
 
 def default_reference_year() -> int:
@@ -36,69 +36,6 @@ def entropy(s: Column) -> Column:
     return F.when(n == 0, F.lit(0.0)).otherwise(F.aggregate(chars, F.lit(0.0), step))
 
 
-def url_feature_columns(p: UrlParts, reference_year: int | None = None,
-                        entropy_col: Column | None = None) -> dict[str, Column]:
-    """``entropy_col``: a staged entropy column (the entropy is a lambda
-    function; staging it keeps the other 39 features in generated code)."""
-    year = default_reference_year() if reference_year is None else int(reference_year)
-    u, ul = p.url, p.ul
-    n = F.length(u)
-    den = F.greatest(n, F.lit(1))
-    host_clean = p.host_clean
-    subdomains = F.greatest(F.size(F.split(p.host, r"\.")) - 2, F.lit(0))
-    ent = entropy(u) if entropy_col is None else entropy_col
-    f: dict[str, Column] = {
-        "url_length": n,
-        "num_dots": count_sub(u, "."),
-        "num_hyphens": count_sub(u, "-"),
-        "num_at_symbols": count_sub(u, "@"),
-        "num_question_marks": count_sub(u, "?"),
-        "num_percent": count_sub(u, "%"),
-        "num_equals": count_sub(u, "="),
-        "num_slashes": count_sub(u, "/"),
-        "has_https": flag(u.startswith("https://")),
-        "has_suspicious_tld": flag(contains_any(p.ulx, lx.SUSPICIOUS_TLDS)),
-        "has_ip_address": flag(p.host.rlike(r"^\p{Nd}{1,3}\.\p{Nd}{1,3}\.\p{Nd}{1,3}\.\p{Nd}{1,3}$")),
-        "has_shortening_service": flag(contains_any(p.ulx, lx.URL_SHORTENERS)),
-        "num_subdomains": subdomains,
-        "url_entropy": ent,
-        "has_port": flag(p.netloc.contains(":")),
-        "has_authentication": flag(p.netloc.contains("@")),
-        "path_length": F.length(p.path),
-        "query_length": F.length(p.query),
-        "digit_url_ratio": ratio(F.regexp_count(u, F.lit(DIGIT)), den),
-        "special_char_ratio": ratio(F.regexp_count(u, F.lit(PUNCT)), den),
-        "num_redirects": F.greatest(count_sub(u, "//") - 1, F.lit(0)),
-        "has_tracking": flag(contains_any(p.ulx, lx.TRACKING_PARAMS)),
-        "has_current_year": flag(u.contains(str(year))),
-        "has_any_year": flag(contains_any(u, [str(y) for y in range(lx.FIRST_YEAR, year + 1)])),
-        "path_depth": F.regexp_count(p.path, F.lit("[^/]+")),
-        "digit_ratio_host": ratio(F.regexp_count(host_clean, F.lit(DIGIT)), F.greatest(F.length(host_clean), F.lit(1))),
-        "hyphens_in_host": count_sub(host_clean, "-"),
-        "brand_keyword_count": hits(p.ulx, lx.URL_BRAND_KEYWORDS),
-        "suspicious_keyword_count": hits(p.ulx, lx.URL_SUSPICIOUS_KEYWORDS),
-        "has_uppercase": flag(u.rlike(UPPER)),
-        "num_query_params": F.when(F.length(p.query) > 0, count_sub(p.query, "&") + 1).otherwise(F.lit(0)),
-        "is_common_tld": flag(contains_any(p.ulx, lx.COMMON_TLDS)),
-        "has_at_symbol": flag(u.contains("@") & ~u.contains("mailto:")),
-        "has_double_dot": flag(u.contains("..")),
-        "has_encoding": flag(u.contains("%")),
-        "encoding_count": count_sub(u, "%"),
-        "has_excessive_subdomains": flag(subdomains > 2),
-        "homograph_score": F.least(hits(p.ulx, lx.HOMOGRAPH_CHARS).cast("double") / F.lit(5.0), F.lit(1.0)),
-        "has_typosquatting": flag(contains_any(p.ulx, lx.TYPOSQUATS)),
-        "url_complexity": F.least(ent * n / F.lit(50) / F.lit(10), F.lit(1.0)),
-    }
-    assert tuple(f) == URL_FEATURES
-    return f
-
-
-def url_features_struct(url: Column, reference_year: int | None = None) -> Column:
-    """All 40 features of one URL as a struct (for use inside lambdas)."""
-    cols = url_feature_columns(inline_parts(url), reference_year)
-    return F.struct(*[c.alias(k) for k, c in cols.items()])
-
-
 def with_url_features(df: DataFrame, url_col: str = "url", reference_year: int | None = None,
                       error_col: str | None = "error") -> DataFrame:
     """Appends the 40 feature columns (U1-U40) and, optionally, the parse
@@ -116,10 +53,8 @@ def with_url_features(df: DataFrame, url_col: str = "url", reference_year: int |
     return staged.withColumns(out).drop(*tmp, "__u_err", "__u_ent")
 
 
-# ------------------------------------------------------------------ SQL form
-# The same 40 features as SQL text over references to the URL parts (staged
-# column names, or lambda fields inside ``transform``): one expression per
-# feature instead of a JVM call per word when the plan is built.
+# One expression per feature as SQL text, instead of a JVM call per word when
+# the plan is built.
 
 def _cnt(ref: str, sub: str) -> str:
     n = f"(length({ref}) - length(replace({ref}, {sql_lit(sub)}, '')))"

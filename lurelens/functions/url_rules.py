@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import lexicons as lx
-from .text import compact, contains_any, count_sub, first_hit, sql_any, sql_first, sql_lit
+from .text import compact, sql_any, sql_first, sql_lit
 from .url_parts import UrlParts, bad_netloc_sql
 
 W = lx.URL_WEIGHTS
@@ -38,31 +38,6 @@ def pct1(p: Column) -> Column:
     return F.format_string("%.1f%%", p * F.lit(100.0))
 
 
-def brand_impersonation(ul) -> Column:
-    """R2: first brand (list order) with a look-alike hit; '' when that brand's
-    own domain is also present or when no brand hits."""
-    if isinstance(ul, str):
-        return F.expr("CASE " + " ".join(
-            f"WHEN {sql_any(ul, pats)} THEN CASE WHEN {sql_any(ul, lx.BRAND_LEGIT_DOMAINS.get(b, ()))} "
-            f"THEN '' ELSE {sql_lit(b)} END" for b, pats in lx.BRAND_PATTERNS) + " ELSE '' END")
-    out = None
-    for brand, patterns in lx.BRAND_PATTERNS:
-        hit = contains_any(ul, patterns)
-        val = F.when(contains_any(ul, lx.BRAND_LEGIT_DOMAINS.get(brand, ())), F.lit("")).otherwise(F.lit(brand))
-        out = F.when(hit, val) if out is None else out.when(hit, val)
-    return out.otherwise(F.lit(""))
-
-
-def _first_titled(s, words) -> Column:
-    if isinstance(s, str):
-        return F.expr(sql_first(s, words, [w.title() for w in words]))
-    out = None
-    for w in words:
-        t = w.title()
-        out = F.when(s.contains(w), F.lit(t)) if out is None else out.when(s.contains(w), F.lit(t))
-    return out
-
-
 @dataclass(frozen=True)
 class UrlRuleColumns:
     brand: Column
@@ -140,27 +115,8 @@ def rule_values_sql(ul: str, url: str) -> dict[str, str]:
 
 
 def rule_values(p: UrlParts) -> dict[str, Column]:
-    """The rule inputs of one URL (R2-R11), keyed by field name."""
-    if p.ul_ref:
-        return {k: F.expr(v) for k, v in rule_values_sql(p.ul_ref, p.url_ref).items()}
-    u, ul = p.url, p.ul
-    hosting = first_hit(ul, lx.FREE_HOSTING_SITES)
-    first_label = F.get(F.split(F.get(F.split(ul, "://"), 1), r"\."), 0)
-    on_hosting = hosting.isNotNull()
-    return {
-        "brand": brand_impersonation(ul),
-        "hosting": hosting,
-        "hosting_brand": F.when(on_hosting, _first_titled(ul, lx.FREE_HOSTING_BRANDS)),
-        "long_subdomain": F.coalesce(on_hosting & (F.length(first_label) > 12), F.lit(False)),
-        "numeric_subdomain": F.coalesce(on_hosting & first_label.rlike(r"\p{Nd}") & (F.length(first_label) > 8),
-                                        F.lit(False)),
-        "ip": u.rlike(r"https?://\p{Nd}{1,3}\.\p{Nd}{1,3}\.\p{Nd}{1,3}\.\p{Nd}{1,3}"),
-        "subdomain_count": count_sub(ul, ".") - count_sub(ul, "://") - 1,
-        "tld": first_hit(ul, lx.SUSPICIOUS_TLDS),
-        "at": u.contains("@") & ~u.contains("mailto:"),
-        "shortener": first_hit(ul, lx.RULE_SHORTENERS),
-        "no_https_sensitive": ~u.startswith("https://") & contains_any(ul, lx.SENSITIVE_KEYWORDS),
-    }
+    """The rule inputs of one URL with staged parts (R2-R11), keyed by field name."""
+    return {k: F.expr(v) for k, v in rule_values_sql(p.ul_ref, p.url_ref).items()}
 
 
 def url_rule_columns(p: UrlParts) -> UrlRuleColumns:

@@ -102,7 +102,8 @@ def q_m1(spark, sf):
     """Strong phishing phrase or strong URL pattern present."""
     e = email_corpus(spark, sf)
     ec = email_cols(present=set(e.columns))
-    return e.select("email_id", has_phishing_indicators(F.lower(ec.text)).cast("bigint").alias("strong_indicators"))
+    staged = e.withColumn("__ft", F.lower(ec.text))
+    return staged.select("email_id", has_phishing_indicators("`__ft`").cast("bigint").alias("strong_indicators"))
 
 
 @register("q_M8_legitimacy", f"SELECT email_id, _reason AS legit_reason, CAST(_bypass AS BIGINT) AS is_legitimate FROM ({_SE}) z")
@@ -111,8 +112,8 @@ def q_m8(spark, sf):
     e = email_corpus(spark, sf)
     ec = email_cols(present=set(e.columns))
     staged = e.withColumns({"__ft": F.lower(ec.text), "__sl": F.lower(ec.sender)})
-    staged = staged.withColumn("__ind", has_phishing_indicators(F.col("__ft")))
-    staged = staged.withColumn("legit_reason", legitimacy_reason(F.col("__ft"), F.col("__sl"), F.col("__ind")))
+    staged = staged.withColumn("__ind", has_phishing_indicators("`__ft`"))
+    staged = staged.withColumn("legit_reason", legitimacy_reason("`__ft`", "`__sl`", "`__ind`"))
     ieee = F.col("__sl").contains("ieee") | F.col("__ft").contains("ieee")
     return staged.select("email_id", "legit_reason",
                          (F.col("legit_reason").isNotNull() | ieee).cast("bigint").alias("is_legitimate"))

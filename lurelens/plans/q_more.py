@@ -5,7 +5,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import lexicons as lx
 from ..functions.manifest import ALL_FEATURES, URL_FEATURES
 from ..operators import models as md
 from ..operators import prep as pp
@@ -224,7 +223,8 @@ def q_s2(spark, sf):
     feats = sc.url_features(url_corpus(spark, sf), "url", 2024).select("page_id", "url", *URL_FEATURES, "label")
     path = scratch_path(spark, "url-feature-csv")
     io.write_csv(feats, path)
-    df, kept = io.load_url_feature_dataset(spark, path)
+    schema = "page_id long, url string, " + ", ".join(f"{n} double" for n in URL_FEATURES) + ", label int"
+    df, kept = io.load_url_feature_dataset(spark, path, schema=schema)
     long = df.select(F.col("page_id").cast("bigint"), F.col("label_numeric").cast("bigint"),
                      *[F.col(c).cast("double") for c in kept]).unpivot(
         ["page_id", "label_numeric"], kept, "feature", "value")

@@ -7,7 +7,6 @@ strings from the fixed word lists; nothing here runs inside Spark.
 
 from __future__ import annotations
 
-from ..functions import lexicons as lx
 from ..sources import corpora as cp
 
 

@@ -1,13 +1,11 @@
-"""The column-builder and SQL-text forms of the URL features and rule inputs
-agree (the SQL form serves staged columns and in-row URL arrays)."""
+"""The same URL as a column and in an array gives the same features and analysis."""
 import pytest
 from pyspark.sql import functions as F
 
 from lurelens.functions.combine import url_feature_array
 from lurelens.functions.manifest import URL_FEATURES
-from lurelens.functions.url_features import url_features_struct, with_url_features
-from lurelens.functions.url_parts import inline_parts, stage_parts
-from lurelens.functions.url_rules import RULE_FIELDS, rule_values
+from lurelens.functions.url_features import with_url_features
+from lurelens.operators import scoring as sc
 
 URLS = ["http://paypa1-verify.ga/login", "http://1.2.3.4:80/a", "http://u:p@h.com/x;y?q=1&r=2#f", "//host/p",
         "host/path", "HTTPS://A.COM/", "https://www.linkedin.com", "https://www.microsoft.com",
@@ -15,25 +13,22 @@ URLS = ["http://paypa1-verify.ga/login", "http://1.2.3.4:80/a", "http://u:p@h.co
         "http://amazon-prize-claim.tk/%7Euser//a..b", "https://a.b.c.d.accounts.google.com.evil.top/2021"]
 
 
-def test_feature_forms_agree(spark):
-    df = spark.createDataFrame([(i, u) for i, u in enumerate(URLS)], "id long, url string")
-    sql_form = {r["id"]: r for r in with_url_features(df, "url", 2024).collect()}
-    col_form = {r["id"]: r["f"] for r in df.select("id", url_features_struct(F.col("url"), 2024).alias("f")).collect()}
-    arr = df.select("id", F.array("url").alias("urls")).select("id", url_feature_array("urls", 2024).alias("a"))
-    arr_form = {r["id"]: r["a"][0] for r in arr.collect()}
-    for i in sql_form:
+@pytest.fixture(scope="module")
+def urls(spark):
+    return spark.createDataFrame([(i, u) for i, u in enumerate(URLS)], "id long, url string")
+
+
+def test_features_of_columns_and_arrays_agree(urls):
+    column = {r["id"]: r for r in with_url_features(urls, "url", 2024).collect()}
+    arr = urls.select("id", F.array("url").alias("urls")).select("id", url_feature_array("urls", 2024).alias("a"))
+    for r in arr.collect():
         for k in URL_FEATURES:
-            assert float(sql_form[i][k]) == pytest.approx(float(col_form[i][k]), abs=1e-12), (URLS[i], k)
-            assert float(arr_form[i][k]) == pytest.approx(float(col_form[i][k]), abs=1e-12), (URLS[i], k)
-
-
-def test_rule_forms_agree(spark):
-    df = spark.createDataFrame([(i, u) for i, u in enumerate(URLS)], "id long, url string")
-    inline = rule_values(inline_parts(F.col("url")))
-    staged, p, _ = stage_parts(df, "url")
-    sql = rule_values(p)
-    a = {r["id"]: r for r in df.select("id", *[c.alias(k) for k, c in inline.items()]).collect()}
-    b = {r["id"]: r for r in staged.select("id", *[c.alias(k) for k, c in sql.items()]).collect()}
-    for i in a:
-        for k in RULE_FIELDS:
-            assert a[i][k] == b[i][k], (URLS[i], k)
+            assert float(r["a"][0][k]) == pytest.approx(float(column[r["id"]][k]), abs=1e-12), (URLS[r["id"]], k)
+
+
+def test_analyses_of_columns_and_arrays_agree(urls):
+    column = {r["id"]: r for r in sc.score_urls(urls).collect()}
+    arr = sc.analyze_url_array(urls.select("id", F.array("url").alias("urls")), "urls", "a")
+    for r in arr.collect():
+        got, want = r["a"][0], column[r["id"]]
+        assert (got["risk_score"], got["risk_level"], got["risk_factors"]) == (want["risk_score"], want["risk_level"], want["risk_factors"]), URLS[r["id"]]
