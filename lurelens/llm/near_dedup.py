@@ -49,7 +49,8 @@ K = 5
 BANDS, ROWS = 20, 5
 STRIDE = 0x01000193          # odd: shifts by k * STRIDE never repeat below 2**32
 PIVOT_BLOCK = 2048
-BLOCK = 512
+BLOCK = 512                  # members of a block, and their shingles, on average
+BLOCK_SHINGLES = 1 << 20
 LONG_SET = 1 << 20           # shingles of one document worked on at once
 THRESHOLD = (85, 100)
 
@@ -226,14 +227,17 @@ def forest(ids: list[np.ndarray], comp: list[int], minor: list[bool], num: int,
 
 def verify_blocks(members: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """Links (u, v) inside buckets that hold several components.  ``members``:
-    key (the bucket), doc_id, comp.  A bucket's minor members (those outside its
-    largest component) and all its members are cut into blocks of about
-    ``BLOCK``; a task holds one pair of blocks."""
+    key (the bucket), doc_id, comp, n_shingles.  A bucket's minor members (those
+    outside its largest component) and all its members are cut into blocks of
+    about ``BLOCK`` members or ``BLOCK_SHINGLES`` shingles, whichever is less; a
+    task holds one pair of blocks."""
     num, den = threshold
-    per = members.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    per = members.groupBy("key", "comp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w"))
     # at most one row a component and bucket; the largest by (size, id)
-    top = per.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("major"), F.sum("n").alias("m"), F.max("n").alias("big"))
-    top = top.withColumn("nb", F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")).withColumn("mb", F.ceil((F.col("m") - F.col("big")) / F.lit(BLOCK)).cast("int"))
+    top = per.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("major"), F.sum("n").alias("m"), F.sum("w").alias("w"),
+                                F.max(F.struct("n", "comp", "w")).alias("big"))
+    blocks = lambda n, w: F.ceil(F.greatest(n / F.lit(BLOCK), w / F.lit(BLOCK_SHINGLES))).cast("int")
+    top = top.withColumn("nb", blocks(F.col("m"), F.col("w"))).withColumn("mb", blocks(F.col("m") - F.col("big.n"), F.col("w") - F.col("big.w")))
     rows = members.join(top.select("key", "major", "nb", "mb"), "key")
     h = F.xxhash64("doc_id")
     rows = rows.withColumn("mine", F.pmod(h, F.col("nb")).cast("int")).withColumn("minor", F.col("comp") != F.col("major"))
@@ -259,13 +263,14 @@ def verify_blocks(members: DataFrame, sets: DataFrame, threshold: tuple[int, int
             return pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
         for b in batches:
-            cols = [b.column(x).to_pylist() for x in range(7)]
-            for k, x, y, left, doc, comp, raw in zip(*cols, strict=True):
-                if (k, x, y) != key:
-                    if rows:
-                        yield done()
-                    key, rows = (k, x, y), []
-                rows.append((left, doc, comp, raw))
+            for at in range(0, b.num_rows, 256):
+                cols = [b.column(x).slice(at, 256).to_pylist() for x in range(7)]
+                for k, x, y, left, doc, comp, raw in zip(*cols, strict=True):
+                    if (k, x, y) != key:
+                        if rows:
+                            yield done()
+                        key, rows = (k, x, y), []
+                    rows.append((left, doc, comp, raw))
         if rows:
             yield done()
 
@@ -279,8 +284,8 @@ def _groups(docs: DataFrame, threshold: tuple[int, int], bands: int, rows: int,
     a row per document."""
     feats = materialize(features(docs, bands, rows, k), "features")
     classes = feats.filter("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(
-        F.min("doc_id").alias("least"), F.first("bands").alias("bands"))
-    classes = materialize(classes.select("digest", F.xxhash64("digest").alias("rep"), "least", "bands"), "classes")
+        F.min("doc_id").alias("least"), F.max("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
+    classes = materialize(classes.select("digest", F.xxhash64("digest").alias("rep"), "least", "n_shingles", "bands"), "classes")
     # buckets with two classes at least: their smallest member and all members
     keys = classes.select("rep", F.explode("bands").alias("key"))
     small = keys.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).filter("n > 1")
@@ -295,7 +300,8 @@ def _groups(docs: DataFrame, threshold: tuple[int, int], bands: int, rows: int,
     open_ = held.filter("n > 2").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select(
         "key", F.col("rep").alias("doc_id"), F.coalesce("component", "rep").alias("comp"))
     several = open_.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-    members = materialize(open_.join(several, "key"), "open")
+    sizes = classes.select(F.col("rep").alias("doc_id"), "n_shingles")
+    members = materialize(open_.join(several, "key").join(sizes, "doc_id"), "open")
     more = materialize(verify_blocks(members, sets, threshold), "links")
     comp = materialize(connected_components(links.union(more)).withColumnRenamed("node", "rep"), "components")
     linked_ = comp.join(classes.select("rep", "least"), "rep")

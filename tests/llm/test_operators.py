@@ -380,6 +380,7 @@ def test_near_duplicates_equal_brute_force(docs):
 def test_large_group_of_unlike_copies(spark, monkeypatch):
     """A family whose members are mostly not linked: block comparison decides."""
     monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 900)
     monkeypatch.setattr(near_dedup, "PIVOT_BLOCK", 16)
     rng = random.Random(9)
     base = [f"w{i}" for i in range(150)]

@@ -81,3 +81,46 @@ def test_queries_equal_sql(spark, sf001, name):
     assert sorted(df.columns) == sorted(rel.columns)
     norm = lambda rows, cols: sorted(repr(tuple(round(x, 6) if isinstance(x, float) else x for _, x in sorted(zip(cols, r, strict=True)))) for r in rows)
     assert norm(map(tuple, df.collect()), df.columns) == norm(rel.fetchall(), rel.columns)
+
+
+def test_substring_stage_cuts_the_later_copy_only(spark):
+    """Of each planted passage the first copy stays whole; of the later ones most
+    goes, and nothing but the passage (widened to whole words) goes."""
+    rng = random.Random(12)
+    own = lambda d, n: [f"d{d}w{rng.randrange(10**7)}" for _ in range(n)]
+    rows, passages = [], []
+    for i in range(40):
+        p = own("p", 80) if i < 20 else passages[i - 20]
+        if i < 20:
+            passages.append(p)
+        rows.append((i, (own(i, 60), p, own(i, 50))))
+    texts = [(i, " ".join(a + p + z)) for i, (a, p, z) in rows] + [(100 + i, " ".join(own(100 + i, 200))) for i in range(10)]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in texts], "doc_id long, text string, n_chars long")
+    got = {r.doc_id: r.text for r in cp.drop_repeated_passages(spark, docs, "").collect()}
+    assert all(got[i] == t for i, t in texts if i < 20 or i >= 100)
+    left = 0
+    for i, (a, p, z) in rows[20:]:
+        words = got[i].split()
+        assert [w for w in words if w not in p] == a + z
+        left += len(words) - len(a) - len(z)
+    assert left < 0.2 * 20 * 80
+
+
+def test_toxicity_stage_equals_scoring_row_by_row(spark):
+    """The stage keeps the rows that plain Python scoring with the learned lexicon keeps."""
+    from lurelens.llm import toxicity
+    rng = random.Random(5)
+    rows, marks = [], []
+    for i in range(300):
+        bad = i % 3 == 0
+        text = " ".join(rng.choice("river stone cloud maple harbor candle window garden".split()) for _ in range(30))
+        rows.append((i, text + (" you grobnik " if bad else " ") + f"{rng.randrange(16**14):014x}", "en"))
+        marks.append((i, int(bad)))
+    docs = spark.createDataFrame([*rows, (None, None, "en"), (500, "", "en")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame(marks, "doc_id long, toxic int")
+    terms, ordinary = toxicity.fit(docs, labels)
+    matcher = toxicity.Matcher(terms, ordinary)
+    want = sorted(i for i, t, _ in [*rows, (500, "", "en")] if toxicity.score_of(toxicity.evidence(t, matcher)[0]) < 0.5)
+    kept = toxicity.keep_clean(docs, labels)
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == want == sorted([i for i in range(300) if i % 3] + [500])
+    assert kept.filter("doc_id is null").count() == 1
