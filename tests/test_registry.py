@@ -9,7 +9,10 @@ import __spark_entry__ as ent
 TABLES = "pages documents labels".split()
 SUBSET = ["q_U42_url_features", "q_R17_score_urls", "q_E22_email_features", "q_C2_url_feature_means",
           "q_M16_score_emails", "q_M17_email_with_urls", "q_T1_T2_separation", "q_T7_domain_split_exact",
-          "q_T10_stratified_split", "q_L1_url_labels", "q_V5_metrics_table", "q_B4_B5_email_blend", "q_V3_auc_exact"]
+          "q_T10_stratified_split", "q_L1_url_labels", "q_V5_metrics_table", "q_B4_B5_email_blend", "q_V3_auc_exact",
+          "q_C2_by_parts", "q_M17_by_parts", "q_S1_mixed_encodings", "q_S4_schema_peek", "q_S5_url_lines", "q_S10_manifest",
+          "q_D7_alternate_features", "q_L2_label_index", "q_T4_leaking_features", "q_T11_scaled_features", "q_T18_tfidf_features",
+          "q_T19_term_weights", "q_W3_scan_history"]
 
 
 def _digest(rows, cols):
