@@ -97,7 +97,8 @@ class Matcher:
     An item is (node, edits, pending): pending is a character that a swap of
     neighbours still has to read, or ''."""
 
-    MAX_STATES = 50_000
+    #: Bounds of what a task remembers (states and words are made again when needed).
+    MAX_STATES, MAX_WORDS = 10_000, 100_000
 
     def __init__(self, terms: list[tuple[str, float, int, bool]], ordinary: list[str] = ()) -> None:
         self.trie = Trie()
@@ -173,7 +174,7 @@ class Matcher:
         """(term, weight, edits) of the best term for a lower-cased word."""
         if word in self.words:
             return self.words[word]
-        if len(self.words) > 500_000:
+        if len(self.words) > self.MAX_WORDS:
             self.words.clear()
         if len(self.sets) > self.MAX_STATES:
             self._reset()
@@ -331,7 +332,7 @@ def score_documents(docs: DataFrame, terms: list[tuple[str, float, int, bool]],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(terms, ordinary)
         for b in batches:
-            found = [evidence(t, matcher) for t in b.column(b.num_columns - 1).to_pylist()]
+            found = [evidence(t.as_py(), matcher) for t in b.column(b.num_columns - 1)]
             score = [score_of(x) for x, _ in found]
             yield pa.RecordBatch.from_arrays(
                 [*b.columns[:-1], pa.array(score, pa.float64()), pa.array([int(s >= 0.5) for s in score], pa.int32()),
