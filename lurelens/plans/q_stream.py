@@ -16,7 +16,7 @@ from .shape import joined, r6
 
 def _stream_of(spark, sf, table):
     schema = read_table(spark, sf, table).schema
-    return st.file_stream(spark, sf, schema, glob=f"{table}.parquet")
+    return st.file_stream(spark, st.table_folder(sf, table), schema)
 
 
 @register("q_W1_stream_score_urls", REGISTRY["q_R17_score_urls"].sql)

@@ -22,6 +22,14 @@ from ..operators import scoring as sc
 from ..session import scratch_path
 
 
+def table_folder(folder: str, table: str) -> str:
+    """The place of a Parquet table, one file or a folder of part files, for
+    ``file_stream``.  A file source takes a folder as base of partition columns
+    and refuses a file there, and ``pathGlobFilter`` looks at the names of files
+    alone; a pattern that only this name fits serves both."""
+    return f"{folder.rstrip('/')}/{{{table}.parquet}}"
+
+
 def file_stream(spark: SparkSession, folder: str, schema, fmt: str = "parquet", glob: str | None = None,
                 max_files_per_trigger: int | None = None) -> DataFrame:
     """A stream of the rows of new files in ``folder``."""

@@ -17,6 +17,20 @@ def test_url_stream_equals_batch(spark, sf001):
     assert sorted(map(tuple, out.select(*cols).collect())) == sorted(map(tuple, batch.select(*cols).collect()))
 
 
+def test_streams_read_tables_of_one_file_and_of_many(spark, tmp_path):
+    from lurelens.plans import q_stream as qs
+    pages = spark.range(60).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h.example/"), "id").alias("url"))
+    docs = spark.range(60).select(F.col("id").alias("doc_id"), F.concat(F.lit("Title\nsee http://h.example/"), "id").alias("text"))
+    for n in (1, 3):
+        sf = str(tmp_path / f"of-{n}")
+        pages.repartition(n).write.parquet(f"{sf}/pages.parquet")
+        docs.repartition(n).write.parquet(f"{sf}/documents.parquet")
+        assert qs.q_s12(spark, sf).first()[0] == 60
+        assert sorted(r[0] for r in qs.q_w1(spark, sf).select("page_id").collect()) == list(range(60))
+        assert sorted(r[0] for r in qs.q_w2(spark, sf).select("email_id").collect()) == list(range(60))
+        assert sorted(r[0] for r in qs.q_w3(spark, sf).select("page_id").collect()) == list(range(60))
+
+
 def test_history_is_idempotent_per_batch(spark, sf001):
     schema = read_table(spark, sf001, "pages").schema
     stream = st.file_stream(spark, sf001, schema, glob="pages.parquet").select("page_id", "url")
