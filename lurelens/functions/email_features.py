@@ -7,6 +7,7 @@ num_attachments.  Missing values are read as '' / empty map / 0.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -64,11 +65,29 @@ def email_cols(subject="subject", body="body", sender="sender", html="html_conte
     )
 
 
+# Characters outside ASCII that a pattern without case takes for an ASCII letter
+# (long s, Kelvin sign, dotted capital i, dotless i).
+CASE_TWINS = ("\u017f", "\u212a", "\u0130", "\u0131")
+
+
+def count_if(possible: Column, count: Column) -> Column:
+    """``count``, or 0 without looking where ``possible`` (cheaper) rules it out."""
+    return F.when(possible, count).otherwise(F.lit(0))
+
+
+def literals_of(pattern: str) -> list[str]:
+    """The alternatives of a pattern of words only, one of which a match holds."""
+    m = re.fullmatch(r"\\b\(([a-z |]+)\)\\b", pattern)
+    return m[1].split("|") if m else []
+
+
 def urgency_score(text: Column, lowered: bool = False) -> Column:
     tl = text if lowered else F.lower(text)
     total = None
     for pat in lx.URGENCY_PATTERNS:
         c = F.regexp_count(tl, F.lit("(?iU)" + pat))
+        if words_of := literals_of(pat):
+            c = count_if(contains_any(tl, [*words_of, *CASE_TWINS]), c)
         total = c if total is None else total + c
     return F.least(total.cast("double") / F.lit(10), F.lit(1.0))
 
@@ -101,17 +120,16 @@ def header_flags(h: Column) -> dict[str, Column]:
 def email_feature_columns(e: EmailCols, text: Column | None = None, tl: Column | None = None,
                           tokens: Column | None = None, tl_ref: str | None = None) -> dict[str, Column]:
     """The 21 features.  ``text`` / ``tl`` (lower-cased text) / ``tokens``
-    (``text.split()``) may be staged columns so each is computed once."""
+    (``tl.split()``) may be staged columns so each is computed once."""
     text = e.text if text is None else text
     tl = F.lower(text) if tl is None else tl
-    toks = words(text) if tokens is None else tokens
+    # lower-casing neither creates nor removes blanks, so both texts have the same
+    # tokens, and what it adds in length it adds inside them
+    toks = words(tl) if tokens is None else tokens
     n_text = F.length(text)
     n_html = F.length(e.html)
     no_html = e.html == ""
     n_words = F.size(toks)
-    # lower-casing the tokens joined by one blank = tokens of the lower-cased
-    # text (lower-casing neither creates nor removes blanks)
-    lw = F.split(F.lower(F.array_join(toks, " ")), " ")
     hf = header_flags(e.headers)
     f = {
         "total_length": n_text,
@@ -119,7 +137,7 @@ def email_feature_columns(e: EmailCols, text: Column | None = None, tl: Column |
         "num_digits": F.regexp_count(text, F.lit(DIGIT)),
         "num_special_chars": F.regexp_count(text, F.lit(PUNCT)),
         "num_urls": F.regexp_count(text, F.lit(URL_IN_TEXT_RE)),
-        "num_emails": F.regexp_count(text, F.lit(EMAIL_IN_TEXT_RE)),
+        "num_emails": count_if(text.contains("@"), F.regexp_count(text, F.lit(EMAIL_IN_TEXT_RE))),
         "num_ips": F.regexp_count(text, F.lit(IP_IN_TEXT_RE)),
         "num_links": F.length(F.array_join(
             F.regexp_extract_all(e.html, F.lit(LINK_IN_HTML_RE), F.lit(1)), "")),
@@ -133,18 +151,18 @@ def email_feature_columns(e: EmailCols, text: Column | None = None, tl: Column |
         "html_ratio": F.when(no_html, F.lit(0.0)).otherwise(ratio(n_html, n_html + n_text)),
         "text_html_ratio": F.when(no_html, F.lit(1.0)).otherwise(ratio(n_text, n_html)),
         "avg_word_length": F.when(n_words == 0, F.lit(0.0)).otherwise(
-            ratio(F.length(F.array_join(toks, "")), n_words)),
+            ratio(F.length(F.array_join(toks, "")) - (F.length(tl) - n_text), n_words)),
         "unique_word_ratio": F.when(n_words == 0, F.lit(0.0)).otherwise(
-            ratio(F.size(F.array_distinct(lw)), n_words)),
+            ratio(F.size(F.array_distinct(toks)), n_words)),
     }
     f = {k: f[k] for k in EMAIL_FEATURES}
     return f
 
 
 def stage_email_text(df: DataFrame, e: EmailCols) -> tuple[DataFrame, dict[str, Column], list[str]]:
-    """Adds the text, its lower-cased form and its tokens as columns (one
+    """Adds the text, its lower-cased form and that one's tokens as columns (one
     projection each) and returns handles for ``email_feature_columns``."""
     df = df.withColumn("__e_text", e.text)
-    df = df.withColumns({"__e_tl": F.lower(F.col("__e_text")), "__e_tok": words(F.col("__e_text"))})
+    df = df.withColumn("__e_tl", F.lower(F.col("__e_text"))).withColumn("__e_tok", words(F.col("__e_tl")))
     handles = {"text": F.col("__e_text"), "tl": F.col("__e_tl"), "tokens": F.col("__e_tok"), "tl_ref": "`__e_tl`"}
     return df, handles, ["__e_text", "__e_tl", "__e_tok"]
