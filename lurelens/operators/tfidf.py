@@ -41,15 +41,22 @@ def terms_of(text: Column, stop_words=lx.STOP_WORDS) -> Column:
     return F.filter(found, lambda t: ~t.isin(stop)) if stop else found
 
 
+def items(df: DataFrame, array: Column, out: str, *keep: str) -> DataFrame:
+    """``keep`` and ``out``: a row per item of an array without nulls.  Not by
+    ``explode``: for it the optimizer puts a filter on the array below the
+    projection, and the array of every row is computed twice."""
+    return df.select(*keep, F.explode_outer(array).alias(out)).where(F.col(out).isNotNull())
+
+
 def fit(df: DataFrame, text: Column, max_features: int = 100, stop_words=lx.STOP_WORDS) -> TfidfModel:
     """The model of a text column."""
     staged = df.select(terms_of(text, stop_words).alias("t"))
-    top = (staged.select(F.explode("t").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    top = (items(staged, F.col("t"), "term").groupBy("term").agg(F.count("*").alias("n"))
            .orderBy(F.desc("n"), "term").limit(max_features).collect())        # at most max_features rows
     n = {r["term"]: r["n"] for r in top}
     terms = sorted(n)
     docs = df.count()
-    chosen = staged.select(F.explode(F.array_distinct(F.filter("t", lambda t: t.isin(terms)))).alias("term"))
+    chosen = items(staged, F.array_distinct(F.filter("t", lambda t: t.isin(terms))), "term")
     freq = chosen.groupBy("term").agg(F.count("*").alias("df")).select(
         "term", "df", (F.log(F.lit(1.0 + docs) / (1 + F.col("df"))) + 1).alias("idf")).collect() if terms else []
     df_idf = {r["term"]: (r["df"], r["idf"]) for r in freq}
@@ -62,7 +69,7 @@ def transform(df: DataFrame, model: TfidfModel, text: Column, out: str = "tfidf"
     terms = F.array(*[F.lit(t) for t in model.terms]).cast("array<string>")
     idf = F.array(*[F.lit(v) for v in model.idf]).cast("array<double>")
     kept = F.filter(terms_of(text, stop_words), lambda t: t.isin(list(model.terms)))
-    raw = _bind(kept, lambda k: F.zip_with(F.transform(terms, lambda v: F.size(F.filter(k, lambda t: t == v))), idf, lambda a, b: a * b))
+    raw = _bind(kept, lambda k: F.zip_with(F.transform(terms, lambda v: F.size(k) - F.size(F.array_remove(k, v))), idf, lambda a, b: a * b))
     unit = _bind(raw, lambda r: _bind(F.sqrt(F.aggregate(r, F.lit(0.0), lambda a, x: a + x * x)), lambda n: F.transform(
         r, lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0)))))
     return df.withColumn(out, unit)
