@@ -66,11 +66,22 @@ def check_classes(train: DataFrame, label: str) -> None:
         raise ValueError(f"the training rows need two classes in {label!r}")
 
 
+PARTITIONS_PER_CORE = 2
+
+
+def for_fit(train: DataFrame) -> DataFrame:
+    """``train`` in at most ``PARTITIONS_PER_CORE`` partitions a core, whatever its
+    size.  A fit runs hundreds to thousands of short stages over the same rows and
+    every task of each returns a result to the driver; their number must not grow
+    with the rows."""
+    return train.coalesce(PARTITIONS_PER_CORE * train.sparkSession.sparkContext.defaultParallelism)
+
+
 def fit(pipeline: Pipeline, train: DataFrame) -> PipelineModel:
     """Fits with the training rows persisted (tree learners read them once
     per level); the cache is released afterwards."""
     check_classes(train, pipeline.getStages()[-1].getOrDefault("labelCol"))
-    cached = train.persist()
+    cached = for_fit(train).persist()
     try:
         return pipeline.fit(cached)
     finally:

@@ -136,7 +136,8 @@ def stratified_split(df: DataFrame, key: str, label: str = "label", fraction: fl
     d = df.withColumn("__h", seeded_hash(F.col(key), seed))
     cut = lowest_k_cutoff(d.select(label, "__h", key), "__h", key,
                           lambda n: F.round(n * F.lit(fraction)), strata=[label])
-    out = d.join(cut, [label], "left")
+    # one row a class: broadcast, since a shuffle by label would put all rows of a class into one task
+    out = d.join(F.broadcast(cut), [label], "left")
     is_test = (F.col("__h") < F.col("__h_cut")) | ((F.col("__h") == F.col("__h_cut")) & (F.col(key) <= F.col("__t_cut")))
     out = out.withColumn("split", F.when(F.coalesce(is_test, F.lit(False)), F.lit("test")).otherwise(F.lit("train")))
     return out.drop("__h", "__h_cut", "__t_cut")
@@ -144,12 +145,13 @@ def stratified_split(df: DataFrame, key: str, label: str = "label", fraction: fl
 
 def class_weights(df: DataFrame, label: str = "label", out: str = "weight") -> DataFrame:
     """Balanced weights n / (k * n_c), joined to every row (the class table
-    has one row per class; Spark broadcasts it if it is small)."""
+    has one row per class and is broadcast: a shuffle by label would put all rows
+    of a class into one task)."""
     counts = df.groupBy(label).agg(F.count("*").alias("__nc"))
     stats = counts.withColumn("__n", F.sum("__nc").over(Window.partitionBy(F.lit(1)))) \
                   .withColumn("__k", F.count("*").over(Window.partitionBy(F.lit(1))))
     stats = stats.select(label, (F.col("__n") / (F.col("__k") * F.col("__nc"))).alias(out))
-    return df.join(stats, [label], "left")
+    return df.join(F.broadcast(stats), [label], "left")
 
 
 def class_weight_table(df: DataFrame, label: str = "label") -> DataFrame:

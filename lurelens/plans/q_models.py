@@ -194,6 +194,7 @@ def _fit(train, kind, features=ALL_FEATURES):
     """One fitted model; class weights (T14) are those of the training rows."""
     if kind == "text":
         return tm.fit(train.select("label", "text"))
+    train = train.drop("text")                                    # a fit of trees keeps its rows in memory
     if kind == "boosted":
         return md.fit(md.tabular_pipeline(features, md.boosted_trees()), train)
     return md.fit(md.tabular_pipeline(features, md.random_forest()), sp.class_weights(train, "label"))
